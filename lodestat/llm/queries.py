@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality, secrets, simhash
+from . import bpe, iblt, mixing, quality, secrets, sharding, simhash
 from .common import table
 
 
@@ -25,6 +25,15 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.version_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
@@ -35,7 +44,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_byte_bpe, op3_mix_sources, op6_secret_scans, op7_simhash]
+    named = [op1_quality_rules, op2_byte_bpe, op3_mix_sources, op4_kd_sharding, op5_iblt_fingerprints, op6_secret_scans, op7_simhash]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
