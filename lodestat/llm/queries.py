@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, iblt, mixing, quality, secrets, sharding, simhash
+from . import bpe, iblt, licenses, mixing, quality, secrets, sharding, simhash, warc
 from .common import table
 
 
@@ -43,13 +43,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    ids = lambda field: F.array_join(F.transform("sentence_ids", lambda x: x[field].cast("string")), ",")
+    return found.select("doc_id", ids("id").alias("sentences"), ids("at").alias("places"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_byte_bpe, op3_mix_sources, op4_kd_sharding, op5_iblt_fingerprints, op6_secret_scans, op7_simhash]
+    named = [op1_quality_rules, op2_byte_bpe, op3_mix_sources, op4_kd_sharding, op5_iblt_fingerprints, op6_secret_scans, op7_simhash, op8_license_rules, op9_warc_round_trip]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_quality_rules": OP1_SQL, "op8_license_rules": op8_sql(), "op9_warc_round_trip": OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 OP1_SQL = r"""
@@ -75,3 +85,27 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
   NOT base_failed AND host_rate <= 0.9 AS kept, b.source, round(host_rate, 6) AS host_rate
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
 """
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest, octet_length(encode(coalesce(html, ''))) AS bytes FROM pages),
+f AS (SELECT digest, max(page_id) AS first FROM p WHERE bytes >= 1000 GROUP BY digest)
+SELECT page_id, bytes::BIGINT AS payload_bytes, p.digest AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN f ON f.digest = p.digest AND bytes >= 1000
+"""
+
+
+def op8_sql() -> str:
+    sentences = ", ".join(f"('{s}', '{i}')" for i, s in licenses.SENTENCES.items())
+    rules = ", ".join(f"('{name}', '|{'|'.join(ids)}|')" for name, ids in licenses.RULES)
+    end = licenses.SENTENCE_END
+    return f"""
+WITH known(sentence, id) AS (VALUES {sentences}), rules(license, ids) AS (VALUES {rules}),
+s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{end}')) AS s, unnest(range(len(string_split_regex(coalesce(text, ''), '{end}')))) AS place FROM documents),
+k AS (SELECT doc_id, place, id FROM s JOIN known ON sentence = lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) WHERE length(s) BETWEEN 10 AND {licenses.LONGEST - 1}),
+l AS (SELECT doc_id, string_agg(id, ',' ORDER BY place) AS sentences, string_agg(place::VARCHAR, ',' ORDER BY place) AS places, '|' || string_agg(id, '|' ORDER BY place) || '|' AS line FROM k GROUP BY doc_id),
+m AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT doc_id, license FROM l JOIN rules ON contains(line, ids)) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(sentences, '') AS sentences, coalesce(places, '') AS places, coalesce(licenses, '') AS licenses
+FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""
