@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, iblt, licenses, mixing, quality, secrets, sharding, simhash, warc
+from . import bpe, iblt, licenses, mixing, quality, scoring, secrets, sharding, simhash, warc
 from .common import table
 
 
@@ -53,8 +53,12 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_byte_bpe, op3_mix_sources, op4_kd_sharding, op5_iblt_fingerprints, op6_secret_scans, op7_simhash, op8_license_rules, op9_warc_round_trip]
+    named = [op1_quality_rules, op2_byte_bpe, op3_mix_sources, op4_kd_sharding, op5_iblt_fingerprints, op6_secret_scans, op7_simhash, op8_license_rules, op9_warc_round_trip, op10_log_bilinear]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
