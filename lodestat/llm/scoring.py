@@ -9,7 +9,7 @@ Training: in each of ROUNDS rounds every task takes the model of the round befor
 training documents, all of which are in one round, with noise-contrastive estimation; the models of the tasks are
 averaged, weighted by tokens, by a Spark aggregation. At most TRAINERS tasks.
 
-Counts of the TABLE_WORDS most frequent words go to the tasks as a table (a bound on what is broadcast); tokens of
+Counts of the most frequent words, TABLE_WORDS at most, go to the tasks as a table (a bound on what is broadcast); tokens of
 other words are joined to their counts by a shuffle, so scores take the counts of all words.
 
 Nulls: a null text is empty and has one token, the end; a null id is read as empty text and so trains. Repeated rows
@@ -74,7 +74,7 @@ class Lexicon:
     def __init__(self, counts: DataFrame):
         total = counts.agg(F.sum("n"), F.count("*")).first()
         self.tokens, self.types = total[0] or 0, total[1]
-        top = [(bytes(w), n) for w, n in counts.where(F.col("word") != F.lit(END)).orderBy(F.desc("n"), "word").limit(TABLE_WORDS).collect()]
+        top = self._frequent(counts.where(F.col("word") != F.lit(END)))
         self.index = {w: i for i, (w, _) in enumerate(top)}
         self.logs = np.log10(np.array([n for _, n in top], float) + 0.5)
         self.classes = np.array([FIRST_HEAD + i if i < HEAD_CLASSES else tail_class(w) for i, (w, _) in enumerate(top)], np.int32)
@@ -92,6 +92,18 @@ class Lexicon:
         self.weight[FIRST_HEAD : FIRST_HEAD + len(heads)] = [n + 0.5 for _, n in top[:HEAD_CLASSES]]
         self.tail_logs = np.log10(self.weight[:TAIL_CLASSES])
 
+    @staticmethod
+    def _frequent(counts: DataFrame) -> list[tuple[bytes, int]]:
+        """Words of all those counts from the largest down that TABLE_WORDS words or fewer have, the most frequent first."""
+        held, least = 0, None
+        levels = counts.groupBy("n").agg(F.count("*").alias("words"))
+        for n, many in levels.orderBy(F.desc("n")).limit(TABLE_WORDS).collect():
+            if held + many > TABLE_WORDS:
+                break
+            held, least = held + many, n
+        found = counts.where(F.col("n") >= least).collect() if least is not None else []
+        return sorted(((bytes(w), n) for w, n in found), key=lambda x: (-x[1], x[0]))
+
     def classed(self, tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Place in the table (-1: none) and class of each word, and the words that are not in the table."""
         at = np.fromiter((self.index.get(w, -1) for w in tokens), np.int32, len(tokens))
