@@ -20,7 +20,6 @@ from .common import saved
 
 PIECE = 250
 PART = 8
-CELLS = 3 * PART
 ROUNDS = 12
 MAX_LEVEL = 16
 KEY = ["_id", "_h"]
@@ -35,51 +34,52 @@ def _check(x: Column) -> Column:
     return F.xxhash64(x, F.lit(99))
 
 
-def _entry(x: Column, n: Column) -> Column:
-    """A hash with its sign, check hash and three cells."""
-    cells = [(F.pmod(F.xxhash64(x, F.lit(j)), F.lit(PART)) + j * PART).cast("int").alias(f"p{j}") for j in range(3)]
-    return F.struct(n.cast("int").alias("n"), x.alias("k"), _check(x).alias("c"), *cells)
+def _places(x: Column) -> list[Column]:
+    """The cells of a hash, one in each part."""
+    return [(F.pmod(F.xxhash64(x, F.lit(j)), F.lit(PART)) + j * PART).cast("int") for j in range(3)]
 
 
-def _add(cell: Column, at: Column, entries: Column, sign: int) -> Column:
-    """The cell with those entries that go to place `at` added, or taken out."""
-    zero = F.struct(cell["n"].alias("n"), cell["k"].alias("k"), cell["c"].alias("c"))
-    hit = lambda e: (e["p0"] == at) | (e["p1"] == at) | (e["p2"] == at)
-    n = (lambda s, e: s["n"] + e["n"]) if sign > 0 else (lambda s, e: s["n"] - e["n"])
-    return F.aggregate(entries, zero, lambda s, e: F.when(hit(e), F.struct(n(s, e).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"), s["c"].bitwiseXOR(e["c"]).alias("c"))).otherwise(s))
+def in_cells(hashes: DataFrame, keys: list[str], sides: list[tuple[str, Column]]) -> DataFrame:
+    """Sketches of the hashes x of every key: keys, at, and n, k, c of each side, where its condition holds.
+
+    A row for each cell that any side has a hash in. Rows of a key that lie in one task are summed there.
+    """
+    spread = hashes.withColumn("at", F.explode(F.array(*_places(F.col("x")))))
+    sums = []
+    for name, when in sides:
+        sums += [F.count(F.when(when, F.lit(1))).cast("int").alias(f"n_{name}"), F.coalesce(F.bit_xor(F.when(when, F.col("x"))), F.lit(0)).alias(f"k_{name}"), F.coalesce(F.bit_xor(F.when(when, _check(F.col("x")))), F.lit(0)).alias(f"c_{name}")]
+    return spread.groupBy(*keys, "at").agg(*sums)
 
 
-def sketch(hashes: Column) -> Column:
-    """Cells (n, k, c) of a set of hashes."""
-    empty = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-    entries = F.transform(hashes, lambda x: _entry(x, F.lit(1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda at: _add(empty, at, entries, 1))
+def minus(a: str, b: str) -> Column:
+    """A cell of one sketch less that of another."""
+    return F.struct("at", (F.col(f"n_{a}") - F.col(f"n_{b}")).alias("n"), F.col(f"k_{a}").bitwiseXOR(F.col(f"k_{b}")).alias("k"), F.col(f"c_{a}").bitwiseXOR(F.col(f"c_{b}")).alias("c"))
 
 
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+def _take_out(cell: Column, entries: Column) -> Column:
+    """The cell without those entries that are in it."""
+    hit = lambda e: (e["p0"] == cell["at"]) | (e["p1"] == cell["at"]) | (e["p2"] == cell["at"])
+    less = lambda s, e: F.struct(s["at"].alias("at"), (s["n"] - e["n"]).alias("n"), s["k"].bitwiseXOR(e["k"]).alias("k"), s["c"].bitwiseXOR(e["c"]).alias("c"))
+    return F.aggregate(entries, cell, lambda s, e: F.when(hit(e), less(s, e)).otherwise(s))
 
 
 def peel(cells: Column) -> Column:
-    """(cells, found): what is left of the cells, and the hashes that came out, with the sign of their side."""
-    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found"))
+    """(cells, found, more): what is left of the cells, how many hashes came out, and whether the last turn found any."""
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("more"))
 
     def turn(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
-        return F.transform(F.array(F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"))))), lambda got: F.when(F.size(got) == 0, state).otherwise(_without(state, got)))[0]
+        got = F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), *(p.alias(f"p{j}") for j, p in enumerate(_places(c["k"]))))))
+        without = lambda g: F.struct(F.transform(state["cells"], lambda c: _take_out(c, g)).alias("cells"), (state["found"] + F.size(g)).alias("found"), (F.size(g) > 0).alias("more"))
+        return F.when(state["more"], F.transform(F.array(got), without)[0]).otherwise(state)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
-def _without(state: Column, got: Column) -> Column:
-    left = F.transform(F.array(F.transform(got, lambda e: _entry(e["k"], e["n"]))), lambda entries: F.transform(state["cells"], lambda c, at: _add(c, at, entries, -1)))[0]
-    return F.struct(left.alias("cells"), F.concat(state["found"], got).alias("found"))
-
-
 def differing(cells: Column) -> Column:
     """Number of hashes in one of two subtracted sets only; null when the cells don't peel."""
     done = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
-    return F.transform(F.array(peel(cells)), lambda s: F.when(done(s), F.size(s["found"]).cast("long")))[0]
+    return F.transform(F.array(peel(cells)), lambda s: F.when(done(s), s["found"].cast("long")))[0]
 
 
 def likeness(differ: Column, a: Column, b: Column) -> Column:
@@ -88,26 +88,43 @@ def likeness(differ: Column, a: Column, b: Column) -> Column:
 
 
 def as_text(cells: Column) -> Column:
-    """A sketch as hexadecimal text: count, hash and half of the check hash of each cell."""
-    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(F.lpad(F.hex(c["n"]), 4, "0"), F.lpad(F.hex(c["k"]), 16, "0"), F.lpad(F.hex(c["c"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""))
+    """A sketch as hexadecimal text: place, count, hash and half of the check hash of each cell that is in use."""
+    part = lambda c, field, n: F.lpad(F.hex(c[field]), n, "0")
+    used = F.array_sort(F.filter(cells, lambda c: c["n"] != 0))
+    return F.lower(F.array_join(F.transform(used, lambda c: F.concat(part(c, "at", 2), part(c, "n", 4), part(c, "k", 16), F.lpad(F.hex(c["c"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""))
+
+
+def _tagged(sets: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """keys, side (place in names) and x, a row for each hash of the arrays; rows of a key in one task."""
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tag = lambda i, name: F.transform(name, lambda x: F.struct(F.lit(i).alias("side"), x.alias("x")))
+    return sets.select(*keys, *names).repartition(parts, *KEY).select(*keys, F.explode(F.concat(*(tag(i, n) for i, n in enumerate(names)))).alias("e")).select(*keys, "e.*")
+
+
+def first_try(sets: DataFrame) -> DataFrame:
+    """KEY, d_edited and d_next, the differing hashes of own and changed, own and next; null where a sketch is too small."""
+    sides = [(name, F.col("side") == i) for i, name in enumerate(("own", "changed", "next"))]
+    cells = in_cells(_tagged(sets, KEY, ["own", "changed", "next"]), KEY, sides)
+    whole = cells.groupBy(*KEY).agg(F.collect_list(minus("own", "changed")).alias("edited"), F.collect_list(minus("own", "next")).alias("next"))
+    return saved(whole.select(*KEY, differing(F.col("edited")).alias("d_edited"), differing(F.col("next")).alias("d_next")))
 
 
-def compare(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and differ for rows of keys (distinct) with two arrays of hashes, a and b."""
-    first = saved(pairs.select(*keys, "a", "b", differing(subtract(sketch(F.col("a")), sketch(F.col("b")))).alias("differ")))
-    done, level = first.where("differ IS NOT NULL").select(*keys, "differ"), 0
-    left = first.where("differ IS NULL").select(*keys, "a", "b")
+def compare(sets: DataFrame, tried: DataFrame) -> DataFrame:
+    """KEY, which (0: own and changed, 1: own and next) and differ, all of them found."""
+    done = tried.select(*KEY, F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("differ")) for i, c in enumerate(("d_edited", "d_next"))))).alias("s")).select(*KEY, "s.*")
+    left, done, level = done.where("differ IS NULL").select(*KEY, "which"), done.where("differ IS NOT NULL"), 0
+    keys = [*KEY, "which", "g"]
     while not left.isEmpty():
         level += 1
         if level > MAX_LEVEL:
             raise RuntimeError("sketches do not peel")
-        tagged = left.select(*keys, F.explode(F.concat(F.transform("a", lambda x: F.struct(x.alias("x"), F.lit(True).alias("in_a"))), F.transform("b", lambda x: F.struct(x.alias("x"), F.lit(False).alias("in_a"))))).alias("e"))
-        dealt = tagged.select(*keys, F.pmod(F.xxhash64("e.x", F.lit(1000 + level)), F.lit(4**level)).alias("g"), "e.x", "e.in_a")
-        groups = dealt.groupBy(*keys, "g").agg(F.collect_list(F.when(F.col("in_a"), F.col("x"))).alias("ga"), F.collect_list(F.when(~F.col("in_a"), F.col("x"))).alias("gb"))
-        peeled = groups.select(*keys, differing(subtract(sketch(F.col("ga")), sketch(F.col("gb")))).alias("d"))
-        found = saved(peeled.groupBy(*keys).agg(F.when(F.count("d") == F.count("*"), F.sum("d")).alias("differ")))
+        pairs = sets.join(left, KEY).select(*KEY, "which", F.col("own").alias("a"), F.when(F.col("which") == 0, F.col("changed")).otherwise(F.col("next")).alias("b"))
+        dealt = _tagged(pairs, [*KEY, "which"], ["a", "b"]).withColumn("g", F.pmod(F.xxhash64("x", F.lit(1000 + level)), F.lit(4**level)))
+        cells = in_cells(dealt, keys, [("a", F.col("side") == 0), ("b", F.col("side") == 1)])
+        peeled = cells.groupBy(*keys).agg(F.collect_list(minus("a", "b")).alias("cells")).select(*KEY, "which", differing(F.col("cells")).alias("d"))
+        found = saved(peeled.groupBy(*KEY, "which").agg(F.when(F.count("d") == F.count("*"), F.sum("d")).alias("differ")))
         done = done.union(found.where("differ IS NOT NULL"))
-        left = left.join(found.where("differ IS NULL").select(*keys), keys, "left_semi")
+        left = found.where("differ IS NULL").select(*KEY, "which")
     return done
 
 
@@ -143,8 +160,11 @@ def version_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str =
     both = texts.join(given, KEY).select("doc_id", *KEY, F.length("text").cast("long").alias("n_chars"), digests(F.col("text")).alias("own"), "next", edited.alias("_edited"))
     sets = saved(both.select("doc_id", *KEY, "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "own", digests(F.col("_edited")).alias("changed"), "next"))
     unique = sets.dropDuplicates(KEY) if repeats else sets
-    sides = F.array(F.struct(F.lit(0).alias("which"), F.col("changed").alias("b")), F.struct(F.lit(1).alias("which"), F.col("next").alias("b")))
-    pairs = unique.select(*KEY, F.col("own").alias("a"), F.explode(sides).alias("s")).select(*KEY, "s.which", "a", "s.b")
-    differ = compare(pairs, [*KEY, "which"]).groupBy(*KEY).agg(*(F.max(F.when(F.col("which") == i, F.col("differ"))).alias(name) for i, name in enumerate(("d_edited", "d_next"))))
-    out = sets.join(differ, KEY)
-    return out.select("doc_id", "n_chars", "edited_sha256", as_text(sketch(F.col("own"))).alias("fingerprint"), as_text(sketch(F.col("changed"))).alias("edited_fingerprint"), likeness(F.col("d_edited"), F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("d_next"), F.col("own"), F.col("next")).alias("near_next"))
+    differ = compare(unique, first_try(unique)).groupBy(*KEY).agg(*(F.max(F.when(F.col("which") == i, F.col("differ"))).alias(name) for i, name in enumerate(("d_edited", "d_next"))))
+    sides = [(name, F.col("side") == i) for i, name in enumerate(("own", "changed"))]
+    cell = lambda name: F.struct("at", F.col(f"n_{name}").alias("n"), F.col(f"k_{name}").alias("k"), F.col(f"c_{name}").alias("c"))
+    cells = in_cells(_tagged(unique, KEY, ["own", "changed"]), KEY, sides)
+    prints = cells.groupBy(*KEY).agg(*(F.collect_list(cell(n)).alias(f"cells_{n}") for n, _ in sides)).select(*KEY, *(as_text(F.col(f"cells_{n}")).alias(f"fp_{n}") for n, _ in sides))
+    out = sets.join(prints, KEY, "left").join(differ, KEY, "left")
+    found = lambda name: F.coalesce(F.col(name), F.lit(0))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.coalesce("fp_own", F.lit("")).alias("fingerprint"), F.coalesce("fp_changed", F.lit("")).alias("edited_fingerprint"), likeness(found("d_edited"), F.col("own"), F.col("changed")).alias("near_edited"), likeness(found("d_next"), F.col("own"), F.col("next")).alias("near_next"))
