@@ -14,6 +14,7 @@ Nulls are empty texts, with no tokens. Ties, repeated rows and empty tables need
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import re
@@ -110,7 +111,8 @@ class Bpe:
         enter(np.arange(n - 1), self._rank_of(symbols[:-1], symbols[1:]))
         while heap:
             rank = heapq.heappop(heap)
-            positions = np.unique(np.concatenate(index.pop(rank)))
+            positions = np.sort(np.concatenate(index.pop(rank)))
+            positions = positions[np.r_[True, positions[1:] != positions[:-1]]]
             left, right = symbols[positions], symbols[after[positions]]
             positions = positions[self._rank_of(left, right) == rank]
             if not len(positions):
@@ -141,28 +143,33 @@ class Bpe:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out, group, size = [], [], 0
-        for text in texts:
-            group.append(text or "")
-            size += len(group[-1])
-            if size >= GROUP_CHARS:
-                out += self._encode_group(group)
-                group, size = [], 0
-        return out + self._encode_group(group)
+        collects = gc.isenabled()
+        gc.disable()  # a group makes many lists of strings and no cycles
+        try:
+            for text in texts:
+                group.append(text or "")
+                size += len(group[-1])
+                if size >= GROUP_CHARS:
+                    out += self._encode_group(group)
+                    group, size = [], 0
+            return out + self._encode_group(group)
+        finally:
+            if collects:
+                gc.enable()
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         split = [CHUNK.findall(t) for t in texts]
-        new = {c for cs in split for c in cs}
+        new = set().union(*split)
         if len(self.kept) + len(new - self.kept.keys()) > CACHE:
             self.kept.clear()
         new = list(new - self.kept.keys())
         for k in range(0, len(new), BATCH):
             self.learn_chunks(new[k : k + BATCH])
-        kept = self.kept
-        return [b"".join([kept[c] for c in cs]) for cs in split]
+        packed = self.kept.__getitem__
+        return [b"".join(map(packed, cs)) for cs in split]
 
     def decode(self, packed: bytes) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
 _loaded: dict[str, Bpe] = {}
