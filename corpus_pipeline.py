@@ -5,31 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestat.llm import bpe, mixing, quality, secrets, simhash
-from lodestat.llm.common import saved, table
+from lodestat.llm.common import ready, saved, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host is not rejected."""
+    ready(spark)
     return quality.quality_filter(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least id."""
+    ready(spark)
     return simhash.deduplicate(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
+    ready(spark)
     return secrets.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes, a row for each document and pass."""
+    ready(spark)
     return mixing.mix_documents(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each document of the mix: the number of its tokens and hashes of them and of what they decode to."""
+    ready(spark)
     return bpe.token_digests(docs)
 
 

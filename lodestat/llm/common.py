@@ -14,14 +14,23 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Sub-groups into which each group of a running sum is dealt; at 10^10 rows the largest holds some 10^7 narrow ones.
 SUBGROUPS = 1024
+#: Rows that a Python worker gets at once, where the session has not been told otherwise.
+BATCH_ROWS = 2000
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the folder; makes sure that Python workers can import this package."""
+def ready(spark: SparkSession) -> None:
+    """Makes sure that Python workers can import this package and get few documents at once, as these may be long."""
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in paths:
+    if root not in paths and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder."""
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -83,7 +83,8 @@ def differing(cells: Column) -> Column:
 
 
 def likeness(differ: Column, a: Column, b: Column) -> Column:
-    both = F.size(a) + F.size(b)
+    """Of two sets with so many hashes, and so many in one of them only."""
+    both = a + b
     return F.when(both == 0, F.lit(1.0)).otherwise((both - differ) / (both + differ))
 
 
@@ -95,16 +96,20 @@ def as_text(cells: Column) -> Column:
 
 
 def _tagged(sets: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """keys, side (place in names) and x, a row for each hash of the arrays; rows of a key in one task."""
-    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """keys, side (place in names) and x, a row for each hash of the arrays."""
     tag = lambda i, name: F.transform(name, lambda x: F.struct(F.lit(i).alias("side"), x.alias("x")))
-    return sets.select(*keys, *names).repartition(parts, *KEY).select(*keys, F.explode(F.concat(*(tag(i, n) for i, n in enumerate(names)))).alias("e")).select(*keys, "e.*")
+    return sets.select(*keys, F.explode(F.concat(*(tag(i, n) for i, n in enumerate(names)))).alias("e")).select(*keys, "e.*")
+
+
+def _by_key(frame: DataFrame) -> DataFrame:
+    """Dealt by KEY, so that what is then grouped or joined by it is not moved again."""
+    return frame.repartition(int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
 
 
 def first_try(sets: DataFrame) -> DataFrame:
     """KEY, d_edited and d_next, the differing hashes of own and changed, own and next; null where a sketch is too small."""
     sides = [(name, F.col("side") == i) for i, name in enumerate(("own", "changed", "next"))]
-    cells = in_cells(_tagged(sets, KEY, ["own", "changed", "next"]), KEY, sides)
+    cells = in_cells(_tagged(_by_key(sets.select(*KEY, "own", "changed", "next")), KEY, ["own", "changed", "next"]), KEY, sides)
     whole = cells.groupBy(*KEY).agg(F.collect_list(minus("own", "changed")).alias("edited"), F.collect_list(minus("own", "next")).alias("next"))
     return saved(whole.select(*KEY, differing(F.col("edited")).alias("d_edited"), differing(F.col("next")).alias("d_next")))
 
@@ -118,7 +123,7 @@ def compare(sets: DataFrame, tried: DataFrame) -> DataFrame:
         level += 1
         if level > MAX_LEVEL:
             raise RuntimeError("sketches do not peel")
-        pairs = sets.join(left, KEY).select(*KEY, "which", F.col("own").alias("a"), F.when(F.col("which") == 0, F.col("changed")).otherwise(F.col("next")).alias("b"))
+        pairs = _by_key(sets.select(*KEY, "own", "changed", "next")).join(left, KEY).select(*KEY, "which", F.col("own").alias("a"), F.when(F.col("which") == 0, F.col("changed")).otherwise(F.col("next")).alias("b"))
         dealt = _tagged(pairs, [*KEY, "which"], ["a", "b"]).withColumn("g", F.pmod(F.xxhash64("x", F.lit(1000 + level)), F.lit(4**level)))
         cells = in_cells(dealt, keys, [("a", F.col("side") == 0), ("b", F.col("side") == 1)])
         peeled = cells.groupBy(*keys).agg(F.collect_list(minus("a", "b")).alias("cells")).select(*KEY, "which", differing(F.col("cells")).alias("d"))
@@ -163,8 +168,9 @@ def version_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str =
     differ = compare(unique, first_try(unique)).groupBy(*KEY).agg(*(F.max(F.when(F.col("which") == i, F.col("differ"))).alias(name) for i, name in enumerate(("d_edited", "d_next"))))
     sides = [(name, F.col("side") == i) for i, name in enumerate(("own", "changed"))]
     cell = lambda name: F.struct("at", F.col(f"n_{name}").alias("n"), F.col(f"k_{name}").alias("k"), F.col(f"c_{name}").alias("c"))
-    cells = in_cells(_tagged(unique, KEY, ["own", "changed"]), KEY, sides)
+    cells = in_cells(_tagged(_by_key(unique.select(*KEY, "own", "changed")), KEY, ["own", "changed"]), KEY, sides)
     prints = cells.groupBy(*KEY).agg(*(F.collect_list(cell(n)).alias(f"cells_{n}") for n, _ in sides)).select(*KEY, *(as_text(F.col(f"cells_{n}")).alias(f"fp_{n}") for n, _ in sides))
-    out = sets.join(prints, KEY, "left").join(differ, KEY, "left")
+    sizes = [F.size(n).alias(f"size_{n}") for n in ("own", "changed", "next")]
+    out = sets.select("doc_id", *KEY, "n_chars", "edited_sha256", *sizes).join(prints, KEY, "left").join(differ, KEY, "left")
     found = lambda name: F.coalesce(F.col(name), F.lit(0))
-    return out.select("doc_id", "n_chars", "edited_sha256", F.coalesce("fp_own", F.lit("")).alias("fingerprint"), F.coalesce("fp_changed", F.lit("")).alias("edited_fingerprint"), likeness(found("d_edited"), F.col("own"), F.col("changed")).alias("near_edited"), likeness(found("d_next"), F.col("own"), F.col("next")).alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", F.coalesce("fp_own", F.lit("")).alias("fingerprint"), F.coalesce("fp_changed", F.lit("")).alias("edited_fingerprint"), likeness(found("d_edited"), F.col("size_own"), F.col("size_changed")).alias("near_edited"), likeness(found("d_next"), F.col("size_own"), F.col("size_next")).alias("near_next"))

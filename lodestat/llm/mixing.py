@@ -214,20 +214,23 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     Columns are those of the input; n_chars, if there is such a column, is that of the new text. Documents that no
     pass takes a word of are left out.
     """
-    key = [F.col(id_column), F.col("_hash")]
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    keys = [F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text, F.col(id_column).isNull()).alias("_hash")]
     copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    whole = docs.select(row, F.col(id_column).alias("_id"), F.xxhash64(text).alias("_hash"))
-    narrow = docs.select(F.col(id_column), F.col(source), F.xxhash64(text).alias("_hash"), F.col(text))
-    placed, mix = _planned(narrow, source, text, key, block_words, **rules)
+    whole = docs.select(row, *keys)
+    narrow = docs.select(*keys, F.col(source), F.col(text))
+    placed, mix = _planned(narrow, source, text, [F.col("_id"), F.col("_hash")], block_words, **rules)
     slots = slot_blocks(docs.sparkSession, mix)
     pieces = _pieces(placed, block_words).join(slots.select("src", "block", "pass", "words"), ["src", "block"]).where("words > lo")
     stretch = F.struct(F.col("pass"), F.col("first").alias("a"), (F.col("first") + F.least("hi", "words") - F.col("lo")).alias("b"))
     taken = pieces.groupBy("src", "off").agg(F.sort_array(F.collect_list(stretch)).alias("_cuts")).withColumnsRenamed({"src": "_src", "off": "_off"})
     plan = placed.join(taken, (F.col("src") == F.col("_src")) & (F.col("off") == F.col("_off")) & (F.col("size") > 0))
-    plan = plan.select(F.col(id_column).alias("_pid"), F.col("_hash").alias("_phash"), "_cuts", "off", "src")
-    plan = plan.withColumn("_pcopy", F.row_number().over(Window.partitionBy("_pid", "_phash").orderBy("src", "off"))).drop("off", "src")
-    chosen = whole.withColumn("_copy", copy).join(plan, F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_hash") == F.col("_phash")) & (F.col("_copy") == F.col("_pcopy")))
+    number = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy("src", "off"))
+    plan = plan.select("_id", "_hash", "_cuts", number.alias("_copy"), "src", "off").drop("src", "off")
+    if placed.count() > placed.select("_id", "_hash").distinct().count():
+        chosen = whole.withColumn("_copy", copy).join(plan, ["_id", "_hash", "_copy"])
+    else:
+        chosen = whole.join(plan.hint("shuffle_hash"), ["_id", "_hash"])
 
     @F.pandas_udf("array<string>")
     def texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:

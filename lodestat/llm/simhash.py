@@ -90,9 +90,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the least id, with the columns it came with."""
     found = near_duplicates(docs, id_column, text)
-    keep = found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(id_column, "text_hash")).alias("k"))
-    keep = keep.select(F.col(f"k.{id_column}").alias("_id"), F.col("k.text_hash").alias("_hash"))
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(id_column).alias("_doc"), F.xxhash64(text).alias("_text_hash"))
-    kept = whole.join(keep, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("_doc", "_text_hash").orderBy(F.lit(1)))
-    return kept.withColumn("_n", first).where("_n = 1").select("_row.*")
+    keys = lambda of, hashed: [F.coalesce(of.cast("string"), F.lit("")).alias("_id"), F.xxhash64(hashed, of.isNull()).alias("_h")]
+    keep = found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(id_column, "text_hash")).alias("k"), F.count("*").alias("n"))
+    keep = saved(keep.select(*keys(F.col(f"k.{id_column}"), F.col("k.text_hash")), "n"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *keys(F.col(id_column), F.xxhash64(text)))
+    kept = whole.join(keep.select("_id", "_h"), ["_id", "_h"], "left_semi")
+    if not keep.where("n > 1").isEmpty():  # rows of one id, some of which may be equal
+        kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy("_id", "_h").orderBy(F.lit(1)))).where("_n = 1")
+    return kept.select("_row.*")
