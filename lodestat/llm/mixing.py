@@ -173,7 +173,7 @@ def mix_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     placed, mix = _planned(whole, source, text, [F.col(id_column), F.col("text_hash")], block_words, **rules)
     slots = slot_blocks(docs.sparkSession, mix)
     blocks = slots.groupBy("src", "block").agg(F.sum((F.col("words") == block_words).cast("long")).alias("wholes"), F.collect_list(F.when(F.col("words") < block_words, F.col("words"))).alias("parts"))
-    pieces = _pieces(placed, block_words).join(blocks, ["src", "block"])
+    pieces = _pieces(placed, block_words).join(blocks.hint("merge"), ["src", "block"])
     part = F.aggregate("parts", F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.least(w, F.col("hi")) - F.col("lo"), F.lit(0)))
     taken = pieces.groupBy("src", "off").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("wholes") + part).alias("_taken")).withColumnsRenamed({"src": "_src", "off": "_off"})
     out = placed.join(taken, (F.col("src") == F.col("_src")) & (F.col("off") == F.col("_off")) & (F.col("size") > 0), "left")
@@ -221,7 +221,7 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     narrow = docs.select(*keys, F.col(source), F.col(text))
     placed, mix = _planned(narrow, source, text, [F.col("_id"), F.col("_hash")], block_words, **rules)
     slots = slot_blocks(docs.sparkSession, mix)
-    pieces = _pieces(placed, block_words).join(slots.select("src", "block", "pass", "words"), ["src", "block"]).where("words > lo")
+    pieces = _pieces(placed, block_words).join(slots.select("src", "block", "pass", "words").hint("merge"), ["src", "block"]).where("words > lo")
     stretch = F.struct(F.col("pass"), F.col("first").alias("a"), (F.col("first") + F.least("hi", "words") - F.col("lo")).alias("b"))
     taken = pieces.groupBy("src", "off").agg(F.sort_array(F.collect_list(stretch)).alias("_cuts")).withColumnsRenamed({"src": "_src", "off": "_off"})
     plan = placed.join(taken, (F.col("src") == F.col("_src")) & (F.col("off") == F.col("_off")) & (F.col("size") > 0))
