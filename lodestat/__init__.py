@@ -1,0 +1 @@
+"""Group-level analytics over longitudinal observations of several sources, on Spark."""
