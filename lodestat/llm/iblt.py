@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-PIECE = 250
+PIECE = 400
 PART = 8
 ROUNDS = 12
 MAX_LEVEL = 16
@@ -107,29 +107,38 @@ def _by_key(frame: DataFrame) -> DataFrame:
 
 
 def first_try(sets: DataFrame) -> DataFrame:
-    """KEY, d_edited and d_next, the differing hashes of own and changed, own and next; null where a sketch is too small."""
-    sides = [(name, F.col("side") == i) for i, name in enumerate(("own", "changed", "next"))]
-    cells = in_cells(_tagged(_by_key(sets.select(*KEY, "own", "changed", "next")), KEY, ["own", "changed", "next"]), KEY, sides)
-    whole = cells.groupBy(*KEY).agg(F.collect_list(minus("own", "changed")).alias("edited"), F.collect_list(minus("own", "next")).alias("next"))
-    return saved(whole.select(*KEY, differing(F.col("edited")).alias("d_edited"), differing(F.col("next")).alias("d_next")))
-
+    """KEY and failed: an array of (which, differ, a, b) for own and changed (which 0), own and next (1).
 
-def compare(sets: DataFrame, tried: DataFrame) -> DataFrame:
-    """KEY, which (0: own and changed, 1: own and next) and differ, all of them found."""
-    done = tried.select(*KEY, F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(c).alias("differ")) for i, c in enumerate(("d_edited", "d_next"))))).alias("s")).select(*KEY, "s.*")
-    left, done, level = done.where("differ IS NULL").select(*KEY, "which"), done.where("differ IS NOT NULL"), 0
+    Where the sketch was too small, differ is null and a and b are the sets; they are null where it was not.
+    """
+    dealt = _by_key(sets.select(*KEY, "own", "changed", "next"))
+    sides = [(name, F.col("side") == i) for i, name in enumerate(("own", "changed", "next"))]
+    cells = in_cells(_tagged(dealt, KEY, ["own", "changed", "next"]), KEY, sides)
+    whole = cells.groupBy(*KEY).agg(F.collect_list(minus("own", "changed")).alias("c0"), F.collect_list(minus("own", "next")).alias("c1"))
+    found = whole.select(*KEY, differing(F.col("c0")).alias("d0"), differing(F.col("c1")).alias("d1"))
+    tried = lambda which, d, other: F.struct(F.lit(which).alias("which"), F.col(d).alias("differ"), *(F.when(F.col(d).isNull(), F.col(c)).alias(n) for n, c in (("a", "own"), ("b", other))))
+    return saved(dealt.join(found, KEY).select(*KEY, F.array(tried(0, "d0", "changed"), tried(1, "d1", "next")).alias("tries")))
+
+
+def compare(tried: DataFrame) -> DataFrame:
+    """KEY, which and differ, all of them found: what has not peeled is dealt to four times as many sketches."""
+    now = tried.select(*KEY, F.explode("tries").alias("t")).select(*KEY, "t.*")
+    done, level = now.where("differ IS NOT NULL").select(*KEY, "which", "differ"), 0
+    left = now.where("differ IS NULL").select(*KEY, "which", "a", "b")
     keys = [*KEY, "which", "g"]
     while not left.isEmpty():
         level += 1
         if level > MAX_LEVEL:
             raise RuntimeError("sketches do not peel")
-        pairs = _by_key(sets.select(*KEY, "own", "changed", "next")).join(left, KEY).select(*KEY, "which", F.col("own").alias("a"), F.when(F.col("which") == 0, F.col("changed")).otherwise(F.col("next")).alias("b"))
-        dealt = _tagged(pairs, [*KEY, "which"], ["a", "b"]).withColumn("g", F.pmod(F.xxhash64("x", F.lit(1000 + level)), F.lit(4**level)))
-        cells = in_cells(dealt, keys, [("a", F.col("side") == 0), ("b", F.col("side") == 1)])
+        dealt = _by_key(left)
+        parts = _tagged(dealt, [*KEY, "which"], ["a", "b"]).withColumn("g", F.pmod(F.xxhash64("x", F.lit(1000 + level)), F.lit(4**level)))
+        cells = in_cells(parts, keys, [("a", F.col("side") == 0), ("b", F.col("side") == 1)])
         peeled = cells.groupBy(*keys).agg(F.collect_list(minus("a", "b")).alias("cells")).select(*KEY, "which", differing(F.col("cells")).alias("d"))
-        found = saved(peeled.groupBy(*KEY, "which").agg(F.when(F.count("d") == F.count("*"), F.sum("d")).alias("differ")))
-        done = done.union(found.where("differ IS NOT NULL"))
-        left = found.where("differ IS NULL").select(*KEY, "which")
+        found = peeled.groupBy(*KEY, "which").agg(F.when(F.count("d") == F.count("*"), F.sum("d")).alias("differ"))
+        again = [F.when(F.col("differ").isNull(), F.col(c)).alias(c) for c in ("a", "b")]
+        now = saved(dealt.join(found, [*KEY, "which"]).select(*KEY, "which", "differ", *again))
+        done = done.union(now.where("differ IS NOT NULL").select(*KEY, "which", "differ"))
+        left = now.where("differ IS NULL").select(*KEY, "which", "a", "b")
     return done
 
 
@@ -140,7 +149,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     counts = ranged.groupBy("_p").count()
     starts = counts.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     row = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return saved(ranged.withColumn("_r", row).join(F.broadcast(starts), "_p").select("_id", "_h", "n_chars", (F.col("_start") + F.col("_r")).alias("pos")))
+    return saved(ranged.withColumn("_r", row).join(F.broadcast(starts), "_p").select("_id", "_h", "absent", "n_chars", (F.col("_start") + F.col("_r")).alias("pos")))
 
 
 def version_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,19 +162,19 @@ def version_fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str =
     ordered = in_order(whole.withColumn("n_chars", F.length("text")))
     n = ordered.count()
     repeats = docs.count() > n
-    before = ordered.select(F.pmod(F.col("pos") + 1, F.lit(max(n, 1))).alias("pos"), F.col("_id").alias("_to_id"), F.col("_h").alias("_to_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("_need"))
-    gives = ordered.join(before, "pos").select("_id", "_h", "_to_id", "_to_h", "_need")
+    before = ordered.select(F.pmod(F.col("pos") + 1, F.lit(max(n, 1))).alias("pos"), F.col("_id").alias("_to_id"), F.col("_h").alias("_to_h"), F.col("absent").alias("_absent"), F.floor(F.col("n_chars") / 3).cast("int").alias("_need"))
+    gives = ordered.join(before, "pos").select("_id", "_h", "_to_id", "_to_h", "_absent", "_need")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = whole.select("doc_id", "text", *KEY).repartition(parts, *KEY)
-    given = texts.join(gives.hint("shuffle_hash"), KEY).select("_to_id", "_to_h", F.substring("text", F.lit(1), F.col("_need")).alias("_given"), digests(F.col("text")).alias("next"))
+    texts = whole.select("text", *KEY).repartition(parts, *KEY)  # the same columns for both uses, so that one exchange serves both
+    given = texts.join(gives.hint("shuffle_hash"), KEY).select("_to_id", "_to_h", "_absent", F.substring("text", F.lit(1), F.col("_need")).alias("_given"), digests(F.col("text")).alias("next"))
     given = given.withColumnsRenamed({"_to_id": "_id", "_to_h": "_h"})
     given = given.dropDuplicates(KEY) if repeats else given
     third = F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - third), F.col("_given"))
-    both = texts.join(given, KEY).select("doc_id", *KEY, F.length("text").cast("long").alias("n_chars"), digests(F.col("text")).alias("own"), "next", edited.alias("_edited"))
+    both = texts.join(given, KEY).select(F.when(~F.col("_absent"), F.col("_id")).alias("doc_id"), *KEY, F.length("text").cast("long").alias("n_chars"), digests(F.col("text")).alias("own"), "next", edited.alias("_edited"))
     sets = saved(both.select("doc_id", *KEY, "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "own", digests(F.col("_edited")).alias("changed"), "next"))
     unique = sets.dropDuplicates(KEY) if repeats else sets
-    differ = compare(unique, first_try(unique)).groupBy(*KEY).agg(*(F.max(F.when(F.col("which") == i, F.col("differ"))).alias(name) for i, name in enumerate(("d_edited", "d_next"))))
+    differ = compare(first_try(unique)).groupBy(*KEY).agg(*(F.max(F.when(F.col("which") == i, F.col("differ"))).alias(name) for i, name in enumerate(("d_edited", "d_next"))))
     sides = [(name, F.col("side") == i) for i, name in enumerate(("own", "changed"))]
     cell = lambda name: F.struct("at", F.col(f"n_{name}").alias("n"), F.col(f"k_{name}").alias("k"), F.col(f"c_{name}").alias("c"))
     cells = in_cells(_tagged(_by_key(unique.select(*KEY, "own", "changed")), KEY, ["own", "changed"]), KEY, sides)
