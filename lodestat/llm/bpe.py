@@ -219,4 +219,4 @@ def token_digests(docs: DataFrame, text: str = "text", path: str = RANKS) -> Dat
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     names = [c for c in docs.columns if c not in (text, "n_tokens", "ids_sha256", "decoded_sha256")]
-    return docs.withColumn("_d", digests(F.col(text))).select(*(F.col(f"`{c}`") for c in names), "_d.*")
+    return docs.select(*(F.col(f"`{c}`") for c in names), digests(F.col(text)).alias("digests of this row")).select(*(F.col(f"`{c}`") for c in names), F.col("`digests of this row`.*"))
