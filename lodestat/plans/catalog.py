@@ -333,7 +333,7 @@ def chi_square(spark, sf_dir):
     return rounded(statistics.chi_square(statistics.crosstab(read(spark, sf_dir, "labels"), "quality", "toxic")))
 
 
-PAIR = "SELECT {s} AS source, '{x}' AS x, '{y}' AS y, count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS n, round(corr({x}, {y}), 6) AS r FROM f GROUP BY {g}"
+PAIR = "SELECT {s} AS source, '{x}' AS x, '{y}' AS y, count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS n, CASE WHEN count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) >= 3 AND NOT isnan(corr({x}, {y})) THEN round(corr({x}, {y}), 6) END AS r FROM f GROUP BY {g}"
 
 
 @query(f"WITH {FRAME} " + " UNION ALL ".join(PAIR.format(s="source", g="source", x=x, y=y) for x, y in (("click", "purchase"), ("click", "view"))))
@@ -343,7 +343,7 @@ def pearson_matrix(spark, sf_dir):
 
 RHO = """p AS (SELECT source, click x, view y FROM f WHERE click IS NOT NULL AND view IS NOT NULL),
  r AS (SELECT source, rank() OVER (PARTITION BY source ORDER BY x) + (count(*) OVER (PARTITION BY source, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY source ORDER BY y) + (count(*) OVER (PARTITION BY source, y) - 1) / 2.0 AS ry FROM p),
- s AS (SELECT source, count(*) n, corr(rx, ry) rho FROM r GROUP BY source)"""
+ s AS (SELECT source, count(*) n, CASE WHEN count(*) >= 3 AND NOT isnan(corr(rx, ry)) THEN corr(rx, ry) END rho FROM r GROUP BY source)"""
 
 
 @query(f"WITH {FRAME}, {RHO} SELECT source, n, round(rho, 6) AS rho FROM s")
@@ -351,7 +351,7 @@ def spearman_by_source(spark, sf_dir):
     return rounded(statistics.spearman(patients(spark, sf_dir), "click", "view"))
 
 
-@query(f"WITH {FRAME}, {RHO} SELECT round(sum(rho * n) / sum(n), 6) AS rho, sum(n)::BIGINT AS n FROM s")
+@query(f"WITH {FRAME}, {RHO} SELECT round(sum(rho * n) / sum(n), 6) AS rho, sum(n)::BIGINT AS n FROM s WHERE rho IS NOT NULL")
 def spearman_weighted(spark, sf_dir):
     return rounded(statistics.weighted_mean(statistics.spearman(patients(spark, sf_dir), "click", "view"), "rho", "n"))
 
@@ -364,14 +364,14 @@ def compare_groups(spark, sf_dir):
 
 WELCH = """g AS (SELECT sex, count(click) n, avg(click) m, var_samp(click) v FROM f GROUP BY sex)
  SELECT a.sex AS a, b.sex AS b, round(b.m - a.m, 6) AS diff, round((b.m - a.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2)), 6) AS smd,
- round((b.m - a.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 5) AS dof
+ round((b.m - a.m) / sqrt(a.v / a.n + b.v / b.n), 6) AS t, round(power(a.v / a.n + b.v / b.n, 2) / (power(a.v / a.n, 2) / (a.n - 1) + power(b.v / b.n, 2) / (b.n - 1)), 4) AS dof
  FROM g a JOIN g b ON a.sex < b.sex"""
 
 
 @query(f"WITH {FRAME}, {WELCH}")
 def welch_t(spark, sf_dir):
     summary = statistics.mean_and_sd(statistics.moments(patients(spark, sf_dir), "click", ["sex"]))
-    return rounded(statistics.welch(summary, "sex")).withColumn("dof", F.round("dof", 5))
+    return rounded(statistics.welch(summary, "sex")).withColumn("dof", F.round("dof", 4))
 
 
 @query(f"WITH {DAYS}, s AS (SELECT DISTINCT source FROM days WHERE concept = 'purchase' AND day_offset IS NOT NULL), b AS (SELECT source, unnest(range(0, 4)) AS bin FROM s), p AS (SELECT source, (day_offset // 7) AS bin, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd FROM days WHERE concept = 'purchase' AND day_offset >= 0 AND day_offset < 28 GROUP BY 1, 2) SELECT b.source, b.bin::INT AS bin, (b.bin * 7)::INT AS day_from, coalesce(n, 0) AS n, round(mean, 6) AS mean, round(sd, 6) AS sd FROM b LEFT JOIN p ON p.source = b.source AND p.bin = b.bin")
@@ -608,7 +608,7 @@ def calendar_coarsen(spark, sf_dir):
     return read(spark, sf_dir, "orders").groupBy(fn.calendar(day, "year").alias("year"), fn.calendar(day, "month").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {FRAME}, r AS (SELECT source, corr(click, purchase) AS r FROM f GROUP BY source) SELECT source, CASE WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.7 THEN 'moderate' ELSE 'strong' END AS strength FROM r")
+@query(f"WITH {FRAME}, r AS (SELECT source, CASE WHEN count(*) FILTER (WHERE click IS NOT NULL AND purchase IS NOT NULL) >= 3 THEN corr(click, purchase) END AS r FROM f GROUP BY source) SELECT source, CASE WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.7 THEN 'moderate' WHEN r IS NOT NULL THEN 'strong' END AS strength FROM r")
 def corr_strength(spark, sf_dir):
     found = statistics.pearson(patients(spark, sf_dir), [("click", "purchase")], ["source"])
     return found.select("source", fn.strength(F.col("r")).alias("strength"))
