@@ -112,7 +112,7 @@ IDENTIFIERS = {
     "guid": r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
     "personnummer": r"\b(?:19|20)?\d{6}[-+]?\d{4}\b",
     "sentinel": r"\bFORBIDDEN-[A-Z]+\b|\bSURPRISE-PII\b|\bTEST-[A-Z0-9]+\b",
-    "key_material": r"ANALYSE_PROJECT_KEY_[A-Z0-9_]+|BEGIN [A-Z ]*PRIVATE KEY",
+    "key_material": r"[A-Z]+_PROJECT_KEY_[A-Z0-9_]+|BEGIN [A-Z ]*PRIVATE KEY",
 }
 
 

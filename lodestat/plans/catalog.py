@@ -614,7 +614,7 @@ def corr_strength(spark, sf_dir):
     return found.select("source", fn.strength(F.col("r")).alias("strength"))
 
 
-@query("SELECT finding, 'text' AS column, count(*) FILTER (WHERE regexp_matches(text, form)) AS n FROM documents, (VALUES ('guid', '(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b'), ('personnummer', '\\b(?:19|20)?\\d{6}[-+]?\\d{4}\\b'), ('sentinel', '\\bFORBIDDEN-[A-Z]+\\b|\\bSURPRISE-PII\\b|\\bTEST-[A-Z0-9]+\\b'), ('key_material', 'ANALYSE_PROJECT_KEY_[A-Z0-9_]+|BEGIN [A-Z ]*PRIVATE KEY')) AS p(finding, form) GROUP BY finding".replace("AS column", 'AS "column"'))
+@query("SELECT finding, 'text' AS column, count(*) FILTER (WHERE regexp_matches(text, form)) AS n FROM documents, (VALUES ('guid', '(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b'), ('personnummer', '\\b(?:19|20)?\\d{6}[-+]?\\d{4}\\b'), ('sentinel', '\\bFORBIDDEN-[A-Z]+\\b|\\bSURPRISE-PII\\b|\\bTEST-[A-Z0-9]+\\b'), ('key_material', '[A-Z]+_PROJECT_KEY_[A-Z0-9_]+|BEGIN [A-Z ]*PRIVATE KEY')) AS p(finding, form) GROUP BY finding".replace("AS column", 'AS "column"'))
 def identifier_scan(spark, sf_dir):
     return disclosure.identifier_scan(read(spark, sf_dir, "documents").select("text"))
 

@@ -82,3 +82,22 @@ def test_the_rest_imports_without_the_optional_package():
 
     code = "import sys; sys.modules['lodestat.llm'] = None\nimport importlib.abc\nclass Gone(importlib.abc.MetaPathFinder):\n    def find_spec(self, name, path, target=None):\n        if name.startswith(('lodestat.llm', 'corpus_pipeline')):\n            raise ModuleNotFoundError(name, name=name)\nsys.modules.pop('lodestat.llm'); sys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nassert 'pipeline' not in e.queries() and len(e.queries()) > 50"
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=__file__.rsplit("/", 2)[0]).returncode == 0
+
+
+def test_audit_and_command_line(spark, tmp_path, capsys):
+    import datetime
+
+    from lodestat.plans.audit import record_run, runs_of
+    from lodestat.plans.cli import main
+
+    spec = AnalysisSpec.parse(changed(analyses=[{"kind": "frequency", "vars": ["sex"]}]))
+    result = run_spec(observations(spark, SMALL), spec, [SourcePolicy(s, ("research",)) for s in SPEC["sources"]])
+    for day in (1, 2):
+        record_run(result, spec, "someone", f"{tmp_path}/audit", datetime.datetime(2026, 1, day))
+    found = runs_of(spark, f"{tmp_path}/audit", spec).collect()
+    assert found[0]["at"].day == 2 and {r.source for r in found} >= {"pooled"} and all(r.figures >= r.suppressed for r in found)
+    assert runs_of(spark, f"{tmp_path}/audit", AnalysisSpec.parse(SPEC)).count() == 0
+    (tmp_path / "spec.json").write_text(json.dumps(SPEC))
+    assert main(["hash", f"{tmp_path}/spec.json"]) == 0 and capsys.readouterr().out.strip() == AnalysisSpec.parse(SPEC).digest()
+    (tmp_path / "bad.json").write_text(json.dumps(changed(purpose="care")))
+    assert main(["validate", f"{tmp_path}/bad.json"]) == 1
