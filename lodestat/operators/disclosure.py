@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, replace
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the module
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -91,6 +96,39 @@ def suppress_table(cells: dict[tuple[str, str], int], rows: list[str], cols: lis
     return gone
 
 
+#: Cells of a grid, empty ones too, that one task holds; a larger table is an error, never cut short.
+MAX_CELLS = 1_000_000
+
+
+def safe_grids(cells: DataFrame, k: int, by: str = "source") -> DataFrame:
+    """by, row, col, n and gone for every cell of each grid: empty cells have 0, gone says what primary or
+    complementary suppression hides. A grid is merged already and has levels times levels cells."""
+
+    def one(grid: pd.DataFrame) -> pd.DataFrame:
+        rows, cols = sorted(set(grid["row"])), sorted(set(grid["col"]))
+        if len(rows) * len(cols) > MAX_CELLS:
+            raise ValueError(f"a table of {len(rows)} by {len(cols)} levels is too large to be protected")
+        counts = {(r, c): int(n) for r, c, n in zip(grid["row"], grid["col"], grid["n"])}
+        gone = suppress_table(counts, rows, cols, k)
+        whole = [(grid[by].iloc[0], r, c, counts.get((r, c), 0), (r, c) in gone) for r in rows for c in cols]
+        return pd.DataFrame(whole, columns=[by, "row", "col", "n", "gone"])
+
+    return cells.select(by, "row", "col", F.col("n").cast("long").alias("n")).groupBy(by).applyInPandas(one, f"{by} string, row string, col string, n long, gone boolean")
+
+
+def safe_bins(bins: DataFrame, k: int, by: str = "source") -> DataFrame:
+    """by, label and n of each histogram (columns at, label, n; in order of at), small bins merged with the next; a
+    lone small one has no count. There are as many rows as the histogram has bins."""
+
+    def one(histogram: pd.DataFrame) -> pd.DataFrame:
+        ordered = histogram.sort_values("at")
+        merged = merge_small_bins([(label, int(n)) for label, n in zip(ordered["label"], ordered["n"])], k)
+        out = pd.DataFrame({by: histogram[by].iloc[0], "label": [m[0] for m in merged]})
+        return out.assign(n=pd.Series([m[1] for m in merged], dtype="Int64"))
+
+    return bins.select(by, "at", "label", F.col("n").cast("long").alias("n")).groupBy(by).applyInPandas(one, f"{by} string, label string, n long")
+
+
 def symmetric_differences(history: DataFrame, cohort: DataFrame, key: str = "pid") -> DataFrame:
     """cohort_no and the number of patients in just one of an earlier cohort and this one; history: cohort_no, key.
 

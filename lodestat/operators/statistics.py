@@ -56,15 +56,16 @@ def crosstab(frame: DataFrame, row: str, col: str) -> DataFrame:
     return frame.groupBy(*(F.coalesce(F.col(c).cast("string"), F.lit("(missing)")).alias(a) for c, a in ((row, "row"), (col, "col")))).agg(F.count("*").alias("n"))
 
 
-def chi_square(cells: DataFrame) -> DataFrame:
-    """chi2 (uncorrected) and dof of a table of row, col, n; null for fewer than two rows or columns.
+def chi_square(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """chi2 (uncorrected) and dof of a table of row, col, n for each of `by`; null for fewer than two rows or columns.
 
     The sum of (n - e)^2 / e over the grid is t * sum(n^2 / (row total * column total)) - t, which needs no empty cells.
     """
-    margins = cells.select("row", "col", "n", *(F.sum("n").over(Window.partitionBy(k)).alias(f"{k}_total") for k in ("row", "col")))
-    found = margins.agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n") / (F.col("row_total") * F.col("col_total"))).alias("s"), F.count_distinct("row").alias("r"), F.count_distinct("col").alias("c"))
+    by = by or []
+    margins = cells.select(*by, "row", "col", "n", *(F.sum("n").over(Window.partitionBy(*by, k)).alias(f"{k}_total") for k in ("row", "col")))
+    found = margins.groupBy(*by).agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n") / (F.col("row_total") * F.col("col_total"))).alias("s"), F.count_distinct("row").alias("r"), F.count_distinct("col").alias("c"))
     enough = (F.col("r") > 1) & (F.col("c") > 1)
-    return found.select(F.when(enough, F.col("t") * F.col("s") - F.col("t")).alias("chi2"), F.when(enough, (F.col("r") - 1) * (F.col("c") - 1)).alias("dof"))
+    return found.select(*by, *([F.col("t").alias("n")] if by else []), F.when(enough, F.col("t") * F.col("s") - F.col("t")).alias("chi2"), F.when(enough, (F.col("r") - 1) * (F.col("c") - 1)).alias("dof"))
 
 
 def pearson(frame: DataFrame, pairs: list[tuple[str, str]], by: list[str]) -> DataFrame:
@@ -94,16 +95,22 @@ def weighted_mean(parts: DataFrame, value: str, weight: str) -> DataFrame:
     return known.agg((F.sum(F.col(value) * F.col(weight)) / F.nullif(F.sum(weight), F.lit(0))).alias(value), F.sum(weight).alias(weight))
 
 
-def welch(summary: DataFrame, group: str = "group") -> DataFrame:
-    """Every pair of groups a < b of summary rows (group, n, mean, sd): b - a, standardised difference, t and dof."""
+def welch(summary: DataFrame, group: str = "group", by: list[str] | None = None) -> DataFrame:
+    """Every pair of groups a < b of summary rows (group, n, mean, sd), within each of `by`: b - a, standardised
+    difference, t and dof; with `by` also n, that of the smaller group, and the standard error. Summary rows are few."""
+    by = by or []
     names = ("n", "mean", "sd")
-    a = summary.select(F.col(group).alias("a"), *(F.col(c).alias(f"{c}_a") for c in names))
-    b = summary.select(F.col(group).alias("b"), *(F.col(c).alias(f"{c}_b") for c in names))
-    pairs = a.join(F.broadcast(b), F.col("a") < F.col("b"))  # a row for each group on both sides
+    a = summary.select(*by, F.col(group).alias("a"), *(F.col(c).alias(f"{c}_a") for c in names))
+    b = summary.select(*(F.col(c).alias(f"_{c}") for c in by), F.col(group).alias("b"), *(F.col(c).alias(f"{c}_b") for c in names))
+    on = F.col("a") < F.col("b")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    pairs = a.join(F.broadcast(b), on)  # a row for each group on both sides
     pairs = pairs.withColumns({"va": F.expr("sd_a * sd_a / n_a"), "vb": F.expr("sd_b * sd_b / n_b"), "diff": F.expr("mean_b - mean_a")})
     pooled = F.sqrt(F.expr("((n_a - 1) * sd_a * sd_a + (n_b - 1) * sd_b * sd_b) / nullif(n_a + n_b - 2, 0)"))
     dof = F.expr("(va + vb) * (va + vb) / nullif(va * va / nullif(n_a - 1, 0) + vb * vb / nullif(n_b - 1, 0), 0)")
-    return pairs.select("a", "b", "diff", (F.col("diff") / F.nullif(pooled, F.lit(0.0))).alias("smd"), (F.col("diff") / F.nullif(F.sqrt(F.col("va") + F.col("vb")), F.lit(0.0))).alias("t"), dof.alias("dof"))
+    more = [F.least("n_a", "n_b").alias("n"), F.sqrt(F.col("va") + F.col("vb")).alias("error")] if by else []
+    return pairs.select(*by, *more, "a", "b", "diff", (F.col("diff") / F.nullif(pooled, F.lit(0.0))).alias("smd"), (F.col("diff") / F.nullif(F.sqrt(F.col("va") + F.col("vb")), F.lit(0.0))).alias("t"), dof.alias("dof"))
 
 
 def over_time(points: DataFrame, bin_days: int, low: int, high: int, by: list[str]) -> DataFrame:
@@ -161,6 +168,21 @@ def protected_sketch(rows: DataFrame, var: str, k: int, by: list[str], order: st
     return ranked.groupBy(*by, group.alias("g")).agg(F.avg(var).alias("mean"), F.count("*").alias("weight"))
 
 
+def sketch_quantiles(centroids: DataFrame, qs: dict[str, float], by: list[str]) -> DataFrame:
+    """Named quantiles of the union of centroids for each of `by`, by interpolation, with n, the weight of all."""
+    order = Window.partitionBy(*by).orderBy("mean", "weight")
+    upto = F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    whole = F.sum("weight").over(Window.partitionBy(*by))
+    placed = centroids.select(*by, "mean", "weight", upto.alias("cum"), whole.alias("tot"), F.lag("mean").over(order).alias("prev"))
+
+    def quantile(q: float) -> Column:
+        value = F.coalesce(F.col("prev") + (F.col("mean") - F.col("prev")) * ((q * F.col("tot") - (F.col("cum") - F.col("weight"))) / F.col("weight")), F.col("mean"))
+        reached = F.col("cum") >= q * F.col("tot")
+        return F.min_by(F.when(reached, value), F.when(reached, F.col("cum")))
+
+    return placed.groupBy(*by).agg(F.max("tot").alias("n"), *(quantile(q).alias(name) for name, q in qs.items()))
+
+
 def sketch_quantile(centroids: DataFrame, q: float) -> DataFrame:
     """A quantile of the union of centroids, by interpolation; there are few of them."""
     order = Window.orderBy("mean", "weight")

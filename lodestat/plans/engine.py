@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestat.functions import tails
 from lodestat.functions.distributions import t_quantile
 from lodestat.operators import disclosure, frame, statistics
 from lodestat.operators.frame import Variable
 
 from .spec import NAMES, AnalysisSpec
 
+QUARTILES = {"p25": 0.25, "median": 0.5, "p75": 0.75}
+RESULT = ["analysis", "kind", "source", "var", "key", "n", "value", "suppressed"]
 FLAT = {"demographics.sex": "sex", "meta.author_org": "org"}
 
 
@@ -71,10 +75,22 @@ def patients(rows: DataFrame, spec: AnalysisSpec) -> DataFrame:
 
 
 def _tidy(out: DataFrame, number: int, kind: str, k: int, var, key, value: str | None) -> DataFrame:
-    """Result rows of figures with a count n."""
+    """Result rows of figures with a count n; where a column gone is true, the figure is hidden whatever its count."""
     text = lambda x: x if not isinstance(x, str) else F.lit(x)
-    shown = out.select(F.lit(number).alias("analysis"), F.lit(kind).alias("kind"), "source", text(var).alias("var"), text(key).cast("string").alias("key"), F.col("n").cast("long").alias("n"), (F.col(value) if value else F.lit(None)).cast("double").alias("value"))
-    return disclosure.suppressed(shown, k, "n", ("value",)).select("analysis", "kind", "source", "var", "key", "n", "value", "suppressed")
+    figure = (F.col(value) if value else F.lit(None)).cast("double")
+    columns = [("analysis", F.lit(number)), ("kind", F.lit(kind)), ("source", F.col("source")), ("var", text(var)), ("key", text(key).cast("string")), ("n", F.col("n").cast("long")), ("value", figure)]
+    shown = out.select(*(c.alias(a) for a, c in columns))
+    if "gone" not in out.columns:
+        return disclosure.suppressed(shown, k, "n", ("value",)).select(*RESULT)
+    shown = out.select("gone", *(c.alias(a) for a, c in columns))
+    hide = F.coalesce(F.col("gone"), F.lit(False)) | F.coalesce(disclosure.hidden(F.col("n"), k), F.lit(False))
+    shown = shown.withColumn("suppressed", hide)
+    return shown.withColumns({c: F.when(~F.col("suppressed"), F.col(c)) for c in ("n", "value")}).select(*RESULT)
+
+
+def _figures(summary: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each of these columns: its name as figure, its value as told; the summary is computed once."""
+    return summary.withColumn("_f", F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("told")) for c in names)))).select("*", "_f.*")
 
 
 def _both_grains(counts: DataFrame, by: list[str], pooling: DataFrame) -> DataFrame:
@@ -83,12 +99,17 @@ def _both_grains(counts: DataFrame, by: list[str], pooling: DataFrame) -> DataFr
 
 
 def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy]) -> DataFrame:
-    """All figures of the spec, lazily; refused before a plan is built where a policy says so."""
+    """All figures of the spec; refused before a plan is built where a policy says so.
+
+    The cohort's rows and the patient frame, which every analysis reads, are kept in memory or on disk by Spark (lost
+    parts are computed again) until `spark.catalog.clearCache()`. Quartiles come from a sketch without single patients'
+    values. Group means are told for all groups of a source or for none.
+    """
     limits = admit(spec, policies)
     k = limits.k_min
     pooling = rows.sparkSession.createDataFrame([(p.source, p.may_pool) for p in policies], "source string, may_pool boolean").where("may_pool")
-    long = prepared(rows, spec, policies)
-    wide = patients(long, spec)
+    long = prepared(rows, spec, policies).persist(StorageLevel.MEMORY_AND_DISK)
+    wide = patients(long, spec).persist(StorageLevel.MEMORY_AND_DISK)
     kinds = dict(wide.dtypes)
     parts = []
     for number, a in enumerate(spec.analyses):
@@ -100,18 +121,31 @@ def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy])
                     add(_both_grains(statistics.frequency(wide, var, ["source"]), ["level"], pooling), var, F.col("level"))
                     continue
                 sums = statistics.moments(wide, var, ["source"])
-                both = statistics.mean_and_sd(statistics.per_source_and_pooled(sums, [], pooling))
-                add(both, var, "mean", "mean")
-                add(both, var, "sd", "sd")
+                both = tails.with_interval(statistics.mean_and_sd(statistics.per_source_and_pooled(sums, [], pooling)))
+                add(_figures(both, ["mean", "sd", "low", "high"]), var, F.col("figure"), "told")
+                centroids = statistics.protected_sketch(wide, var, k, ["source"], "pid").select("source", "mean", "weight")
+                whole = centroids.join(F.broadcast(pooling), "source", "left_semi").withColumn("source", F.lit("pooled"))
+                quartiles = statistics.sketch_quantiles(centroids.unionByName(whole), QUARTILES, ["source"])
+                add(_figures(quartiles, list(QUARTILES)), var, F.col("figure"), "told")
                 add(both.select("source", F.col("missing").alias("n")), var, "missing")
         elif kind == "histogram":
             bins = a.get("bins") or {}
             low, high = bins.get("range") or wide.agg(F.percentile(a["var"], F.array(F.lit(0.01), F.lit(0.99)))).first()[0] or (0.0, 1.0)
             width = bins.get("width") or max((high - low) / 20, 1e-9)
-            add(_both_grains(statistics.histogram(wide, a["var"], statistics.edges(low, high, width), ["source"]), ["bin"], pooling), a["var"], F.coalesce((F.col("bin") * width + low).cast("string"), F.lit("(missing)")))
+            at = statistics.edges(low, high, width)
+            counts = _both_grains(statistics.histogram(wide, a["var"], at, ["source"]), ["bin"], pooling)
+            inside = F.col("bin").between(0, len(at) - 2)
+            labels = F.array(*(F.lit(f"{x:g}–{y:g}") for x, y in zip(at, at[1:])))
+            add(disclosure.safe_bins(counts.where(inside).select("source", F.col("bin").alias("at"), F.get(labels, "bin").alias("label"), "n"), k), a["var"], F.col("label"))
+            beside = F.when(F.col("bin").isNull(), "(missing)").when(F.col("bin") < 0, "(below)").otherwise("(above)")
+            add(counts.where(F.col("bin").isNull() | ~inside), a["var"], beside)
         elif kind == "crosstab":
             cells = wide.groupBy("source", *(F.coalesce(F.col(a[c]).cast("string"), F.lit("(missing)")).alias(c) for c in ("row", "col"))).agg(F.count("*").alias("n"))
-            add(_both_grains(cells, ["row", "col"], pooling), f"{a['row']}|{a['col']}", F.concat_ws("|", "row", "col"))
+            both = _both_grains(cells, ["row", "col"], pooling)
+            add(disclosure.safe_grids(both, k), f"{a['row']}|{a['col']}", F.concat_ws("|", "row", "col"))
+            tested = statistics.chi_square(both, ["source"])
+            tested = tested.withColumn("p", tails.chi_square_tail(F.col("chi2"), F.col("dof")))
+            add(_figures(tested, ["chi2", "dof", "p"]), f"{a['row']}|{a['col']}", F.col("figure"), "told")
         elif kind == "correlation":
             pairs = [(x, y) for i, x in enumerate(a["vars"]) for y in a["vars"][i + 1 :]]
             pooled_rows = wide.join(F.broadcast(pooling), "source", "left_semi")
@@ -130,17 +164,34 @@ def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy])
             for var in a["vars"]:
                 sums = statistics.moments(members, var, ["source", "group"])
                 both = statistics.mean_and_sd(statistics.per_source_and_pooled(sums, ["group"], pooling))
-                add(both, var, F.col("group"), "mean")
+                every = Window.partitionBy("source")  # a row for each group; all groups are told of, or none
+                safe = (F.min("n").over(every) >= k) & (F.count("*").over(every) == len(where))
+                both = both.withColumn("gone", ~safe)
+                add(_figures(both, ["mean", "sd"]), var, F.concat_ws(" ", "group", "figure"), "told")
+                pairs = statistics.welch(both.where("NOT gone"), "group", ["source"])
+                reach = tails.t_quantile(0.975, F.col("dof")) * F.col("error")
+                pairs = pairs.withColumns({"p": tails.t_two_sided(F.col("t"), F.col("dof")), "low": F.col("diff") - reach, "high": F.col("diff") + reach})
+                figures = _figures(pairs, ["diff", "smd", "t", "dof", "p", "low", "high"])
+                add(figures, var, F.concat(F.col("b"), F.lit(" - "), F.col("a"), F.lit(" "), F.col("figure")), "told")
         elif kind == "over_time":
             declared = next(v for v in spec.variables if v["name"] == a["var"])
             low, high = a["range_days"]
             points = frame.series(long, declared["from"])
             pooled_points = points.join(F.broadcast(pooling), "source", "left_semi").withColumn("source", F.lit("pooled"))
             both = statistics.over_time(points.unionByName(pooled_points), a["bin_days"], low, high, ["source"])
-            add(both, a["var"], F.col("day_from"), "mean")
+            both = tails.with_interval(both)
+            day = [F.lit("day "), F.col("day_from").cast("string"), F.lit("–"), (F.col("day_from") + a["bin_days"] - 1).cast("string"), F.lit(" "), F.col("figure")]
+            add(_figures(both, ["mean", "low", "high"]), a["var"], F.concat(*day), "told")
         elif kind == "completeness":
             each = long.groupBy("source", "pid").agg(F.count("*").alias("observations"))
             add(_both_grains(each.groupBy("source", "observations").agg(F.count("*").alias("n")), ["observations"], pooling), "observations per patient", F.col("observations"))
+            names = [v["name"] for v in spec.variables]
+            told = wide.groupBy("source").agg(*(f.alias(f"{c}{i}") for i, v in enumerate(names) for c, f in (("m", F.count_if(F.col(v).isNull())), ("p", F.count(v)))))
+            cells = [F.struct(F.lit(v).alias("var"), F.lit(what).alias("key"), F.col(f"{c}{i}").alias("n")) for i, v in enumerate(names) for c, what in (("m", "missing"), ("p", "present"))]
+            if cells:
+                add(_both_grains(told.select("source", F.explode(F.array(*cells)).alias("x")).select("source", "x.*"), ["var", "key"], pooling), F.col("var"), F.col("key"))
+            orgs = long.groupBy("source", F.coalesce("org", F.lit("(not recorded)")).alias("org")).agg(F.count("*").alias("n"))
+            add(_both_grains(orgs, ["org"], pooling), "rows by organisation", F.col("org"))
         elif kind == "linear_regression":
             fit = statistics.solve([tuple(c) for c in statistics.normal_equations(wide.join(F.broadcast(pooling), "source", "left_semi"), a["outcome"], a["predictors"]).collect()])
             found = [] if fit is None else [("pooled", name, fit["n"], float(x)) for name, x in zip(["(intercept)", *a["predictors"]], fit["coefficients"])]
