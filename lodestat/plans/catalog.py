@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import columns as fn
-from lodestat.operators import disclosure, exploration, frame, statistics
+from lodestat.operators import cohorts, disclosure, exploration, frame, statistics
 from lodestat.operators.frame import Variable
 from lodestat.sources.observations import FHIR_BUNDLE, cohort_read, flatten_fhir, new_rows, observations, page_of_each, read, union_tagged
 
+from .engine import SourcePolicy, run_spec
+from .spec import AnalysisSpec
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -483,6 +486,11 @@ def scatter_latest(spark, sf_dir):
     return rounded(frame.paired_latest(observations(spark, sf_dir), "purchase", "error").select("pid", "source", "x", "y"))
 
 
+@query(f"WITH {OBS}, {LATEST.replace('purchase', 'view').replace('error', 'click')} SELECT pid, source, round(x, 6) AS x, round(y, 6) AS y FROM xy WHERE x IS NOT NULL AND y IS NOT NULL")
+def scatter_pairs(spark, sf_dir):
+    return rounded(frame.paired_latest(observations(spark, sf_dir), "view", "click").where("x IS NOT NULL AND y IS NOT NULL").select("pid", "source", "x", "y"))
+
+
 @query(f"WITH {OBS}, {LATEST} SELECT floor(x / 20)::BIGINT AS bx, floor(y / 20)::BIGINT AS \"by\", CASE WHEN count(*) >= 5 THEN count(*) END AS n, count(*) < 5 AS suppressed FROM xy GROUP BY 1, 2")
 def binned_pairs(spark, sf_dir):
     return exploration.binned_2d(frame.paired_latest(observations(spark, sf_dir), "purchase", "error"), 20, 20)
@@ -626,3 +634,44 @@ def merge_small_bins(spark, sf_dir):
     rows = sorted((int(r["lo"]), r["n"]) for r in bins.collect())  # a row for each bin
     merged = disclosure.merge_small_bins([(f"{a}-{a + 5}", n) for a, n in rows], 5)
     return spark.createDataFrame(merged, "bin string, n long")
+
+
+@query("SELECT l_partkey, coalesce(p_name, l_partkey::VARCHAR) AS display, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON l_partkey = p_partkey GROUP BY 1, 2")
+def concept_display(spark, sf_dir):
+    """Counts by code with its name; a third of the codes have none and keep the code."""
+    names = read(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("display"))
+    counts = read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    return cohorts.with_displays(counts, names, "l_partkey")
+
+
+@query("SELECT 'orders' AS source, o_orderkey AS id, o_orderstatus AS archetype FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 'lineitem', l_orderkey, l_linestatus FROM lineitem WHERE l_linestatus = 'F'")
+def composition_search(spark, sf_dir):
+    """Rows of one kind in several stores."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("archetype"))
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linestatus").alias("archetype"))
+    return cohorts.search({"orders": orders, "lineitem": lines}, {"archetype": "F"}).select("source", "id", "archetype")
+
+
+SPEC = {
+    "title": "Who buys", "purpose": "research", "sources": [f"cdr{i}" for i in range(5)], "cohort": {"include": [{"observation": "purchase", "op": "ge", "value": 20}]},
+    "variables": [{"name": "clicks", "from": "click", "agg": "count"}, {"name": "bought", "from": "purchase", "agg": "mean"}, {"name": "sex", "from": "demographics.sex"}],
+    "analyses": [{"kind": "frequency", "vars": ["sex"]}, {"kind": "correlation", "vars": ["clicks", "bought"]}, {"kind": "completeness"}],
+}
+SPEC_SQL = f"""WITH {OBS}, m AS (SELECT source, pid FROM obs GROUP BY 1, 2 HAVING bool_or(concept = 'purchase' AND value >= 20)),
+  l AS (SELECT obs.* FROM obs JOIN m ON m.source = obs.source AND m.pid = obs.pid),
+  lg AS (SELECT source AS grain, * FROM l UNION ALL SELECT 'pooled', * FROM l WHERE source <> 'cdr4'),
+  f AS (SELECT grain, source, pid, count(*) FILTER (WHERE concept = 'click') AS clicks, avg(value) FILTER (WHERE concept = 'purchase') AS bought, min(sex) AS sex, count(*) AS rows_each FROM lg GROUP BY 1, 2, 3),
+  x AS (SELECT 0 AS analysis, 'frequency' AS kind, grain AS source, 'sex' AS var, sex AS key, count(*) AS n, NULL::DOUBLE AS value FROM f GROUP BY grain, sex
+    UNION ALL SELECT 1, 'correlation', grain, 'clicks|bought', 'r', count(*), CASE WHEN count(*) >= 10 THEN round(corr(clicks, bought), 6) END FROM f WHERE clicks IS NOT NULL AND bought IS NOT NULL GROUP BY grain
+    UNION ALL SELECT 2, 'completeness', grain, 'observations per patient', rows_each::VARCHAR, count(*), NULL FROM f GROUP BY grain, rows_each
+    UNION ALL SELECT 2, 'completeness', grain, v, k, n, NULL FROM (SELECT grain, unnest(['clicks', 'clicks', 'bought', 'bought', 'sex', 'sex']) AS v, unnest(['missing', 'present', 'missing', 'present', 'missing', 'present']) AS k,
+      unnest([count(*) - count(clicks), count(clicks), count(*) - count(bought), count(bought), count(*) - count(sex), count(sex)]) AS n FROM f GROUP BY grain)
+    UNION ALL SELECT 2, 'completeness', grain, 'rows by organisation', org, count(*), NULL FROM lg GROUP BY grain, org)
+SELECT analysis, kind, source, var, key, CASE WHEN n = 0 OR n >= 5 THEN n END AS n, CASE WHEN n = 0 OR n >= 5 THEN value END AS value, n > 0 AND n < 5 AS suppressed FROM x"""
+
+
+@query(SPEC_SQL)
+def spec_run(spark, sf_dir):
+    """A whole spec over all sources, one of which may not be pooled."""
+    spec = AnalysisSpec.parse(SPEC)
+    return rounded(run_spec(observations(spark, sf_dir), spec, [SourcePolicy(s, ("research",), may_pool=s != "cdr4") for s in spec.sources]))

@@ -110,6 +110,13 @@ class AnalysisSpec:
         whole = {k: v for k, v in self.__dict__.items() if k != "_"}
         return json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
+    def stated(self) -> dict:
+        """What `parse` makes the same spec of."""
+        out = json.loads(self.canonical())
+        out["cohort"] = {"include": out.pop("include")}
+        out["index_event"] = self.index_event and {"observation": self.index_event}
+        return out
+
     def digest(self) -> str:
         return "sha256:" + hashlib.sha256(self.canonical().encode()).hexdigest()
 
