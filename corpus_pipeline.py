@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import bpe, mixing, quality, secrets, simhash
+from lodestat.llm import bpe, likeness, mixing, quality, secrets
 from lodestat.llm.common import ready, saved, table
 
 
@@ -15,9 +15,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id."""
+    """Of each group of near duplicates (5-word shingles, Jaccard of 0.8 or more) the document with the least id."""
     ready(spark)
-    return simhash.deduplicate(docs)
+    return likeness.deduplicate(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("secret scans", secret_scans), ("mixing sources", mix_sources), ("byte-level BPE", byte_bpe)]
+STAGES = [("quality rules", quality_rules), ("near-dedup", near_duplicates), ("secret scans", secret_scans), ("mixing sources", mix_sources), ("byte-level BPE", byte_bpe)]
 
 #: The fingerprints, automata, draws and merges have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None

@@ -89,7 +89,11 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, that with the least id, with the columns it came with."""
-    found = near_duplicates(docs, id_column, text)
+    return least_of_each(docs, near_duplicates(docs, id_column, text), id_column, text)
+
+
+def least_of_each(docs: DataFrame, found: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of each component (found: id, text_hash, root and component_id of every document) the document with the least id."""
     keys = lambda of, hashed: [F.coalesce(of.cast("string"), F.lit("")).alias("_id"), F.xxhash64(hashed, of.isNull()).alias("_h")]
     keep = found.where(F.col(id_column).eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct(id_column, "text_hash")).alias("k"), F.count("*").alias("n"))
     keep = saved(keep.select(*keys(F.col(f"k.{id_column}"), F.col("k.text_hash")), "n"))

@@ -15,7 +15,7 @@ import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from lodestat.llm import bpe, components, iblt, licenses, mixing, quality, scoring, secrets, sharding, simhash, warc
+from lodestat.llm import bpe, components, iblt, licenses, likeness, mixing, quality, scoring, secrets, sharding, simhash, warc
 from lodestat.llm.automata import Automaton
 from lodestat.llm.common import ready, running_offsets
 from lodestat.llm.fingerprints_kernel import simhash as simhash_of
@@ -246,6 +246,52 @@ def test_simhash(spark):
         assert kept.columns == docs.columns and kept.count() == len(expected)
 
 
+def slow_groups(texts, width=5, least=0.8):
+    """For each text the number of the first text of its component, by all pairs of shingle sets."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if (not a and not b) or (a | b and len(a & b) >= least * len(a | b)):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def test_likeness(spark):
+    draw = random.Random(5)
+    texts = [r.text for r in awkward(spark).collect() if r.text != LONG]
+    for n in range(40):  # copies with one to four words changed: likeness 0.82 to 0.97, near ones and chains of them
+        base = [f"w{draw.randrange(5000)}" for _ in range(150)]
+        texts.append(" ".join(base))
+        for _ in range(4):
+            for _ in range(draw.randint(1, 4)):
+                base[draw.randrange(150)] = f"v{draw.randrange(5000)}"
+            texts.append(" ".join(base) if n % 2 else " ".join(base).upper())
+    big = [f"w{i}" for i in range(200)]  # one large group, each a word off the same text, and some far from most of it
+    for i in range(60):
+        texts.append(" ".join([*big[: 3 * i], "x", *big[3 * i + 1 :]]))
+    texts += [" ".join([*big[:k], *(f"y{k}_{i}" for i in range(200 - k))]) for k in (120, 150, 175, 180, 190)]
+    texts += [r.text for r in small(spark).collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in likeness.near_duplicates(docs).collect()}
+    groups = slow_groups(texts)
+    assert [found[i] for i in range(len(texts))] == groups
+    assert sorted(r.doc_id for r in likeness.deduplicate(docs).collect()) == sorted(set(groups))
+    import corpus_pipeline
+
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(groups))
+
+
 @pytest.mark.parametrize("hot", [2, 128])
 def test_hot_buckets_lose_no_link(spark, hot):
     draw = random.Random(hot)
