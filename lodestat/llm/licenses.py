@@ -5,6 +5,10 @@ may be a known licence sentence with an identifier. The identifiers of a text, i
 rules: a licence is found where the identifiers of one of its rules stand one after another (other sentences may lie
 between them). Sentences and rules are a fixed set, stated below; they are literals of the plan.
 
+A sentence may also be cut itself, where its line is wrapped or by punctuation within ("v. 2.0", "free software: you"):
+pieces that start a known sentence are joined with those after them until they are one. Its place is that of its first
+piece. The SQL form knows sentences in one piece only, and not HEADERS.
+
 Nulls and empty texts have no sentences. A text that states several licences has all of them; repeats count once.
 """
 
@@ -67,6 +71,15 @@ RULES = [
     ("Unlicense", ("unlicense",)),
     ("Proprietary", ("reserved",)),
 ]
+#: Further forms of the sentences in standard headers.
+HEADERS = {
+    "licensed under the apache license version 2 0 the license": "apache-short",
+    "spdx license identifier gpl 3 0 or later": "spdx-gpl3",
+}
+#: Every sentence has one of these; texts without them are not searched for sentences in several pieces.
+ANCHORS = "(?i)licen|permission|warranty|redistribution|endorse|unencumbered|rights"
+#: Pieces, empty ones among them, that a sentence may be cut into.
+PIECES = 100
 #: Ends of sentences: punctuation before white space or at the end of the text, and line ends.
 SENTENCE_END = "[.;:!?]+(?:[ \\t\\r\\f]+|\\z)|[.;:!?]*[\\r\\f]*\\n"
 #: A sentence of this many characters or more is no known one; the longest known has fewer.
@@ -75,12 +88,26 @@ LONGEST = 600
 
 def sentence_ids(text: Column) -> Column:
     """(at, id) of the known sentences of a text, in order; at counts the sentences before."""
-    known = F.create_map(*(F.lit(x) for i, s in SENTENCES.items() for x in (s, i)))
-    sentences = F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s, i: F.struct(i.alias("at"), s.alias("s")))
+    forms = {s: i for i, s in SENTENCES.items()} | HEADERS
+    known = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
+    pieces = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
+    sentences = F.transform(pieces, lambda s, i: F.struct(i.alias("at"), s.alias("s")))
     normal = lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
     short = F.filter(sentences, lambda x: F.length(x["s"]).between(10, LONGEST - 1))
     found = F.transform(short, lambda x: F.struct(x["at"].alias("at"), known[normal(x["s"])].alias("id")))
-    return F.filter(found, lambda x: x["id"].isNotNull())
+    found = F.filter(found, lambda x: x["id"].isNotNull())
+    starts = lambda s: (s != "") & F.exists(F.array(*map(F.lit, forms)), lambda k: k.startswith(F.concat(s, F.lit(" "))))
+
+    def joined(state: Column, piece: Column) -> Column:
+        longer = F.trim(F.concat(state["s"], F.lit(" "), piece))
+        return F.when(state["id"].isNotNull() | (F.length(state["s"]) >= LONGEST), state).otherwise(F.struct(longer.alias("s"), known[longer].alias("id")))
+
+    def several(p: Column) -> Column:
+        run = lambda s, i: F.aggregate(F.slice(p, i + 2, PIECES - 1), F.struct(s.alias("s"), F.lit(None).cast("string").alias("id")), joined)["id"]
+        return F.filter(F.transform(p, lambda s, i: F.struct(i.alias("at"), F.when(starts(s), run(s, i)).alias("id"))), lambda x: x["id"].isNotNull())
+
+    whole = lambda one: F.array_sort(F.concat(one, F.filter(F.transform(F.array(F.transform(pieces, normal)), several)[0], lambda x: ~F.exists(one, lambda y: y["at"] == x["at"]))))
+    return F.when(F.coalesce(text, F.lit("")).rlike(ANCHORS), F.transform(F.array(found), whole)[0]).otherwise(found)
 
 
 def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ import collections
 import hashlib
 import math
 import random
+import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -328,6 +330,40 @@ def test_licenses(spark):
     assert [r.licenses for r in found] == [x for _, x in texts]
 
 
+PUBLISHED = {
+    "mit-short": "Released under the MIT License.", "mit-licensed": "Licensed under the MIT license.",
+    "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "mit-notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mit-warranty": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
+    "apache-short": 'Licensed under the Apache License, Version 2.0 (the "License");', "apache-may-not": "you may not use this file except in compliance with the License.", "apache-copy": "You may obtain a copy of the License at",
+    "gpl3-work": "This work is licensed under the GNU General Public License, version 3.",
+    "gpl-redistribute": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of",
+    "ccbync4": "Licensed under CC BY-NC 4.0.", "ccby4": "Licensed under CC BY 4.0.", "ccbysa4": "Licensed under CC BY-SA 4.0.", "cc0": "Licensed under CC0 1.0.",
+    "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-endorse": "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "spdx-mit": "SPDX-License-Identifier: MIT", "spdx-apache": "SPDX-License-Identifier: Apache-2.0", "spdx-gpl3": "SPDX-License-Identifier: GPL-3.0-only", "spdx-bsd3": "SPDX-License-Identifier: BSD-3-Clause",
+    "reserved": "Copyright 2020 A. Author. All rights reserved.",
+}
+
+
+def test_licenses_as_published(spark):
+    assert PUBLISHED.keys() == licenses.SENTENCES.keys()
+    assert all(re.search(licenses.ANCHORS, s) for s in [*licenses.SENTENCES.values(), *licenses.HEADERS])
+    forms = [lambda t: t, lambda t: textwrap.fill(t, 70), lambda t: textwrap.indent(textwrap.fill(t, 30), " * "), lambda t: textwrap.indent(textwrap.fill(t, 60), "# ").replace("\n", "\r\n")]
+    rows = [((i,), None, f"Before.\n{form(t)}\n\nAfter that") for i, t in PUBLISHED.items() for form in forms]
+    rows += [(ids, name, "Before.\n" + "\n\n".join(form(PUBLISHED[i]) for i in ids) + "\nAfter") for name, ids in licenses.RULES for form in forms]
+    found = licenses.find_licenses(spark.createDataFrame([(n, t) for n, (_, _, t) in enumerate(rows)], "n int, text string")).orderBy("n").collect()
+    for (ids, name, t), r in zip(rows, found, strict=True):
+        assert tuple(x.id for x in r.sentence_ids) == ids, t
+        assert name is None or name in r.licenses
+    odd = ["Licensed under\n\nnothing", "SPDX-License-Identifier: MITX", "This program is free software: you can sing"]
+    assert all(not r.sentence_ids for r in licenses.find_licenses(spark.createDataFrame([(t,) for t in odd], "text string")).collect())
+
+
 def test_warc(spark):
     ready(spark)
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
