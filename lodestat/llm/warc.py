@@ -2,14 +2,19 @@
 
 The reader's tasks take byte ranges of the archives. A task looks for the gzip magic in its range, takes a place for a
 member when the header that it decodes to is that of a WARC record, and owns the records that start inside its range,
-to the end of the last one, which may lie beyond. From a record it goes on to the next without searching.
+to the end of the last one, which may lie beyond. From a record it goes on to the next without searching: what follows
+a record, also the last one it owns, must be a record or the end of the file, and a record must decode to its end, or
+the archive is damaged, which is an error. Splits are dealt to as many tasks as there are splits (MAX_TASKS at most).
 
 Archives lie in the shared folder; they are opened with pyarrow's file systems, so any of its URIs will do. A task
 writes to a name of its own and renames the file when it is whole, so that a task that runs again does no harm.
 
+Verdicts are found on narrow rows and carried back by page, so that a common payload does not gather its pages.
+
 Payloads: the html in UTF-8, null as empty. Of equal payloads of MIN_REVISIT bytes or more, the page with the largest
 id has a response record, the others revisits of it (a null id is smaller than all; if no page has an id, all are
-responses). Repeated rows: equal rows of one id are responses of their own.
+responses). Repeated rows: equal rows of one id are responses of their own. A table without rows has no archives and
+gives no rows. Very long payloads are read whole. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ from .common import saved, shared_folder
 MIN_REVISIT = 1000
 MAGIC = b"\x1f\x8b\x08"
 SPLIT_BYTES, READ_BYTES = 16 << 20, 1 << 20
+MAX_TASKS = 100_000
 DATE = "2024-01-01T00:00:00Z"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -67,10 +73,11 @@ def parse(record: bytes) -> tuple[int | None, int, str, str, int | None]:
 def with_verdicts(pages: DataFrame, id_column: str = "page_id", html: str = "html", min_bytes: int = MIN_REVISIT) -> DataFrame:
     """The pages' ids, urls and payloads with digest and refers_to."""
     rows = pages.select(F.col(id_column).alias("page_id"), F.col("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
-    large = rows.where(F.octet_length("html") >= min_bytes)
-    first = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    out = rows.join(first, "digest", "left")
-    return out.withColumn("refers_to", F.when((F.octet_length("html") >= min_bytes) & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    large = rows.where(F.octet_length("html") >= min_bytes).select("page_id", "digest")
+    first = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
+    again = large.distinct().join(first, "digest").where(~F.col("refers_to").eqNullSafe(F.col("page_id")))
+    of = [F.coalesce("page_id", F.lit(0)).alias("_id"), F.col("page_id").isNull().alias("_none"), F.col("digest")]
+    return rows.select("*", *of[:2]).join(again.select(*of, "refers_to"), ["_id", "_none", "digest"], "left").drop("_id", "_none")
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
@@ -108,47 +115,64 @@ class Window:
         self.data, self.base = self.data[start - self.base :], start
 
 
-def member_at(window: Window, at: int, header_only: bool) -> tuple[bytes, int] | None:
-    """The member that starts at a place, and where it ends; None when no record's header decodes there."""
+def starts_record(window: Window, at: int) -> bool:
+    """Whether a member starts at this place whose header decodes to that of a record."""
     unpack = zlib.decompressobj(wbits=31)
     out, pos = bytearray(), at
     try:
-        while not unpack.eof:
+        while not unpack.eof and b"\r\n\r\n" not in out:
             window.upto(pos + 4096)
-            part = window.data[pos - window.base : pos - window.base + (4096 if header_only else READ_BYTES)]
+            part = window.data[pos - window.base : pos - window.base + 4096]
             if not part:
-                return None
+                return False
             out += unpack.decompress(part)
             pos += len(part)
             if len(out) >= 10 and not out.startswith(b"WARC/"):
-                return None
-            if header_only and b"\r\n\r\n" in out:
-                return bytes(out), at
+                return False
     except zlib.error:
-        return None
-    return (bytes(out), pos - len(unpack.unused_data)) if out.startswith(b"WARC/") else None
+        return False
+    return out.startswith(b"WARC/")
+
+
+def member_at(window: Window, at: int) -> tuple[bytes, int]:
+    """The member that starts at a place, whole, and where it ends."""
+    unpack = zlib.decompressobj(wbits=31)
+    out, pos = [], at
+    try:
+        while not unpack.eof:
+            window.upto(pos + 4096)
+            part = window.data[pos - window.base : pos - window.base + READ_BYTES]
+            if not part:
+                raise ValueError(f"record at {at} is cut short")
+            out.append(unpack.decompress(part))
+            pos += len(part)
+    except zlib.error as error:
+        raise ValueError(f"record at {at} is damaged") from error
+    return b"".join(out), pos - len(unpack.unused_data)
 
 
 def records_between(file, size: int, start: int, end: int) -> Iterator[bytes]:
     """The records of members that start in [start, end)."""
-    window, at = Window(file, start, size), start
-    while at < end:
+    window, at, found = Window(file, start, size), start, start == 0
+    while not found and at < end:
         window.upto(min(size, at + READ_BYTES))
-        found = window.data.find(MAGIC, at - window.base)
-        if found < 0:
+        magic = window.data.find(MAGIC, at - window.base)
+        if magic < 0:
             at = max(at + 1, window.base + len(window.data) - len(MAGIC) + 1)
             if window.base + len(window.data) >= size:
                 return
             window.drop(at)
-            continue
-        at = window.base + found
+        else:
+            at = window.base + magic
+            found = at < end and starts_record(window, at)
+            at += not found
+    while found and at < size:
+        if not starts_record(window, at):
+            raise ValueError(f"no record at {at}, where one should start")
         if at >= end:
             return
-        if member_at(window, at, True) is None or (whole := member_at(window, at, False)) is None:
-            at += 1
-            continue
-        yield whole[0]
-        at = whole[1]
+        record, at = member_at(window, at)
+        yield record
         window.drop(at)
 
 
@@ -170,7 +194,8 @@ def read_archives(archives: DataFrame, folder: str, split_bytes: int = SPLIT_BYT
                         yield _table(rows)
 
     splits = archives.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    return splits.repartition("path", "start").mapInPandas(read, RECORD)
+    tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return splits.repartition(min(int(tasks), MAX_TASKS)).mapInPandas(read, RECORD)
 
 
 def _table(rows: list[tuple]) -> pd.DataFrame:
