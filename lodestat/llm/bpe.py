@@ -8,7 +8,9 @@ word with the white space before it) encodes to is kept, packed, for the chunks
 Texts are split by the tokenizer's pattern; a chunk boundary, where white space follows other characters, is always
 a piece boundary as well. A piece that is itself in the vocabulary is one token. No special tokens.
 
-Nulls are empty texts, with no tokens. Ties, repeated rows and empty tables need no care: rows are independent.
+Nulls are empty texts, with no tokens. Ties, repeated rows and empty tables need no care: rows are independent. A very
+long piece (a million equal letters) takes time in proportion to its length, but for a few turns of sorting. Columns of
+the input with the names of the results are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -66,6 +68,18 @@ class Bpe:
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where((left >= 0) & (right >= 0) & (self.pair_keys[at] == keys), self.pair_ranks[at], -1)
 
+    def _before_lower(self, chosen: np.ndarray, rank: int, symbols: np.ndarray, after: np.ndarray, before: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of these merges are due now: in each word those up to the first that brings up a pair of lower rank."""
+        joined = np.r_[False, after[after[chosen[:-1]]] == chosen[1:]]  # stands right after another merge
+        previous = before[chosen]
+        left = np.where(joined, rank, np.where(previous >= 0, symbols[previous], -1))
+        own = np.full(len(chosen), rank)
+        new = self._rank_of(np.concatenate([left, own]), np.concatenate([own, symbols[after[after[chosen]]]])).reshape(2, -1)
+        lower = ((new >= 0) & (new < rank)).any(0)
+        earlier = np.cumsum(lower) - lower
+        word = np.searchsorted(ends, chosen, "right")
+        return earlier == earlier[np.searchsorted(word, word)]
+
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, by applying every merge in order of rank to all words."""
         if not words:
@@ -117,14 +131,16 @@ class Bpe:
             positions = positions[self._rank_of(left, right) == rank]
             if not len(positions):
                 continue
-            word = np.searchsorted(ends, positions, "right")
-            first = np.ones(len(positions), bool)
-            if rank in self.may_lower or (after[positions[:-1]] == positions[1:]).any():
-                # Pairs overlap, or a merge may bring up one of lower rank: each word has its first one merged, the rest come again.
-                first[1:] = word[1:] != word[:-1]
-            merge(positions[first], rank)
-            if not first.all():
-                enter(rest := positions[~first], np.full(len(rest), rank))
+            # Of pairs that overlap, every other one merges, from the left: each merge takes the next pair's first symbol.
+            index_of = np.arange(len(positions))
+            fresh = np.r_[True, after[positions[:-1]] != positions[1:]]
+            chosen = positions[(index_of - np.maximum.accumulate(np.where(fresh, index_of, 0))) % 2 == 0]
+            if rank in self.may_lower:
+                now = self._before_lower(chosen, rank, symbols, after, before, ends)
+                if not now.all():
+                    enter(rest := chosen[~now], np.full(len(rest), rank))
+                chosen = chosen[now]
+            merge(chosen, rank)
         live = symbols >= 0
         cuts = np.searchsorted(np.flatnonzero(live), ends - 1)
         ids = symbols[live].tolist()
