@@ -11,10 +11,12 @@ import math
 from collections import Counter, deque
 
 CLASS_SIZE = {"d": 10, "h": 6, "l": 20, "U": 26}
+LOG_SIZE = {s: math.log(n) for s, n in CLASS_SIZE.items()}
+_CLASS = str.maketrans({**dict.fromkeys("0123456789", "d"), **dict.fromkeys("abcdef", "h"), **dict.fromkeys("ghijklmnopqrstuvwxyz", "l"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "U")})
 
 
 def classes(value: str) -> str:
-    return "".join("d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "U" if "A" <= c <= "Z" else c for c in value)
+    return value.translate(_CLASS)
 
 
 class Automaton:
@@ -62,9 +64,9 @@ class Automaton:
                 return False
         return True
 
-    def _fold(self, into: int, tree: int) -> None:
-        """Adds the counts of a tree to a state and its successors."""
-        todo = [(into, tree)]
+    def _fold(self, into: int, tree: int) -> list[tuple[int, str]]:
+        """Adds the counts of a tree to a state and its successors; returns where parts of the tree were taken over whole."""
+        todo, taken_over = [(into, tree)], []
         while todo:
             a, b = todo.pop()
             self.passed[a] += self.passed[b]
@@ -75,6 +77,8 @@ class Automaton:
                     todo.append((self.next[a][s], child))
                 else:
                     self.next[a][s] = child
+                    taken_over.append((a, s))
+        return taken_over
 
     def _merge_all(self) -> None:
         settled, fringe = [0], deque((0, s) for s in sorted(self.next[0]))
@@ -87,20 +91,32 @@ class Automaton:
             for other in settled:
                 if self._compatible(other, state, self.depth):
                     self.next[parent][symbol] = other
-                    self._fold(other, state)
-                    fringe.extend((other, s) for s in sorted(self.next[other]) if self.next[other][s] not in known)
+                    fringe.extend(sorted((a, s) for a, s in self._fold(other, state) if a in known))
                     break
             else:
                 settled.append(state)
                 known.add(state)
                 fringe.extend((state, s) for s in sorted(self.next[state]))
         self.states = len(settled)
+        self._log_steps(settled)
 
-    def log_likelihood(self, value: str) -> float:
+    def _log_steps(self, settled: list[int]) -> None:
+        """Log-probability and next state for each state and class; `none` holds that of a class not seen there."""
+        self.steps: dict[int, dict[str, tuple[float, int]]] = {}
+        self.none: dict[int, float] = {}
+        for at in settled:
+            left = math.log(self.passed[at] - self.ended[at] + 0.01 * 40)
+            self.steps[at] = {s: (math.log(n + 0.01) - left - math.log(CLASS_SIZE.get(s, 1)), self.next[at][s]) for s, n in self.taken[at].items()}
+            self.none[at] = math.log(0.01) - left
+
+    def log_likelihood(self, value: str, symbols: str | None = None) -> float:
         """Natural log-probability of the string: its classes, the characters within them, and its length."""
         at, total = 0, math.log((self.lengths[len(value)] + 0.05) / (self.n + 0.05 * 512))
-        for s in classes(value):
-            n = self.passed[at] - self.ended[at]
-            total += math.log((self.taken[at][s] + 0.01) / (n + 0.01 * 40)) - math.log(CLASS_SIZE.get(s, 1))
-            at = self.next[at].get(s, at)
+        for s in classes(value) if symbols is None else symbols:
+            step = self.steps[at].get(s)
+            if step is None:
+                total += self.none[at] - LOG_SIZE.get(s, 0.0)
+            else:
+                total += step[0]
+                at = step[1]
         return total

@@ -2,11 +2,13 @@
 
 Base spans are the matches of three patterns (assign, access, hex). Their values label credentials by format. From a
 bounded sample of them (SAMPLE of each format, those of least hash, so that reruns agree) an automaton of each format
-is inferred, from ordinary strings of the corpus one more. Every candidate (a run of credential characters with a
-digit, outside the base spans) of every document is then scored by how much likelier the best format makes it than
-the automaton of ordinary strings does; those above a limit are spans of kind `format`.
+is inferred, from ordinary strings of the corpus two more: strings with digits, and other words. Every candidate (a
+run of credential characters outside the base spans) of every document is then scored by how much likelier the best
+format makes it than the automata of ordinary strings do. A run above a limit is a span of kind `format`. In other
+runs the parts between punctuation, and in long ones windows that cover all of it, are scored likewise.
 
-Nulls and empty texts have no spans; ties and repeated rows get equal results; other columns pass through.
+Nulls and empty texts have no spans; ties and repeated rows get equal results; very long texts and runs are read whole;
+an empty table gives an empty result. A column of the input named as the result is replaced, others pass through.
 Offsets are code points, ends exclusive.
 """
 
@@ -21,22 +23,30 @@ from itertools import accumulate
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
-from .automata import Automaton
+from .automata import Automaton, classes
 from .common import saved
 
 KINDS = ("assign", "access", "hex", "format")
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
+#: Parts of a run: between any punctuation, and between that which names and keys do not have.
+PARTS = (re.compile(r"[A-Za-z0-9]{6,}"), re.compile(r"[A-Za-z0-9_-]{6,}"))
 DIGIT = re.compile(r"[0-9]")
 HINTS = ("passw", "secret", "token", "api")
-#: Values from which an automaton is inferred, of each format, and the characters of a value that it reads.
-SAMPLE, LONGEST = 1000, 256
-#: Log-likelihood ratio (natural) that a candidate must reach, whole and for each character.
+#: Values from which an automaton is inferred, of each format and each kind of ordinary strings.
+SAMPLE = 1000
+#: Ordinary strings: with a digit and of so many characters or more, and all others.
+ORDINARY, ORDINARY_CHARS = ("plain", "word"), 12
+#: Log-likelihood ratio (natural) that a string must reach, whole and for each character.
 MIN_RATIO, MIN_RATIO_PER_CHAR = 20.0, 0.5
+#: Characters of the windows of a longer run, and of the steps between them.
+WINDOW, STEP = 64, 32
+#: Runs whose verdict a worker keeps; beyond, it starts anew.
+CACHE = 400_000
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
 
 
@@ -54,61 +64,103 @@ def base_spans(text: str | None) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str | None, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of credential characters with a digit that overlap no base span."""
-    if not text or not DIGIT.search(text):
-        return []
+    """Runs of credential characters that overlap no base span."""
     starts = [x[1] for x in taken]
     ends = list(accumulate((x[2] for x in taken), max))
     out = []
-    for m in CANDIDATE.finditer(text):
+    for m in CANDIDATE.finditer(text or ""):
         a, b = m.span()
-        if DIGIT.search(m.group()):
-            before = bisect_left(starts, b)  # spans that start before the candidate ends
-            if not before or ends[before - 1] <= a:
-                out.append((a, b, m.group()))
+        before = bisect_left(starts, b) if taken else 0  # spans that start before the candidate ends
+        if not before or ends[before - 1] <= a:
+            out.append((a, b, m.group()))
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])))
-def _values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        rows = []
-        for text in texts:
-            base = base_spans(text)
-            seen = {(k, v[:LONGEST]) for k, _, _, v in base} | {("plain", v[:LONGEST]) for _, _, v in candidates(text, base)}
-            rows.append([{"kind": k, "value": v} for k, v in sorted(seen)])
-        yield pd.Series(rows)
+def _sampled(size: int):
+    """A function over batches of texts that yields, of each kind, the distinct values of least hash."""
+
+    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, dict[str, int]] = {}
+        limit: dict[str, int] = {}
+
+        def note(kind: str, value: str) -> None:
+            h = xxh64_intdigest(value.encode()) >> 1
+            if h <= limit.get(kind, h):
+                mine = held.setdefault(kind, {})
+                mine[value] = h
+                if len(mine) >= 4 * size:
+                    held[kind] = dict(sorted(mine.items(), key=lambda x: (x[1], x[0]))[:size])
+                    limit[kind] = max(held[kind].values())
+
+        for batch in batches:
+            for text in batch["text"]:
+                base = base_spans(text)
+                for kind, _, _, value in base:
+                    note(kind, value)
+                for value in {v for _, _, v in candidates(text, base)} if base else set(CANDIDATE.findall(text or "")):
+                    note(ORDINARY[0] if len(value) >= ORDINARY_CHARS and DIGIT.search(value) else ORDINARY[1], value)
+        rows = [(kind, value, h) for kind, mine in held.items() for value, h in sorted(mine.items(), key=lambda x: (x[1], x[0]))[:size]]
+        yield pd.DataFrame(rows, columns=["kind", "value", "h"])
+
+    return sample
 
 
 def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[str, Automaton]:
-    """An automaton for each format that has labelled values, and one named plain."""
-    values = saved(docs.select(F.explode(_values(F.col(text))).alias("v")).select("v.*").distinct())
+    """An automaton for each format that has labelled values, and for each kind of ordinary strings."""
+    values = saved(docs.select(F.col(text).alias("text")).mapInPandas(_sampled(sample), "kind string, value string, h long").distinct())
     picked = None
-    for kind in (*KINDS[:3], "plain"):
-        part = values.where(F.col("kind") == kind).orderBy(F.xxhash64("kind", "value"), "value").limit(sample)
+    for kind in (*KINDS[:3], *ORDINARY):
+        part = values.where(F.col("kind") == kind).orderBy("h", "value").limit(sample)
         picked = part if picked is None else picked.union(part)
     by_kind: dict[str, list[str]] = {}
-    for kind, value in picked.collect():  # 4 * sample short strings at most
+    for kind, value, _ in picked.collect():  # 5 * sample strings at most
         by_kind.setdefault(kind, []).append(value)
     return {kind: Automaton(sorted(found)) for kind, found in sorted(by_kind.items())}
 
 
 def ratio(value: str, models: dict[str, Automaton]) -> float:
-    """How much likelier the likeliest format makes the value than the automaton of ordinary strings does."""
-    formats = [m.log_likelihood(value) for k, m in models.items() if k != "plain"]
-    if not formats:
-        return float("-inf")
-    plain = models["plain"].log_likelihood(value) if "plain" in models else float("-inf")
-    return max(formats) - max(plain, -6.0 * len(value))
-
-
-def all_spans(text: str | None, models: dict[str, Automaton]) -> list[tuple[str, int, int]]:
+    """How much likelier the likeliest format makes the value than the likelier automaton of ordinary strings does."""
+    symbols = classes(value)
+    formats = [m.log_likelihood(value, symbols) for k, m in models.items() if k not in ORDINARY]
+    ordinary = [m.log_likelihood(value, symbols) for k, m in models.items() if k in ORDINARY]
+    return max(formats) - max(-6.0 * len(value), *ordinary) if formats else float("-inf")
+
+
+def _likely(value: str, models: dict[str, Automaton]) -> bool:
+    return ratio(value, models) >= max(MIN_RATIO, MIN_RATIO_PER_CHAR * len(value))
+
+
+def judged(value: str, models: dict[str, Automaton]) -> list[tuple[int, int]]:
+    """The stretches of a run that are likely credentials: all of it, or parts and windows, joined where they overlap."""
+    if _likely(value, models):
+        return [(0, len(value))]
+    tried = {m.span() for part in PARTS for m in part.finditer(value)} - {(0, len(value))}
+    if len(value) > WINDOW:
+        tried |= {(k, k + WINDOW) for k in (*range(0, len(value) - WINDOW, STEP), len(value) - WINDOW)}
+    out: list[list[int]] = []
+    for a, b in sorted(x for x in tried if _likely(value[x[0] : x[1]], models)):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def all_spans(text: str | None, models: dict[str, Automaton], known: dict[str, list[tuple[int, int]]] | None = None) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of all spans, in order of start, then kind; `known` keeps verdicts on runs."""
+    known = {} if known is None else known
     base = base_spans(text)
     added = []
-    for a, b, value in candidates(text, base):
-        score = ratio(value[:LONGEST], models)
-        if score >= MIN_RATIO and score >= MIN_RATIO_PER_CHAR * min(b - a, LONGEST):
-            added.append(("format", a, b))
+    if base or any(known.get(v, True) for v in set(CANDIDATE.findall(text or ""))):
+        for a, _, value in candidates(text, base):
+            found = known.get(value)
+            if found is None:
+                found = judged(value, models)
+                if len(known) >= CACHE:
+                    known.clear()
+                if len(value) <= WINDOW:
+                    known[value] = found
+            added += [("format", a + x, a + y) for x, y in found]
     return sorted([x[:3] for x in base] + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -118,8 +170,9 @@ def find_secrets(docs: DataFrame, text: str = "text", models: dict[str, Automato
 
     @F.pandas_udf(SPAN)
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[tuple[int, int]]] = {}
         for texts in batches:
-            yield pd.Series([[{"kind": k, "start": a, "stop": b} for k, a, b in all_spans(t, models)] for t in texts])
+            yield pd.Series([[{"kind": k, "start": a, "stop": b} for k, a, b in all_spans(t, models, known)] for t in texts])
 
     return docs.withColumn(out, spans(F.col(text)))
 
@@ -150,8 +203,9 @@ def redact(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars")
 
     @F.pandas_udf("string")
     def masked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str, list[tuple[int, int]]] = {}
         for texts in batches:
-            yield pd.Series([redacted(t, all_spans(t, models)) for t in texts], dtype=object)
+            yield pd.Series([redacted(t, all_spans(t, models, known)) for t in texts], dtype=object)
 
     out = docs.withColumn(text, masked(F.col(text)))
     return out.withColumn(n_chars, F.length(text).cast(docs.schema[n_chars].dataType)) if n_chars in docs.columns else out
