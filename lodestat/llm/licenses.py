@@ -9,7 +9,9 @@ A sentence may also be cut itself, where its line is wrapped or by punctuation w
 pieces that start a known sentence are joined with those after them until they are one. Its place is that of its first
 piece. The SQL form knows sentences in one piece only, and not HEADERS.
 
-Nulls and empty texts have no sentences. A text that states several licences has all of them; repeats count once.
+Nulls and empty texts have no sentences. A text that states several licences has all of them; repeats count once. Very
+long texts and sentences are read whole. Rows are independent, so ties and repeated rows need no care; an empty table
+gives an empty result. Columns sentence_ids and licenses of the input are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -82,8 +84,10 @@ ANCHORS = "(?i)licen|permission|warranty|redistribution|endorse|unencumbered|rig
 PIECES = 100
 #: Ends of sentences: punctuation before white space or at the end of the text, and line ends.
 SENTENCE_END = "[.;:!?]+(?:[ \\t\\r\\f]+|\\z)|[.;:!?]*[\\r\\f]*\\n"
-#: A sentence of this many characters or more is no known one; the longest known has fewer.
+#: Joined pieces, as they stand after normalising, of this many characters or more are no known sentence: the longest has fewer.
 LONGEST = 600
+#: A sentence of fewer characters is no known one: the shortest has 19 letters and blanks after normalising.
+SHORTEST = 10
 
 
 def sentence_ids(text: Column) -> Column:
@@ -93,7 +97,7 @@ def sentence_ids(text: Column) -> Column:
     pieces = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
     sentences = F.transform(pieces, lambda s, i: F.struct(i.alias("at"), s.alias("s")))
     normal = lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
-    short = F.filter(sentences, lambda x: F.length(x["s"]).between(10, LONGEST - 1))
+    short = F.filter(sentences, lambda x: F.length(x["s"]) >= SHORTEST)
     found = F.transform(short, lambda x: F.struct(x["at"].alias("at"), known[normal(x["s"])].alias("id")))
     found = F.filter(found, lambda x: x["id"].isNotNull())
     starts = lambda s: (s != "") & F.exists(F.array(*map(F.lit, forms)), lambda k: k.startswith(F.concat(s, F.lit(" "))))
@@ -111,8 +115,19 @@ def sentence_ids(text: Column) -> Column:
 
 
 def find_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents with sentence_ids and licenses, both in order, as arrays of (at, id) and of names."""
-    rules = F.array(*(F.struct(F.lit(name).alias("license"), F.lit("|" + "|".join(ids) + "|").alias("ids")) for name, ids in RULES))
-    line = F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda x: x["id"]), "|"), F.lit("|"))
-    matched = F.array_sort(F.array_distinct(F.transform(F.filter(rules, lambda r: F.instr(line, r["ids"]) > 0), lambda r: r["license"])))
-    return docs.withColumn("sentence_ids", sentence_ids(F.col(text))).withColumn("licenses", matched)
+    """The documents with sentence_ids and licenses, both in order, as arrays of (at, id) and of names.
+
+    Longer rules come first and take their sentences: what a longer rule covers does not count for a shorter one.
+    """
+    rules = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(ids).alias("ids")) for name, ids in by_length()))
+    line = F.concat(F.lit("|"), F.array_join(F.transform("sentence_ids", lambda x: x["id"]), "||"), F.lit("|"))
+    start = F.struct(line.alias("line"), F.array().cast("array<string>").alias("found"))
+    step = lambda s, r: F.when(F.instr(s["line"], r["ids"]) > 0, F.struct(F.replace(s["line"], r["ids"], F.lit("#")).alias("line"), F.array_append(s["found"], r["license"]).alias("found"))).otherwise(s)
+    matched = F.array_sort(F.array_distinct(F.aggregate(rules, start, step, lambda s: s["found"])))
+    none = F.array().cast("array<string>")
+    return docs.withColumn("sentence_ids", sentence_ids(F.col(text))).withColumn("licenses", F.when(F.size("sentence_ids") > 0, matched).otherwise(none))
+
+
+def by_length() -> list[tuple[str, str]]:
+    """Rules as licence and identifiers in bars, those of most sentences first."""
+    return [(name, "|" + "||".join(ids) + "|") for name, ids in sorted(RULES, key=lambda r: -len(r[1]))]

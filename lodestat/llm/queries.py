@@ -13,47 +13,57 @@ from .common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its metrics, its host's shrunken failure rate and the verdict."""
     report = quality.quality_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "source", F.round("host_rate", 6).alias("host_rate"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of tokens, and hashes of its ids and of the bytes they decode to."""
     return bpe.token_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its source's size and target, and the words that the mix takes of it."""
     return mixing.mix_counts(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and its place there, by the law of equal bytes."""
     rows = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op5_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch, that of its edited text, and their likeness."""
     return iblt.version_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: base spans, and those that learnt formats add."""
     return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the least id that links of three bits reach."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence sentences, their places, and the licences they state."""
     found = licenses.find_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
     ids = lambda field: F.array_join(F.transform("sentence_ids", lambda x: x[field].cast("string")), ",")
     return found.select("doc_id", ids("id").alias("sentences"), ids("at").alias("places"), F.array_join("licenses", ",").alias("licenses"))
 
 
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, as read back from the archives written."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
 def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's unigram and neural scores."""
     return scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
@@ -102,14 +112,17 @@ FROM p LEFT JOIN f ON f.digest = p.digest AND bytes >= 1000
 
 def op8_sql() -> str:
     sentences = ", ".join(f"('{s}', '{i}')" for i, s in licenses.SENTENCES.items())
-    rules = ", ".join(f"('{name}', '|{'|'.join(ids)}|')" for name, ids in licenses.RULES)
     end = licenses.SENTENCE_END
+    rules = licenses.by_length()
+    found = ", ".join(f"contains(line{i}, '{ids}') AS found{i}, replace(line{i}, '{ids}', '#') AS line{i + 1}" for i, (_, ids) in enumerate(rules))
+    names = ", ".join(f"CASE WHEN found{i} THEN '{name}' END" for i, (name, _) in enumerate(rules))
     return f"""
-WITH known(sentence, id) AS (VALUES {sentences}), rules(license, ids) AS (VALUES {rules}),
+WITH known(sentence, id) AS (VALUES {sentences}),
 s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{end}')) AS s, unnest(range(len(string_split_regex(coalesce(text, ''), '{end}')))) AS place FROM documents),
-k AS (SELECT doc_id, place, id FROM s JOIN known ON sentence = lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) WHERE length(s) BETWEEN 10 AND {licenses.LONGEST - 1}),
-l AS (SELECT doc_id, string_agg(id, ',' ORDER BY place) AS sentences, string_agg(place::VARCHAR, ',' ORDER BY place) AS places, '|' || string_agg(id, '|' ORDER BY place) || '|' AS line FROM k GROUP BY doc_id),
-m AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT DISTINCT doc_id, license FROM l JOIN rules ON contains(line, ids)) GROUP BY doc_id)
+k AS (SELECT doc_id, place, id FROM s JOIN known ON sentence = lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) WHERE length(s) >= {licenses.SHORTEST}),
+l AS (SELECT doc_id, string_agg(id, ',' ORDER BY place) AS sentences, string_agg(place::VARCHAR, ',' ORDER BY place) AS places, '|' || string_agg(id, '||' ORDER BY place) || '|' AS line0 FROM k GROUP BY doc_id),
+f AS (SELECT *, {found} FROM l),
+m AS (SELECT doc_id, sentences, places, array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ',') AS licenses FROM f)
 SELECT d.doc_id, coalesce(sentences, '') AS sentences, coalesce(places, '') AS places, coalesce(licenses, '') AS licenses
-FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
 """
