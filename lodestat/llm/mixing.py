@@ -12,7 +12,9 @@ Targets: sources by code point, null last, weigh `weights`, repeating; they shar
 
 Nulls: null texts have no words and are taken 0 times; the null source is a source. Repeated rows are documents of
 their own. An empty table gives an empty result. Everything follows from hashes and seeds: reruns agree.
-The driver holds one row for each source (MAX_SOURCES at most, else an error), never one for a document.
+Very long texts have many blocks and are cut whole. Columns of the input with the names of the results are replaced.
+The driver holds one row for each source (some hundred bytes), never one for a document; documents get what is known
+of their source by a join, a broadcast one when the sources are few (BROADCAST_SOURCES).
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from .common import n_words, running_offsets, saved
 
 WEIGHTS, MAX_REPEATS = (1, 2, 3), 3
 BLOCK_WORDS, SHARD_SLOTS, SEED = 256, 8192, 17
-MAX_SOURCES = 100_000
+BROADCAST_SOURCES = 20_000
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS) -> list[float]:
@@ -97,10 +99,7 @@ class Recipe:
 
 
 def recipe(sized: DataFrame, source: str, block_words: int, **rules) -> Recipe:
-    rows = sized.groupBy(source).agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources to mix")
-    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or ""))
+    rows = sorted(sized.groupBy(source).agg(F.sum("size").alias("size")).collect(), key=lambda r: (r[0] is None, r[0] or ""))  # a row for each source
     return Recipe([r[0] for r in rows], [r[1] or 0 for r in rows], block_words, **rules)
 
 
@@ -144,11 +143,12 @@ def slot_blocks(spark, mix: Recipe, shard_slots: int = SHARD_SLOTS, seed: int =
     return rows.mapInPandas(place, "shard long, src long, pass long, block long, words long")
 
 
-def _numbered(docs: DataFrame, mix: Recipe, source: str) -> Column:
-    """The number of the row's source in the recipe."""
-    pairs = [x for i, name in enumerate(mix.names) if name is not None for x in (F.lit(name), F.lit(i))]
-    named = F.create_map(*pairs)[F.col(source)] if pairs else F.lit(None).cast("int")
-    return F.coalesce(named, F.lit(len(mix.names) - 1)).cast("long")
+def _with_sources(docs: DataFrame, mix: Recipe, source: str) -> DataFrame:
+    """The rows with src, source_size and target of their source in the recipe."""
+    known = pd.DataFrame({"_of": pd.Series(mix.names, dtype=object), "src": np.arange(len(mix.names)), "source_size": mix.size, "target": mix.target})
+    sources = docs.sparkSession.createDataFrame(list(known.itertuples(index=False, name=None)), "_of string, src long, source_size long, target double")
+    sources = F.broadcast(sources) if len(known) <= BROADCAST_SOURCES else sources
+    return docs.drop("src", "source_size", "target").join(sources, F.col(source).eqNullSafe(F.col("_of"))).drop("_of")
 
 
 def _pieces(placed: DataFrame, block_words: int) -> DataFrame:
@@ -164,7 +164,7 @@ def _planned(docs: DataFrame, source: str, text: str, order: list[Column], block
     """The documents with size, src and off, the words of the source before theirs, saved; and the recipe."""
     sized = saved(docs.select("*", n_words(F.col(text)).alias("size")).drop(text))
     mix = recipe(sized, source, block_words, **rules)
-    return saved(running_offsets(sized.withColumn("src", _numbered(sized, mix, source)), ["src"], order, F.col("size"), "off")), mix
+    return saved(running_offsets(_with_sources(sized, mix, source), ["src"], order, F.col("size"), "off")), mix
 
 
 def mix_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source", block_words: int = BLOCK_WORDS, **rules) -> DataFrame:
@@ -177,9 +177,7 @@ def mix_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", s
     part = F.aggregate("parts", F.lit(0).cast("long"), lambda s, w: s + F.greatest(F.least(w, F.col("hi")) - F.col("lo"), F.lit(0)))
     taken = pieces.groupBy("src", "off").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("wholes") + part).alias("_taken")).withColumnsRenamed({"src": "_src", "off": "_off"})
     out = placed.join(taken, (F.col("src") == F.col("_src")) & (F.col("off") == F.col("_off")) & (F.col("size") > 0), "left")
-    whole_size = F.element_at(F.array(*(F.lit(int(s)) for s in mix.size)), (F.col("src") + 1).cast("int")).cast("long")
-    goal = F.element_at(F.array(*(F.lit(float(t)) for t in mix.target)), (F.col("src") + 1).cast("int"))
-    return out.select(id_column, source, "size", whole_size.alias("source_size"), goal.alias("target"), F.coalesce("_taken", F.lit(0)).alias("taken")) if mix.names else out.select(id_column, source, "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+    return out.select(id_column, source, "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).alias("taken"))
 
 
 def cut(text: str, stretches: list[tuple[int, int, int]]) -> list[str]:
