@@ -10,7 +10,9 @@ The quantile is found by radix search over all rows: bytes by node and leading d
 the digit where the quantile falls, by the next digit, until that holds little. A step yields a row for each node.
 
 Nulls: a null text has no bytes and crc32 0; null metadata have a place of their own. Rows that are equal throughout
-stay on one side of every cut. Fewer rows than shards leave shards empty. Other columns are not looked at.
+differ in the last bits of the row's hash, which count the rows as they are read, so a cut may fall among them too.
+Fewer rows than shards leave shards empty, and an empty table has none. Texts count by their size alone, however long.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from .common import running_offsets, saved
 SHARDS = 24
 #: Bits of a coordinate: those of the metadata, those of the row's hash; bits of a digit.
 META_BITS, HASH_BITS, DIGIT_BITS = 20, 32, 13
+#: Of the hash's bits, those that tell equal rows apart.
+COPY_BITS = 10
 #: A cut is near enough when what is left between the two possible cuts is this part of a shard.
 NEAR_ENOUGH = 0.0005
 DIMENSIONS = ("by_id", "by_source", "by_lang")
@@ -54,7 +58,7 @@ def coordinates(docs: DataFrame, id_column: str, text: str, source: str, lang: s
     """id, size, text_crc32 and the dimensions of each document; saves the table."""
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
     hashed = lambda name: F.pmod(F.xxhash64(F.col(name)), F.lit(1 << META_BITS))
-    rows = saved(docs.select(F.col(id_column).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), hashed(source).alias("_s"), hashed(lang).alias("_l"), F.pmod(F.xxhash64(id_column, text), F.lit(1 << HASH_BITS)).alias("_row")))
+    rows = saved(docs.select(F.col(id_column).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"), hashed(source).alias("_s"), hashed(lang).alias("_l"), (F.shiftleft(F.pmod(F.xxhash64(id_column, text), F.lit(1 << (HASH_BITS - COPY_BITS))), COPY_BITS) + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << COPY_BITS))).alias("_row")))
     low, high = rows.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, width = low or 0, (high or 0) - (low or 0) + 1
     scaled = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width)) * ((1 << META_BITS) - 1)), F.lit(0))
