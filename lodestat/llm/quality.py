@@ -5,7 +5,7 @@ rate is shrunk towards all hosts by a beta prior fitted to the hosts themselves,
 above a limit lose all their documents.
 
 Nulls: a null text has no words and fails; a null host is a host of its own. Empty tables give empty results.
-Repeated rows count as often as they stand there. Other columns pass through; names of new columns are parameters
+Repeated rows count as often as they stand there. Very long texts are read whole, each by one task. Other columns pass through; names of new columns are parameters
 of none, so a clashing column of the input is replaced.
 """
 
@@ -40,8 +40,7 @@ def repeated_words(words: list[bytes]) -> int:
     ids: dict[bytes, int] = {}
     w = np.fromiter((ids.setdefault(x, len(ids)) for x in words), np.int64, n)
     v = len(ids)
-    keys = (w[:-2] * v + w[1:-1]) if v < 2_000_000_000 else w[:-2]
-    _, keys = np.unique(keys, return_inverse=True)
+    _, keys = np.unique(w[:-2] * v + w[1:-1], return_inverse=True)
     _, at, count = np.unique(keys * v + w[2:], return_inverse=True, return_counts=True)
     twice = count[at] > 1
     inside = np.zeros(n, bool)
@@ -100,10 +99,12 @@ def quality_report(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 
 
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that pass, with the columns they came with."""
-    failed = lambda frame: base_rules(frame, "_text")
-    rates = saved(host_rates(failed(docs.select(F.col(text).alias("_text"), F.col(host))).select(host, "base_failed"), host))
-    rejected = rates.where(F.col("host_rate") > max_host_rate).select(host)
-    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text).alias("_text"), F.col(host).alias("_of"))
-    passed = failed(whole).where(~F.col("base_failed"))
-    return _to_hosts(passed, rejected.withColumnRenamed(host, "_of"), "_of", "left_anti").select("_row.*")
+    """The documents that pass, with the columns they came with.
+
+    The texts are held against the rules once; rows that pass the base rules are saved with the hosts of the others.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    judged = base_rules(docs.select(row, F.col(text).alias("_text"), F.col(host).alias("_of")), "_text")
+    judged = saved(judged.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "_of", "base_failed"))
+    rejected = saved(host_rates(judged, "_of")).where(F.col("host_rate") > max_host_rate).select("_of")
+    return _to_hosts(judged.where(~F.col("base_failed")), rejected, "_of", "left_anti").select("_row.*")
