@@ -89,8 +89,8 @@ def likeness(differ: Column, a: Column, b: Column) -> Column:
 
 
 def as_text(cells: Column) -> Column:
-    """A sketch as hexadecimal text: place, count, hash and half of the check hash of each cell that is in use."""
-    part = lambda c, field, n: F.lpad(F.hex(c[field]), n, "0")
+    """A sketch as hexadecimal text: place, count (four digits or more), hash and half of the check hash of each cell that is in use."""
+    part = lambda c, field, n: F.when(F.length(F.hex(c[field])) < n, F.lpad(F.hex(c[field]), n, "0")).otherwise(F.hex(c[field]))
     used = F.array_sort(F.filter(cells, lambda c: c["n"] != 0))
     return F.lower(F.array_join(F.transform(used, lambda c: F.concat(part(c, "at", 2), part(c, "n", 4), part(c, "k", 16), F.lpad(F.hex(c["c"].bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), ""))
 
