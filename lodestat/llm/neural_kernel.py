@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Classes of context words before a token, their dimensions, noise draws shared by a minibatch, and training steps.
-CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 2, 16, 64, 4096, 0.08
+CONTEXT, DIMENSIONS, NOISE, BATCH, RATE = 2, 16, 128, 1024, 0.04
 
 
 def _sums(rows: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -28,6 +28,10 @@ class LogBilinear:
         self.log_noise = np.log(self.noise * NOISE).astype(np.float32)
         shape = (self.size, DIMENSIONS)
         self.parts = [draw.normal(0, 0.1, shape).astype(np.float32), draw.normal(0, 0.1, shape).astype(np.float32), np.log(self.noise).astype(np.float32)[:, None], np.ones((CONTEXT, DIMENSIONS), np.float32)]
+        self._norms: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_norms": None}
 
     def flat(self) -> np.ndarray:
         return np.concatenate([p.ravel() for p in self.parts])
@@ -37,6 +41,7 @@ class LogBilinear:
         for i, p in enumerate(self.parts):
             self.parts[i] = flat[at : at + p.size].reshape(p.shape).astype(np.float32)
             at += p.size
+        self._norms = None
 
     def predicted(self, contexts: np.ndarray) -> np.ndarray:
         r, places = self.parts[0], self.parts[3]
@@ -45,7 +50,8 @@ class LogBilinear:
     def train(self, contexts: np.ndarray, targets: np.ndarray, draw: np.random.Generator, squares: list[np.ndarray], rate: float = RATE) -> None:
         """One pass of AdaGrad steps over the tokens; squares are the sums of squared gradients so far."""
         r, q, b, places = self.parts
-        noises = draw.choice(self.size, size=(-(-len(targets) // BATCH), NOISE), p=self.noise)
+        self._norms = None
+        noises = np.searchsorted(np.cumsum(self.noise), draw.random((-(-len(targets) // BATCH), NOISE)), "right").clip(max=self.size - 1)
         for step, at in enumerate(range(0, len(targets), BATCH)):
             c, w, x = contexts[at : at + BATCH], targets[at : at + BATCH], noises[step]
             n = len(w)
@@ -65,21 +71,24 @@ class LogBilinear:
                 square += grad * grad
                 part += rate * grad / (np.sqrt(square) + np.float32(1e-6))
 
+    def norms(self) -> np.ndarray:
+        """For each pair of context classes the log of the sum over all targets.
+
+        A target's score is a sum over the context places, so the sums for all pairs are one product of two matrices.
+        """
+        if self._norms is None:
+            r, q, b, places = self.parts
+            first, second = (r * places[0]) @ q.T + b[:, 0], (r * places[1]) @ q.T
+            tops = first.max(1), second.max(1)
+            whole = np.exp(first - tops[0][:, None]) @ np.exp(second - tops[1][:, None]).T
+            self._norms = np.log(np.maximum(whole, np.float32(1e-37))) + tops[0][:, None] + tops[1]
+        return self._norms
+
     def log10(self, contexts: np.ndarray, targets: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of each token: the sum over all classes is taken once for each distinct context."""
-        codes = contexts[:, 0].astype(np.int64)
-        for k in range(1, CONTEXT):
-            codes = codes * self.size + contexts[:, k]
-        _, first, back = np.unique(codes, return_index=True, return_inverse=True)
-        hat = self.predicted(contexts[first])
-        q, b = self.parts[1], self.parts[2][:, 0]
-        norm = np.empty(len(first), np.float32)
-        for at in range(0, len(first), 4096):
-            scores = hat[at : at + 4096] @ q.T + b
-            top = scores.max(1, keepdims=True)
-            norm[at : at + 4096] = top[:, 0] + np.log(np.exp(scores - top).sum(1))
+        """Normalised log10 probability of each token."""
+        q, b, norms = self.parts[1], self.parts[2][:, 0], self.norms()
         out = np.empty(len(targets), np.float64)
-        for at in range(0, len(targets), 1 << 17):
-            rows, w = back[at : at + (1 << 17)], targets[at : at + (1 << 17)]
-            out[at : at + (1 << 17)] = np.einsum("ij,ij->i", hat[rows], q[w]) + b[w] - norm[rows]
+        for at in range(0, len(targets), 1 << 16):
+            c, w = contexts[at : at + (1 << 16)], targets[at : at + (1 << 16)]
+            out[at : at + (1 << 16)] = np.einsum("ij,ij->i", self.predicted(c), q[w]) + b[w] - norms[c[:, 0], c[:, 1]]
         return out / np.log(10)
