@@ -17,7 +17,7 @@ import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
-from lodestat.llm import bpe, components, iblt, licenses, likeness, mixing, quality, scoring, secrets, sharding, simhash, warc
+from lodestat.llm import bpe, common, components, iblt, licenses, likeness, mixing, quality, scoring, secrets, sharding, simhash, warc
 from lodestat.llm.automata import Automaton
 from lodestat.llm.common import ready, running_offsets
 from lodestat.llm.fingerprints_kernel import simhash as simhash_of
@@ -104,6 +104,8 @@ def test_bpe(spark):
 def test_bpe_random_pieces():
     own, mine, draw = encoding(), bpe.vocabulary(), random.Random(3)
     texts = ["".join(draw.choice("aabé \n\t\x1c\x85 '!?1２三sS'tll 😀\r的") for _ in range(draw.randrange(40))) for _ in range(3000)] + ["a" * 999, " " * 99, "abab" * 99]
+    texts += ["".join(draw.choice(letters) for _ in range(draw.randrange(200))) for letters in ("ab", "abc", "the", "ing", "=-", "аб") for _ in range(100)]
+    texts += ["a" * 1_000_000, "ab" * 300_000, "\n" * 100_000]
     assert [np.frombuffer(x, "<u4").tolist() for x in mine.encode(texts)] == [own.encode_ordinary(t) for t in texts]
 
 
@@ -143,8 +145,12 @@ def test_sharding(spark):
         assert set(by_shard) <= set(range(24))
         assert all(sorted(r.slot for r in rows) == list(range(len(rows))) for rows in by_shard.values())
         assert sorted((r["size"], r.text_crc32) for r in found) == sorted((len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode())) for r in docs.collect())
-    sums = [sum(r["size"] for r in rows) for rows in by_shard.values()]
-    del sums
+        if docs.count() >= 200:  # every cut is within a row of the weighted median, so shards differ by the largest rows along the path
+            sums = [sum(r["size"] for r in by_shard[k]) for k in range(24)]
+            assert max(sums) - min(sums) <= 8 * max(r["size"] for r in found)
+    same = spark.range(6000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x" * 92).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
+    sizes = [r.b for r in sharding.shard_documents(same).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert len(sizes) == 24 and max(sizes) < 2 * min(sizes)
     made = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("x" * 92).alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 3 > 0, "hot").otherwise("s").alias("source"))
     sizes = [r.b for r in sharding.shard_documents(made).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
     assert len(sizes) == 24 and max(sizes) < 1.01 * min(sizes)
@@ -178,8 +184,53 @@ def test_iblt(spark):
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
 
 
+def slow_spans(text, models):
+    """All spans, run by run: base ones by the patterns, and stretches of other runs that a format makes likelier."""
+    base = [x[:3] for x in secrets.base_spans(text)]
+    found = list(base)
+    for m in re.finditer(r"[A-Za-z0-9+/_.=-]{6,}", text):
+        if any(a < m.end() and m.start() < b for _, a, b in base):
+            continue
+        likely = lambda a, b: secrets.ratio(text[a:b], models) >= max(20, (b - a) / 2)
+        if likely(*m.span()):
+            found.append(("format", *m.span()))
+            continue
+        spots = {(m.start() + x.start(), m.start() + x.end()) for part in ("[A-Za-z0-9]{6,}", "[A-Za-z0-9_-]{6,}") for x in re.finditer(part, m.group())}
+        if m.end() - m.start() > 64:
+            spots |= {(k, k + 64) for k in range(m.start(), m.end() - 63, 32)} | {(m.end() - 64, m.end())}
+        inside = {i for a, b in spots if likely(a, b) for i in range(a, b)}
+        for i in sorted(inside):
+            if i - 1 not in inside:
+                found.append(("format", i, next(j for j in range(i, m.end() + 1) if j not in inside)))
+    return found
+
+
+def test_planted_formats_are_found(spark):
+    ready(spark)
+    draw = random.Random(4)
+    key = lambda: "gk_" + "".join(draw.choice("0123456789ABCDEF") for _ in range(40))
+    prose = lambda n: " ".join(draw.choice(["alpha", "beta12", "gamma-delta", f"item-{draw.randrange(10**6)}.example", f"2024-{draw.randrange(100)}-{draw.randrange(100)}", f"https://{draw.randrange(999)}.example/window"]) for _ in range(n))
+    rows = [(i, f"{prose(30)} token = {key()} {prose(5)}") for i in range(150)]
+    planted = {}
+    for i in range(150, 210):
+        bare, before = key(), "path/to/" * (60 if i % 2 else 0)
+        planted[i] = bare
+        rows.append((i, f"{prose(9)} {before}{bare} {prose(30)}"))
+    rows += [(i, prose(60)) for i in range(210, 400)]
+    found = {r.doc_id: r for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        spans = [(s.start, s.stop) for s in found[i].secret_spans if s.kind == "format"]
+        if i in planted:
+            at = text.index(planted[i])
+            covered = {k for a, b in spans for k in range(a, b)}
+            assert len(covered & set(range(at + 3, at + 43))) >= 36, text[at - 20 : at + 60]
+        else:
+            assert not spans
+
+
 def test_secrets(spark):
     for docs in all_of(spark):
+        models = secrets.learn(docs)
         found = secrets.digest(secrets.find_secrets(docs.select("doc_id", "text")))
         assert found.count() == docs.count()
         for r in found.collect():
@@ -191,6 +242,8 @@ def test_secrets(spark):
             base.sort(key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
             assert r.base_sha256 == secrets.sha256_of(base)
             assert set(f"{k}:{a}:{b}" for k, a, b in base) <= set(filter(None, r.spans.split(",")))
+            assert sorted(r.spans.split(",")) == sorted(f"{k}:{a}:{b}" for k, a, b in slow_spans(t, models)) or not r.spans
+            assert bool(r.spans) == bool(slow_spans(t, models))
         masked = secrets.redact(docs)
         assert masked.columns == docs.columns and masked.count() == docs.count()
         assert not [r for r in masked.collect() if secrets.base_spans(r.text)]
@@ -324,7 +377,8 @@ def test_licenses(spark):
         assert licenses.find_licenses(docs).count() == docs.count()
     texts = [
         ("Released under the MIT License.\nbye", ["MIT"]), ("licensed under the APACHE license, version 2.0", ["Apache-2.0"]), ("We are released under the mit license today.", []),
-        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: a. b. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["BSD-2-Clause", "BSD-3-Clause"]),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: a. b. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", ["BSD-3-Clause"]),
+        ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\nnone", ["BSD-2-Clause"]), ("x " * 400 + "\n/* " + "*" * 700 + "all rights reserved" + "*" * 700 + " */", ["Proprietary"]),
     ]
     found = licenses.find_licenses(spark.createDataFrame([(t,) for t, _ in texts], "text string")).collect()
     assert [r.licenses for r in found] == [x for _, x in texts]
@@ -384,6 +438,27 @@ def test_warc(spark):
         assert collections.Counter(map(tuple, warc.round_trip(table, split_bytes=split).collect())) == expected
 
 
+def test_warc_damage_is_an_error(spark):
+    ready(spark)
+    draw = random.Random(2)
+    pages = spark.createDataFrame([(i, "u", "".join(chr(draw.randrange(33, 900)) for _ in range(300))) for i in range(600)], "page_id long, url string, html string").coalesce(1)
+    folder = common.shared_folder(spark) + "-warc"
+    archives = warc.write_archives(warc.with_verdicts(pages).coalesce(1), folder)
+    path, size = archives.first()
+    assert warc.read_archives(archives, folder, 4096).count() == 600
+    assert warc.read_archives(archives, folder, 4096).rdd.getNumPartitions() == -(-size // 4096)
+    whole = open(path, "rb").read()
+    starts = [m.start() for m in re.finditer(re.escape(warc.MAGIC), whole)]
+    in_body, in_header = starts[300] + (starts[301] - starts[300]) * 3 // 4, starts[200] + 12
+    damaged = {"body": whole[:in_body] + bytes([whole[in_body] ^ 255]) + whole[in_body + 1 :], "header": whole[:in_header] + b"\0\0\0\0" + whole[in_header + 4 :], "cut": whole[:-3], "magic": whole[: starts[99]] + b"\0" + whole[starts[99] + 1 :]}
+    for name, data in damaged.items():
+        for split in (1000, 4096, 1 << 24):
+            with open(f"{path}.{name}", "wb") as out:
+                out.write(data)
+            with pytest.raises(Exception, match="record at"):
+                warc.read_archives(spark.createDataFrame([(f"{path}.{name}", len(data))], "path string, bytes long"), folder, split).collect()
+
+
 def test_scoring(spark):
     for docs in all_of(spark):
         rows = docs.collect()
@@ -399,6 +474,8 @@ def test_scoring(spark):
             expected[r.doc_id, not learnt(r.doc_id), len(tokens[r.text]), sum(counts[w] > 0 for w in tokens[r.text]), n, round(base, 4)] += 1
         assert collections.Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in found) == expected
         assert all(r.score < 0 for r in found)
+        again = scoring.score_documents(docs.repartition(7, F.rand(1))).collect()
+        assert collections.Counter(found) == collections.Counter(again)
 
 
 def test_scores_are_normalised_and_help(spark):
@@ -411,6 +488,14 @@ def test_scores_are_normalised_and_help(spark):
         assert math.isclose((10**whole).sum(), 1, rel_tol=1e-5)
 
 
+def test_words_of_one_count_fill_the_table(spark):
+    ready(spark)
+    counts = spark.range(30_000).select(F.concat(F.lit("w"), "id").cast("binary").alias("word"), F.lit(1).cast("long").alias("n"))
+    lexicon = scoring.Lexicon(counts, table_words=5000)
+    assert 4700 < len(lexicon.index) < 5300 and len(lexicon.weight) == 2 + scoring.HEAD + scoring.BANDS
+    assert math.isclose(lexicon.weight.sum(), 30_000 * 1.5 + 1)
+
+
 def test_running_offsets(spark):
     rows = spark.range(5000).select((F.col("id") % 2).alias("g"), "id", (F.col("id") % 7).alias("w"))
     found = running_offsets(rows, ["g"], [F.col("id")], F.col("w"), "off").collect()
