@@ -1,4 +1,4 @@
-"""SimHash, shingle sets and MinHash bands of one text: the numeric part of the near-duplicate operators, on numpy and xxhash only."""
+"""SimHash and shingle sets of one text: the numeric part of the near-duplicate operators, on numpy and xxhash only."""
 
 from __future__ import annotations
 
@@ -9,15 +9,6 @@ import xxhash
 BLOCK = 1 << 15
 
 
-#: MinHash bands and the least hashes in each: a pair of likeness 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6.
-BANDS, ROWS = 32, 5
-#: Shingles that are permuted at once.
-MIN_BLOCK = 2048
-_draw = np.random.default_rng(42)
-_FACTORS = _draw.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
-_TERMS = _draw.integers(0, 1 << 63, (BANDS * ROWS, 1), np.uint64)
-
-
 def shingles_of(text: str | None, width: int) -> list[bytes]:
     """The text's word shingles in order; all of it where it has fewer words, none for a text without words or null."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -58,16 +49,18 @@ def set_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64)) if len(hashes) else 0
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A signed 64-bit key for each MinHash band of a shingle set; none for the empty one."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(hashes), MIN_BLOCK):
-        part = (hashes[None, at : at + MIN_BLOCK] + _TERMS) * _FACTORS
-        np.minimum(least, part.min(1), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(rows)], np.uint64).view(np.int64)
+def wide_simhash(hashes: np.ndarray, lanes: int) -> np.ndarray:
+    """SimHash of 64 bits for each lane, of a set of hashes, as signed numbers: a lane mixes the hashes with a number of its own."""
+    votes = np.zeros((lanes, 64), np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        part = hashes[at : at + BLOCK]
+        for lane in range(lanes):
+            mixed = (part ^ (part >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * lane) + np.uint64(lane)
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed ^= mixed >> np.uint64(32)
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes[lane] += bits.sum(0, dtype=np.int32)
+    return np.packbits(2 * votes > len(hashes), axis=1, bitorder="little").view(np.int64).ravel()
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:

@@ -1,46 +1,120 @@
-"""Near duplicates by exact Jaccard likeness of word-shingle sets.
+"""SimHash near-duplicates from a likeness (Jaccard of word-shingle sets) on, by multi-index hashing.
 
-Texts of equal shingle sets are one node. Candidates are nodes that share a MinHash band (fingerprints_kernel: at
-likeness 0.8 a pair shares none with probability 3e-6, above it with less); every candidate that counts is verified on
-the whole shingle sets. First each node of a band is compared with the band's least node. Where that leaves the nodes
-of a band in several components, all its pairs across components are compared too, so no pair of a band is left out:
-it is verified, or its nodes are linked already. A large group of near copies thus costs in proportion to its size.
+Texts of equal shingle sets are one node. Two sets of likeness J differ in a known share of SimHash bits on average,
+whatever their number, so the fingerprint here is as long as the corpus needs: with n texts a segment has about log2 n
+bits, which keeps what a look-up meets by chance in proportion to n, and there are as many segments as it takes for a
+pair just at the limit to be within one bit in one of them with probability RECALL; likelier pairs are missed less.
+
+Each fingerprint looks up every value within one bit of each of its segments in the table of segments (a pair that
+differs in one bit is found from the side that has it set). What it finds is held against the first 64 bits, then
+against the whole fingerprint, then verified on the whole shingle sets: links are exact. First each node's least
+partner is verified; pairs that those links put in one component need no verification, all others get it.
+
+A segment value of very many fingerprints (HOT_BUCKET) is not paired all against all: those that look it up are held
+against its least node first. Then pairs that still lie in different components are held against each other.
 
 Nulls: a null, empty or wordless text has the empty set (node zero), and those are equal. Ties, null ids and repeated
-rows are as in `simhash`.
+rows are as in `simhash`. Very long texts are read whole, each by one task. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
 from .components import components
-from .fingerprints_kernel import bands, jaccard, set_hash, shingle_set
+from .fingerprints_kernel import jaccard, set_hash, shingle_set, wide_simhash
 from .simhash import least_of_each
 
 #: Words of a shingle, and the likeness from which two texts are near duplicates.
 WIDTH, SIMILARITY = 5, 0.8
+#: Probability that a pair just at the limit shares a look-up, and how many deviations its distance may be above its mean.
+RECALL, DEVIATIONS = 0.995, 3.3
+LEAST_SEGMENT, HOT_BUCKET = 12, 128
+
+
+@dataclass(frozen=True)
+class Index:
+    """Bits of a segment, number of segments, and the most bits that may differ of the first 64 and of all."""
+
+    bits: int
+    segments: int
+    most_first: int
+    most: int
+
+    @property
+    def lanes(self) -> int:
+        return -(-self.bits * self.segments // 64)
+
+    @staticmethod
+    def of(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> Index:
+        """For n texts. At likeness J two sets of equal size have cosine 2J / (1 + J), and bits differ by the angle's share."""
+        p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+        bits = max(LEAST_SEGMENT, math.ceil(math.log2(max(n, 2))))
+        within_one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
+        segments = math.ceil(math.log(1 - recall) / math.log(1 - within_one))
+        most = lambda k: math.ceil(k * p + DEVIATIONS * math.sqrt(k * p * (1 - p)))
+        return Index(bits, segments, most(64), most(64 * -(-bits * segments // 64)))
+
+    def keys(self, prints: Column) -> Column:
+        """An array of (number of the segment, its value) as one number each."""
 
+        def key(k: int) -> Column:
+            lane, shift = divmod(k * self.bits, 64)
+            value = F.shiftrightunsigned(prints[lane], shift)
+            if shift + self.bits > 64:
+                value = value.bitwiseOR(F.shiftleft(prints[lane + 1], 64 - shift))
+            return value.bitwiseAND(F.lit((1 << self.bits) - 1)).bitwiseOR(F.lit(k << self.bits))
 
-def _noted(docs: DataFrame, id_column: str, text: str, width: int) -> DataFrame:
-    """id, text_hash, text, node and bands of every document."""
+        return F.array(*map(key, range(self.segments)))
 
-    @F.pandas_udf("node long, bands array<long>")
+
+def _noted(docs: DataFrame, id_column: str, text: str, width: int, lanes: int) -> DataFrame:
+    """id, text_hash, node and fingerprint of every document."""
+
+    @F.pandas_udf("node long, prints array<long>")
     def noted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             sets = [shingle_set(t, width) for t in texts]
-            yield pd.DataFrame({"node": pd.Series([set_hash(s) for s in sets], dtype="int64"), "bands": pd.Series([bands(s) for s in sets], dtype=object)})
+            yield pd.DataFrame({"node": pd.Series([set_hash(s) for s in sets], dtype="int64"), "prints": pd.Series([wide_simhash(s, lanes) for s in sets], dtype=object)})
 
     return docs.select(F.col(id_column), F.xxhash64(text).alias("text_hash"), noted(F.col(text)).alias("n")).select(id_column, "text_hash", "n.*")
 
 
+def _differ(a: str | Column, b: str | Column) -> Column:
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def _probes(table: DataFrame, bits: int) -> DataFrame:
+    """Look-ups of the table (key, node, first): its own keys, and those with one bit of the segment cleared."""
+    cleared = table.withColumn("m", F.explode(F.array(*(F.lit(1 << i).cast("long") for i in range(bits))))).where(F.col("key").bitwiseAND(F.col("m")) != 0)
+    cleared = cleared.select(F.col("key").bitwiseXOR(F.col("m")).alias("key"), "node", "first", F.lit(True).alias("cleared"))
+    return table.select("key", "node", "first", F.lit(False).alias("cleared")).union(cleared)
+
+
+def _met(probes: DataFrame, table: DataFrame, most_first: int) -> DataFrame:
+    """Pairs (a > b) of a look-up and what the table has there, near in the first 64 bits."""
+    entries = table.select("key", F.col("node").alias("x"), F.col("first").alias("first_x"))
+    on = (probes["key"] == entries["key"]) & (F.col("node") != F.col("x")) & (F.col("cleared") | (F.col("node") > F.col("x"))) & (_differ("first", "first_x") <= most_first)
+    return probes.join(entries, on).select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+
+
+def _close(pairs: DataFrame, nodes: DataFrame, index: Index) -> DataFrame:
+    """Those of the pairs whose whole fingerprints are near, each once."""
+    side = lambda n: nodes.select(F.col("node").alias(n), F.col("prints").alias(f"prints_{n}"))
+    distance = sum((_differ(F.col("prints_a")[i], F.col("prints_b")[i]) for i in range(index.lanes)), F.lit(0))
+    return saved(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(distance <= index.most).select("a", "b"))
+
+
 def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are alike."""
+    """The pairs (a, b) of nodes whose shingle sets are alike. Saved."""
 
     @F.pandas_udf("boolean")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -51,41 +125,66 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
 
     side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
-    return both.where(alike("text_a", "text_b")).select("a", "b")
+    return saved(both.where(alike("text_a", "text_b")).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """A row for each document: id, text_hash, root (the component's least node) and component_id (its least id)."""
-    noted = saved(_noted(docs, id_column, text, width))
-    nodes = saved(noted.groupBy("node").agg(F.min(id_column).alias("least"), F.min("text_hash").alias("text_hash"), F.first("bands").alias("bands")))
-    dealt = nodes.select("node", F.explode("bands").alias("band"))
-    leaders = dealt.groupBy("band").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = saved(dealt.join(leaders.hint("merge"), "band"))
-    near = met.select(F.col("node").alias("x")).union(met.select(F.col("leader").alias("x"))).distinct()
-    wanted = nodes.join(near.withColumnRenamed("x", "node"), "node", "left_semi").select("node", "text_hash")
-    texts = saved(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")))
-    first = saved(met.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
-    edges = saved(_alike(first, texts, width, similarity))
-    placed = _across(met, edges).join(first, ["a", "b"], "left_anti")
-    edges = edges.union(saved(_alike(placed, texts, width, similarity)))
-    roots = components(edges).withColumnRenamed("node", "_node")
-    rooted = saved(nodes.select("node", "least").join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return noted.select(id_column, "text_hash", "node").join(rooted.join(ids, "root").select("node", "root", "component_id").hint("merge"), "node").drop("node")
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The pairs that the edges leave in different components."""
+    roots = saved(components(edges))
+    side = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
+    placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
-def _across(met: DataFrame, edges: DataFrame) -> DataFrame:
-    """The pairs (a > b) of nodes that share a band and lie in different components of the edges.
+def _hot_apart(members: DataFrame, edges: DataFrame, most_first: int) -> DataFrame:
+    """Pairs (a > b) of a look-up and an entry of one hot value that lie in different components and are near in the first bits.
 
-    One node of such a pair lies outside of the component that has most nodes of the band.
+    One node of such a pair lies outside of the component that has most nodes of the value.
     """
     roots = components(edges).withColumnRenamed("node", "_node")
-    placed = saved(met.join(roots, F.col("node") == F.col("_node"), "left").select("band", "node", F.coalesce("root", "node").alias("root")))
-    most = placed.groupBy("band", "root").count().groupBy("band").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("n")).where("n > 1").select("band", F.col("m.root").alias("most"))
-    mixed = saved(placed.join(most.hint("merge"), "band"))
-    probes = mixed.where("root != most").select("band", F.col("node").alias("x"), F.col("root").alias("root_x"))
-    pairs = mixed.select("band", "node", "root").join(probes, "band").where("root != root_x")
-    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b")).distinct()
+    placed = saved(members.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", "first", "cleared", F.coalesce("root", "node").alias("root")))
+    most = placed.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.root").alias("most"))
+    mixed = saved(placed.join(most, "key"))
+    outside = mixed.where("root != most")
+    entry = lambda frame: frame.where("NOT cleared").select("key", F.col("node").alias("x"), F.col("first").alias("first_x"), F.col("root").alias("root_x"))
+    near = lambda looks, entries: looks.join(entries, (looks["key"] == entries["key"]) & (F.col("root") != F.col("root_x")) & (_differ("first", "first_x") <= most_first))
+    pairs = near(outside, entry(mixed)).union(near(mixed.where("root = most"), entry(outside)))
+    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+
+
+def _links(docs: DataFrame, nodes: DataFrame, index: Index, text: str, width: int, similarity: float, hot_bucket: int) -> DataFrame:
+    """Verified edges (a, b) that give the components."""
+    table = saved(nodes.select(F.explode(index.keys(F.col("prints"))).alias("key"), "node", F.col("prints")[0].alias("first")))
+    probes = _probes(table, index.bits)
+    hot = saved(table.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"))
+    no_hot = hot.isEmpty()
+    pairs = _met(probes, table if no_hot else table.join(hot, "key", "left_anti"), index.most_first)
+    if not no_hot:
+        members = saved(probes.join(hot, "key", "left_semi"))
+        least = members.where("NOT cleared").groupBy("key").agg(F.min("node").alias("x"))
+        stars = members.join(least, "key").where("node != x").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+        pairs = pairs.union(stars)
+    close = _close(pairs, nodes, index)
+    rest = None if no_hot else lambda edges: _close(_hot_apart(members, edges, index.most_first), nodes, index)
+    needed = close.select(F.explode(F.array("a", "b")).alias("node"))
+    needed = (needed if no_hot else needed.union(members.select("node"))).distinct()
+    wanted = nodes.join(needed, "node", "left_semi").select("node", "text_hash")
+    texts = saved(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")))
+    first = close.groupBy("a").agg(F.min("b").alias("b"))
+    edges = _alike(first, texts, width, similarity)
+    edges = edges.union(_alike(_apart(close.join(first, ["a", "b"], "left_anti"), edges), texts, width, similarity))
+    return edges if rest is None else edges.union(_alike(rest(edges).join(close, ["a", "b"], "left_anti"), texts, width, similarity))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+    """A row for each document: id, text_hash, root (the component's least node) and component_id (its least id)."""
+    index = Index.of(docs.count(), similarity)
+    noted = saved(_noted(docs, id_column, text, width, index.lanes))
+    nodes = saved(noted.groupBy("node").agg(F.min(id_column).alias("least"), F.min("text_hash").alias("text_hash"), F.first("prints").alias("prints")))
+    roots = components(_links(docs, nodes.where("node != 0"), index, text, width, similarity, hot_bucket)).withColumnRenamed("node", "_node")
+    rooted = saved(nodes.select("node", "least").join(roots, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("root", "node").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return noted.select(id_column, "text_hash", "node").join(rooted.join(ids, "root").select("node", "root", "component_id").hint("merge"), "node").drop("node")
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
