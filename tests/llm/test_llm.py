@@ -21,6 +21,7 @@ from lodestat.llm import bpe, common, components, iblt, licenses, likeness, mixi
 from lodestat.llm.automata import Automaton
 from lodestat.llm.common import ready, running_offsets
 from lodestat.llm.fingerprints_kernel import simhash as simhash_of
+from lodestat.llm.fingerprints_kernel import wide_simhash
 
 SPACE = b" \t\n\x0b\x0c\r"
 LONG = " ".join(f"word{i % 997} x{i}" for i in range(30_000))
@@ -347,6 +348,32 @@ def test_likeness(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(groups))
 
 
+def test_likeness_of_hot_segments(spark):
+    """Looked-up values of more than two fingerprints take the other way, to the same groups."""
+    draw = random.Random(8)
+    texts = []
+    for _ in range(12):
+        base = [f"w{draw.randrange(9000)}" for _ in range(120)]
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(draw.randint(0, 4)):
+                copy[draw.randrange(120)] = f"v{draw.randrange(9000)}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in likeness.near_duplicates(docs, hot_bucket=2).collect()}
+    assert [found[i] for i in range(len(texts))] == slow_groups(texts)
+
+
+def test_segments_follow_the_corpus():
+    small_index, large = likeness.Index.of(10_000), likeness.Index.of(10**9)
+    assert small_index.bits == 14 and large.bits == 30 and small_index.segments < large.segments
+    draw = np.random.default_rng(1)
+    a = draw.integers(0, 1 << 63, 900, np.uint64)
+    b = np.concatenate([a[:800], draw.integers(0, 1 << 63, 100, np.uint64)])  # likeness 0.8
+    apart = [(int(x) ^ int(y)).bit_count() for x, y in zip(wide_simhash(a, 200).view(np.uint64), wide_simhash(b, 200).view(np.uint64))]
+    assert abs(np.mean(apart) - 64 * math.acos(8 / 9) / math.pi) < 0.8
+
+
 @pytest.mark.parametrize("hot", [2, 128])
 def test_hot_buckets_lose_no_link(spark, hot):
     draw = random.Random(hot)
