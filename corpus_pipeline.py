@@ -38,7 +38,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near-dedup", near_duplicates), ("secret scans", secret_scans), ("mixing sources", mix_sources), ("byte-level BPE", byte_bpe)]
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("secret scans", secret_scans), ("mixing sources", mix_sources), ("byte-level BPE", byte_bpe)]
 
 #: The fingerprints, automata, draws and merges have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
