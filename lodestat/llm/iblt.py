@@ -1,14 +1,16 @@
 """Document fingerprints as invertible Bloom lookup sketches, with DataFrame functions only.
 
-A text is the set of its paragraphs' 64-bit hashes; a paragraph is a line, cut every PIECE code points. A sketch has
+A text is the set of its paragraphs' 64-bit hashes; a paragraph is a line, and a long line is cut at the ends of its
+sentences into pieces of LEAST_PIECE to PIECE code points, so that a change moves no cut far from it. A sketch has
 CELLS cells in three parts; each hash goes to one cell of each part, which keeps a count, the exclusive or of the
 hashes and that of their check hashes. Sketches of two versions subtract cell by cell; what is left is peeled: a cell
 that holds one hash gives it away, it is taken out of its other cells, and so on. When cells are left over, the hashes
 are dealt into four times as many sketches by another hash, and these are subtracted and peeled, until all succeed:
-work grows with the difference. The number of differing hashes gives the likeness (Jaccard) of the two sets.
+work grows with the difference. The recovered hashes that differ give the likeness (Jaccard) of the two sets.
 
 Nulls: a null text is empty; two empty texts have likeness 1. Repeated paragraphs count once. Documents of equal id
-and text are one document in the order, and get equal rows. Null ids come last.
+and text are one document in the order, and get equal rows. Null ids come last. Very long texts have many paragraphs and
+retries; an empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
-PIECE = 400
+LEAST_PIECE, PIECE = 100, 400
+PARAGRAPH = f"[^\\n]{{{LEAST_PIECE},{PIECE}}}?[.!?]+(?=[ \\t\\r\\n])|[^\\n]{{1,{PIECE}}}"
 PART = 8
 ROUNDS = 12
 MAX_LEVEL = 16
@@ -27,7 +30,7 @@ KEY = ["_id", "_h"]
 
 def digests(text: Column) -> Column:
     """Distinct hashes of the paragraphs."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{PIECE}}}"), F.lit(0)), lambda p: F.xxhash64(p)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.xxhash64(p)))
 
 
 def _check(x: Column) -> Column:
@@ -64,22 +67,29 @@ def _take_out(cell: Column, entries: Column) -> Column:
 
 
 def peel(cells: Column) -> Column:
-    """(cells, found, more): what is left of the cells, how many hashes came out, and whether the last turn found any."""
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("found"), F.lit(True).alias("more"))
+    """(cells, found, more): what is left of the cells, the hashes k that came out (n is 1 for those of the first set, -1 for
+    the second's), and whether the last turn found any."""
+    start = F.struct(cells.alias("cells"), F.array().cast("array<struct<n:int,k:bigint>>").alias("found"), F.lit(True).alias("more"))
 
     def turn(state: Column, _: Column) -> Column:
         single = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["c"] == _check(c["k"])))
         got = F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("n"), c["k"].alias("k"), c["c"].alias("c"), *(p.alias(f"p{j}") for j, p in enumerate(_places(c["k"]))))))
-        without = lambda g: F.struct(F.transform(state["cells"], lambda c: _take_out(c, g)).alias("cells"), (state["found"] + F.size(g)).alias("found"), (F.size(g) > 0).alias("more"))
+        without = lambda g: F.struct(F.transform(state["cells"], lambda c: _take_out(c, g)).alias("cells"), F.concat(state["found"], F.transform(g, lambda e: F.struct(e["n"].alias("n"), e["k"].alias("k")))).alias("found"), (F.size(g) > 0).alias("more"))
         return F.when(state["more"], F.transform(F.array(got), without)[0]).otherwise(state)
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn)
 
 
-def differing(cells: Column) -> Column:
-    """Number of hashes in one of two subtracted sets only; null when the cells don't peel."""
+def recovered(cells: Column) -> Column:
+    """The hashes (n, k) in one of two subtracted sets only; null when the cells don't peel."""
     done = lambda s: F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0) & (c["c"] == 0))
-    return F.transform(F.array(peel(cells)), lambda s: F.when(done(s), s["found"].cast("long")))[0]
+    return F.transform(F.array(peel(cells)), lambda s: F.when(done(s), s["found"]))[0]
+
+
+def differing(cells: Column) -> Column:
+    """Number of the recovered hashes; null when the cells don't peel."""
+    found = recovered(cells)
+    return F.transform(F.array(found), lambda f: F.when(f.isNotNull(), F.size(f).cast("long")))[0]
 
 
 def likeness(differ: Column, a: Column, b: Column) -> Column:
