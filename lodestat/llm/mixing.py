@@ -213,7 +213,7 @@ def mix_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "text"
     pass takes a word of are left out.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    keys = [F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text, F.col(id_column).isNull()).alias("_hash")]
+    keys = [F.coalesce(F.col(id_column).cast("string"), F.lit("")).alias("_id"), F.xxhash64(text, F.col(id_column).isNull(), F.col(source)).alias("_hash")]
     copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
     whole = docs.select(row, *keys)
     narrow = docs.select(*keys, F.col(source), F.col(text))
