@@ -190,7 +190,7 @@ def train(learning: DataFrame, lexicon: Lexicon, rounds: int = ROUNDS) -> LogBil
                 yield learnt()
 
         mine = dealt.where(F.pmod("part", F.lit(rounds)) == turn)
-        fitted = mine.repartition(-(-parts // rounds), "part").sortWithinPartitions("part", "hash").mapInPandas(fit, "part long, tokens long, model array<double>")
+        fitted = mine.repartitionByRange(-(-parts // rounds), "part").sortWithinPartitions("part", "hash").mapInPandas(fit, "part long, tokens long, model array<double>")
         at = fitted.select("part", "tokens", F.posexplode("model")).groupBy("pos").agg(F.array_sort(F.collect_list(F.struct("part", "tokens", "col"))).alias("all"))
         in_order = lambda value: F.aggregate("all", F.lit(0.0), lambda s, x: s + value(x))
         rows = at.select("pos", (in_order(lambda x: x["col"] * x["tokens"]) / in_order(lambda x: x["tokens"].cast("double"))).alias("mean")).collect()  # the parameters of one model
@@ -230,8 +230,8 @@ def score_documents(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     id_type = docs.schema[id_column].dataType.simpleString()
     scored = noted.select("_row", "doc_id", held_out.alias("held_out"), "n_tokens", "known", "base", "inside", F.size("rare").alias("others"), "classes")
     scored = scored.mapInPandas(score, f"_row long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, inside double, others int")
-    rare = noted.select("_row", F.explode("rare").alias("word")).groupBy("_row", "word").count().join(counts.hint("merge"), "word")
-    logs = rare.groupBy("_row").agg(F.sum(F.col("count") * F.log10(F.col("n") + 0.5)).alias("logs"), F.sum("count").alias("more"))
+    rare = noted.select("_row", F.explode("rare").alias("word")).join(counts.hint("merge"), "word")
+    logs = rare.groupBy("_row").agg(F.sum(F.log10(F.col("n") + 0.5)).alias("logs"), F.count("*").alias("more"))
     out = scored.join(logs, "_row", "left").withColumn("more", F.coalesce("more", F.lit(0)))
     out = out.withColumn("logs", F.coalesce("logs", F.lit(0.0)) + (F.col("others") - F.col("more")) * float(np.log10(0.5)))
     whole = float(np.log10(lexicon.tokens + 0.5 * (lexicon.types + 1)))
