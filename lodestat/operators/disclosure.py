@@ -10,6 +10,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import percentiles
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the module
 
 
@@ -49,10 +51,19 @@ def suppressed(frame: DataFrame, k: int, count: str = "n", also: tuple[str, ...]
 
 def safe_range(rows: DataFrame, var: str, by: list[str], policy: Policy) -> DataFrame:
     """Percentiles in place of least and largest; null for fewer than k."""
-    ends = F.percentile(var, F.array(F.lit(policy.low), F.lit(policy.high)))
-    out = rows.groupBy(*by).agg(F.count(var).alias("n"), ends.alias("_e"))
+    out = rows.groupBy(*by).agg(F.count(var).alias("n"))
+    ends = percentiles(rows, var, by, {"_low": policy.low, "_high": policy.high}).withColumnsRenamed({c: f"_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     enough = F.col("n") >= policy.k_min
-    return out.select(*by, F.when(enough, F.col("_e")[0]).alias("low"), F.when(enough, F.col("_e")[1]).alias("high"))
+    return out.join(ends, on, "left").select(*by, F.when(enough, F.col("_low")).alias("low"), F.when(enough, F.col("_high")).alias("high"))
+
+
+def strictest(policies: DataFrame) -> DataFrame:
+    """One row: the strictest of policies (k_min, floor, min_correlation, low, high, rounding), as `Policy.stricter` merges two."""
+    most = ("k_min", "floor", "min_correlation", "low", "rounding")
+    return policies.agg(*(F.max(c).alias(c) for c in most), F.min("high").alias("high"))
 
 
 def rounded(value: Column, step: int) -> Column:
@@ -145,6 +156,19 @@ def differencing_verdicts(differences: DataFrame, k: int) -> DataFrame:
     return differences.withColumn("probe", hidden(F.col("differ"), k))
 
 
+def guarded(history: DataFrame, cohort: DataFrame, owner: str, recipe: str, k: int, hard: bool = False, near: int = 2) -> DataFrame:
+    """A verdict for each of the owner's earlier cohorts (history: owner, cohort_no, recipe, pid): differ, and `verdict`.
+
+    ok; exempt for the same recipe; warn (refuse, if hard) where a difference of 1 to k-1 patients would be told of;
+    near for less than `near` times k.
+    """
+    mine = history.where(F.col("owner") == owner)
+    recipes = mine.groupBy("cohort_no").agg(F.min("recipe").alias("recipe"))
+    found = symmetric_differences(mine.select("cohort_no", "pid"), cohort).join(recipes, "cohort_no")
+    verdict = F.when(F.col("recipe") == recipe, "exempt").when(hidden(F.col("differ"), k), "refuse" if hard else "warn")
+    return found.select("cohort_no", "differ", verdict.when(hidden(F.col("differ"), near * k), "near").otherwise("ok").alias("verdict"))
+
+
 #: Shapes that no output may hold.
 IDENTIFIERS = {
     "guid": r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",

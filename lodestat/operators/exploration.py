@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .statistics import QUARTILES, with_percentiles
+
 
 def box_plot(rows: DataFrame, var: str, label: Column) -> DataFrame:
-    quartiles = F.percentile(var, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(F.coalesce(label, F.lit("unknown")).alias("label")).agg(F.count(var).alias("n"), F.min(var).alias("least"), F.max(var).alias("most"), quartiles.alias("_q"))
-    return out.select("label", "n", "least", "most", *(F.col("_q")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))))
+    labelled = rows.select(F.coalesce(label, F.lit("unknown")).alias("label"), var)
+    out = labelled.groupBy("label").agg(F.count(var).alias("n"), F.min(var).alias("least"), F.max(var).alias("most"))
+    return with_percentiles(out, labelled, var, ["label"], QUARTILES)
 
 
 def trend(rows: DataFrame, var: str, month: Column) -> DataFrame:
-    quartiles = F.percentile(var, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(month.alias("month")).agg(F.count(var).alias("n"), F.avg(var).alias("mean"), quartiles.alias("_q"))
-    return out.select("month", "n", "mean", *(F.col("_q")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))))
+    monthly = rows.select(month.alias("month"), var)
+    return with_percentiles(monthly.groupBy("month").agg(F.count(var).alias("n"), F.avg(var).alias("mean")), monthly, var, ["month"], QUARTILES)
+
+
+def since(rows: DataFrame, now: str, days: int, time: str = "ts") -> DataFrame:
+    """Rows of the last so many days before a stated time, that day included; rows without a time are left out."""
+    return rows.where(F.col(time) >= F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days)))
 
 
 def binned_2d(pairs: DataFrame, width_x: float, width_y: float, k: int = 5) -> DataFrame:
@@ -40,6 +46,17 @@ def preview(people: DataFrame, counts: DataFrame, least: int, most_rows: int = 5
     return totals.withColumn("kept", F.col("total") >= least).orderBy(F.desc("total"), "pid").limit(most_rows)
 
 
+def kept_concepts(previewed: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows and patients by concept over the people that a preview keeps (pid, kept)."""
+    kept = counts.join(previewed.where("kept").select("pid"), "pid", "left_semi")
+    return kept.groupBy("code").agg(F.sum("n").alias("n"), F.count_distinct("pid").alias("patients"))
+
+
+def added_counts(parts: DataFrame) -> DataFrame:
+    """(pid, code, n) of several sources, some of them counted already, added; a truncated part marks its sums."""
+    return parts.groupBy("pid", "code").agg(F.sum("n").alias("n"), F.max(F.coalesce("truncated", F.lit(False))).alias("truncated"))
+
+
 def inventory(rows: DataFrame) -> DataFrame:
     """What each source holds."""
     return rows.groupBy("source").agg(F.count("*").alias("observations"), F.count_distinct("pid").alias("patients"), F.count_distinct("concept").alias("concepts"))
@@ -57,15 +74,21 @@ def federated_counts(counts: DataFrame) -> DataFrame:
     return counts.where(F.col("n").isNotNull()).groupBy("key").agg(F.sum("n").alias("n"), F.count_distinct("source").alias("sources"))
 
 
-def hour_of(ts: Column) -> Column:
-    return F.hour(ts)
+#: Names and shares of the percentiles of an hour.
+BANDS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
+
+
+def epoch_points(points: DataFrame, seconds: str = "epoch") -> DataFrame:
+    """Raw points (pid, seconds since 1970, value) as rows with seq, ts and value; points without a value or time are left out."""
+    known = points.where(F.col(seconds).isNotNull() & F.col("value").isNotNull())
+    return known.select("*", F.timestamp_seconds(seconds).alias("ts"), F.xxhash64("pid", seconds, "value").alias("seq"))
 
 
 def glucose_hours(rows: DataFrame, by: list[str]) -> DataFrame:
     """n, mean and percentiles of the values of each hour of day, with a row for each of the 24 hours."""
-    at = F.array(*(F.lit(p) for p in (0.05, 0.25, 0.5, 0.75, 0.95)))
-    hours = rows.groupBy(*by, F.hour("ts").alias("hour")).agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", at).alias("_p"))
-    hours = hours.select(*by, "hour", "n", "mean", *(F.col("_p")[i].alias(c) for i, c in enumerate(("p5", "p25", "p50", "p75", "p95"))))
+    hourly = rows.select(*by, F.hour("ts").alias("hour"), "value")
+    hours = hourly.groupBy(*by, "hour").agg(F.count("value").alias("n"), F.avg("value").alias("mean"))
+    hours = with_percentiles(hours, hourly, "value", [*by, "hour"], BANDS)
     every = rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()
     spine = every.withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))))
     return spine.join(hours, [*by, "hour"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import numbered
+
 PATIENT = ["source", "pid"]
 COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "==": operator.eq, "!=": operator.ne}
 #: Fields that no projection may carry.
@@ -159,8 +161,37 @@ def paired_latest(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def every_nth(rows: DataFrame, order: list[Column], most: int, by: list[str] | None = None) -> DataFrame:
-    """A systematic sample of `most` rows or fewer: every stride-th in order, within each of `by` if given."""
-    count, number = F.count("*"), F.row_number()
-    parts = Window.partitionBy(*(by or [F.lit(0)]))
-    ranked = rows.withColumns({"_c": count.over(parts), "_n": number.over(parts.orderBy(*order))})
-    return ranked.where((F.col("_n") - 1) % F.greatest(F.ceil(F.col("_c") / most), F.lit(1)) == 0).drop("_c", "_n")
+    """A systematic sample of `most` rows or fewer: every stride-th in order (first by a number), within each of `by` if given."""
+    number, *then = order
+    ranked = numbered(rows.withColumn("_order", number), "_order", by or [], then)
+    return ranked.where((F.col("_n") - 1) % F.greatest(F.ceil(F.col("_count") / most), F.lit(1)) == 0).drop("_count", "_n", "_order")
+
+
+def with_codes(rows: DataFrame, wanted: dict[str, list[str]], key: str = "pid") -> DataFrame:
+    """Who has, for every kind of code named (a column), a row with one of its codes: a semi join for each kind."""
+    return intersection([rows.where(F.col(kind).isin(codes)).select(key) for kind, codes in wanted.items()], key)
+
+
+def refers_to(rows: DataFrame, references: str, ids: list[str]) -> DataFrame:
+    """Rows of which some reference (array of identifier, reference) is one of the ids, by its identifier or its tail."""
+    known = F.array(*map(F.lit, ids))
+    tail = lambda r: F.element_at(F.split(r["reference"], "/"), -1)
+    return rows.where(F.coalesce(F.exists(references, lambda r: F.coalesce(F.array_contains(known, r["identifier"]), F.lit(False)) | F.coalesce(F.array_contains(known, tail(r)), F.lit(False))), F.lit(False)))
+
+
+def registry(people: DataFrame, low: float | None = None, high: float | None = None, sex: str | None = None, orgs: list | None = None) -> DataFrame:
+    """People (age, sex, org) of an age range, a sex and organisations: None is no limit, an empty list nobody."""
+    if low is not None:
+        people = people.where(F.col("age") >= low)
+    if high is not None:
+        people = people.where(F.col("age") <= high)
+    if sex is not None:
+        people = people.where(F.col("sex") == sex)
+    return people if orgs is None else people.where(F.col("org").isin(orgs) if orgs else F.lit(False))
+
+
+def only_asked(rows: DataFrame, asked: DataFrame, key: str = "pid") -> DataFrame:
+    """The rows, each of a patient who was asked for; a row of another is an error when it is read."""
+    known = rows.join(asked.select(F.col(key).alias("_asked")).distinct(), F.col(key) == F.col("_asked"), "left")
+    stranger = F.raise_error(F.concat(F.lit("a row of a patient who was not asked for: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return known.withColumn(key, F.when(F.col("_asked").isNull(), stranger.cast(rows.schema[key].dataType)).otherwise(F.col(key))).drop("_asked")

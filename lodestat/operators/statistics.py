@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import average_ranks, numbered, percentiles
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the module
+
 
 def moments(frame: DataFrame, var: str, by: list[str]) -> DataFrame:
     """n, missing, total, squares of a variable for each of `by`: what a source hands over. NaN is missing."""
@@ -41,10 +48,13 @@ def edges(low: float, high: float, width: float) -> list[float]:
 def histogram(frame: DataFrame, var: str, at: list[float], by: list[str]) -> DataFrame:
     """Counts of the half-open bins between edges, -1 below, number of bins above, null missing; every bin has a row."""
     x = F.when(~F.isnan(var), F.col(var))
-    place = F.size(F.filter(F.array(*map(F.lit, at)), lambda e: e <= x)) - 1
-    counts = frame.groupBy(*by, F.when(x.isNotNull(), place).alias("bin")).agg(F.count("*").alias("n"))
-    bins = frame.select(*by).distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(len(at) - 2)))).withColumn("n", F.lit(0).cast("long"))
-    return counts.unionByName(bins).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+    even = all(abs((b - a) - (at[1] - at[0])) < 1e-12 for a, b in zip(at, at[1:]))
+    search = F.width_bucket(x.cast("double"), F.lit(float(at[0])), F.lit(float(at[-1])), F.lit(len(at) - 1)) - 1 if even else F.size(F.filter(F.array(*map(F.lit, at)), lambda e: e <= x)) - 1
+    counts = frame.groupBy(*by, F.when(x.isNotNull(), search.cast("int")).alias("bin")).agg(F.count("*").alias("n"))
+    held = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("bin", F.lit(-2)).alias("b"), "n"))).alias("_m"))  # a few bins
+    spread = held.select(*by, "_m", F.explode(F.concat(F.array(F.lit(-2)), F.sequence(F.lit(-1), F.lit(len(at) - 1)))).alias("b"))
+    inside = F.col("b").between(0, len(at) - 2)
+    return spread.select(*by, F.when(F.col("b") > -2, F.col("b")).alias("bin"), F.coalesce(F.col("_m")[F.col("b")], F.when(inside, F.lit(0))).cast("long").alias("n")).where("n IS NOT NULL")
 
 
 def frequency(frame: DataFrame, var: str, by: list[str]) -> DataFrame:
@@ -70,23 +80,21 @@ def chi_square(cells: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def pearson(frame: DataFrame, pairs: list[tuple[str, str]], by: list[str]) -> DataFrame:
     """n and r of each pair over rows that have both; r is null for n < 3 or no variance."""
-    out = None
-    for x, y in pairs:
+    sums = []
+    for i, (x, y) in enumerate(pairs):
         both = F.col(x).isNotNull() & F.col(y).isNotNull()
         a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-        sums = frame.groupBy(*by).agg(F.count(a).alias("n"), F.sum(a).alias("sx"), F.sum(b).alias("sy"), F.sum(a * a).alias("sxx"), F.sum(b * b).alias("syy"), F.sum(a * b).alias("sxy"))
-        vx, vy = F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
-        r = F.when((F.col("n") >= 3) & (vx > 0) & (vy > 0), F.expr("n * sxy - sx * sy") / F.nullif(F.sqrt(vx) * F.sqrt(vy), F.lit(0.0)))
-        part = sums.select(*by, F.lit(x).alias("x"), F.lit(y).alias("y"), "n", r.alias("r"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        sums += [F.count(a).alias(f"n{i}"), F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)).alias(f"r{i}"), F.min(a).alias(f"la{i}"), F.max(a).alias(f"ha{i}"), F.min(b).alias(f"lb{i}"), F.max(b).alias(f"hb{i}")]
+    whole = frame.groupBy(*by).agg(*sums)  # one pass for all pairs
+    varies = lambda i: (F.col(f"ha{i}") > F.col(f"la{i}")) & (F.col(f"hb{i}") > F.col(f"lb{i}"))
+    found = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"n{i}").alias("n"), F.when((F.col(f"n{i}") >= 3) & varies(i), F.nanvl(F.col(f"r{i}"), F.lit(None).cast("double"))).alias("r")) for i, (x, y) in enumerate(pairs)))
+    return whole.select(*by, F.explode(found).alias("_f")).select(*by, "_f.*")
 
 
 def spearman(frame: DataFrame, x: str, y: str, by: str = "source") -> DataFrame:
     """n and rho of each of `by`, with average ranks."""
     both = frame.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    rank = lambda c: F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2
-    ranked = both.select(by, rank(x).alias("rx"), rank(y).alias("ry"))
+    ranked = average_ranks(average_ranks(both.select(by, x, y), x, [by], "rx"), y, [by], "ry")
     return pearson(ranked, [("rx", "ry")], [by]).select(by, "n", F.col("r").alias("rho"))
 
 
@@ -150,6 +158,36 @@ def solve(cells: list[tuple[int, int, float]]) -> dict | None:
     return {"coefficients": beta.tolist(), "n": int(n), "residual_sd": float(np.sqrt(rest / (n - p))) if n > p else None}
 
 
+def coefficients(frame: DataFrame, outcome: str, predictors: list[str], by: str, k: int) -> DataFrame:
+    """by, intercept, a column for each predictor, and n: least squares over the complete rows of each of `by`, solved
+    from its sums; null for fewer than max(k, p + 2) rows or when the equations are singular."""
+    import pandas as pd
+
+    complete = frame.select(by, outcome, *predictors).na.drop()
+    columns = [F.lit(1.0), *(F.col(p).cast("double") for p in predictors), F.col(outcome).cast("double")]
+    cells = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    sums = complete.groupBy(by).agg(*(F.sum(columns[i] * columns[j]).alias(f"s_{i}_{j}") for i, j in cells))
+    least, find = max(k, len(predictors) + 2), solve
+
+    def one(batches):  # a row for each group
+        for batch in batches:
+            rows = []
+            for r in batch.to_dict("records"):
+                n = int(r["s_0_0"])
+                found = find([(i, j, r[f"s_{i}_{j}"]) for i, j in cells]) if n >= least else None
+                rows.append((r[by], *(found["coefficients"] if found else [None] * (len(predictors) + 1)), n))
+            yield pd.DataFrame(rows, columns=[by, "intercept", *predictors, "n"])
+
+    kind = frame.schema[by].dataType.simpleString()
+    return sums.mapInPandas(one, f"{by} {kind}, intercept double, " + ", ".join(f"{p} double" for p in predictors) + ", n long")
+
+
+def hide_thin(curve: DataFrame, k: float) -> DataFrame:
+    """A survival curve with the figures of periods of fewer than k at risk hidden; what comes after them stays."""
+    thin = F.col("at_risk") < k
+    return curve.withColumn("suppressed", thin).withColumns({c: F.when(~thin, F.col(c)) for c in ("events", "at_risk", "survival")})
+
+
 def kaplan_meier(periods: DataFrame) -> DataFrame:
     """The survival curve from period, events, at_risk rows; periods with nobody at risk are left out."""
     sums = periods.groupBy("period").agg(F.sum("events").alias("events"), F.sum("at_risk").alias("at_risk")).where("at_risk > 0")
@@ -161,10 +199,9 @@ def kaplan_meier(periods: DataFrame) -> DataFrame:
 
 def protected_sketch(rows: DataFrame, var: str, k: int, by: list[str], order: str = "seq", most: int = 200) -> DataFrame:
     """Centroids (mean, weight), each of k values or more, of neighbouring values; `most` or so for each of `by`."""
-    part = Window.partitionBy(*by)
-    ranked = rows.where(F.col(var).isNotNull()).select(*by, var, F.row_number().over(part.orderBy(var, order)).alias("_n"), F.count("*").over(part).alias("_c"))
-    step = F.greatest(F.lit(k), F.ceil(F.col("_c") / most))
-    group = F.least(F.floor((F.col("_n") - 1) / step), F.greatest(F.floor(F.col("_c") / step) - 1, F.lit(0)))
+    ranked = numbered(rows.where(F.col(var).isNotNull()).select(*by, var, order), var, by, [F.col(order)])
+    step = F.greatest(F.lit(k), F.ceil(F.col("_count") / most))
+    group = F.least(F.floor((F.col("_n") - 1) / step), F.greatest(F.floor(F.col("_count") / step) - 1, F.lit(0)))
     return ranked.groupBy(*by, group.alias("g")).agg(F.avg(var).alias("mean"), F.count("*").alias("weight"))
 
 
@@ -195,15 +232,28 @@ def sketch_quantile(centroids: DataFrame, q: float) -> DataFrame:
 
 def summary(rows: DataFrame, var: str, by: list[str]) -> DataFrame:
     """n, least, most, mean, population sd and exact quartiles."""
-    quartiles = F.percentile(var, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = rows.groupBy(*by).agg(F.count(var).alias("n"), F.min(var).alias("least"), F.max(var).alias("most"), F.avg(var).alias("mean"), F.stddev_pop(var).alias("sd"), quartiles.alias("_q"))
-    return out.select(*by, "n", "least", "most", "mean", "sd", *(F.col("_q")[i].alias(c) for i, c in enumerate(("p25", "p50", "p75"))))
+    out = rows.groupBy(*by).agg(F.count(var).alias("n"), F.min(var).alias("least"), F.max(var).alias("most"), F.avg(var).alias("mean"), F.stddev_pop(var).alias("sd"))
+    return with_percentiles(out, rows, var, by, QUARTILES)
+
+
+#: Names and shares of the quartiles.
+QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+
+
+def with_percentiles(out: DataFrame, rows: DataFrame, var: str, by: list[str], at: dict[str, float]) -> DataFrame:
+    """The summary rows of each of `by` with exact percentiles of the variable; null where there are no values."""
+    found = percentiles(rows, var, by, at).withColumnsRenamed({c: f"_{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return out.join(found, on, "left").drop(*(f"_{c}" for c in by))
 
 
 def equal_width(rows: DataFrame, var: str, by: list[str], buckets: int = 20) -> DataFrame:
     """bucket, lo, hi and n of equally wide buckets between the least and the largest value of each of `by`."""
-    span = Window.partitionBy(*by)
-    ends = rows.where(F.col(var).isNotNull()).select(*by, var, F.min(var).over(span).alias("mn"), F.max(var).over(span).alias("mx"))
+    known = rows.where(F.col(var).isNotNull()).select(*by, var)
+    spans = known.groupBy(*by).agg(F.min(var).alias("mn"), F.max(var).alias("mx"))  # a row for each of `by`
+    ends = known.join(spans, by) if by else known.crossJoin(F.broadcast(spans))
     width = (F.col("mx") - F.col("mn")) / buckets
     bucket = F.when(F.col("mx") > F.col("mn"), F.least(F.floor((F.col(var) - F.col("mn")) / F.nullif(width, F.lit(0.0))), F.lit(buckets - 1))).otherwise(0).cast("int")
     counts = ends.groupBy(*by, bucket.alias("bucket"), "mn", "mx").agg(F.count("*").alias("n"))

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import columns as fn
-from lodestat.operators import cohorts, disclosure, exploration, frame, statistics
+from lodestat.operators import cohorts, disclosure, exploration, frame, ranks, statistics
 from lodestat.operators.frame import Variable
 from lodestat.sources.observations import FHIR_BUNDLE, cohort_read, flatten_fhir, new_rows, observations, page_of_each, read, union_tagged
 
+from . import report
 from .engine import SourcePolicy, run_spec
 from .spec import AnalysisSpec
 
@@ -78,7 +79,8 @@ def idempotent_append(spark, sf_dir):
 
 @query("SELECT c_custkey FROM customer WHERE c_acctbal BETWEEN 1000 AND 5000 AND c_mktsegment = 'MACHINERY' AND c_nationkey IN (1, 2, 3, 8, 20)")
 def registry_search(spark, sf_dir):
-    return read(spark, sf_dir, "customer").where(F.col("c_acctbal").between(1000, 5000) & (F.col("c_mktsegment") == "MACHINERY") & F.col("c_nationkey").isin(1, 2, 3, 8, 20)).select("c_custkey")
+    people = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("age"), F.col("c_mktsegment").alias("sex"), F.col("c_nationkey").alias("org"))
+    return frame.registry(people, 1000, 5000, "MACHINERY", [1, 2, 3, 8, 20]).select("c_custkey")
 
 
 @query(f"WITH {OBS} SELECT seq, pid, 'urn:x:concept' AS unused, concept, CAST(value AS VARCHAR) AS value, CAST(d AS VARCHAR) AS effective_at, org FROM obs".replace(" 'urn:x:concept' AS unused,", "").replace("CAST(value AS VARCHAR)", "round(value, 6)"))
@@ -94,7 +96,7 @@ def fhir_flatten(spark, sf_dir):
     )
     bundles = rows.select("seq", F.array(F.struct(resource.alias("resource"))).alias("entry"))
     bundles = bundles.select(F.from_json(F.to_json(F.struct("entry")), FHIR_BUNDLE).alias("b"), "seq").select("b.entry", "seq")
-    flat = flatten_fhir(bundles.withColumn("entry", F.transform("entry", lambda e: e)))
+    flat = frame.only_asked(flatten_fhir(bundles), rows)
     return flat.join(rows.select("seq", "pid", "concept", F.col("d").cast("string").alias("effective_at"), F.col("value").cast("string").alias("value"), "org"), ["pid", "concept", "effective_at", "value", "org"]).select("seq", "pid", "concept", F.round(fn.number(F.col("value")), 6).alias("value"), "effective_at", "org")
 
 
@@ -104,6 +106,27 @@ def cohort_export_rows(spark, sf_dir):
     return rounded(cohort_read(rows, rows.where("concept = 'signup'"), ["purchase"]).select("source", "pid", "concept", fn.calendar(F.col("ts"), "month").alias("month"), "value"))
 
 
+@query(f"WITH {OBS} SELECT pid AS subject, org, concept, CAST(NULL AS VARCHAR) AS source_code, CAST(d AS VARCHAR) AS effective_at, round(value, 6) AS value, CAST(NULL AS VARCHAR) AS unit, CAST(NULL AS VARCHAR) AS run FROM obs WHERE concept IN ('purchase', 'click') AND pid IN (SELECT pid FROM obs WHERE concept = 'signup')")
+def export_columns(spark, sf_dir):
+    """The eight columns of a cohort's export."""
+    rows = observations(spark, sf_dir)
+    chosen = cohort_read(rows, rows.where("concept = 'signup'"), ["purchase", "click"])
+    return rounded(report.export_rows(chosen.select(F.col("pid").alias("subject"), "org", "concept", F.col("d").cast("string").alias("effective_at"), "value")))
+
+
+@query(f"WITH {OBS} SELECT 'c1' AS cohort, 'me' AS actor, count(*) AS rows, count(DISTINCT pid) AS subjects FROM obs WHERE concept IN ('purchase', 'click') AND pid IN (SELECT pid FROM obs WHERE concept = 'signup')".replace("AS rows", 'AS "rows"'))
+def export_receipt(spark, sf_dir):
+    return report.receipt(export_columns(spark, sf_dir), "c1", "me")
+
+
+@query(f"WITH {OBS} SELECT source, 'Parameters' AS resource, round(count(value), 6)::DOUBLE AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50 FROM obs WHERE concept = 'purchase' GROUP BY source")
+def stats_parameters(spark, sf_dir):
+    """Figures of each source as a FHIR Parameters resource, read back from its JSON."""
+    figures = rounded(statistics.summary(observations(spark, sf_dir).where("concept = 'purchase'"), "value", ["source"]))
+    said = figures.select("source", F.from_json(report.as_parameters(figures, ["n", "mean", "p50"]), "resourceType string, parameter array<struct<name: string, valueDecimal: double>>").alias("r"))
+    return said.select("source", F.col("r.resourceType").alias("resource"), *(F.col("r.parameter")[i]["valueDecimal"].alias(c) for i, c in enumerate(("n", "mean", "p50"))))
+
+
 # Projections, predicates, joins
 
 
@@ -134,8 +157,9 @@ def age_predicate(spark, sf_dir):
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', 'F') OR o_orderstatus IN ('1-URGENT', 'F')")
 def array_any_match(spark, sf_dir):
-    wanted = F.array(F.lit("1-URGENT"), F.lit("F"))
-    return read(spark, sf_dir, "orders").where(F.arrays_overlap(F.array("o_orderpriority", "o_orderstatus"), wanted)).select("o_orderkey")
+    """Orders by what they refer to: by an identifier, or by the tail of a reference."""
+    references = F.array(F.struct(F.col("o_orderpriority").alias("identifier"), F.concat(F.lit("Request/"), F.col("o_orderstatus")).alias("reference")))
+    return frame.refers_to(read(spark, sf_dir, "orders").withColumn("based_on", references), "based_on", ["1-URGENT", "F"]).select("o_orderkey")
 
 
 @query(f"WITH {OBS} SELECT concept, count(*) AS n FROM obs WHERE pid IN (SELECT pid FROM obs WHERE concept = 'error' AND value > 90) GROUP BY concept")
@@ -316,7 +340,7 @@ def histogram_fixed(spark, sf_dir):
 def histogram_auto(spark, sf_dir):
     """Bins from the inner 98 percent of a first pass; those without values have no row here."""
     rows = read(spark, sf_dir, "events")
-    low, high = rows.agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99)))).first()[0]
+    low, high = ranks.percentiles(rows, "value", [], {"low": 0.01, "high": 0.99}).first()
     low, high = low // 5 * 5, -(-high // 5) * 5
     return statistics.histogram(rows, "value", statistics.edges(low, high, 5), ["event_type"]).where("n > 0").withColumn("bin", F.col("bin").cast("int"))
 
@@ -407,6 +431,12 @@ def linreg_normal_eq(spark, sf_dir):
     return cells.select("i", "j", F.round(F.col("value") / whole, 9).alias("value"))
 
 
+@query("SELECT l_linestatus AS \"group\", round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, count(*) AS n FROM lineitem GROUP BY 1")
+def linreg_coefficients(spark, sf_dir):
+    """Coefficients from the normal equations of each group; a group of fewer than max(k, p + 2) rows has none."""
+    return rounded(statistics.coefficients(read(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_quantity"], "l_linestatus", 5).select(F.col("l_linestatus").alias("group"), F.round("intercept", 4).alias("intercept"), F.col("l_quantity").alias("slope"), "n"))
+
+
 KM = "km AS (SELECT floor(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) / 180)::BIGINT AS period, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS events, count(*) * 3 AS at_risk FROM orders GROUP BY 1)"
 
 
@@ -417,6 +447,15 @@ def kaplan_meier(spark, sf_dir):
     return rounded(statistics.kaplan_meier(rows))
 
 
+@query(f"WITH {KM}, k AS (SELECT period, sum(events) d, sum(at_risk) n FROM km GROUP BY period HAVING sum(at_risk) > 0), c AS (SELECT *, exp(sum(ln(1 - d * 1.0 / n)) OVER (ORDER BY period ROWS UNBOUNDED PRECEDING)) AS s, (SELECT avg(n) FROM k) AS thin FROM k) SELECT period, CASE WHEN n >= thin THEN round(s, 6) END AS survival, n < thin AS suppressed FROM c")
+def kaplan_meier_hidden(spark, sf_dir):
+    """Periods with few at risk are hidden; the curve goes on behind them."""
+    period = F.floor(F.date_diff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")) / 180)
+    rows = read(spark, sf_dir, "orders").groupBy(period.alias("period")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("events"), (F.count("*") * 3).alias("at_risk"))
+    thin = rows.agg(F.avg("at_risk")).first()[0]
+    return rounded(statistics.hide_thin(statistics.kaplan_meier(rows), thin).select("period", "survival", "suppressed"))
+
+
 CENTROIDS = """v AS (SELECT source, value, row_number() OVER (PARTITION BY source ORDER BY value, seq) rn, count(*) OVER (PARTITION BY source) c FROM obs),
  z AS (SELECT *, greatest(5, ceil(c / 200.0)) step FROM v),
  cen AS (SELECT source, least(floor((rn - 1) / step), greatest(floor(c / step) - 1, 0)) g, avg(value) mean, count(*) weight FROM z GROUP BY 1, 2)"""
@@ -551,6 +590,41 @@ def concept_inventory(spark, sf_dir):
     return exploration.concept_inventory(observations(spark, sf_dir).groupBy("source", "concept", unit.alias("unit")).agg(F.count("*").alias("n")))
 
 
+@query(f"WITH {OBS} SELECT hour(ts)::INT AS hour, count(*) AS n, round(avg(value), 6) AS mean FROM obs WHERE pid IS NOT NULL AND value IS NOT NULL GROUP BY 1")
+def agp_epoch(spark, sf_dir):
+    """Hours of day of raw points whose time is in seconds since 1970."""
+    rows = observations(spark, sf_dir)
+    points = exploration.epoch_points(rows.select("pid", F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"), "value"))
+    return rounded(exploration.glucose_hours(points, []).where("n > 0").select("hour", "n", "mean"))
+
+
+@query(f"WITH {OBS} SELECT seq, pid FROM obs WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 7 DAY")
+def since_window(spark, sf_dir):
+    return exploration.since(observations(spark, sf_dir), "2024-01-30 00:00:00", 7).select("seq", "pid")
+
+
+@query("SELECT DISTINCT o_custkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AND o_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+def code_predicates(spark, sf_dir):
+    """Customers with an order of some priorities and one of a status."""
+    return frame.with_codes(read(spark, sf_dir, "orders"), {"o_orderpriority": ["1-URGENT", "2-HIGH"], "o_orderstatus": ["P"]}, "o_custkey")
+
+
+@query(f"WITH {OBS}, t AS (SELECT pid, count(*) AS total FROM obs GROUP BY 1) SELECT concept AS code, count(*) AS n, count(DISTINCT obs.pid) AS patients FROM obs JOIN t ON t.pid = obs.pid WHERE total >= 60 AND obs.pid IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer) GROUP BY 1")
+def preview_concepts(spark, sf_dir):
+    """Rows and patients by concept over the people that a preview keeps."""
+    counts = exploration.measure_counts(observations(spark, sf_dir))
+    kept = exploration.with_measures(_people(spark, sf_dir), counts, 0).withColumn("kept", F.col("total") >= 60)
+    return exploration.kept_concepts(kept, counts)
+
+
+@query(f"WITH {OBS}, a AS (SELECT pid, concept AS code, count(*) AS n, source = 'cdr1' AS cut FROM obs GROUP BY 1, 2, 4) SELECT pid, code, sum(n * 2)::BIGINT AS n, bool_or(cut) AS truncated FROM a GROUP BY 1, 2")
+def measure_counts_added(spark, sf_dir):
+    """Counts of sources that have counted already and of one that sends rows, one source cut short."""
+    rows = observations(spark, sf_dir)
+    counted = rows.groupBy("source", "pid", F.col("concept").alias("code")).agg(F.count("*").alias("n")).withColumn("truncated", F.col("source") == "cdr1").drop("source")
+    return exploration.added_counts(counted.unionByName(exploration.measure_counts(rows), allowMissingColumns=True))
+
+
 @query(f"WITH {OBS} SELECT pid, concept AS code, count(*) AS n FROM obs GROUP BY 1, 2")
 def measure_counts(spark, sf_dir):
     return exploration.measure_counts(observations(spark, sf_dir))
@@ -583,8 +657,9 @@ def suppress_counts(spark, sf_dir):
 
 @query("SELECT max(CASE WHEN n_regionkey = 3 THEN 12 ELSE 5 END)::INT AS k_min, max(10 + n_regionkey)::INT AS min_correlation, max(0.05 + n_regionkey / 100.0)::DOUBLE AS low FROM nation".replace("max(0.05 + n_regionkey / 100.0)::DOUBLE", "round(max(0.05 + n_regionkey / 100.0), 6)::DOUBLE"))
 def strictest_policy(spark, sf_dir):
-    policies = read(spark, sf_dir, "nation").select(F.when(F.col("n_regionkey") == 3, 12).otherwise(5).alias("k"), (F.col("n_regionkey") + 10).alias("c"), (F.lit(0.05) + F.col("n_regionkey") / 100).alias("low"))
-    return rounded(policies.agg(F.max("k").cast("int").alias("k_min"), F.max("c").cast("int").alias("min_correlation"), F.max("low").alias("low")))
+    low = F.lit(0.05) + F.col("n_regionkey") / 100
+    policies = read(spark, sf_dir, "nation").select(F.when(F.col("n_regionkey") == 3, 12).otherwise(5).alias("k_min"), F.lit(5).alias("floor"), (F.col("n_regionkey") + 10).alias("min_correlation"), low.alias("low"), F.lit(0.95).alias("high"), F.lit(0).alias("rounding"))
+    return rounded(disclosure.strictest(policies).select(F.col("k_min").cast("int").alias("k_min"), F.col("min_correlation").cast("int").alias("min_correlation"), "low"))
 
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.05), 6) AS low, round(quantile_cont(o_totalprice, 0.95), 6) AS high FROM orders GROUP BY 1")
@@ -627,13 +702,47 @@ def identifier_scan(spark, sf_dir):
     return disclosure.identifier_scan(read(spark, sf_dir, "documents").select("text"))
 
 
-@query()
+MERGED_BINS = f"""WITH RECURSIVE {FRAME[FRAME.index("obs AS"):]}, b AS (SELECT source, floor(purchase / 5) * 5 AS lo, count(*) AS n FROM f WHERE purchase IS NOT NULL GROUP BY 1, 2),
+  o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY lo) AS i FROM b),
+  r AS (SELECT source, i, 1 AS g, n AS upto FROM o WHERE i = 1 UNION ALL SELECT o.source, o.i, CASE WHEN upto < 5 THEN g ELSE g + 1 END, CASE WHEN upto < 5 THEN upto + o.n ELSE o.n END FROM r JOIN o ON o.source = r.source AND o.i = r.i + 1),
+  t AS (SELECT source, g, sum(n) AS n, max(g) OVER (PARTITION BY source) AS last FROM (SELECT r.source, r.g, o.n FROM r JOIN o ON o.source = r.source AND o.i = r.i) GROUP BY source, g),
+  j AS (SELECT source, g, CASE WHEN g = last AND n < 5 AND g > 1 THEN g - 1 ELSE g END AS to_g FROM t)
+SELECT j.source, string_agg(CAST(CAST(o.lo AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(o.lo + 5 AS BIGINT) AS VARCHAR), '+' ORDER BY o.i) AS label, CASE WHEN sum(o.n) >= 5 THEN sum(o.n)::BIGINT END AS n
+FROM r JOIN o ON o.source = r.source AND o.i = r.i JOIN j ON j.source = r.source AND j.g = r.g GROUP BY j.source, j.to_g"""
+
+
+@query(MERGED_BINS)
 def merge_small_bins(spark, sf_dir):
-    """Bins of patients' mean purchase with small ones merged; the sweep over a few bins runs on the driver."""
-    bins = patients(spark, sf_dir).where("purchase IS NOT NULL").groupBy((F.floor(F.col("purchase") / 5) * 5).alias("lo")).agg(F.count("*").alias("n"))
-    rows = sorted((int(r["lo"]), r["n"]) for r in bins.collect())  # a row for each bin
-    merged = disclosure.merge_small_bins([(f"{a}-{a + 5}", n) for a, n in rows], 5)
-    return spark.createDataFrame(merged, "bin string, n long")
+    """Bins of patients' mean purchase by source, small ones merged with the next."""
+    low = (F.floor(F.col("purchase") / 5) * 5).cast("long")
+    bins = patients(spark, sf_dir).where("purchase IS NOT NULL").groupBy("source", low.alias("at")).agg(F.count("*").alias("n"))
+    return disclosure.safe_bins(bins.withColumn("label", F.concat_ws("-", "at", F.col("at") + 5)), 5)
+
+
+@query("""WITH h AS (SELECT c_nationkey AS cohort_no, c_custkey AS pid FROM customer UNION ALL SELECT 100, c_custkey FROM customer WHERE c_acctbal > 3 UNION ALL SELECT 101, c_custkey FROM customer WHERE c_acctbal > -1 OR c_custkey <= 3),
+  b AS (SELECT c_custkey AS pid FROM customer WHERE c_acctbal > 0), s AS (SELECT cohort_no, count(*) + (SELECT count(*) FROM b) - 2 * count(b.pid) AS differ FROM h LEFT JOIN b ON b.pid = h.pid GROUP BY cohort_no)
+  SELECT cohort_no, differ::BIGINT AS differ, CASE WHEN cohort_no % 5 = 0 THEN 'exempt' WHEN differ > 0 AND differ < 40 THEN 'warn' WHEN differ > 0 AND differ < 80 THEN 'near' ELSE 'ok' END AS verdict FROM s""")
+def differencing_guard(spark, sf_dir):
+    """Verdicts on a cohort against all that its owner has asked about before."""
+    people = read(spark, sf_dir, "customer")
+    history = people.select(F.col("c_nationkey").cast("int").alias("cohort_no"), F.col("c_custkey").alias("pid")).union(people.where("c_acctbal > 3").select(F.lit(100), "c_custkey")).union(people.where("c_acctbal > -1 OR c_custkey <= 3").select(F.lit(101), "c_custkey"))
+    history = history.select(F.lit("me").alias("owner"), "cohort_no", F.concat(F.lit("r"), F.col("cohort_no") % 5).alias("recipe"), "pid")
+    others = history.withColumn("owner", F.lit("other"))
+    return disclosure.guarded(history.union(others), people.where("c_acctbal > 0").select(F.col("c_custkey").alias("pid")), "me", "r0", 40)
+
+
+@query(f"WITH {OBS} SELECT source, CASE WHEN count(DISTINCT pid) >= 300 THEN count(DISTINCT pid) END AS n, count(DISTINCT pid) < 300 AS suppressed FROM obs WHERE concept = 'signup' GROUP BY source")
+def audit_counts(spark, sf_dir):
+    """What an audit row says of each source: its number of patients, hidden where it is small."""
+    counts = observations(spark, sf_dir).where("concept = 'signup'").groupBy("source").agg(F.count_distinct("pid").alias("n"))
+    return disclosure.suppressed(counts, 300)
+
+
+@query()
+def table_suppression(spark, sf_dir):
+    """A grid by source whose small cells are hidden, with complements, so that margins don't give them away."""
+    cells = patients(spark, sf_dir).groupBy("source", F.col("sex").alias("row"), F.col("org").alias("col")).agg(F.count("*").alias("n"))
+    return disclosure.safe_grids(cells, 5)
 
 
 @query("SELECT l_partkey, coalesce(p_name, l_partkey::VARCHAR) AS display, count(*) AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON l_partkey = p_partkey GROUP BY 1, 2")

@@ -23,6 +23,34 @@ def write_csv(result: DataFrame, path: str) -> None:
     result.write.mode("overwrite").csv(path, header=True)
 
 
+#: Columns of an export of rows, in order.
+EXPORT = ("subject", "org", "concept", "source_code", "effective_at", "value", "unit", "run")
+
+
+def export_rows(rows: DataFrame) -> DataFrame:
+    """The rows of a cohort's export: exactly the columns of EXPORT; those that the rows lack are null."""
+    return rows.select(*(F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in EXPORT))
+
+
+def receipt(exported: DataFrame, cohort: str, actor: str) -> DataFrame:
+    """One row for the audit: whose export of which cohort, with the true numbers of rows and subjects."""
+    counts = exported.agg(F.count("*").alias("rows"), F.count_distinct("subject").alias("subjects"))
+    return counts.select(F.lit(cohort).alias("cohort"), F.lit(actor).alias("actor"), "rows", "subjects")
+
+
+def write_export(rows: DataFrame, path: str, audit: str, cohort: str, actor: str) -> None:
+    """Writes the rows as CSV, and appends a receipt that is counted from what was written."""
+    export_rows(rows).write.mode("overwrite").csv(path, header=True)
+    written = rows.sparkSession.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in EXPORT))
+    receipt(written, cohort, actor).write.mode("append").parquet(audit)
+
+
+def as_parameters(figures: DataFrame, names: list[str]) -> Column:
+    """Figures of a row as a FHIR Parameters resource in JSON; null figures are left out."""
+    given = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("valueDecimal")) for n in names))
+    return F.to_json(F.struct(F.lit("Parameters").alias("resourceType"), F.filter(given, lambda p: p["valueDecimal"].isNotNull()).alias("parameter")))
+
+
 def provenance_rows(spark: SparkSession, spec: AnalysisSpec, policies: list[SourcePolicy]) -> DataFrame:
     """A row for each thing that a report says about its figures: about, value."""
     said = provenance(spec, policies)

@@ -56,6 +56,12 @@ def read_sources(spark: SparkSession, paths: dict[str, str], tag: str = "source"
     return union_tagged(parts, tag), status
 
 
+def verdict(status: list[dict]) -> str:
+    """complete when all sources answered, degraded when most did, else error."""
+    ok = sum(s["ok"] for s in status)
+    return "complete" if ok == len(status) else "degraded" if 2 * ok >= len(status) and ok else "error"
+
+
 def page_of_each(rows: DataFrame, by: str, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """Rows offset+1 to offset+limit of each source."""
     number = F.row_number().over(Window.partitionBy(by).orderBy(*order))

@@ -214,3 +214,65 @@ def test_stream_sums_match_batch_sums(spark, tmp_path):
     run.stop()
     streamed = {(r.source, r.concept): r.n for r in spark.sql("SELECT source, concept, sum(n) AS n FROM sums GROUP BY 1, 2").collect()}
     assert streamed == {(r.source, r.concept): r["count"] for r in rows.groupBy("source", "concept").count().collect()}
+
+
+def test_percentiles_and_ranks_by_ranges(spark):
+    import math
+    import random
+
+    from lodestat.operators import ranks
+
+    draw = random.Random(3)
+    values = [draw.choice([0.0, -1.5, draw.uniform(-1e6, 1e6), draw.uniform(36, 38), 7.0, None]) for _ in range(900)]
+    rows = spark.createDataFrame([(f"g{i % 3}" if i % 3 else None, i, v) for i, v in enumerate(values)], "g string, seq long, v double")
+    at = {"low": 0.05, "mid": 0.5, "high": 0.97}
+    key = lambda r: str(r.g)
+    some, many = (sorted(ranks.percentiles(rows, "v", ["g"], at, small).collect(), key=key) for small in (10**6, 0))
+    assert len(some) == 3 and all(math.isclose(a[k], b[k]) and a.g == b.g for a, b in zip(some, many) for k in at)
+    whole = ranks.percentiles(rows, "v", [], at, 0).first()
+    assert all(math.isclose(whole[k], ranks.percentiles(rows, "v", [], at).first()[k]) for k in at)
+    assert ranks.percentiles(rows.where("false"), "v", ["g"], at, 0).count() == 0
+    known = rows.where("v IS NOT NULL")
+    found = ranks.average_ranks(ranks.numbered(known, "v", ["g"], [F.col("seq")]), "v", ["g"], "rank").collect()
+    for g in ("g1", "g2", None):
+        mine = sorted((r for r in found if r.g == g), key=lambda r: (r.v, r.seq))
+        assert [r["_n"] for r in mine] == list(range(1, len(mine) + 1)) and {r["_count"] for r in mine} == {len(mine)}
+        for r in mine:
+            same = [i for i, x in enumerate(mine, 1) if x.v == r.v]
+            assert r.rank == sum(same) / len(same)
+
+
+def test_rows_of_strangers_are_an_error(spark):
+    import pytest
+
+    from lodestat.operators import frame as patient_frames
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "pid string, n int")
+    asked = spark.createDataFrame([("a",), ("b",), ("a",)], "pid string")
+    assert sorted(r.n for r in patient_frames.only_asked(rows, asked).collect()) == [1, 2]
+    with pytest.raises(Exception, match="not asked for"):
+        patient_frames.only_asked(rows, asked.where("pid = 'a'")).collect()
+
+
+def test_registry_scopes(spark):
+    from lodestat.operators import frame as patient_frames
+
+    people = spark.createDataFrame([(30, "f", "o1"), (50, "m", "o2"), (None, "f", None)], "age int, sex string, org string")
+    count = lambda **k: patient_frames.registry(people, **k).count()
+    assert (count(), count(orgs=[]), count(orgs=["o1"]), count(low=40), count(high=40, sex="f")) == (3, 0, 1, 1, 1)
+
+
+def test_verdict_of_sources():
+    from lodestat.sources.observations import verdict
+
+    said = lambda *oks: verdict([{"ok": ok} for ok in oks])
+    assert (said(True, True), said(True, True, False), said(True, False, False), said(False)) == ("complete", "degraded", "error", "error")
+
+
+def test_export_and_receipt(spark, tmp_path):
+    from lodestat.plans import report
+
+    rows = spark.createDataFrame([("p1", "o", "c", 1.5), ("p1", "o", "c", None), ("p2", None, "d", 2.0)], "subject string, org string, concept string, value double")
+    report.write_export(rows, str(tmp_path / "csv"), str(tmp_path / "audit"), "c1", "me")
+    assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == list(report.EXPORT)
+    assert tuple(spark.read.parquet(str(tmp_path / "audit")).first()) == ("c1", "me", 3, 2)
