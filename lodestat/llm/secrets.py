@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .automata import Automaton, classes
+from .automata import LOG_SIZE, Automaton, classes
 from .common import saved
 
 KINDS = ("assign", "access", "hex", "format")
@@ -45,7 +45,7 @@ ORDINARY, ORDINARY_CHARS = ("plain", "word"), 12
 MIN_RATIO, MIN_RATIO_PER_CHAR = 20.0, 0.5
 #: Characters of the windows of a longer run, and of the steps between them.
 WINDOW, STEP = 64, 32
-#: Runs whose verdict a worker keeps; beyond, it starts anew.
+#: Runs whose verdict a worker keeps, but for those of the text at hand; beyond, it starts anew.
 CACHE = 400_000
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
 
@@ -127,14 +127,22 @@ def ratio(value: str, models: dict[str, Automaton]) -> float:
 
 
 def _likely(value: str, models: dict[str, Automaton]) -> bool:
-    return ratio(value, models) >= max(MIN_RATIO, MIN_RATIO_PER_CHAR * len(value))
+    """Whether the ratio reaches both limits. No format makes a value likelier than its characters within their classes
+    are, so most values need no look at the formats: an automaton of ordinary strings makes them too likely for that."""
+    least = max(MIN_RATIO, MIN_RATIO_PER_CHAR * len(value))
+    symbols = classes(value)
+    most = -sum(LOG_SIZE.get(c, 0.0) for c in symbols)
+    for kind in reversed(ORDINARY):
+        if kind in models and most - models[kind].log_likelihood(value, symbols) < least:
+            return False
+    return ratio(value, models) >= least
 
 
 def judged(value: str, models: dict[str, Automaton]) -> list[tuple[int, int]]:
     """The stretches of a run that are likely credentials: all of it, or parts and windows, joined where they overlap."""
     if _likely(value, models):
         return [(0, len(value))]
-    tried = {m.span() for part in PARTS for m in part.finditer(value)} - {(0, len(value))}
+    tried = set() if value.isalnum() else {m.span() for part in PARTS for m in part.finditer(value)} - {(0, len(value))}
     if len(value) > WINDOW:
         tried |= {(k, k + WINDOW) for k in (*range(0, len(value) - WINDOW, STEP), len(value) - WINDOW)}
     out: list[list[int]] = []
@@ -150,17 +158,18 @@ def all_spans(text: str | None, models: dict[str, Automaton], known: dict[str, l
     """(kind, start, end) of all spans, in order of start, then kind; `known` keeps verdicts on runs."""
     known = {} if known is None else known
     base = base_spans(text)
-    added = []
-    if base or any(known.get(v, True) for v in set(CANDIDATE.findall(text or ""))):
-        for a, _, value in candidates(text, base):
-            found = known.get(value)
-            if found is None:
-                found = judged(value, models)
-                if len(known) >= CACHE:
-                    known.clear()
-                if len(value) <= WINDOW:
-                    known[value] = found
-            added += [("format", a + x, a + y) for x, y in found]
+    if len(known) >= CACHE:
+        known.clear()
+    likely = {}
+    for value in {v for _, _, v in candidates(text, base)} if base else set(CANDIDATE.findall(text or "")):
+        found = known.get(value)
+        if found is None:
+            found = judged(value, models)
+            if len(value) <= WINDOW:
+                known[value] = found
+        if found:
+            likely[value] = found
+    added = [("format", a + x, a + y) for a, _, value in candidates(text, base) for x, y in likely.get(value, ())] if likely else []
     return sorted([x[:3] for x in base] + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
