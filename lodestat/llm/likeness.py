@@ -36,7 +36,7 @@ from .simhash import least_of_each
 WIDTH, SIMILARITY = 5, 0.8
 #: Probability that a pair just at the limit shares a look-up, and how many deviations its distance may be above its mean.
 RECALL, DEVIATIONS = 0.995, 3.3
-LEAST_SEGMENT, HOT_BUCKET = 12, 8
+LEAST_SEGMENT, HOT_BUCKET = 12, 4
 
 
 @dataclass(frozen=True)
