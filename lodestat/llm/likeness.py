@@ -166,7 +166,7 @@ def _links(docs: DataFrame, nodes: DataFrame, index: Index, text: str, width: in
         pairs = pairs.union(stars)
     close = _close(pairs, nodes, index)
     rest = None if no_hot else lambda edges: _close(_hot_apart(members, edges, index.most_first), nodes, index)
-    needed = close.select(F.explode(F.array("a", "b")).alias("node"))
+    needed = close.select(F.col("a").alias("node")).distinct().union(close.select(F.col("b").alias("node")).distinct())
     needed = (needed if no_hot else needed.union(members.select("node"))).distinct()
     wanted = nodes.join(needed, "node", "left_semi").select("node", "text_hash")
     texts = saved(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")))
