@@ -7,11 +7,17 @@ pair just at the limit to be within one bit in one of them with probability RECA
 
 Each fingerprint looks up every value within one bit of each of its segments in the table of segments (a pair that
 differs in one bit is found from the side that has it set). What it finds is held against the first 64 bits, then
-against the whole fingerprint, then verified on the whole shingle sets: links are exact. First each node's least
-partner is verified; pairs that those links put in one component need no verification, all others get it.
+against the whole fingerprint, then verified on the whole shingle sets: links are exact. In each of a few rounds
+(ROUNDS) each node's partner of least distance is verified; pairs that those links put in one component need no
+verification, all others get it.
 
-A segment value of very many fingerprints (HOT_BUCKET) is not paired all against all: those that look it up are held
-against its least node first. Then pairs that still lie in different components are held against each other.
+A segment value of many fingerprints (HOT_BUCKET) is not paired all against all: those that look it up are held
+against one of its nodes first, for each value another one, as texts of a group that are unlike one of its members are
+like others. Then pairs that still lie in different components are held against each other.
+
+Before that, pairs go that cannot be alike as too many shingles of theirs occur in one of the texts in question only:
+an edited copy has many of them, and need not be held against its whole group. This bound is exact. It is taken for texts with a near partner only, as most texts that
+look up a value of many fingerprints are not near to any of them.
 
 Nulls: a null, empty or wordless text has the empty set (node zero), and those are equal. Ties, null ids and repeated
 rows are as in `simhash`. Very long texts are read whole, each by one task. Other columns are not looked at.
@@ -37,6 +43,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Probability that a pair just at the limit shares a look-up, and how many deviations its distance may be above its mean.
 RECALL, DEVIATIONS = 0.995, 3.3
 LEAST_SEGMENT, HOT_BUCKET = 12, 4
+#: Rounds that verify each node's nearest partner only, before all pairs that are still apart.
+ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -74,6 +82,10 @@ class Index:
 
         return F.array(*map(key, range(self.segments)))
 
+    def first_met(self, a: Column, b: Column) -> Column:
+        """Number of the first segment in which two fingerprints are within one bit; -1 if there is none."""
+        return F.array_position(F.zip_with(self.keys(a), self.keys(b), lambda p, q: F.bit_count(p.bitwiseXOR(q)) <= 1), True) - 1
+
 
 def _noted(docs: DataFrame, id_column: str, text: str, width: int, lanes: int) -> DataFrame:
     """id, text_hash, node and fingerprint of every document."""
@@ -106,11 +118,14 @@ def _met(probes: DataFrame, table: DataFrame, most_first: int) -> DataFrame:
     return probes.join(entries, on).select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
 
 
+def _distance(a: str, b: str, index: Index) -> Column:
+    return sum((_differ(F.col(a)[i], F.col(b)[i]) for i in range(index.lanes)), F.lit(0))
+
+
 def _close(pairs: DataFrame, nodes: DataFrame, index: Index) -> DataFrame:
-    """Those of the pairs whose whole fingerprints are near, each once."""
+    """Those of the pairs whose whole fingerprints are near, each once, with their distance."""
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("prints").alias(f"prints_{n}"))
-    distance = sum((_differ(F.col("prints_a")[i], F.col("prints_b")[i]) for i in range(index.lanes)), F.lit(0))
-    return saved(pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(distance <= index.most).select("a", "b"))
+    return saved(pairs.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("distance", _distance("prints_a", "prints_b", index)).where(F.col("distance") <= index.most).select("a", "b", "distance"))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -133,23 +148,60 @@ def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     roots = saved(components(edges))
     side = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}"))
     placed = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    return placed.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b, distance) that are alike, but for some within a component of the others."""
+    edges = None
+    for _ in range(ROUNDS):
+        nearest = saved(pairs.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("n")).select("a", "n.b"))
+        found = _alike(nearest, texts, width, similarity)
+        edges = found if edges is None else edges.union(found)
+        pairs = saved(_apart(pairs.join(nearest, ["a", "b"], "left_anti"), edges))
+    return edges.union(_alike(pairs.select("a", "b"), texts, width, similarity))
+
+
+def _shared(texts: DataFrame, width: int) -> DataFrame:
+    """node, size (distinct shingles) and shared (those of them that occur in another of the texts too)."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in batches:
+            yield pd.Series([shingle_set(t, width).view("int64") for t in part], dtype=object)
+
+    sets = saved(texts.select("node", hashes("text").alias("hashes")))
+    each = sets.select("node", F.explode("hashes").alias("h"))
+    own = each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("_node")).where("n = 1").groupBy("_node").agg(F.count("*").alias("own"))
+    size = F.size("hashes").cast("long")
+    return sets.join(own, F.col("node") == F.col("_node"), "left").select("node", size.alias("size"), (size - F.coalesce("own", F.lit(0))).alias("shared"))
+
+
+def _enough(left: str, right: str, similarity: float) -> Column:
+    """Whether two sets could be alike if they had all shingles in common that they share with any text."""
+    common = F.least(f"shared{left}", f"shared{right}")
+    return (1 + similarity) * common >= similarity * (F.col(f"size{left}") + F.col(f"size{right}")) - 1e-6
 
 
-def _hot_apart(members: DataFrame, edges: DataFrame, most_first: int) -> DataFrame:
-    """Pairs (a > b) of a look-up and an entry of one hot value that lie in different components and are near in the first bits.
+def _hot_apart(members: DataFrame, edges: DataFrame, known: DataFrame, index: Index, similarity: float) -> DataFrame:
+    """Pairs (a > b, distance) of a look-up and an entry of one hot value that lie in different components and may be alike.
 
-    One node of such a pair lies outside of the component that has most nodes of the value.
+    `known` has node, prints, size and shared of the members (the last two null where not counted). A pair is taken from the first segment in which it is within
+    one bit (where that value is not hot, `_met` has the pair). The pairs' fingerprints are near, and the shingles that both share with others would do for the likeness. One node
+    of such a pair lies outside of the component that has most nodes of the value.
     """
+    members = members.drop("first").join(known, "node")
     roots = components(edges).withColumnRenamed("node", "_node")
-    placed = saved(members.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", "first", "cleared", F.coalesce("root", "node").alias("root")))
+    placed = saved(members.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", "prints", "cleared", "size", "shared", F.coalesce("root", "node").alias("root")))
     most = placed.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.root").alias("most"))
     mixed = saved(placed.join(most, "key"))
     outside = mixed.where("root != most")
-    entry = lambda frame: frame.where("NOT cleared").select("key", F.col("node").alias("x"), F.col("first").alias("first_x"), F.col("root").alias("root_x"))
-    near = lambda looks, entries: looks.join(entries, (looks["key"] == entries["key"]) & (F.col("root") != F.col("root_x")) & (_differ("first", "first_x") <= most_first))
+    entry = lambda frame: frame.where("NOT cleared").select("key", F.col("node").alias("x"), F.col("prints").alias("prints_x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), F.col("shared").alias("shared_x"))
+    distance = _distance("prints", "prints_x", index)
+    once = (F.col("cleared") | (F.col("node") > F.col("x"))) & F.coalesce(_enough("", "_x", similarity), F.lit(True)) & (distance <= index.most) & (index.first_met(F.col("prints"), F.col("prints_x")) == F.shiftright("key", index.bits))
+    near = lambda looks, entries: looks.join(entries.withColumnRenamed("key", "key_x"), (F.col("key") == F.col("key_x")) & (F.col("root") != F.col("root_x")) & once)
     pairs = near(outside, entry(mixed)).union(near(mixed.where("root = most"), entry(outside)))
-    return pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+    return saved(pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"), distance.alias("distance")).distinct())
 
 
 def _links(docs: DataFrame, nodes: DataFrame, index: Index, text: str, width: int, similarity: float, hot_bucket: int) -> DataFrame:
@@ -161,19 +213,22 @@ def _links(docs: DataFrame, nodes: DataFrame, index: Index, text: str, width: in
     pairs = _met(probes, table if no_hot else table.join(hot, "key", "left_anti"), index.most_first)
     if not no_hot:
         members = saved(probes.join(hot, "key", "left_semi"))
-        least = members.where("NOT cleared").groupBy("key").agg(F.min("node").alias("x"))
-        stars = members.join(least, "key").where("node != x").select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
+        middle = members.where("NOT cleared").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node", "first")).alias("m")).select("key", F.col("m.node").alias("x"), F.col("m.first").alias("first_x"))
+        stars = members.join(middle, (members["key"] == middle["key"]) & (F.col("node") != F.col("x")) & (_differ("first", "first_x") <= index.most_first)).select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
         pairs = pairs.union(stars)
     close = _close(pairs, nodes, index)
-    rest = None if no_hot else lambda edges: _close(_hot_apart(members, edges, index.most_first), nodes, index)
-    needed = close.select(F.col("a").alias("node")).distinct().union(close.select(F.col("b").alias("node")).distinct())
-    needed = (needed if no_hot else needed.union(members.select("node"))).distinct()
+    ends = saved(close.select(F.col("a").alias("node")).distinct().union(close.select(F.col("b").alias("node")).distinct()).distinct())
+    needed = (ends if no_hot else ends.union(members.select("node"))).distinct()
     wanted = nodes.join(needed, "node", "left_semi").select("node", "text_hash")
     texts = saved(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")))
-    first = close.groupBy("a").agg(F.min("b").alias("b"))
-    edges = _alike(first, texts, width, similarity)
-    edges = edges.union(_alike(_apart(close.join(first, ["a", "b"], "left_anti"), edges), texts, width, similarity))
-    return edges if rest is None else edges.union(_alike(rest(edges).join(close, ["a", "b"], "left_anti"), texts, width, similarity))
+    shared = saved(_shared(texts.join(ends, "node", "left_semi"), width))
+    side = lambda n: shared.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("shared").alias(f"shared_{n}"))
+    close = saved(close.join(side("a"), "a").join(side("b"), "b").where(_enough("_a", "_b", similarity)).select("a", "b", "distance"))
+    edges = _verified(close, texts, width, similarity)
+    if no_hot:
+        return edges
+    known = nodes.select("node", "prints").join(shared, "node", "left")
+    return edges.union(_alike(_hot_apart(members, edges, known, index, similarity).select("a", "b"), texts, width, similarity))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
