@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, iblt, licenses, mixing, quality, scoring, secrets, sharding, simhash, warc
+from . import audit, bpe, clustering, iblt, licenses, mixing, pii, quality, scoring, secrets, sharding, simhash, warc
 from .common import table
 
 
@@ -67,13 +68,28 @@ def op10_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every part, order of the five filters and step, what the step's filter removes and what that costs."""
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_threshold_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole vector's cluster after five rounds, its squared distance and the sums of distances."""
+    return clustering.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's personal data: base spans, and those that the tagger adds."""
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_byte_bpe, op3_mix_sources, op4_kd_sharding, op5_iblt_fingerprints, op6_secret_scans, op7_simhash, op8_license_rules, op9_warc_round_trip, op10_log_bilinear]
+    named = [op1_quality_rules, op2_byte_bpe, op3_mix_sources, op4_kd_sharding, op5_iblt_fingerprints, op6_secret_scans, op7_simhash, op8_license_rules, op9_warc_round_trip, op10_log_bilinear, op11_filter_audit, op12_threshold_clusters, op13_personal_data]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL, "op8_license_rules": op8_sql(), "op9_warc_round_trip": OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op1_quality_rules": OP1_SQL, "op8_license_rules": op8_sql(), "op9_warc_round_trip": OP9_SQL, "op11_filter_audit": op11_sql(), "op12_threshold_clusters": op12_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
 
 
 OP1_SQL = r"""
@@ -126,3 +142,53 @@ m AS (SELECT doc_id, sentences, places, array_to_string(list_sort(list_distinct(
 SELECT d.doc_id, coalesce(sentences, '') AS sentences, coalesce(places, '') AS places, coalesce(licenses, '') AS licenses
 FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id
 """
+
+
+def op11_sql() -> str:
+    orders = ", ".join(f"('{''.join(p)}')" for p in permutations(audit.FILTERS))
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT
+    + 4 * (100 * (length(t.text) - length(regexp_replace(t.text, '[A-Z]', '', 'g'))) > 3 * length(t.text))::INT
+    + 8 * regexp_matches(t.text, '[#$%&*|]')::INT + 16 * coalesce(t.doc_id > first, false)::INT AS mask
+  FROM t JOIN firsts ON firsts.text = t.text LEFT JOIN l ON l.doc_id = t.doc_id),
+c AS (SELECT part, mask, count(*) AS n, count_if(good) AS good, count_if(toxic) AS toxic FROM m GROUP BY part, mask),
+o(filter_order) AS (VALUES {orders}),
+s AS (SELECT filter_order, step, 1 << (instr('ABCDE', filter_order[step]) - 1) AS bit,
+  list_sum([0] || list_transform(range(1, step), lambda i: 1 << (instr('ABCDE', filter_order[i]) - 1))) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, bit, sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN n ELSE 0 END) AS removed, sum(CASE WHEN mask & before > 0 AND mask & bit > 0 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & bit > 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM (SELECT *, before::BIGINT AS _b FROM c, s) GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, bit)::BIGINT AS shapley
+FROM r
+"""
+
+
+def op12_sql() -> str:
+    n, k = clustering.DIMENSIONS, clustering.CENTROIDS
+    gap = f"list_sum(list_transform(range(1, {n + 1}), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i])))"
+    rounds = ""
+    for turn in range(clustering.ROUNDS + 1):
+        rounds += f""",
+d{turn} AS MATERIALIZED (SELECT row, min({{'d': gap, 'c': c}}) AS best FROM (SELECT v.row, c.c, {gap}::BIGINT AS gap FROM v, c{turn} c) GROUP BY row)"""
+        if turn < clustering.ROUNDS:
+            rounds += f""",
+s{turn} AS (SELECT best.c AS c, i, sum(x[i]) AS s, count(*) AS n FROM d{turn} JOIN v ON v.row = d{turn}.row, (SELECT unnest(range(1, {n + 1})) AS i) GROUP BY 1, 2),
+m{turn} AS (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS x FROM s{turn} GROUP BY c),
+c{turn + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{turn} c LEFT JOIN m{turn} m ON m.c = c.c)"""
+    return f"""
+WITH whole AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {n} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {n}),
+v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)::BIGINT) AS x FROM whole),
+c0 AS MATERIALIZED (SELECT c, x FROM (SELECT row_number() OVER (ORDER BY sha256('{clustering.SEED}:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x FROM v) WHERE c < {k}){rounds}
+SELECT vec_id, best.c::INT AS cluster, best.d AS distance, sum(best.d) OVER (PARTITION BY best.c)::BIGINT AS cluster_inertia, sum(best.d) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM d{clustering.ROUNDS} d JOIN v ON v.row = d.row JOIN c{clustering.ROUNDS} c ON c.c = best.c
+"""
