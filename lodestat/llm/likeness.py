@@ -43,6 +43,12 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Probability that a pair just at the limit shares a look-up, and how many deviations its distance may be above its mean.
 RECALL, DEVIATIONS = 0.995, 3.3
 LEAST_SEGMENT, HOT_BUCKET = 12, 4
+#: Lanes of 64 bits of a whole fingerprint, if the segments do not need more: the longer, the fewer pairs below the limit stay.
+LEAST_LANES = 16
+#: Nodes whose ids are broadcast at most (some 3 MB), to pick their texts before these are moved; more are joined by a shuffle.
+BROADCAST_NODES = 200_000
+#: Look-ups of one value that a task holds against its entries.
+SALTED_ROWS = 2000
 #: Rounds that verify each node's nearest partner only, before all pairs that are still apart.
 ROUNDS = 2
 
@@ -58,7 +64,7 @@ class Index:
 
     @property
     def lanes(self) -> int:
-        return -(-self.bits * self.segments // 64)
+        return max(LEAST_LANES, -(-self.bits * self.segments // 64))
 
     @staticmethod
     def of(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -> Index:
@@ -68,7 +74,7 @@ class Index:
         within_one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
         segments = math.ceil(math.log(1 - recall) / math.log(1 - within_one))
         most = lambda k: math.ceil(k * p + DEVIATIONS * math.sqrt(k * p * (1 - p)))
-        return Index(bits, segments, most(64), most(64 * -(-bits * segments // 64)))
+        return Index(bits, segments, most(64), most(64 * max(LEAST_LANES, -(-bits * segments // 64))))
 
     def keys(self, prints: Column) -> Column:
         """An array of (number of the segment, its value) as one number each."""
@@ -125,11 +131,28 @@ def _distance(a: str, b: str, index: Index) -> Column:
 def _close(pairs: DataFrame, nodes: DataFrame, index: Index) -> DataFrame:
     """Those of the pairs whose whole fingerprints are near, each once, with their distance."""
     side = lambda n: nodes.select(F.col("node").alias(n), F.col("prints").alias(f"prints_{n}"))
-    return saved(pairs.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("distance", _distance("prints_a", "prints_b", index)).where(F.col("distance") <= index.most).select("a", "b", "distance"))
+    return pairs.distinct().join(side("a"), "a").join(side("b"), "b").withColumn("distance", _distance("prints_a", "prints_b", index)).where(F.col("distance") <= index.most).select("a", "b", "distance")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The nodes of pairs, each once. Saved."""
+    return saved(pairs.select(F.col("a").alias("node")).distinct().union(pairs.select(F.col("b").alias("node")).distinct()).distinct())
+
+
+def _picked(frame: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """Joins rows with texts to saved narrow ones that say which of them are wanted: these go to the texts if they are few."""
+    return frame.join(F.broadcast(few) if few.count() <= BROADCAST_NODES else few, on)
+
+
+def _texts_of(docs: DataFrame, text: str, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node and text of the wanted nodes. Saved."""
+    wanted = saved(nodes.join(wanted, "node", "left_semi").select("node", "text_hash"))
+    found = _picked(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")), wanted, "text_hash")
+    return saved(found.groupBy("node").agg(F.first("text").alias("text")))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are alike. Saved."""
+    """Those of saved pairs (a, b) of nodes whose shingle sets are alike. Saved."""
 
     @F.pandas_udf("boolean")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -138,6 +161,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) ->
             whole = lambda t: seen[t] if t in seen else seen.setdefault(t, shingle_set(t, width))  # noqa: B023, E731
             yield pd.Series([jaccard(whole(x), whole(y)) >= similarity for x, y in zip(left, right)], dtype=bool)
 
+    texts = _picked(texts, _ends(pairs), "node")
     side = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
     both = pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b")
     return saved(both.where(alike("text_a", "text_b")).select("a", "b"))
@@ -159,7 +183,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
         found = _alike(nearest, texts, width, similarity)
         edges = found if edges is None else edges.union(found)
         pairs = saved(_apart(pairs.join(nearest, ["a", "b"], "left_anti"), edges))
-    return edges.union(_alike(pairs.select("a", "b"), texts, width, similarity))
+    return edges.union(_alike(pairs, texts, width, similarity))
 
 
 def _shared(texts: DataFrame, width: int) -> DataFrame:
@@ -183,52 +207,62 @@ def _enough(left: str, right: str, similarity: float) -> Column:
     return (1 + similarity) * common >= similarity * (F.col(f"size{left}") + F.col(f"size{right}")) - 1e-6
 
 
-def _hot_apart(members: DataFrame, edges: DataFrame, known: DataFrame, index: Index, similarity: float) -> DataFrame:
+def _hot_apart(members: DataFrame, edges: DataFrame, shared: DataFrame, index: Index, similarity: float) -> DataFrame:
     """Pairs (a > b, distance) of a look-up and an entry of one hot value that lie in different components and may be alike.
 
-    `known` has node, prints, size and shared of the members (the last two null where not counted). A pair is taken from the first segment in which it is within
-    one bit (where that value is not hot, `_met` has the pair). The pairs' fingerprints are near, and the shingles that both share with others would do for the likeness. One node
-    of such a pair lies outside of the component that has most nodes of the value.
+    `shared` has size and shared of the nodes for which they were counted. A pair is taken from the first segment in which
+    it is within one bit (where that value is not hot, `_met` has the pair). The pairs' fingerprints are near, and the
+    shingles that both share with others would do for the likeness. One node of such a pair lies outside of the component
+    that has most nodes of the value. Look-ups of a value are dealt to tasks, SALTED_ROWS or so to each, that all get the
+    value's entries.
     """
-    members = members.drop("first").join(known, "node")
     roots = components(edges).withColumnRenamed("node", "_node")
-    placed = saved(members.join(roots, F.col("node") == F.col("_node"), "left").select("key", "node", "prints", "cleared", "size", "shared", F.coalesce("root", "node").alias("root")))
-    most = placed.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("m"), F.count("*").alias("n")).where("n > 1").select("key", F.col("m.root").alias("most"))
-    mixed = saved(placed.join(most, "key"))
+    placed = members.join(shared, "node", "left").join(roots, F.col("node") == F.col("_node"), "left")
+    placed = saved(placed.select("key", "node", "prints", "cleared", "size", "shared", F.coalesce("root", "node").alias("root")))
+    counts = placed.groupBy("key", "root").agg(F.count("*").alias("count"), F.count_distinct("node").alias("nodes"))
+    most = counts.groupBy("key").agg(F.max(F.struct("nodes", "root")).alias("m"), F.count("*").alias("n"), F.sum("count").alias("rows")).where("n > 1")
+    mixed = saved(placed.join(most.select("key", F.col("m.root").alias("most"), F.ceil(F.col("rows") / SALTED_ROWS).cast("int").alias("salts")), "key"))
     outside = mixed.where("root != most")
-    entry = lambda frame: frame.where("NOT cleared").select("key", F.col("node").alias("x"), F.col("prints").alias("prints_x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), F.col("shared").alias("shared_x"))
+    entry = lambda frame: frame.where("NOT cleared").select(F.col("key").alias("key_x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt_x"), F.col("node").alias("x"), F.col("prints").alias("prints_x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), F.col("shared").alias("shared_x"))
     distance = _distance("prints", "prints_x", index)
     once = (F.col("cleared") | (F.col("node") > F.col("x"))) & F.coalesce(_enough("", "_x", similarity), F.lit(True)) & (distance <= index.most) & (index.first_met(F.col("prints"), F.col("prints_x")) == F.shiftright("key", index.bits))
-    near = lambda looks, entries: looks.join(entries.withColumnRenamed("key", "key_x"), (F.col("key") == F.col("key_x")) & (F.col("root") != F.col("root_x")) & once)
+    dealt = lambda looks: looks.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    near = lambda looks, entries: dealt(looks).join(entries, (F.col("key") == F.col("key_x")) & (F.col("salt") == F.col("salt_x")) & (F.col("root") != F.col("root_x")) & once)
     pairs = near(outside, entry(mixed)).union(near(mixed.where("root = most"), entry(outside)))
     return saved(pairs.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"), distance.alias("distance")).distinct())
 
 
+def _stars(members: DataFrame, index: Index) -> DataFrame:
+    """Pairs (a > b, distance) of every look-up of a hot value and one of its nodes, for each value another one; the
+    fingerprints are near."""
+    middle = members.where("NOT cleared").groupBy("key").agg(F.min_by(F.struct("node", "prints"), F.xxhash64("key", "node")).alias("m"))
+    middle = middle.select(F.col("key").alias("key_x"), F.col("m.node").alias("x"), F.col("m.prints").alias("prints_x"))
+    distance = _distance("prints", "prints_x", index)
+    near = members.join(middle, (F.col("key") == F.col("key_x")) & (F.col("node") != F.col("x")) & (distance <= index.most))
+    return near.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"), distance.alias("distance")).distinct()
+
+
 def _links(docs: DataFrame, nodes: DataFrame, index: Index, text: str, width: int, similarity: float, hot_bucket: int) -> DataFrame:
     """Verified edges (a, b) that give the components."""
     table = saved(nodes.select(F.explode(index.keys(F.col("prints"))).alias("key"), "node", F.col("prints")[0].alias("first")))
     probes = _probes(table, index.bits)
     hot = saved(table.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"))
     no_hot = hot.isEmpty()
-    pairs = _met(probes, table if no_hot else table.join(hot, "key", "left_anti"), index.most_first)
+    close = _close(_met(probes, table if no_hot else table.join(hot, "key", "left_anti"), index.most_first), nodes, index)
     if not no_hot:
-        members = saved(probes.join(hot, "key", "left_semi"))
-        middle = members.where("NOT cleared").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node"), "node", "first")).alias("m")).select("key", F.col("m.node").alias("x"), F.col("m.first").alias("first_x"))
-        stars = members.join(middle, (members["key"] == middle["key"]) & (F.col("node") != F.col("x")) & (_differ("first", "first_x") <= index.most_first)).select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"))
-        pairs = pairs.union(stars)
-    close = _close(pairs, nodes, index)
-    ends = saved(close.select(F.col("a").alias("node")).distinct().union(close.select(F.col("b").alias("node")).distinct()).distinct())
-    needed = (ends if no_hot else ends.union(members.select("node"))).distinct()
-    wanted = nodes.join(needed, "node", "left_semi").select("node", "text_hash")
-    texts = saved(docs.select(F.xxhash64(text).alias("text_hash"), F.col(text).alias("text")).join(wanted, "text_hash").groupBy("node").agg(F.first("text").alias("text")))
-    shared = saved(_shared(texts.join(ends, "node", "left_semi"), width))
+        members = saved(probes.join(hot, "key", "left_semi").select("key", "node", "cleared").join(nodes.select("node", "prints"), "node"))
+        close = close.union(_stars(members, index))
+    close = saved(close.distinct())
+    ends = _ends(close)
+    texts = _texts_of(docs, text, nodes, ends)
+    shared = saved(_shared(texts, width))
     side = lambda n: shared.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("shared").alias(f"shared_{n}"))
     close = saved(close.join(side("a"), "a").join(side("b"), "b").where(_enough("_a", "_b", similarity)).select("a", "b", "distance"))
     edges = _verified(close, texts, width, similarity)
     if no_hot:
         return edges
-    known = nodes.select("node", "prints").join(shared, "node", "left")
-    return edges.union(_alike(_hot_apart(members, edges, known, index, similarity).select("a", "b"), texts, width, similarity))
+    apart = _hot_apart(members, edges, shared, index, similarity)
+    return edges.union(_alike(apart, _texts_of(docs, text, nodes, _ends(apart)), width, similarity))
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, hot_bucket: int = HOT_BUCKET) -> DataFrame:
