@@ -74,11 +74,13 @@ def host_rates(judged: DataFrame, host: str = "source") -> DataFrame:
     """A row for each host: n_docs, n_failed and host_rate, shrunk by a beta prior.
 
     The prior has the mean of all documents and, by moments, the spread of the hosts' own rates (weighted by
-    documents). Hosts that do not differ get a strong prior, MAX_PRIOR documents at most.
+    documents) without what chance alone spreads them. Hosts that do not differ get a strong prior, MAX_PRIOR documents
+    at most.
     """
-    hosts = judged.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
+    hosts = saved(judged.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed")))
     mean = F.sum("n_failed") / F.sum("n_docs")
-    whole = hosts.agg(mean.alias("mean"), (F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")) / F.sum("n_docs") - mean * mean).alias("spread")).first()
+    chance = mean * (1 - mean) * F.count("*") / F.sum("n_docs")
+    whole = hosts.agg(mean.alias("mean"), (F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")) / F.sum("n_docs") - mean * mean - chance).alias("spread")).first()
     rate, spread = whole["mean"] or 0.0, whole["spread"] or 0.0
     weight = min(MAX_PRIOR, max(1.0, rate * (1 - rate) / spread - 1)) if spread > 1e-12 else MAX_PRIOR
     return hosts.withColumn("host_rate", (F.col("n_failed") + F.lit(rate * weight)) / (F.col("n_docs") + F.lit(weight)))
@@ -101,10 +103,11 @@ def quality_report(docs: DataFrame, id_column: str = "doc_id", text: str = "text
 def quality_filter(docs: DataFrame, text: str = "text", host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """The documents that pass, with the columns they came with.
 
-    The texts are held against the rules once; rows that pass the base rules are saved with the hosts of the others.
+    The texts are held against the rules twice: for the hosts' rates, of which only the rejected hosts are kept, and for
+    the documents themselves. That takes less than to write and read the texts in between.
     """
+    judged = base_rules(docs.select(F.col(text).alias("_text"), F.col(host).alias("_of")), "_text").select("_of", "base_failed")
+    rejected = saved(host_rates(judged, "_of").where(F.col("host_rate") > max_host_rate).select("_of"))
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    judged = base_rules(docs.select(row, F.col(text).alias("_text"), F.col(host).alias("_of")), "_text")
-    judged = saved(judged.select(F.when(~F.col("base_failed"), F.col("_row")).alias("_row"), "_of", "base_failed"))
-    rejected = saved(host_rates(judged, "_of")).where(F.col("host_rate") > max_host_rate).select("_of")
-    return _to_hosts(judged.where(~F.col("base_failed")), rejected, "_of", "left_anti").select("_row.*")
+    passed = base_rules(docs.select(row, F.col(text).alias("_text"), F.col(host).alias("_of")), "_text").where(~F.col("base_failed"))
+    return _to_hosts(passed, rejected, "_of", "left_anti").select("_row.*")

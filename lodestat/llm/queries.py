@@ -107,7 +107,7 @@ m AS (
   FROM d LEFT JOIN repeated r ON r.doc_id = d.doc_id),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 h AS (SELECT source, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM b GROUP BY source),
-a AS (SELECT sum(f) / sum(n)::DOUBLE AS mean, sum(f * f / n::DOUBLE) / sum(n) - power(sum(f) / sum(n)::DOUBLE, 2) AS spread FROM h),
+a AS (SELECT sum(f) / sum(n)::DOUBLE AS mean, sum(f * f / n::DOUBLE) / sum(n) - power(sum(f) / sum(n)::DOUBLE, 2) - sum(f) / sum(n)::DOUBLE * (1 - sum(f) / sum(n)::DOUBLE) * count(*) / sum(n) AS spread FROM h),
 p AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least(1e6, greatest(1, mean * (1 - mean) / spread - 1)) ELSE 1e6 END AS weight FROM a),
 r AS (SELECT source, (f + mean * weight) / (n + weight) AS host_rate FROM h, p)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
