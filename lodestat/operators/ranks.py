@@ -11,14 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 4096
-#: Rows up to which a percentile keeps a group's distinct values in one task (some 100 MB); beyond, ranges are searched.
-SMALL = 2_000_000
 
 
 def range_of(value: str) -> Column:
-    """The range of a number: larger values have no lower one; null for null, that of NaN is above all."""
+    """The range of a number: larger values have no lower one; null for null, that of NaN is above all, infinity too."""
     x = F.col(value).cast("double")
-    size = 1100 + F.log2(F.abs(x))
+    size = F.when(F.abs(x) == float("inf"), F.lit(3000.0)).otherwise(1100 + F.log2(F.abs(x)))
     return F.when(F.isnan(x), F.lit(1 << 40)).when(x == 0, F.lit(0)).otherwise(F.floor(F.signum(x) * size * RANGES)).cast("long")
 
 
@@ -55,20 +53,23 @@ def average_ranks(rows: DataFrame, value: str, by: list[str], out: str) -> DataF
     return _met(dealt, counts, by, ["_lower"]).withColumn(out, F.col("_lower") + rank).drop("_range", "_lower")
 
 
-def percentiles(rows: DataFrame, value: str, by: list[str], at: dict[str, float], small: int = SMALL) -> DataFrame:
+def percentiles(rows: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
     """Exact percentiles by linear interpolation for each group that has values, under the names given.
 
-    Beyond `small` rows only the ranges in which a wanted row lies are sorted; the results are the same.
+    Equal values are counted first, and rows are counted by range; only the ranges in which a wanted row lies are sorted.
+    NaN is above all numbers. Nothing runs before the result is asked for.
     """
-    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
-    if rows.count() <= small:
-        found = known.groupBy(*by).agg(F.percentile("_v", F.array(*map(F.lit, at.values()))).alias("_p"))
-        return found.select(*by, *(F.col("_p")[i].alias(name) for i, name in enumerate(at)))
-    dealt, counts = _ranged(known, "_v", by)
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).withColumn("_range", range_of("_v"))
+    values = known.groupBy(*by, "_range", "_v").agg(F.count("*").alias("_t"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    counts = known.groupBy(*by, "_range").agg(F.count("*").alias("_in"))
+    lower = F.coalesce(F.sum("_in").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("*", lower.alias("_lower"), F.sum("_in").over(group).alias("_count"))
     place = lambda p: (F.col("_count") - 1) * F.lit(float(p))
     sides = F.array(*(F.struct(F.lit(name).alias("name"), side(place(p)).cast("long").alias("k"), share.alias("share")) for name, p in at.items() for side, share in ((F.floor, 1 - (place(p) - F.floor(place(p)))), (F.ceil, place(p) - F.floor(place(p))))))
-    wanted = counts.withColumn("_w", F.filter(sides, lambda s: (s["k"] >= F.col("_lower")) & (s["k"] < F.col("_lower") + F.col("_in")))).where(F.size("_w") > 0)
-    inside = F.row_number().over(Window.partitionBy(*by, "_range").orderBy("_v")) - 1
-    placed = _met(dealt, wanted, by, ["_lower", "_w"]).withColumn("_n", F.col("_lower") + inside)
-    picked = placed.select(*by, "_v", "_n", F.explode("_w").alias("s")).where("s.k = _n")
+    here = F.filter(sides, lambda s: (s["share"] > 0) & (s["k"] >= F.col("_lower")) & (s["k"] < F.col("_lower") + F.col("_in")))
+    wanted = counts.withColumn("_w", here).where(F.size("_w") > 0)
+    before = F.coalesce(F.sum("_t").over(Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = _met(values, wanted, by, ["_lower", "_w"]).withColumn("_n", F.col("_lower") + before)
+    picked = placed.select(*by, "_v", "_n", "_t", F.explode("_w").alias("s")).where("s.k >= _n AND s.k < _n + _t")
     return picked.groupBy(*by).agg(*(F.sum(F.when(F.col("s.name") == name, F.col("_v") * F.col("s.share"))).alias(name) for name in at))

@@ -14,28 +14,32 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no
 
 
 def moments(frame: DataFrame, var: str, by: list[str]) -> DataFrame:
-    """n, missing, total, squares of a variable for each of `by`: what a source hands over. NaN is missing."""
-    x = F.when(~F.isnan(var), F.col(var))
-    return frame.groupBy(*by).agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("missing"), F.sum(x).alias("total"), F.sum(x * x).alias("squares"))
+    """n, missing, mean and m2 (the sum of squares about the mean) of a variable for each of `by`: what a source hands
+    over. NaN is missing."""
+    x = F.when(~F.isnan(var), F.col(var).cast("double"))
+    return frame.groupBy(*by).agg(F.count(x).alias("n"), F.count_if(x.isNull()).alias("missing"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"))
 
 
 def merged(parts: DataFrame, by: list[str]) -> DataFrame:
-    """The sums of parts."""
-    return parts.groupBy(*by).agg(*(F.sum(c).alias(c) for c in ("n", "missing", "total", "squares")))
+    """The moments of the union of parts; squares are taken about the mean of one part, so that large means do not cancel.
+    A key has a part for each source."""
+    held = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("missing").alias("missing"), F.min("mean").alias("_c"), F.collect_list(F.when(F.col("n") > 0, F.struct("n", "mean", "m2"))).alias("_p"))
+    shift = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["n"] * (p["mean"] - F.col("_c"))) / F.nullif("n", F.lit(0))
+    about = F.aggregate("_p", F.lit(0.0), lambda s, p: s + p["m2"] + p["n"] * (p["mean"] - F.col("_c")) * (p["mean"] - F.col("_c")))
+    out = held.withColumns({"_d": shift, "_s": about})
+    some = lambda c: F.when(F.col("n") > 0, c)
+    return out.select(*by, "n", "missing", some(F.col("_c") + F.col("_d")).alias("mean"), some(F.greatest(F.col("_s") - F.col("n") * F.col("_d") * F.col("_d"), F.lit(0.0))).alias("m2"))
 
 
 def mean_and_sd(parts: DataFrame) -> DataFrame:
-    """Adds mean and the sample standard deviation."""
-    mean = F.try_divide("total", "n")
-    spread = F.greatest(F.col("squares") - F.col("n") * mean * mean, F.lit(0.0))
-    return parts.withColumn("mean", mean).withColumn("sd", F.when(F.col("n") > 1, F.sqrt(spread / F.nullif(F.col("n") - 1, F.lit(0)))))
+    """Adds the sample standard deviation to moments."""
+    return parts.withColumn("sd", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / F.nullif(F.col("n") - 1, F.lit(0)))))
 
 
 def per_source_and_pooled(parts: DataFrame, by: list[str], may_pool: DataFrame | None = None) -> DataFrame:
     """The parts by source and, as source 'pooled', their sum over the sources that may be pooled."""
     pooling = parts if may_pool is None else parts.join(may_pool.where("may_pool").select("source"), "source", "left_semi")
-    whole = merged(pooling, by) if by else pooling.agg(*(F.sum(c).alias(c) for c in ("n", "missing", "total", "squares")))
-    return parts.unionByName(whole.withColumn("source", F.lit("pooled")))
+    return parts.unionByName(merged(pooling, by).withColumn("source", F.lit("pooled")))
 
 
 def edges(low: float, high: float, width: float) -> list[float]:
@@ -47,9 +51,14 @@ def edges(low: float, high: float, width: float) -> list[float]:
 
 def histogram(frame: DataFrame, var: str, at: list[float], by: list[str]) -> DataFrame:
     """Counts of the half-open bins between edges, -1 below, number of bins above, null missing; every bin has a row."""
-    x = F.when(~F.isnan(var), F.col(var))
-    even = all(abs((b - a) - (at[1] - at[0])) < 1e-12 for a, b in zip(at, at[1:]))
-    search = F.width_bucket(x.cast("double"), F.lit(float(at[0])), F.lit(float(at[-1])), F.lit(len(at) - 1)) - 1 if even else F.size(F.filter(F.array(*map(F.lit, at)), lambda e: e <= x)) - 1
+    x = F.when(~F.isnan(var), F.col(var)).cast("double")
+    bounds = F.array(*(F.lit(float(e)) for e in at))
+    even = all(abs((b - a) - (at[1] - at[0])) < 1e-9 * abs(at[1] - at[0]) for a, b in zip(at, at[1:]))
+    if even:  # a guess from the range, which rounding may put beside the bin: the edges decide
+        guess = (F.width_bucket(x, F.lit(float(at[0])), F.lit(float(at[-1])), F.lit(len(at) - 1)) - 1).cast("int")
+        search = F.when(x < F.get(bounds, guess), guess - 1).when(x >= F.get(bounds, guess + 1), guess + 1).otherwise(guess)
+    else:
+        search = F.size(F.filter(bounds, lambda e: e <= x)) - 1
     counts = frame.groupBy(*by, F.when(x.isNotNull(), search.cast("int")).alias("bin")).agg(F.count("*").alias("n"))
     held = counts.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("bin", F.lit(-2)).alias("b"), "n"))).alias("_m"))  # a few bins
     spread = held.select(*by, "_m", F.explode(F.concat(F.array(F.lit(-2)), F.sequence(F.lit(-1), F.lit(len(at) - 1)))).alias("b"))
@@ -159,27 +168,34 @@ def solve(cells: list[tuple[int, int, float]]) -> dict | None:
 
 
 def coefficients(frame: DataFrame, outcome: str, predictors: list[str], by: str, k: int) -> DataFrame:
-    """by, intercept, a column for each predictor, and n: least squares over the complete rows of each of `by`, solved
-    from its sums; null for fewer than max(k, p + 2) rows or when the equations are singular."""
+    """by, intercept, a column for each predictor, and n: least squares over the complete rows of each of `by`, from its
+    means and covariances; null for fewer than max(k, p + 2) rows or when predictors depend on each other."""
+    import numpy as np
     import pandas as pd
 
-    complete = frame.select(by, outcome, *predictors).na.drop()
-    columns = [F.lit(1.0), *(F.col(p).cast("double") for p in predictors), F.col(outcome).cast("double")]
-    cells = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    sums = complete.groupBy(by).agg(*(F.sum(columns[i] * columns[j]).alias(f"s_{i}_{j}") for i, j in cells))
-    least, find = max(k, len(predictors) + 2), solve
+    complete = frame.select(by, *(F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*predictors, outcome]))).na.drop()
+    p = len(predictors)
+    cells = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
+    sums = complete.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(f"_{i}").alias(f"m{i}") for i in range(p + 1)), *(F.covar_pop(f"_{i}", f"_{j}").alias(f"c{i}_{j}") for i, j in cells))
+    least = max(k, p + 2)
 
     def one(batches):  # a row for each group
         for batch in batches:
             rows = []
             for r in batch.to_dict("records"):
-                n = int(r["s_0_0"])
-                found = find([(i, j, r[f"s_{i}_{j}"]) for i, j in cells]) if n >= least else None
-                rows.append((r[by], *(found["coefficients"] if found else [None] * (len(predictors) + 1)), n))
+                told = [None] * (p + 1)
+                cov = np.zeros((p + 1, p + 1))
+                for i, j in cells:
+                    cov[i, j] = cov[j, i] = r[f"c{i}_{j}"]
+                scale = np.sqrt(np.diag(cov)[:p])
+                if r["n"] >= least and (scale > 0).all() and np.linalg.matrix_rank(cov[:p, :p] / np.outer(scale, scale), tol=1e-9) == p:
+                    beta = np.linalg.solve(cov[:p, :p] / np.outer(scale, scale), cov[:p, p] / scale) / scale
+                    told = [r[f"m{p}"] - sum(b * r[f"m{i}"] for i, b in enumerate(beta)), *beta]
+                rows.append((r[by], *told, r["n"]))
             yield pd.DataFrame(rows, columns=[by, "intercept", *predictors, "n"])
 
     kind = frame.schema[by].dataType.simpleString()
-    return sums.mapInPandas(one, f"{by} {kind}, intercept double, " + ", ".join(f"{p} double" for p in predictors) + ", n long")
+    return sums.mapInPandas(one, f"`{by}` {kind}, intercept double, " + "".join(f"`{c}` double, " for c in predictors) + "n long")
 
 
 def hide_thin(curve: DataFrame, k: float) -> DataFrame:

@@ -336,6 +336,12 @@ def histogram_fixed(spark, sf_dir):
     return statistics.histogram(patients(spark, sf_dir), "purchase", statistics.edges(0, 100, 10), ["source"])
 
 
+@query("WITH b AS (SELECT unnest(range(0, 10)) AS bin), h AS (SELECT l_linestatus, len(list_filter(range(0, 11), lambda i: i * 0.01::DOUBLE <= l_discount)) - 1 AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2), s AS (SELECT DISTINCT l_linestatus FROM lineitem) SELECT s.l_linestatus, b.bin::INT AS bin, coalesce(n, 0) AS n FROM s, b LEFT JOIN h ON h.l_linestatus = s.l_linestatus AND h.bin = b.bin UNION ALL SELECT l_linestatus, bin::INT, n FROM h WHERE bin < 0 OR bin > 9")
+def histogram_hundredths(spark, sf_dir):
+    """Values that lie on edges which binary fractions do not meet: the edges decide."""
+    return statistics.histogram(read(spark, sf_dir, "lineitem"), "l_discount", statistics.edges(0, 0.1, 0.01), ["l_linestatus"])
+
+
 @query("WITH q AS (SELECT floor(quantile_cont(value, 0.01) / 5) * 5 AS lo, ceil(quantile_cont(value, 0.99) / 5) * 5 AS hi FROM events) SELECT event_type, CASE WHEN value < lo THEN -1 WHEN value >= hi THEN (hi - lo) / 5 ELSE floor((value - lo) / 5) END::INT AS bin, count(*) AS n FROM events, q GROUP BY 1, 2")
 def histogram_auto(spark, sf_dir):
     """Bins from the inner 98 percent of a first pass; those without values have no row here."""

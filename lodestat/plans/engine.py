@@ -6,6 +6,7 @@ and suppressed. Both grains go through disclosure control. Policies are checked
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import tails
 from lodestat.functions.distributions import t_quantile
-from lodestat.operators import disclosure, frame, statistics
+from lodestat.operators import digests, disclosure, frame, statistics
 from lodestat.operators.frame import Variable
 
 from .spec import NAMES, AnalysisSpec
@@ -93,6 +94,25 @@ def _figures(summary: DataFrame, names: list[str]) -> DataFrame:
     return summary.withColumn("_f", F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("told")) for c in names)))).select("*", "_f.*")
 
 
+def _edges(pooled: DataFrame, var: str, span: list[float] | None, width: float | None, k: int) -> list[float]:
+    """Edges of a histogram: of the range asked for, else of the inner 98 % by a digest whose centroids describe k patients
+    or more, rounded outward to whole widths. Without a width it is 1, 2 or 5 times a power of ten. No edge is a
+    patient's value; with fewer than k patients there is one bin from 0 on."""
+    if span:
+        low, high = span
+    else:
+        sketch = digests.merged(digests.digests(pooled, var, ["source"], k).select("digest"), [], k)
+        found = sketch.select(digests.quantiles(F.col("digest"), [0.01, 0.99]).alias("q")).first()
+        low, high = (found.q if found else None) or (0.0, 0.0)
+    if not width:
+        rough = max((high - low) / 20, 1e-9) if high > low else 1.0
+        power = 10.0 ** math.floor(math.log10(rough))
+        width = power * next(step for step in (1, 2, 5, 10) if step * power >= rough * (1 - 1e-9))
+    if not span:
+        low, high = math.floor(low / width) * width, math.ceil(high / width) * width
+    return statistics.edges(low, high if high > low else low + width, width)
+
+
 def _both_grains(counts: DataFrame, by: list[str], pooling: DataFrame) -> DataFrame:
     whole = counts.join(F.broadcast(pooling), "source", "left_semi").groupBy(*by).agg(F.sum("n").alias("n"))
     return counts.select("source", *by, "n").unionByName(whole.withColumn("source", F.lit("pooled")))
@@ -130,9 +150,7 @@ def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy])
                 add(both.select("source", F.col("missing").alias("n")), var, "missing")
         elif kind == "histogram":
             bins = a.get("bins") or {}
-            low, high = bins.get("range") or wide.agg(F.percentile(a["var"], F.array(F.lit(0.01), F.lit(0.99)))).first()[0] or (0.0, 1.0)
-            width = bins.get("width") or max((high - low) / 20, 1e-9)
-            at = statistics.edges(low, high, width)
+            at = _edges(wide.join(F.broadcast(pooling), "source", "left_semi"), a["var"], bins.get("range"), bins.get("width"), k)
             counts = _both_grains(statistics.histogram(wide, a["var"], at, ["source"]), ["bin"], pooling)
             inside = F.col("bin").between(0, len(at) - 2)
             labels = F.array(*(F.lit(f"{x:g}–{y:g}") for x, y in zip(at, at[1:])))
@@ -193,9 +211,11 @@ def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy])
             orgs = long.groupBy("source", F.coalesce("org", F.lit("(not recorded)")).alias("org")).agg(F.count("*").alias("n"))
             add(_both_grains(orgs, ["org"], pooling), "rows by organisation", F.col("org"))
         elif kind == "linear_regression":
-            fit = statistics.solve([tuple(c) for c in statistics.normal_equations(wide.join(F.broadcast(pooling), "source", "left_semi"), a["outcome"], a["predictors"]).collect()])
-            found = [] if fit is None else [("pooled", name, fit["n"], float(x)) for name, x in zip(["(intercept)", *a["predictors"]], fit["coefficients"])]
-            add(rows.sparkSession.createDataFrame(found, "source string, name string, n long, value double"), a["outcome"], F.col("name"), "value")
+            pooled_rows = wide.join(F.broadcast(pooling), "source", "left_semi").withColumn("source", F.lit("pooled"))
+            fits = statistics.coefficients(wide.unionByName(pooled_rows), a["outcome"], a["predictors"], "source", k)
+            names = ["intercept", *a["predictors"]]
+            fits = fits.withColumn("gone", F.col("intercept").isNull())
+            add(_figures(fits, names), a["outcome"], F.when(F.col("figure") == "intercept", "(intercept)").otherwise(F.col("figure")), "told")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

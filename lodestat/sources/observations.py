@@ -42,10 +42,15 @@ def union_tagged(parts: dict[str, DataFrame], tag: str = "source") -> DataFrame:
     return out
 
 
-def read_sources(spark: SparkSession, paths: dict[str, str], tag: str = "source") -> tuple[DataFrame, list[dict]]:
-    """The union of the sources that can be read, and a status row for each; an error when none can."""
+def read_sources(spark: SparkSession, paths: dict[str, str], tag: str = "source", only: list[str] | None = None) -> tuple[DataFrame, list[dict]]:
+    """The union of the sources that can be read, and a status row for each in the order of the registry `paths`; an
+    error when none can. `only` asks some of them; one that is not registered is an error."""
+    if unknown := [name for name in only or [] if name not in paths]:
+        raise ValueError("not registered: " + ", ".join(unknown))
     parts, status = {}, []
     for name, path in paths.items():
+        if only is not None and name not in only:
+            continue
         try:
             parts[name] = spark.read.parquet(path)
             status.append({"source": name, "ok": True, "error": None})
@@ -59,7 +64,7 @@ def read_sources(spark: SparkSession, paths: dict[str, str], tag: str = "source"
 def verdict(status: list[dict]) -> str:
     """complete when all sources answered, degraded when most did, else error."""
     ok = sum(s["ok"] for s in status)
-    return "complete" if ok == len(status) else "degraded" if 2 * ok >= len(status) and ok else "error"
+    return "error" if 2 * ok <= len(status) else "complete" if ok == len(status) else "degraded"
 
 
 def page_of_each(rows: DataFrame, by: str, order: list[Column], limit: int, offset: int = 0) -> DataFrame:

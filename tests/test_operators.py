@@ -227,11 +227,16 @@ def test_percentiles_and_ranks_by_ranges(spark):
     rows = spark.createDataFrame([(f"g{i % 3}" if i % 3 else None, i, v) for i, v in enumerate(values)], "g string, seq long, v double")
     at = {"low": 0.05, "mid": 0.5, "high": 0.97}
     key = lambda r: str(r.g)
-    some, many = (sorted(ranks.percentiles(rows, "v", ["g"], at, small).collect(), key=key) for small in (10**6, 0))
-    assert len(some) == 3 and all(math.isclose(a[k], b[k]) and a.g == b.g for a, b in zip(some, many) for k in at)
-    whole = ranks.percentiles(rows, "v", [], at, 0).first()
-    assert all(math.isclose(whole[k], ranks.percentiles(rows, "v", [], at).first()[k]) for k in at)
-    assert ranks.percentiles(rows.where("false"), "v", ["g"], at, 0).count() == 0
+    some = sorted(ranks.percentiles(rows, "v", ["g"], at).collect(), key=key)
+    exact = lambda frame: frame.agg(F.percentile("v", F.array(*map(F.lit, at.values()))).alias("p"))
+    many = sorted(exact(rows.groupBy("g")).collect(), key=key)
+    assert len(some) == 3 and all(math.isclose(a[k], b.p[i]) and a.g == b.g for a, b in zip(some, many) for i, k in enumerate(at))
+    whole = ranks.percentiles(rows, "v", [], at).first()
+    assert all(math.isclose(whole[k], exact(rows).first().p[i]) for i, k in enumerate(at))
+    assert ranks.percentiles(rows.where("false"), "v", ["g"], at).count() == 0
+    ends = spark.createDataFrame([(v,) for v in (float("inf"), float("-inf"), float("nan"), 1.0, float("inf"), 0.0)], "v double")
+    assert [str(r.v) for r in sorted(ranks.numbered(ends, "v", []).collect(), key=lambda r: r["_n"])] == ["-inf", "0.0", "1.0", "inf", "inf", "nan"]
+    assert [ranks.percentiles(ends, "v", [], {"p": p}).first().p for p in (0.0, 0.4, 0.8)] == [float("-inf"), 1.0, float("inf")]
     known = rows.where("v IS NOT NULL")
     found = ranks.average_ranks(ranks.numbered(known, "v", ["g"], [F.col("seq")]), "v", ["g"], "rank").collect()
     for g in ("g1", "g2", None):
@@ -267,6 +272,7 @@ def test_verdict_of_sources():
 
     said = lambda *oks: verdict([{"ok": ok} for ok in oks])
     assert (said(True, True), said(True, True, False), said(True, False, False), said(False)) == ("complete", "degraded", "error", "error")
+    assert (said(True, False), said(True, True, False, False), said()) == ("error", "error", "error")  # most must answer
 
 
 def test_export_and_receipt(spark, tmp_path):
