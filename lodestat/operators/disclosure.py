@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ranks import percentiles
 
@@ -31,10 +32,11 @@ class Policy:
             raise ValueError(f"k_min {self.k_min} is below the floor {self.floor}")
 
     def stricter(self, other: Policy) -> Policy:
-        return replace(
-            self, k_min=max(self.k_min, other.k_min), floor=max(self.floor, other.floor), min_correlation=max(self.min_correlation, other.min_correlation),
-            low=max(self.low, other.low), high=min(self.high, other.high), rounding=max(self.rounding, other.rounding),
-        )
+        return replace(self, **{field: (max if most else min)(getattr(self, field), getattr(other, field)) for field, most in STRICTER.items()})
+
+
+#: Which of two thresholds is the stricter one: the larger (true) or the smaller.
+STRICTER = {"k_min": True, "floor": True, "min_correlation": True, "low": True, "high": False, "rounding": True}
 
 
 def hidden(n: Column, k: int) -> Column:
@@ -62,8 +64,12 @@ def safe_range(rows: DataFrame, var: str, by: list[str], policy: Policy) -> Data
 
 def strictest(policies: DataFrame) -> DataFrame:
     """One row: the strictest of policies (k_min, floor, min_correlation, low, high, rounding), as `Policy.stricter` merges two."""
-    most = ("k_min", "floor", "min_correlation", "low", "rounding")
-    return policies.agg(*(F.max(c).alias(c) for c in most), F.min("high").alias("high"))
+    return policies.agg(*((F.max if most else F.min)(field).alias(field) for field, most in STRICTER.items()))
+
+
+def patients_by_source(rows: DataFrame, k: int) -> DataFrame:
+    """source, n and suppressed: the patients of each source, hidden where they are few; what an audit may say."""
+    return suppressed(rows.groupBy("source").agg(F.count_distinct("pid").alias("n")), k)
 
 
 def rounded(value: Column, step: int) -> Column:
@@ -169,18 +175,49 @@ def guarded(history: DataFrame, cohort: DataFrame, owner: str, recipe: str, k: i
     return found.select("cohort_no", "differ", verdict.when(hidden(F.col("differ"), near * k), "near").otherwise("ok").alias("verdict"))
 
 
-#: Shapes that no output may hold.
+#: Shapes that no output may hold; a deployment adds its own.
 IDENTIFIERS = {
     "guid": r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b",
     "personnummer": r"\b(?:19|20)?\d{6}[-+]?\d{4}\b",
-    "sentinel": r"\bFORBIDDEN-[A-Z]+\b|\bSURPRISE-PII\b|\bTEST-[A-Z0-9]+\b",
-    "key_material": r"[A-Z]+_PROJECT_KEY_[A-Z0-9_]+|BEGIN [A-Z ]*PRIVATE KEY",
+    "private_key": r"BEGIN [A-Z ]*PRIVATE KEY",
 }
 
 
-def identifier_scan(frame: DataFrame) -> DataFrame:
-    """finding, column and number of rows, for every shape in every string column."""
-    texts = [c for c, kind in frame.dtypes if kind == "string"]
-    counts = frame.agg(*(F.count_if(F.col(c).rlike(form)).alias(f"{name}|{c}") for c in texts for name, form in IDENTIFIERS.items()))
-    cells = F.array(*(F.struct(F.lit(name).alias("finding"), F.lit(c).alias("column"), F.col(f"`{name}|{c}`").alias("n")) for c in texts for name in IDENTIFIERS))
+def texts_in(column: Column, kind: T.DataType, path: str) -> list[tuple[str, Column]]:
+    """(path, array of texts) for every place of a value that holds text, at any depth: fields of structs (a.b), elements
+    of arrays (a[]), keys (a.<key>) and values (a{}) of maps, and whole variants as JSON."""
+    if isinstance(kind, (T.StringType, T.VarcharType, T.CharType)):
+        return [(path, F.array(column.cast("string")))]
+    if isinstance(kind, T.VariantType):
+        return [(path, F.array(F.to_json(column)))]
+    if isinstance(kind, T.StructType):
+        return [x for f in kind.fields for x in texts_in(column.getField(f.name), f.dataType, f"{path}.{f.name}")]
+    if isinstance(kind, T.ArrayType):
+        inside = [sub for sub, _ in texts_in(F.lit(None).cast(kind.elementType), kind.elementType, "")]
+        of = lambda i: lambda e: texts_in(e, kind.elementType, "")[i][1]
+        return [(f"{path}[]{sub}", F.flatten(F.transform(F.coalesce(column, F.array().cast(kind)), of(i)))) for i, sub in enumerate(inside)]
+    if isinstance(kind, T.MapType):
+        keys = texts_in(F.map_keys(column), T.ArrayType(kind.keyType), "")
+        values = texts_in(F.map_values(column), T.ArrayType(kind.valueType), "")
+        return [(f"{path}.<key>{sub.removeprefix('[]')}", texts) for sub, texts in keys] + [(path + "{}" + sub.removeprefix("[]"), texts) for sub, texts in values]
+    return []
+
+
+def identifier_scan(frame: DataFrame, shapes: dict[str, str] = IDENTIFIERS) -> DataFrame:
+    """finding, column and number of rows that hold it, for every shape and every place in the schema that holds text."""
+    places = [x for f in frame.schema.fields for x in texts_in(F.col(f"`{f.name}`"), f.dataType, f.name)]
+    if not places:
+        return frame.sparkSession.createDataFrame([], "finding string, column string, n bigint")
+    held = frame.select(*(texts.alias(f"t{i}") for i, (_, texts) in enumerate(places)))
+    like = lambda form: lambda t: F.coalesce(t.rlike(form), F.lit(False))
+    counts = held.agg(*(F.count_if(F.exists(f"t{i}", like(form))).alias(f"{name}|{i}") for i in range(len(places)) for name, form in shapes.items()))
+    cells = F.array(*(F.struct(F.lit(name).alias("finding"), F.lit(path).alias("column"), F.col(f"`{name}|{i}`").alias("n")) for i, (path, _) in enumerate(places) for name in shapes))
     return counts.select(F.explode(cells).alias("x")).select("x.*")
+
+
+def checked(frame: DataFrame, shapes: dict[str, str] = IDENTIFIERS) -> DataFrame:
+    """The frame, or an error that names every finding."""
+    found = [f"{r['finding']} in {r['column']}" for r in identifier_scan(frame, shapes).where("n > 0").collect()]  # a row for each shape and place
+    if found:
+        raise PermissionError("identifiers in the result: " + ", ".join(sorted(found)))
+    return frame

@@ -69,11 +69,37 @@ def concept_inventory(by_source: DataFrame) -> DataFrame:
     return out.withColumn("unit_disagreement", F.col("n_units") > 1)
 
 
+def merged_maps(rows: DataFrame, by: list[str], counts: str) -> DataFrame:
+    """The maps of counts of each of `by` merged by addition; a null or empty map adds nothing, a null count is 0."""
+    each = rows.select(*by, F.explode_outer(counts).alias("_k", "_v")).groupBy(*by, "_k").agg(F.sum(F.coalesce("_v", F.lit(0))).alias("_v"))
+    held = F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", F.col("_v").cast("bigint"))))
+    return each.groupBy(*by).agg(F.map_from_entries(F.array_sort(held)).alias(counts))
+
+
+def merged_concepts(answers: DataFrame, names: tuple[str, ...] = ("display", "guid")) -> DataFrame:
+    """What all sources say of their concepts: (place, source, concept, names, n, units), place being that of the source in
+    the registry. A row for each concept: held_by, observations, each name as the first source says it that has one, the
+    merged map of units, whether units disagree, and its number by observations, the most observed first."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("place")))
+    found = answers.where(F.col("concept").isNotNull()).groupBy("concept").agg(F.array_sort(F.collect_set("source")).alias("held_by"), F.sum(F.coalesce("n", F.lit(0))).cast("bigint").alias("observations"), *(first(c).alias(c) for c in names))
+    units = merged_maps(answers.where(F.col("concept").isNotNull()), ["concept"], "units")
+    out = found.join(units, "concept").withColumn("unit_disagreement", F.size("units") > 1)
+    return out.withColumn("number", F.row_number().over(Window.orderBy(F.desc("observations"), "concept")))  # a row for each concept
+
+
 def federated_counts(counts: DataFrame) -> DataFrame:
     """Sums by key of what sources that answered have counted; (source, key, n)."""
     return counts.where(F.col("n").isNotNull()).groupBy("key").agg(F.sum("n").alias("n"), F.count_distinct("source").alias("sources"))
 
 
+def answering(counts: DataFrame) -> DataFrame:
+    """One row on (source, key, n), n null where a source did not answer for a key: how many sources answered at all, how
+    many did not, and whether the counts are complete, degraded (most answered) or an error."""
+    each = counts.groupBy("source").agg(F.max(F.col("n").isNotNull()).alias("ok")).agg(F.count_if("ok").alias("answered"), F.count_if(~F.col("ok")).alias("missing"))
+    mode = F.when(F.col("answered") <= F.col("missing"), "error").when(F.col("missing") == 0, "complete").otherwise("degraded")
+    return each.withColumn("mode", mode)
+
+
 #: Names and shares of the percentiles of an hour.
 BANDS = {"p5": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
@@ -115,30 +141,3 @@ def hypo_events(rows: DataFrame, threshold: float = 3.9, gap: int = 6) -> DataFr
     before = F.lag("_n").over(Window.partitionBy("pid").orderBy("_n"))
     starts = low.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_n") - F.col("_b") > gap))
     return starts.groupBy("pid").agg(F.count("*").alias("events"))
-
-
-def downsample(rows: DataFrame, points: int, by: list[str]) -> DataFrame:
-    """Largest-triangle-three-buckets of each series (columns ts, value): `points` rows that keep its shape.
-
-    Which point a bucket keeps depends on what the bucket before kept, so a series is gone through in order by one
-    pandas call; many series are many groups.
-    """
-    import numpy as np
-    import pandas as pd
-
-    def one(series: pd.DataFrame) -> pd.DataFrame:
-        series = series.sort_values(["ts", "seq"]).reset_index(drop=True)
-        n = len(series)
-        if points >= n or points < 3:
-            return series
-        x, y = series["ts"].astype("int64").to_numpy() / 1e9, series["value"].to_numpy(float)
-        cuts = 1 + np.floor(np.arange(points - 1) * (n - 2) / (points - 2)).astype(int)
-        kept = [0]
-        for a, b, c in zip(cuts[:-1], cuts[1:], [*cuts[2:], n]):
-            mx, my = (x[b:c].mean(), y[b:c].mean()) if c > b else (x[-1], y[-1])
-            area = np.abs((x[kept[-1]] - mx) * (y[a:b] - y[kept[-1]]) - (x[kept[-1]] - x[a:b]) * (my - y[kept[-1]]))
-            kept.append(a + int(area.argmax()))
-        return series.iloc[[*kept, n - 1]]
-
-    columns = [*by, "seq", "ts", "value"]
-    return rows.select(*columns).groupBy(*by).applyInPandas(one, rows.select(*columns).schema)

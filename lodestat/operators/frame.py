@@ -14,10 +14,10 @@ from .ranks import numbered
 PATIENT = ["source", "pid"]
 COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt, "==": operator.eq, "!=": operator.ne}
 #: Fields that no projection may carry.
-NEVER = frozenset(
-    "name given_name family_name full_name personnummer pnr ssn national_id address street postal_code city phone telephone mobile email e_mail"
-    " free_text note notes comment narrative text patient_guid birth_date date_of_birth dob".split()
-)
+NEVER = frozenset({
+    "name", "given_name", "family_name", "full_name", "personnummer", "pnr", "ssn", "national_id", "address", "street", "postal_code", "city", "phone", "telephone", "mobile", "email", "e_mail",
+    "free_text", "note", "notes", "comment", "narrative", "text", "patient_guid", "birth_date", "date_of_birth", "dob",
+})
 
 
 def with_day_offset(rows: DataFrame, index_concept: str | None = None) -> DataFrame:
@@ -110,6 +110,11 @@ def project(rows: DataFrame, allowed: list[str]) -> DataFrame:
     return rows.select(*(F.col(f"`{c}`") for c in allowed))
 
 
+def not_returned(people: DataFrame, rows: DataFrame, key: str = "pid") -> DataFrame:
+    """How many of the people asked for have no row at all."""
+    return people.join(rows.select(key), key, "left_anti").agg(F.count("*").alias("not_returned"))
+
+
 def not_blocked(people: DataFrame, verdicts: DataFrame, key: str = "pid") -> DataFrame:
     """People without a verdict of blocked, or a verdict that is missing its answer."""
     return people.join(verdicts.where(F.coalesce("blocked", F.lit(True))).select(key), key, "left_anti")

@@ -71,6 +71,24 @@ def frequency(frame: DataFrame, var: str, by: list[str]) -> DataFrame:
     return frame.groupBy(*by, F.coalesce(F.col(var).cast("string"), F.lit("(missing)")).alias("level")).agg(F.count("*").alias("n"))
 
 
+def observation_counts(rows: DataFrame, by: list[str]) -> DataFrame:
+    """How many patients have how many observations."""
+    each = rows.groupBy(*dict.fromkeys((*by, "source", "pid"))).agg(F.count("*").alias("observations"))
+    return each.groupBy(*by, "observations").agg(F.count("*").alias("n"))
+
+
+def missingness(frame: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """var, missing and present of each variable: one pass for all."""
+    told = frame.groupBy(*by).agg(*(f.alias(f"{c}{i}") for i, v in enumerate(names) for c, f in (("m", F.count_if(F.col(v).isNull())), ("p", F.count(v)))))
+    cells = F.array(*(F.struct(F.lit(v).alias("var"), F.col(f"m{i}").alias("missing"), F.col(f"p{i}").alias("present")) for i, v in enumerate(names)))
+    return told.select(*by, F.explode(cells).alias("x")).select(*by, "x.*")
+
+
+def rows_by_organisation(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows by organisation; null is one that is not recorded."""
+    return rows.groupBy(*by, F.coalesce("org", F.lit("(not recorded)")).alias("org")).agg(F.count("*").alias("n"))
+
+
 def crosstab(frame: DataFrame, row: str, col: str) -> DataFrame:
     return frame.groupBy(*(F.coalesce(F.col(c).cast("string"), F.lit("(missing)")).alias(a) for c, a in ((row, "row"), (col, "col")))).agg(F.count("*").alias("n"))
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import columns as fn
-from lodestat.operators import cohorts, disclosure, exploration, frame, ranks, statistics
+from lodestat.operators import cohorts, disclosure, exploration, frame, ranks, series, statistics
 from lodestat.operators.frame import Variable
-from lodestat.sources.observations import FHIR_BUNDLE, cohort_read, flatten_fhir, new_rows, observations, page_of_each, read, union_tagged
+from lodestat.sources.observations import FHIR_BUNDLE, cohort_read, flatten_fhir, imported, new_rows, observations, page_of_each, read, union_tagged
 
 from . import report
 from .engine import SourcePolicy, run_spec
@@ -300,7 +300,7 @@ def cohort_resolve(spark, sf_dir):
 @query("SELECT count(*) AS not_returned FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def not_returned_count(spark, sf_dir):
     people = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    return people.join(read(spark, sf_dir, "events").select("user_id"), "user_id", "left_anti").agg(F.count("*").alias("not_returned"))
+    return frame.not_returned(people, read(spark, sf_dir, "events"), "user_id")
 
 
 # Statistics
@@ -415,19 +415,17 @@ def over_time(spark, sf_dir):
 
 @query(f"WITH {OBS} SELECT observations, count(*) AS patients FROM (SELECT source, pid, count(*) AS observations FROM obs GROUP BY source, pid) GROUP BY observations")
 def completeness_obs_dist(spark, sf_dir):
-    each = observations(spark, sf_dir).groupBy("source", "pid").agg(F.count("*").alias("observations"))
-    return each.groupBy("observations").agg(F.count("*").alias("patients"))
+    return statistics.observation_counts(observations(spark, sf_dir), []).withColumnRenamed("n", "patients")
 
 
 @query(f"WITH {FRAME} " + " UNION ALL ".join(f"SELECT '{v}' AS variable, count(*) FILTER (WHERE {v} IS NULL) AS missing, count({v}) AS present FROM f" for v in ("purchase", "click", "view")))
 def completeness_missing(spark, sf_dir):
-    long = patients(spark, sf_dir).select("purchase", "click", "view").unpivot([], ["purchase", "click", "view"], "variable", "value")
-    return long.groupBy("variable").agg(F.count_if(F.col("value").isNull()).alias("missing"), F.count("value").alias("present"))
+    return statistics.missingness(patients(spark, sf_dir), ["purchase", "click", "view"], []).withColumnRenamed("var", "variable")
 
 
 @query(f"WITH {OBS} SELECT org, count(*) AS n FROM obs GROUP BY org")
 def rows_by_org(spark, sf_dir):
-    return observations(spark, sf_dir).groupBy(F.coalesce("org", F.lit("(not recorded)")).alias("org")).agg(F.count("*").alias("n"))
+    return statistics.rows_by_organisation(observations(spark, sf_dir), [])
 
 
 @query("WITH c AS (SELECT l_extendedprice AS y, l_quantity AS a, l_discount AS b FROM lineitem), x AS (SELECT count(*)::DOUBLE s00, sum(a) s01, sum(b) s02, sum(y) s03, sum(a*a) s11, sum(a*b) s12, sum(a*y) s13, sum(b*b) s22, sum(b*y) s23, sum(y*y) s33 FROM c) " + " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(s{i}{j} / s33, 9) AS value FROM x" for i in range(4) for j in range(i, 4)))
@@ -573,9 +571,28 @@ def hypo_events(spark, sf_dir):
     return exploration.hypo_events(observations(spark, sf_dir))
 
 
-@query()
+def lttb_sql(points: int, by: str) -> str:
+    """By recursion, a bucket a step: what the one before has kept decides."""
+    last = points - 2
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in by.split(", "))
+    return f"""WITH RECURSIVE {OBS}, p AS (SELECT {by}, seq, ts, value, epoch_us(ts)::DOUBLE AS x, row_number() OVER (PARTITION BY {by} ORDER BY ts, seq) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM obs WHERE value IS NOT NULL),
+ b AS MATERIALIZED (SELECT *, CASE WHEN i = 0 THEN -1 WHEN i = n - 1 THEN {last} ELSE len(list_filter(range(0, {last}), lambda j: 1 + floor(j * ((n - 2)::DOUBLE / {last})) <= i)) - 1 END AS b FROM p WHERE n > {points}),
+ m AS MATERIALIZED (SELECT {by}, b, avg(x) AS mx, avg(value) AS my FROM b GROUP BY {by}, b),
+ w AS (SELECT {by}, b, {{'area': 0.0::DOUBLE, 'back': 0::BIGINT, 'seq': seq, 'x': x, 'y': value}} AS k FROM b WHERE b = -1
+  UNION ALL SELECT {", ".join(f"w.{c}" for c in by.split(", "))}, w.b + 1, max({{'area': abs((w.k.x - mx) * (q.value - w.k.y) - (w.k.x - q.x) * (my - w.k.y)), 'back': -q.i, 'seq': q.seq, 'x': q.x, 'y': q.value}})
+   FROM w JOIN b q ON {on("q", "w")} AND q.b = w.b + 1 JOIN m ON {on("m", "w")} AND m.b = w.b + 2 GROUP BY {", ".join(f"w.{c}" for c in by.split(", "))}, w.b)
+ SELECT {by}, seq, ts, value FROM p WHERE n <= {points} OR i = n - 1 OR seq IN (SELECT k.seq FROM w)"""
+
+
+@query(lttb_sql(20, "source, pid"))
 def lttb(spark, sf_dir):
-    return exploration.downsample(observations(spark, sf_dir), 20, ["source", "pid"])
+    return series.downsample(observations(spark, sf_dir), 20, ["source", "pid"])
+
+
+@query(lttb_sql(60, "source"))
+def lttb_long(spark, sf_dir):
+    """A source's observations as one long series each."""
+    return series.downsample(observations(spark, sf_dir), 60, ["source"])
 
 
 @query("SELECT key, sum(n)::BIGINT AS n, count(DISTINCT source) AS sources FROM (SELECT 'cdr' || n_regionkey AS source, c_mktsegment AS key, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY key")
@@ -596,6 +613,65 @@ def concept_inventory(spark, sf_dir):
     return exploration.concept_inventory(observations(spark, sf_dir).groupBy("source", "concept", unit.alias("unit")).agg(F.count("*").alias("n")))
 
 
+@query(f"""WITH {OBS}, u AS (SELECT source, CASE WHEN seq % 97 <> 0 THEN concept END AS concept, CASE WHEN seq % 5 = 0 THEN NULL WHEN source = 'cdr0' THEN 'v' ELSE 'u' END AS unit FROM obs),
+ k AS (SELECT concept, string_agg(DISTINCT source, ',' ORDER BY source) AS held_by, count(*) AS observations, count(DISTINCT unit) > 1 AS unit_disagreement FROM u WHERE concept IS NOT NULL GROUP BY concept),
+ n AS (SELECT concept, string_agg(unit || ':' || c, ',' ORDER BY unit) AS units FROM (SELECT concept, unit, count(*) AS c FROM u WHERE unit IS NOT NULL GROUP BY 1, 2) GROUP BY concept)
+ SELECT k.concept, held_by, observations, CASE WHEN held_by LIKE '%cdr3%' THEN 'name of cdr3' WHEN held_by LIKE '%cdr1%' THEN 'name of cdr1' END AS display, units, unit_disagreement, row_number() OVER (ORDER BY observations DESC, k.concept)::INT AS number FROM k JOIN n ON n.concept = k.concept""")
+def concept_units(spark, sf_dir):
+    """Concepts with their units merged by addition and the first source's display, in the registry's order 4 to 0."""
+    rows = observations(spark, sf_dir).select("source", F.when(F.col("seq") % 97 != 0, F.col("concept")).alias("concept"), F.when(F.col("seq") % 5 == 0, None).when(F.col("source") == "cdr0", "v").otherwise("u").alias("unit"))
+    counts = rows.groupBy("source", "concept", "unit").agg(F.count("*").alias("n"))
+    told = counts.groupBy("source", "concept").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.when(F.col("unit").isNotNull(), F.struct("unit", "n")))).alias("units"))
+    named = F.when(F.col("source").isin("cdr1", "cdr3"), F.concat(F.lit("name of "), F.col("source")))
+    answers = told.withColumns({"place": 4 - F.substring("source", 4, 1).cast("int"), "display": named})
+    entries = F.transform(F.map_entries("units"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string")))
+    return exploration.merged_concepts(answers, ("display",)).select("concept", F.array_join("held_by", ",").alias("held_by"), "observations", "display", F.array_join(entries, ",").alias("units"), "unit_disagreement", "number")
+
+
+@query("WITH c AS (SELECT 'cdr' || n_regionkey AS source, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1) SELECT count_if(source <> 'cdr2')::BIGINT AS answered, count_if(source = 'cdr2')::BIGINT AS missing, 'degraded' AS mode FROM c")
+def federated_mode(spark, sf_dir):
+    """One source has not answered: its counts are null."""
+    people = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    counts = people.groupBy(F.concat(F.lit("cdr"), F.col("n_regionkey")).alias("source"), F.col("c_mktsegment").alias("key")).agg(F.count("*").alias("n"))
+    return exploration.answering(counts.withColumn("n", F.when(F.col("source") != "cdr2", F.col("n"))))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k FROM orders), v AS (SELECT k, 1 + (k % 5 = 0)::INT AS lines FROM o WHERE k % 7 <> 0 AND k % 11 <> 0), t(run, known) AS (VALUES ('first', false), ('again', true))
+ SELECT run, CASE WHEN known THEN 0 ELSE (SELECT count(*) FROM v) END::BIGINT AS added, CASE WHEN known THEN (SELECT sum(lines) FROM v) ELSE (SELECT sum(lines) - count(*) FROM v) END::BIGINT AS skipped, (SELECT count(*) FROM o WHERE k % 7 = 0 OR k % 11 = 0) + (SELECT count(*) FROM o WHERE k % 5 = 0 AND (k % 7 = 0 OR k % 11 = 0)) AS malformed FROM t""")
+def import_lines(spark, sf_dir):
+    """JSON lines of orders, some cut short, some without a key, some twice: imported, and imported again."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    whole = F.to_json(F.struct(F.when(F.col("id") % 11 != 0, F.col("id")).alias("id"), "status"))
+    lines = orders.select(F.when(F.col("id") % 7 == 0, F.substring(whole, 1, 9)).otherwise(whole).alias("value"), "id")
+    lines = lines.union(lines.where("id % 5 = 0")).select("value").union(spark.createDataFrame([(" ",), ("",)], "value string"))
+    rows, first = imported(lines, "id long, status string", "id")
+    _, again = imported(lines, "id long, status string", "id", rows)
+    return first.withColumn("run", F.lit("first")).unionByName(again.withColumn("run", F.lit("again")))
+
+
+@query(f"""WITH {OBS}, c AS (SELECT source, concept, count(*) AS n, min(seq) AS least, max(seq) AS most FROM obs GROUP BY 1, 2),
+ j AS (SELECT source, json_object('n', sum(n)::BIGINT, 'none', NULL, 'empty', json_array(), 'by', json_object('concept', to_json(list({{'code': concept, 'seq': [least, most]}} ORDER BY concept)))) AS j FROM c GROUP BY source)
+ SELECT source, replace(fullkey, '$.', '') AS path, atom ->> '$' AS value FROM j, json_tree(j) t WHERE t.type NOT IN ('OBJECT', 'ARRAY')""".replace("'none', NULL, ", ""))
+def flatten_results(spark, sf_dir):
+    """Nested results of each source as (path, value) rows."""
+    each = observations(spark, sf_dir).groupBy("source", "concept").agg(F.count("*").alias("n"), F.min("seq").alias("least"), F.max("seq").alias("most"))
+    held = F.array_sort(F.collect_list(F.struct(F.col("concept").alias("code"), F.array("least", "most").alias("seq"))))
+    nested = each.groupBy("source").agg(F.sum("n").alias("n"), held.alias("concept")).select("source", F.to_json(F.struct("n", F.array().alias("empty"), F.struct("concept").alias("by"))).alias("nested"))
+    return report.flattened(nested, ["source"], "nested")
+
+
+@query("""WITH s AS (SELECT c_custkey % 9 = 0 AS g, c_custkey % 4 = 0 AS p, c_custkey % 10 = 0 AS k, c_custkey % 6 = 0 AS v FROM customer), f(finding, "column") AS (SELECT f, c FROM (VALUES ('guid'), ('personnummer'), ('private_key')) a(f), (VALUES ('name'), ('deep.list[].note'), ('deep.tags.<key>'), ('deep.tags{}')) b(c))
+ SELECT finding, "column", sum(CASE WHEN (finding, "column") = ('guid', 'deep.list[].note') THEN g WHEN (finding, "column") = ('personnummer', 'deep.tags.<key>') THEN p WHEN (finding, "column") = ('private_key', 'deep.tags{}') THEN k WHEN (finding, "column") = ('personnummer', 'name') THEN v ELSE false END::INT)::BIGINT AS n FROM s, f GROUP BY f."column", finding""")
+def nested_scan(spark, sf_dir):
+    """Identifiers planted at every depth: in a text, an array of structs, keys and values of a map."""
+    key = F.col("c_custkey")
+    guid, person = F.lit("of 0f8fad5b-d9cb-469f-a165-70867728950e."), F.lit("19121212-1212")
+    notes = F.array(F.struct(F.lit("plain").alias("note")), F.struct(F.when(key % 9 == 0, guid).alias("note")))
+    tags = F.create_map(F.when(key % 4 == 0, person).otherwise("tag"), F.when(key % 10 == 0, "-----BEGIN RSA PRIVATE KEY-----"))
+    name = F.when(key % 6 == 0, F.concat(F.lit("nr "), person)).otherwise("somebody")
+    return disclosure.identifier_scan(read(spark, sf_dir, "customer").select(name.alias("name"), F.struct(notes.alias("list"), tags.alias("tags"), key.alias("n")).alias("deep")))
+
+
 @query(f"WITH {OBS} SELECT hour(ts)::INT AS hour, count(*) AS n, round(avg(value), 6) AS mean FROM obs WHERE pid IS NOT NULL AND value IS NOT NULL GROUP BY 1")
 def agp_epoch(spark, sf_dir):
     """Hours of day of raw points whose time is in seconds since 1970."""
@@ -705,7 +781,9 @@ def corr_strength(spark, sf_dir):
 
 @query("SELECT finding, 'text' AS column, count(*) FILTER (WHERE regexp_matches(text, form)) AS n FROM documents, (VALUES ('guid', '(?i)\\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\b'), ('personnummer', '\\b(?:19|20)?\\d{6}[-+]?\\d{4}\\b'), ('sentinel', '\\bFORBIDDEN-[A-Z]+\\b|\\bSURPRISE-PII\\b|\\bTEST-[A-Z0-9]+\\b'), ('key_material', '[A-Z]+_PROJECT_KEY_[A-Z0-9_]+|BEGIN [A-Z ]*PRIVATE KEY')) AS p(finding, form) GROUP BY finding".replace("AS column", 'AS "column"'))
 def identifier_scan(spark, sf_dir):
-    return disclosure.identifier_scan(read(spark, sf_dir, "documents").select("text"))
+    more = {"sentinel": r"\bFORBIDDEN-[A-Z]+\b|\bSURPRISE-PII\b|\bTEST-[A-Z0-9]+\b", "key_material": r"[A-Z]+_PROJECT_KEY_[A-Z0-9_]+|BEGIN [A-Z ]*PRIVATE KEY"}
+    shapes = {name: form for name, form in disclosure.IDENTIFIERS.items() if name != "private_key"}
+    return disclosure.identifier_scan(read(spark, sf_dir, "documents").select("text"), shapes | more)
 
 
 MERGED_BINS = f"""WITH RECURSIVE {FRAME[FRAME.index("obs AS"):]}, b AS (SELECT source, floor(purchase / 5) * 5 AS lo, count(*) AS n FROM f WHERE purchase IS NOT NULL GROUP BY 1, 2),
@@ -740,8 +818,7 @@ def differencing_guard(spark, sf_dir):
 @query(f"WITH {OBS} SELECT source, CASE WHEN count(DISTINCT pid) >= 300 THEN count(DISTINCT pid) END AS n, count(DISTINCT pid) < 300 AS suppressed FROM obs WHERE concept = 'signup' GROUP BY source")
 def audit_counts(spark, sf_dir):
     """What an audit row says of each source: its number of patients, hidden where it is small."""
-    counts = observations(spark, sf_dir).where("concept = 'signup'").groupBy("source").agg(F.count_distinct("pid").alias("n"))
-    return disclosure.suppressed(counts, 300)
+    return disclosure.patients_by_source(observations(spark, sf_dir).where("concept = 'signup'"), 300)
 
 
 @query()

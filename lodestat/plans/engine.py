@@ -201,15 +201,12 @@ def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy])
             day = [F.lit("day "), F.col("day_from").cast("string"), F.lit("–"), (F.col("day_from") + a["bin_days"] - 1).cast("string"), F.lit(" "), F.col("figure")]
             add(_figures(both, ["mean", "low", "high"]), a["var"], F.concat(*day), "told")
         elif kind == "completeness":
-            each = long.groupBy("source", "pid").agg(F.count("*").alias("observations"))
-            add(_both_grains(each.groupBy("source", "observations").agg(F.count("*").alias("n")), ["observations"], pooling), "observations per patient", F.col("observations"))
+            add(_both_grains(statistics.observation_counts(long, ["source"]), ["observations"], pooling), "observations per patient", F.col("observations"))
             names = [v["name"] for v in spec.variables]
-            told = wide.groupBy("source").agg(*(f.alias(f"{c}{i}") for i, v in enumerate(names) for c, f in (("m", F.count_if(F.col(v).isNull())), ("p", F.count(v)))))
-            cells = [F.struct(F.lit(v).alias("var"), F.lit(what).alias("key"), F.col(f"{c}{i}").alias("n")) for i, v in enumerate(names) for c, what in (("m", "missing"), ("p", "present"))]
-            if cells:
-                add(_both_grains(told.select("source", F.explode(F.array(*cells)).alias("x")).select("source", "x.*"), ["var", "key"], pooling), F.col("var"), F.col("key"))
-            orgs = long.groupBy("source", F.coalesce("org", F.lit("(not recorded)")).alias("org")).agg(F.count("*").alias("n"))
-            add(_both_grains(orgs, ["org"], pooling), "rows by organisation", F.col("org"))
+            if names:
+                told = statistics.missingness(wide, names, ["source"]).unpivot(["source", "var"], ["missing", "present"], "key", "n")
+                add(_both_grains(told, ["var", "key"], pooling), F.col("var"), F.col("key"))
+            add(_both_grains(statistics.rows_by_organisation(long, ["source"]), ["org"], pooling), "rows by organisation", F.col("org"))
         elif kind == "linear_regression":
             pooled_rows = wide.join(F.broadcast(pooling), "source", "left_semi").withColumn("source", F.lit("pooled"))
             fits = statistics.coefficients(wide.unionByName(pooled_rows), a["outcome"], a["predictors"], "source", k)

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestat.operators.disclosure import identifier_scan
+from lodestat.operators.disclosure import IDENTIFIERS, checked
 
 from .engine import SourcePolicy, provenance
 from .spec import AnalysisSpec
@@ -15,12 +15,29 @@ from .spec import AnalysisSpec
 RECIPES = "recipe string, spec_hash string, spec string"
 
 
-def write_csv(result: DataFrame, path: str) -> None:
+def write_csv(result: DataFrame, path: str, shapes: dict[str, str] = IDENTIFIERS) -> None:
     """The tidy rows of a result; an error, and no file, where a text looks like an identifier."""
-    found = [f"{r['finding']} in {r['column']}" for r in identifier_scan(result).where("n > 0").collect()]  # a row for each shape and column
-    if found:
-        raise PermissionError("identifiers in the result: " + ", ".join(sorted(found)))
-    result.write.mode("overwrite").csv(path, header=True)
+    checked(result, shapes).write.mode("overwrite").csv(path, header=True)
+
+
+def flattened(rows: DataFrame, ids: list[str], nested: str) -> DataFrame:
+    """(ids, path, value) of every leaf of a column of JSON texts, with paths such as a.b[0].c; empty objects and arrays
+    have none. The column is read as a variant and opened level by level, as many as the texts have."""
+    level = rows.select(*ids, F.lit("").alias("path"), F.parse_json(nested).alias("v"))
+    marks = F.regexp_replace(F.regexp_replace(nested, r'"(\\.|[^"\\])*"', ""), r"[^\[\]{}]", "")  # brackets outside of texts
+    deeper = lambda s, c: F.struct((s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("now"), F.greatest(s["most"], s["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)).alias("most"))
+    deep = F.aggregate(F.filter(F.split(marks, ""), lambda c: c != ""), F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), deeper, lambda s: s["most"])
+    depth = rows.agg(F.max(deep)).first()[0] or 0
+    container = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    out = None
+    for step in range(depth + 1):
+        leaves = level.where(~container).select(*ids, "path", F.col("v").cast("string").alias("value"))
+        out = leaves if out is None else out.unionByName(leaves)
+        if step < depth:
+            inner = level.where(container).lateralJoin(rows.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("pos", "key", "_v"))
+            longer = F.when(F.col("key").isNull(), F.concat("path", F.lit("["), "pos", F.lit("]"))).when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key"))
+            level = inner.select(*ids, longer.alias("path"), F.col("_v").alias("v"))
+    return out
 
 
 #: Columns of an export of rows, in order.
@@ -40,8 +57,8 @@ def receipt(exported: DataFrame, cohort: str, actor: str) -> DataFrame:
 
 def write_export(rows: DataFrame, path: str, audit: str, cohort: str, actor: str) -> None:
     """Writes the rows as CSV, and appends a receipt that is counted from what was written."""
-    export_rows(rows).write.mode("overwrite").csv(path, header=True)
-    written = rows.sparkSession.read.csv(path, header=True, schema=", ".join(f"{c} string" for c in EXPORT))
+    export_rows(rows).write.mode("overwrite").csv(path, header=True, escape='"')
+    written = rows.sparkSession.read.csv(path, header=True, multiLine=True, escape='"', schema=", ".join(f"{c} string" for c in EXPORT))
     receipt(written, cohort, actor).write.mode("append").parquet(audit)
 
 

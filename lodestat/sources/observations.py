@@ -78,6 +78,28 @@ def new_rows(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
     return incoming.dropDuplicates([key]).join(known.select(key), key, "left_anti")
 
 
+def imported(lines: DataFrame, schema: str, key: str, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The new rows of JSON lines (column value), and one row with the numbers added, skipped and malformed.
+
+    Blank lines are no lines. A line is malformed when it is no JSON object of the schema or has no key; it is skipped
+    when its key is known or stands on another line that is taken. Appending the new rows and importing again adds
+    nothing. Of lines with one key that of the least text is taken.
+    """
+    fields = f"{schema}, _corrupt string"
+    parsed = lines.where(F.length(F.trim("value")) > 0).select("value", F.from_json("value", fields, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
+    whole = F.col("r").isNotNull() & F.col("r._corrupt").isNull() & F.col(f"r.`{key}`").isNotNull()
+    valid = parsed.where(whole).groupBy(F.col(f"r.`{key}`").alias("_key")).agg(F.count("*").alias("_lines"), F.min_by("r", "value").alias("r"))
+    if known is not None:
+        valid = valid.join(known.select(F.col(key).alias("_key"), F.lit(True).alias("_known")).distinct(), "_key", "left")
+    else:
+        valid = valid.withColumn("_known", F.lit(None).cast("boolean"))
+    new = F.col("_known").isNull()
+    told = valid.agg(F.count_if(new).alias("added"), F.coalesce(F.sum(F.col("_lines") - new.cast("long")), F.lit(0)).alias("skipped"))
+    wrong = parsed.agg(F.count_if(~F.coalesce(whole, F.lit(False))).alias("malformed"))
+    names = [f for f in lines.sparkSession.createDataFrame([], schema).columns]
+    return valid.where(new).select(*(F.col(f"r.`{c}`").alias(c) for c in names)), told.join(F.broadcast(wrong))  # one row on either side
+
+
 def tail(reference: Column) -> Column:
     """What stands after the last slash."""
     return F.element_at(F.split(reference, "/"), -1)

@@ -198,3 +198,134 @@ def test_registry_of_sources(spark):
     assert [s["source"] for s in status] == ["two", "gone"]
     with pytest.raises(ValueError, match="not registered"):
         read_sources(spark, paths, only=["x"])
+
+
+# Series, imports, nested results
+
+
+def slow_lttb(points, target):
+    """(x, y) in order: which places are kept."""
+    n = len(points)
+    if target >= n or target < 3:
+        return list(range(n))
+    size, kept = (n - 2) / (target - 2), [0]
+    cut = lambda j: 1 + int(j * size)
+    for j in range(target - 2):
+        after = points[cut(j + 1) : min(cut(j + 2), n)]
+        mx, my = sum(p[0] for p in after) / len(after), sum(p[1] for p in after) / len(after)
+        ax, ay = points[kept[-1]]
+        kept.append(max(range(cut(j), cut(j + 1)), key=lambda i: (abs((ax - mx) * (points[i][1] - ay) - (ax - points[i][0]) * (my - ay)), -i)))
+    return [*kept, n - 1]
+
+
+@pytest.mark.parametrize("target", [2, 3, 12, 40])
+def test_downsampling_without_a_series_in_one_task(spark, target):
+    import datetime
+
+    from lodestat.operators.series import downsample, hull
+
+    draw = random.Random(target)
+    start, rows, series = datetime.datetime(2024, 1, 1), [], {}
+    for name, n in (("long", 900), ("short", 12), ("one", 1), ("flat", 50), (None, 200)):
+        at = sorted(draw.randrange(10**6) for _ in range(n))
+        values = [3.0 if name == "flat" else math.sin(i / 20) * 9 + draw.choice([0, 0, draw.gauss(0, 5)]) for i in range(n)]
+        mine = [(start + datetime.timedelta(seconds=s), i, v) for i, (s, v) in enumerate(zip(at, values))]
+        series[name] = [(s - at[0], v) for s, v in zip(at, values)]
+        rows += [(name, *r) for r in mine]
+    rows += [("long", None, 1, 2.0), ("long", start, 2, None)]
+    frame = spark.createDataFrame(rows, "pid string, ts timestamp, seq long, value double").repartition(6)
+    found = {}
+    for r in downsample(frame, target, ["pid"]).collect():
+        found.setdefault(r.pid, []).append((r.seq, r.ts, r.value))
+    for name, points in series.items():
+        assert [x[0] for x in sorted(found[name], key=lambda x: (x[1], x[0]))] == slow_lttb(points, target), name
+    for _ in range(50):
+        x = np.sort(np.array([float(draw.randrange(30)) for _ in range(40)]))
+        y = np.array([draw.gauss(0, 1) for _ in range(40)])
+        corners = hull(x, y)
+        for _ in range(20):
+            a, b, c = draw.gauss(0, 1), draw.gauss(0, 1), draw.gauss(0, 1)
+            assert math.isclose(np.abs(a * x + b * y + c).max(), np.abs(a * x + b * y + c)[corners].max())
+
+
+def test_import_of_lines(spark):
+    from lodestat.sources.observations import imported
+
+    lines = ['{"id": "a", "n": 1}', '{"id": "a", "n": 2}', '{"id": "b"}', '{"n": 3}', "{broken", "", "  ", "[1]", '"text"', '{"id": null}', '{"id": "c", "n": "no number"}', '{"id": "d", "extra": {"x": [1]}}']
+    frame = spark.createDataFrame([(x,) for x in lines] + [(None,)], "value string")
+    rows, told = imported(frame, "id string, n long", "id")
+    assert {(r.id, r.n) for r in rows.collect()} == {("a", 1), ("b", None), ("d", None)} and rows.columns == ["id", "n"]
+    assert told.first().asDict() == {"added": 3, "skipped": 1, "malformed": 6}
+    again, told = imported(frame, "id string, n long", "id", rows)
+    assert again.count() == 0 and told.first().asDict() == {"added": 0, "skipped": 4, "malformed": 6}
+    assert imported(frame.where("false"), "id string", "id")[1].first().asDict() == {"added": 0, "skipped": 0, "malformed": 0}
+
+
+def test_flattening(spark):
+    from lodestat.plans.report import flattened
+
+    nested = {"a": {"b": [{"c": 1}, {"c": [True, None]}, 2.5]}, "e": {}, "f": [], "g": "x.y", "h": [[1], [[2]]]}
+    rows = spark.createDataFrame([(1, json.dumps(nested)), (2, "7"), (3, None), (4, '{"a": 0}')], "id int, doc string")
+    found = {(r.id, r.path): r.value for r in flattened(rows, ["id"], "doc").collect()}
+    assert found == {(1, "a.b[0].c"): "1", (1, "a.b[1].c[0]"): "true", (1, "a.b[1].c[1]"): None, (1, "a.b[2]"): "2.5", (1, "g"): "x.y", (1, "h[0][0]"): "1", (1, "h[1][0][0]"): "2", (2, ""): "7", (4, "a"): "0"}
+
+
+def test_scan_of_every_place(spark):
+    from lodestat.operators import disclosure
+
+    guid = "0f8fad5b-d9cb-469f-a165-70867728950e"
+    schema = "plain string, n int, s struct<x: string, y: array<string>>, m map<string, array<struct<z: string>>>, aa array<array<string>>, mm map<string, map<string, string>>"
+    clean = ("ok", 1, ("a", ["b", None]), {"k": [("v",)]}, [["q"], None], {"k": {"j": "w"}})
+    assert disclosure.identifier_scan(spark.createDataFrame([clean, (None,) * 6], schema)).where("n > 0").count() == 0
+    planted = [("s.x", ("ok", 1, (guid, []), None, None, None)), ("s.y[]", ("ok", 1, (None, ["a", guid]), None, None, None)), ("m.<key>", ("", 1, None, {guid: []}, None, None)), ("m{}[].z", ("", 1, None, {"k": [("a",), (guid,)]}, None, None)), ("aa[][]", ("", 1, None, None, [["a"], [guid]], None)), ("mm{}.<key>", ("", 1, None, None, None, {"k": {guid: "v"}})), ("mm{}{}", ("", 1, None, None, None, {"k": {"j": guid}})), ("mm.<key>", ("", 1, None, None, None, {guid: {}})), ("plain", (guid, 1, None, None, None, None))]
+    frame = spark.createDataFrame([row for _, row in planted], schema)
+    found = {(r.finding, r.column): r.n for r in disclosure.identifier_scan(frame).where("n > 0").collect()}
+    assert found == {("guid", place): 1 for place, _ in planted}
+    with pytest.raises(PermissionError) as error:
+        disclosure.checked(frame)
+    assert all(f"guid in {place}" in str(error.value) for place, _ in planted)
+    assert disclosure.identifier_scan(spark.range(2)).count() == 0
+
+
+def test_merging_of_maps(spark):
+    from lodestat.operators import exploration
+
+    rows = spark.createDataFrame([("c", {"u": 2, "v": 1}), ("c", {"u": 3}), ("c", None), ("d", {}), ("e", {"w": None}), (None, {"u": 1})], "concept string, units map<string, long>")
+    assert {r.concept: r.units for r in exploration.merged_maps(rows, ["concept"], "units").collect()} == {"c": {"u": 5, "v": 1}, "d": {}, "e": {"w": 0}, None: {"u": 1}}
+    answers = [(2, "s2", "c", None, "g2", 4, {"u": 4}), (1, "s1", "c", "one", None, 3, {"u": 2, "v": 1}), (3, "s3", "c", "three", "g3", None, None), (1, "s1", "d", None, None, 9, {"u": 9}), (1, "s1", None, "x", "x", 99, {})]
+    found = {r.concept: r for r in exploration.merged_concepts(spark.createDataFrame(answers, "place int, source string, concept string, display string, guid string, n long, units map<string, long>")).collect()}
+    c, d = found["c"], found["d"]
+    assert (c.held_by, c.observations, c.display, c.guid, c.units, c.unit_disagreement, c.number) == (["s1", "s2", "s3"], 7, "one", "g2", {"u": 6, "v": 1}, True, 2)
+    assert (d.observations, d.display, d.units, d.unit_disagreement, d.number) == (9, None, {"u": 9}, False, 1) and len(found) == 2
+
+
+def test_modes_of_answers(spark):
+    from lodestat.operators.exploration import answering
+
+    def said(*answers):
+        return answering(spark.createDataFrame([(s, "k", n) for s, n in answers], "source string, key string, n long")).first().mode
+
+    assert [said(("a", 1), ("b", 2)), said(("a", 1), ("b", None), ("c", 0)), said(("a", 1), ("b", None)), said(("a", None))] == ["complete", "degraded", "error", "error"]
+
+
+def test_audit_of_runs_and_reads(spark, tmp_path):
+    import datetime
+
+    from lodestat.plans.audit import record_read, record_run
+
+    spec, now = AnalysisSpec.parse(json.dumps(SPEC)), datetime.datetime(2026, 1, 2)
+    rows = people(spark, 11, [float(i) for i in range(11)])
+    result = run_spec(rows, spec, [SourcePolicy(s, ("research",)) for s in "ab"])
+    record_run(result, spec, "me", f"{tmp_path}/runs", now, rows, k=6)
+    told = {r.source: (r.patients, r.patients_suppressed) for r in spark.read.parquet(f"{tmp_path}/runs").collect()}
+    assert told["a"] == (6, False) and told["b"] == (None, True) and told["pooled"] == (None, None)
+    record_read(f"{tmp_path}/reads", spark, "me", "cohort c1", "research", 42, now)
+    assert tuple(spark.read.parquet(f"{tmp_path}/reads").first()) == ("me", "cohort c1", "research", 42, now)
+
+
+def test_exports_with_line_ends(spark, tmp_path):
+    from lodestat.plans import report
+
+    rows = spark.createDataFrame([("p1", "o", 'two\nlines "and" quotes', 1.5), ("p2", None, "d", 2.0)], "subject string, org string, concept string, value double")
+    report.write_export(rows, str(tmp_path / "csv"), str(tmp_path / "audit"), "c1", "me")
+    assert tuple(spark.read.parquet(str(tmp_path / "audit")).first()) == ("c1", "me", 2, 2)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import columns as fn
 from lodestat.functions.distributions import chi_square_tail, t_quantile, t_two_sided
-from lodestat.operators import disclosure, exploration, frame, statistics
+from lodestat.operators import disclosure, exploration, frame, series, statistics
 from lodestat.operators.frame import Variable
 from lodestat.sources.observations import FHIR_BUNDLE, flatten_fhir, new_rows, read_sources, union_tagged
 
@@ -198,7 +198,7 @@ def test_sources(spark):
 
 def test_downsampling_keeps_ends(spark):
     rows = spark.range(100).select(F.lit("p").alias("pid"), F.col("id").alias("seq"), F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") % 10).cast("double").alias("value"))
-    found = exploration.downsample(rows, 12, ["pid"]).orderBy("seq").collect()
+    found = series.downsample(rows, 12, ["pid"]).orderBy("seq").collect()
     assert len(found) == 12 and found[0].seq == 0 and found[-1].seq == 99
 
 
