@@ -40,8 +40,9 @@ from .simhash import least_of_each
 
 #: Words of a shingle, and the likeness from which two texts are near duplicates.
 WIDTH, SIMILARITY = 5, 0.8
-#: Probability that a pair just at the limit shares a look-up, and how many deviations its distance may be above its mean.
-RECALL, DEVIATIONS = 0.995, 3.3
+#: Probability that a pair just at the limit shares a look-up, and how many deviations its distance may be above its mean:
+#: in the first 64 bits, and in the whole fingerprint.
+RECALL, DEVIATIONS, WHOLE_DEVIATIONS = 0.995, 3.3, 4.0
 LEAST_SEGMENT, HOT_BUCKET = 12, 4
 #: Lanes of 64 bits of a whole fingerprint, if the segments do not need more: the longer, the fewer pairs below the limit stay.
 LEAST_LANES = 16
@@ -73,8 +74,8 @@ class Index:
         bits = max(LEAST_SEGMENT, math.ceil(math.log2(max(n, 2))))
         within_one = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
         segments = math.ceil(math.log(1 - recall) / math.log(1 - within_one))
-        most = lambda k: math.ceil(k * p + DEVIATIONS * math.sqrt(k * p * (1 - p)))
-        return Index(bits, segments, most(64), most(64 * max(LEAST_LANES, -(-bits * segments // 64))))
+        most = lambda k, deviations: math.ceil(k * p + deviations * math.sqrt(k * p * (1 - p)))
+        return Index(bits, segments, most(64, DEVIATIONS), most(64 * max(LEAST_LANES, -(-bits * segments // 64)), WHOLE_DEVIATIONS))
 
     def keys(self, prints: Column) -> Column:
         """An array of (number of the segment, its value) as one number each."""
