@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Chunks whose encoding a worker keeps; beyond, it starts anew. Some 200 MB.
-CACHE = 600_000
+CACHE = 250_000
 #: Characters of text whose chunks are gathered at once, and distinct chunks that are encoded at once.
-GROUP_CHARS, BATCH = 6_000_000, 200_000
+GROUP_CHARS, BATCH = 4_000_000, 200_000
 #: Unicode's White_Space characters, stated in full: Python's own \s has four more.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
