@@ -1,8 +1,11 @@
 """Probabilistic automata inferred from sample strings by merging compatible prefix-tree states.
 
 Strings are read as character classes (digit, hexadecimal letter, other small letter, capital, and each other
-character by itself). The samples form a prefix tree with counts; states are merged in breadth-first order when a
-Hoeffding bound cannot tell their ending and next-class frequencies, nor those of their successors, apart.
+character by itself). The samples form a prefix tree with counts. In breadth-first order each state is merged with the
+first settled one that it is compatible with: for no two states that would fold together, they and their successors,
+may the samples lose more likelihood than the logarithm of all observations for each frequency that is saved. So a
+prefix or a separator keeps states of its own, while stretches that follow one distribution become one state. How long
+strings are is not told by the states but by a table of lengths.
 """
 
 from __future__ import annotations
@@ -19,12 +22,17 @@ def classes(value: str) -> str:
     return value.translate(_CLASS)
 
 
+def _fit(counts: Counter) -> float:
+    """The log-likelihood of what was counted under its own frequencies."""
+    whole = sum(counts.values())
+    return sum(n * math.log(n / whole) for n in counts.values() if n)
+
+
 class Automaton:
-    """A deterministic automaton with counts. `alpha` is the confidence of the merge test, `depth` how far it looks."""
+    """A deterministic automaton with counts; `flat` ones have one state."""
 
-    def __init__(self, samples: list[str], alpha: float = 0.01, depth: int = 4):
-        self.bound = math.sqrt(0.5 * math.log(2 / alpha))
-        self.depth = depth
+    def __init__(self, samples: list[str], flat: bool = False):
+        self.flat = flat
         self.passed: list[int] = [0]
         self.ended: list[int] = [0]
         self.next: list[dict[str, int]] = [{}]
@@ -50,18 +58,18 @@ class Automaton:
             self.passed[at] += 1
         self.ended[at] += 1
 
-    def _differ(self, x: int, n: int, y: int, m: int) -> bool:
-        return bool(n and m) and abs(x / n - y / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
-
-    def _compatible(self, a: int, b: int, left: int) -> bool:
-        n, m = self.passed[a], self.passed[b]
-        if self._differ(self.ended[a], n, self.ended[b], m):
-            return False
-        for s in self.taken[a].keys() | self.taken[b].keys():
-            if self._differ(self.taken[a][s], n, self.taken[b][s], m):
-                return False
-            if left and s in self.next[a] and s in self.next[b] and not self._compatible(self.next[a][s], self.next[b][s], left - 1):
+    def _alike(self, into: int, tree: int, price: float) -> bool:
+        """Whether no state of a tree differs from the state that it would fold into by more than a description saves."""
+        if self.flat:
+            return True
+        todo = [(into, tree)]
+        while todo:
+            a, b = todo.pop()
+            both = self.taken[a] + self.taken[b]
+            saved = len(self.taken[a]) + len(self.taken[b]) - len(both)
+            if _fit(self.taken[a]) + _fit(self.taken[b]) - _fit(both) > price * max(1, saved):
                 return False
+            todo.extend((self.next[a][s], child) for s, child in self.next[b].items() if s in self.next[a])
         return True
 
     def _fold(self, into: int, tree: int) -> list[tuple[int, str]]:
@@ -82,6 +90,7 @@ class Automaton:
 
     def _merge_all(self) -> None:
         settled, fringe = [0], deque((0, s) for s in sorted(self.next[0]))
+        price = math.log(max(2, sum(sum(t.values()) for t in self.taken)))
         known = {0}
         while fringe:
             parent, symbol = fringe.popleft()
@@ -89,7 +98,7 @@ class Automaton:
             if state in known:
                 continue
             for other in settled:
-                if self._compatible(other, state, self.depth):
+                if self._alike(other, state, price):
                     self.next[parent][symbol] = other
                     fringe.extend(sorted((a, s) for a, s in self._fold(other, state) if a in known))
                     break

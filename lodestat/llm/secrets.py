@@ -3,9 +3,11 @@
 Base spans are the matches of three patterns (assign, access, hex). Their values label credentials by format. From a
 bounded sample of them (SAMPLE of each format, those of least hash, so that reruns agree) an automaton of each format
 is inferred, from ordinary strings of the corpus two more: strings with digits, and other words. Every candidate (a
-run of credential characters outside the base spans) of every document is then scored by how much likelier the best
+run of credential characters that base spans do not cover) of every document is then scored by how much likelier the best
 format makes it than the automata of ordinary strings do. A run above a limit is a span of kind `format`. In other
-runs the parts between punctuation, and in long ones windows that cover all of it, are scored likewise.
+runs the parts between punctuation, and in long ones windows that cover all of it, are scored likewise. A run that base
+spans cover in part is a candidate like any other: a key is found whole though a pattern matches within it. What is
+added lies outside of the base spans at least in part.
 
 Nulls and empty texts have no spans; ties and repeated rows get equal results; very long texts and runs are read whole;
 an empty table gives an empty result. A column of the input named as the result is replaced, others pass through.
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -37,10 +39,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 PARTS = (re.compile(r"[A-Za-z0-9]{6,}"), re.compile(r"[A-Za-z0-9_-]{6,}"))
 DIGIT = re.compile(r"[0-9]")
 HINTS = ("passw", "secret", "token", "api")
-#: Values from which an automaton is inferred, of each format and each kind of ordinary strings.
-SAMPLE = 1000
+#: Values from which an automaton is inferred, of each format and each kind of ordinary strings, and their most characters:
+#: longer values are found like others, but teach no format.
+SAMPLE, SAMPLE_CHARS = 1000, 256
 #: Ordinary strings: with a digit and of so many characters or more, and all others.
 ORDINARY, ORDINARY_CHARS = ("plain", "word"), 12
+#: Rounds of taking out of the ordinary strings what formats make likelier.
+CLEANED = 2
 #: Log-likelihood ratio (natural) that a string must reach, whole and for each character.
 MIN_RATIO, MIN_RATIO_PER_CHAR = 20.0, 0.5
 #: Characters of the windows of a longer run, and of the steps between them.
@@ -64,18 +69,23 @@ def base_spans(text: str | None) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str | None, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """Runs of credential characters that overlap no base span."""
+    """Runs of credential characters that lie within no base span."""
     starts = [x[1] for x in taken]
     ends = list(accumulate((x[2] for x in taken), max))
     out = []
     for m in CANDIDATE.finditer(text or ""):
         a, b = m.span()
-        before = bisect_left(starts, b) if taken else 0  # spans that start before the candidate ends
-        if not before or ends[before - 1] <= a:
+        before = bisect_right(starts, a) if taken else 0  # spans that start no later than the candidate
+        if not before or ends[before - 1] < b:
             out.append((a, b, m.group()))
     return out
 
 
+def _outside(spans: list[tuple[int, int]], base: list[tuple[str, int, int, str]]) -> list[tuple[int, int]]:
+    """Those of the spans that no single base span holds."""
+    return [(a, b) for a, b in spans if not any(x <= a and b <= y for _, x, y, _ in base)]
+
+
 def _sampled(size: int):
     """A function over batches of texts that yields, of each kind, the distinct values of least hash."""
 
@@ -84,6 +94,8 @@ def _sampled(size: int):
         limit: dict[str, int] = {}
 
         def note(kind: str, value: str) -> None:
+            if len(value) > SAMPLE_CHARS:
+                return
             h = xxh64_intdigest(value.encode()) >> 1
             if h <= limit.get(kind, h):
                 mine = held.setdefault(kind, {})
@@ -97,7 +109,9 @@ def _sampled(size: int):
                 base = base_spans(text)
                 for kind, _, _, value in base:
                     note(kind, value)
-                for value in {v for _, _, v in candidates(text, base)} if base else set(CANDIDATE.findall(text or "")):
+                held_by = [(a, b) for _, a, b, _ in base]
+                free = {v for a, b, v in candidates(text, base) if not any(x < b and a < y for x, y in held_by)} if base else set(CANDIDATE.findall(text or ""))
+                for value in free:
                     note(ORDINARY[0] if len(value) >= ORDINARY_CHARS and DIGIT.search(value) else ORDINARY[1], value)
         rows = [(kind, value, h) for kind, mine in held.items() for value, h in sorted(mine.items(), key=lambda x: (x[1], x[0]))[:size]]
         yield pd.DataFrame(rows, columns=["kind", "value", "h"])
@@ -115,7 +129,22 @@ def learn(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> dict[str
     by_kind: dict[str, list[str]] = {}
     for kind, value, _ in picked.collect():  # 5 * sample strings at most
         by_kind.setdefault(kind, []).append(value)
-    return {kind: Automaton(sorted(found)) for kind, found in sorted(by_kind.items())}
+    return inferred(by_kind)
+
+
+def inferred(values: dict[str, list[str]]) -> dict[str, Automaton]:
+    """Automata of the formats and of ordinary strings from their values.
+
+    Credentials that stand in the corpus without a label are among the ordinary strings. So these are first described
+    by one state each, and what a format makes likelier than that is taken out, CLEANED times; the rest gets its
+    automaton.
+    """
+    models = {kind: Automaton(sorted(found)) for kind, found in sorted(values.items()) if kind not in ORDINARY}
+    rest = {kind: sorted(values[kind]) for kind in ORDINARY if kind in values}
+    for _ in range(CLEANED):
+        flat = models | {kind: Automaton(found, flat=True) for kind, found in rest.items()}
+        rest = {kind: [v for v in found if ratio(v, flat) <= 0] for kind, found in rest.items()}
+    return models | {kind: Automaton(found) for kind, found in rest.items()}
 
 
 def ratio(value: str, models: dict[str, Automaton]) -> float:
@@ -169,7 +198,8 @@ def all_spans(text: str | None, models: dict[str, Automaton], known: dict[str, l
                 known[value] = found
         if found:
             likely[value] = found
-    added = [("format", a + x, a + y) for a, _, value in candidates(text, base) for x, y in likely.get(value, ())] if likely else []
+    added = [(a + x, a + y) for a, _, value in candidates(text, base) for x, y in likely.get(value, ())] if likely else []
+    added = [("format", a, b) for a, b in (_outside(added, base) if base else added)]
     return sorted([x[:3] for x in base] + added, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
