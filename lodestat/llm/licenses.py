@@ -1,7 +1,7 @@
 """License scans by sentence rules, with DataFrame functions only.
 
 Texts are split into sentences; a sentence, reduced to its ASCII letters and digits in lower case with single blanks,
-may be a known licence sentence with an identifier. The identifiers of a text, in order, are then matched against
+may be a known licence sentence with an identifier; some sentences hold a name, which may be any. The identifiers of a text, in order, are then matched against
 rules: a licence is found where the identifiers of one of its rules stand one after another (other sentences may lie
 between them). Sentences and rules are a fixed set, stated below; they are literals of the plan.
 
@@ -16,6 +16,8 @@ gives an empty result. Columns sentence_ids and licenses of the input are replac
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,47 +43,53 @@ SENTENCES = {
     "mpl2": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "isc-grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense": "this is free and unencumbered software released into the public domain",
-    "spdx-mit": "spdx license identifier mit",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-gpl3": "spdx license identifier gpl 3 0 only",
-    "spdx-bsd3": "spdx license identifier bsd 3 clause",
+    "gpl2-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl21-redistribute": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "agpl3-redistribute": "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "reserved": "all rights reserved",
 }
+#: Identifiers that stand after "SPDX-License-Identifier:"; each is a sentence and a rule.
+SPDX = [
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0",
+    "CDDL-1.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+    "MIT", "MIT-0", "MPL-2.0", "MS-PL", "NCSA", "OFL-1.1", "OpenSSL", "PostgreSQL", "PSF-2.0", "Unlicense", "UPL-1.0", "WTFPL", "X11", "Zlib",
+]
+SENTENCES |= {f"spdx-{name.lower()}": "spdx license identifier " + re.sub("[^a-z0-9]+", " ", name.lower()) for name in SPDX}
+#: Sentences that hold a name, by identifier: how they begin, and the whole of them, after normalising.
+SLOTS = {"bsd-endorse": ("neither the name of", "neither the name of [a-z0-9 ]+ may be used to endorse or promote products derived from this software without specific prior written permission")}
 #: A licence and the sentences, in order, that state it; longer rules of a licence first.
 RULES = [
     ("MIT", ("mit-grant", "mit-notice", "mit-warranty")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("MIT", ("mit-short",)),
     ("MIT", ("mit-licensed",)),
-    ("MIT", ("spdx-mit",)),
     ("Apache-2.0", ("apache-short", "apache-may-not", "apache-copy")),
     ("Apache-2.0", ("apache-short",)),
-    ("Apache-2.0", ("spdx-apache",)),
     ("GPL-3.0", ("gpl-redistribute", "gpl-hope")),
     ("GPL-3.0", ("gpl-redistribute",)),
     ("GPL-3.0", ("gpl3-work",)),
-    ("GPL-3.0", ("spdx-gpl3",)),
+    ("GPL-2.0", ("gpl2-redistribute", "gpl-hope")),
+    ("GPL-2.0", ("gpl2-redistribute",)),
+    ("LGPL-2.1", ("lgpl21-redistribute",)),
+    ("AGPL-3.0", ("agpl3-redistribute",)),
     ("CC-BY-NC-4.0", ("ccbync4",)),
     ("CC-BY-4.0", ("ccby4",)),
     ("CC-BY-SA-4.0", ("ccbysa4",)),
     ("CC0-1.0", ("cc0",)),
     ("BSD-3-Clause", ("bsd-redistribution", "bsd-endorse")),
     ("BSD-2-Clause", ("bsd-redistribution",)),
-    ("BSD-3-Clause", ("spdx-bsd3",)),
     ("MPL-2.0", ("mpl2",)),
     ("ISC", ("isc-grant",)),
     ("Unlicense", ("unlicense",)),
     ("Proprietary", ("reserved",)),
+    *((re.sub("-(only|or-later)$", "", name), (f"spdx-{name.lower()}",)) for name in SPDX),
 ]
 #: Further forms of the sentences in standard headers.
 HEADERS = {
     "licensed under the apache license version 2 0 the license": "apache-short",
-    "spdx license identifier gpl 3 0 or later": "spdx-gpl3",
 }
 #: Every sentence has one of these; texts without them are not searched for sentences in several pieces.
 ANCHORS = "(?i)licen|permission|warranty|redistribution|endorse|unencumbered|rights"
-#: Pieces, empty ones among them, that a sentence may be cut into.
-PIECES = 100
 #: Ends of sentences: punctuation before white space or at the end of the text, and line ends.
 SENTENCE_END = "[.;:!?]+(?:[ \\t\\r\\f]+|\\z)|[.;:!?]*[\\r\\f]*\\n"
 #: Joined pieces, as they stand after normalising, of this many characters or more are no known sentence: the longest has fewer.
@@ -94,23 +102,29 @@ def sentence_ids(text: Column) -> Column:
     """(at, id) of the known sentences of a text, in order; at counts the sentences before."""
     forms = {s: i for i, s in SENTENCES.items()} | HEADERS
     known = F.create_map(*(F.lit(x) for pair in forms.items() for x in pair))
+    slotted = lambda s: F.coalesce(*(F.when(s.startswith(front) & s.rlike(f"^{whole}$"), F.lit(i)) for i, (front, whole) in SLOTS.items()))
+    of = lambda s: F.coalesce(known[s], slotted(s))
     pieces = F.split(F.coalesce(text, F.lit("")), SENTENCE_END)
     sentences = F.transform(pieces, lambda s, i: F.struct(i.alias("at"), s.alias("s")))
     normal = lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))
     short = F.filter(sentences, lambda x: F.length(x["s"]) >= SHORTEST)
-    found = F.transform(short, lambda x: F.struct(x["at"].alias("at"), known[normal(x["s"])].alias("id")))
+    found = F.transform(short, lambda x: F.struct(x["at"].alias("at"), of(normal(x["s"])).alias("id")))
     found = F.filter(found, lambda x: x["id"].isNotNull())
-    starts = lambda s: (s != "") & F.exists(F.array(*map(F.lit, forms)), lambda k: k.startswith(F.concat(s, F.lit(" "))))
+    fronts = [front for front, _ in SLOTS.values()]
+    begun = lambda s: F.exists(F.array(*map(F.lit, [*forms, *fronts])), lambda k: k.startswith(F.concat(s, F.lit(" "))))
+    starts = lambda s: begun(s) | F.exists(F.array(*map(F.lit, fronts)), lambda k: s.startswith(k))
 
     def joined(state: Column, piece: Column) -> Column:
-        longer = F.trim(F.concat(state["s"], F.lit(" "), piece))
-        return F.when(state["id"].isNotNull() | (F.length(state["s"]) >= LONGEST), state).otherwise(F.struct(longer.alias("s"), known[longer].alias("id")))
+        longer = F.concat_ws(" ", state["s"], piece["s"])
+        return F.when(state["id"].isNotNull() | (F.length(state["s"]) >= LONGEST), state).otherwise(F.struct(longer.alias("s"), of(longer).alias("id")))
 
     def several(p: Column) -> Column:
-        run = lambda s, i: F.aggregate(F.slice(p, i + 2, PIECES - 1), F.struct(s.alias("s"), F.lit(None).cast("string").alias("id")), joined)["id"]
-        return F.filter(F.transform(p, lambda s, i: F.struct(i.alias("at"), F.when(starts(s), run(s, i)).alias("id"))), lambda x: x["id"].isNotNull())
+        """p: pieces that are not empty; each adds two characters at least, so LONGEST bounds how many can matter."""
+        run = lambda x, i: F.aggregate(F.slice(p, i + 2, LONGEST // 2), F.struct(x["s"].alias("s"), F.lit(None).cast("string").alias("id")), joined)["id"]
+        return F.filter(F.transform(p, lambda x, i: F.struct(x["at"].alias("at"), F.when(starts(x["s"]), run(x, i)).alias("id"))), lambda x: x["id"].isNotNull())
 
-    whole = lambda one: F.array_sort(F.concat(one, F.filter(F.transform(F.array(F.transform(pieces, normal)), several)[0], lambda x: ~F.exists(one, lambda y: y["at"] == x["at"]))))
+    full = F.filter(F.transform(sentences, lambda x: F.struct(x["at"].alias("at"), normal(x["s"]).alias("s"))), lambda x: x["s"] != "")
+    whole = lambda one: F.array_sort(F.concat(one, F.filter(F.transform(F.array(full), several)[0], lambda x: ~F.exists(one, lambda y: y["at"] == x["at"]))))
     return F.when(F.coalesce(text, F.lit("")).rlike(ANCHORS), F.transform(F.array(found), whole)[0]).otherwise(found)
 
 

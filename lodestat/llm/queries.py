@@ -129,13 +129,15 @@ FROM p LEFT JOIN f ON f.digest = p.digest AND bytes >= 1000
 def op8_sql() -> str:
     sentences = ", ".join(f"('{s}', '{i}')" for i, s in licenses.SENTENCES.items())
     end = licenses.SENTENCE_END
+    slots = "".join(f" UNION ALL SELECT doc_id, place, '{i}' FROM n WHERE regexp_full_match(s, '{whole}') AND s NOT IN (SELECT sentence FROM known)" for i, (_, whole) in licenses.SLOTS.items())
     rules = licenses.by_length()
     found = ", ".join(f"contains(line{i}, '{ids}') AS found{i}, replace(line{i}, '{ids}', '#') AS line{i + 1}" for i, (_, ids) in enumerate(rules))
     names = ", ".join(f"CASE WHEN found{i} THEN '{name}' END" for i, (name, _) in enumerate(rules))
     return f"""
 WITH known(sentence, id) AS (VALUES {sentences}),
 s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '{end}')) AS s, unnest(range(len(string_split_regex(coalesce(text, ''), '{end}')))) AS place FROM documents),
-k AS (SELECT doc_id, place, id FROM s JOIN known ON sentence = lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) WHERE length(s) >= {licenses.SHORTEST}),
+n AS (SELECT doc_id, place, lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g'))) AS s FROM s WHERE length(s) >= {licenses.SHORTEST}),
+k AS (SELECT doc_id, place, id FROM n JOIN known ON sentence = s{slots}),
 l AS (SELECT doc_id, string_agg(id, ',' ORDER BY place) AS sentences, string_agg(place::VARCHAR, ',' ORDER BY place) AS places, '|' || string_agg(id, '||' ORDER BY place) || '|' AS line0 FROM k GROUP BY doc_id),
 f AS (SELECT *, {found} FROM l),
 m AS (SELECT doc_id, sentences, places, array_to_string(list_sort(list_distinct(list_filter([{names}], lambda x: x IS NOT NULL))), ',') AS licenses FROM f)
