@@ -62,6 +62,16 @@ def strength(r: Column) -> Column:
     return F.when(F.abs(r) < 0.3, "weak").when(F.abs(r) < 0.7, "moderate").when(r.isNotNull(), "strong")
 
 
+def direction(r: Column) -> Column:
+    """Whether two values go the same or the opposite way."""
+    return F.when(r > 0, "same").when(r < 0, "opposite").when(r == 0, "none")
+
+
+def code_class(code: Column) -> Column:
+    """plan_concept for the canonical code of a concept, external_code for any other code."""
+    return F.when(concept_guid(code).isNotNull(), "plan_concept").when(F.length(F.trim(code)) > 0, "external_code")
+
+
 def born_for_age(birth: Column, today: str, youngest: int, oldest: int) -> Column:
     """Whether somebody born then is youngest to oldest years old today."""
     now = F.lit(today).cast("date")

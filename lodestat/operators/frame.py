@@ -9,6 +9,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestat.functions import columns
+
 from .ranks import numbered
 
 PATIENT = ["source", "pid"]
@@ -29,6 +31,22 @@ def with_day_offset(rows: DataFrame, index_concept: str | None = None) -> DataFr
     return rows.withColumn("day_offset", F.date_diff("d", F.min(day).over(Window.partitionBy(*PATIENT))))
 
 
+#: Columns that are never given, at whatever grain.
+BIRTH = ("birth_date", "date_of_birth", "dob")
+
+
+def coarsened(rows: DataFrame, grain: str = "month", width: int = 5, age: str = "age", day: str = "d") -> DataFrame:
+    """Rows as they may be given: age as a band, the date as days from the index event (where the rows have day_offset)
+    or by month or year, and no birth date. A negative age is an error; a null one has no band."""
+    out = rows.drop(*BIRTH)
+    if age in out.columns:
+        whole = F.when(F.col(age) < 0, F.raise_error(F.lit("an age below zero")).cast("string")).otherwise(columns.age_band(F.col(age), width))
+        out = out.withColumn("age_band", whole).drop(age)
+    if day in out.columns:
+        out = out.drop(day) if "day_offset" in out.columns else out.withColumn("calendar", columns.calendar(F.col(day), grain)).drop(day)
+    return out
+
+
 def undated(rows: DataFrame) -> DataFrame:
     """Rows and patients without a day offset, by source."""
     missing = F.col("day_offset").isNull()

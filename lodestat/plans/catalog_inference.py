@@ -6,12 +6,18 @@ Simpson's rule, and finds quantiles by Newton's method from there.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
+from lodestat.functions import columns as fn
 from lodestat.functions import tails
-from lodestat.operators import digests, inference, ranks, statistics
+from lodestat.operators import digests, exploration, frame, inference, ranks, statistics
+from lodestat.sources import observations as observations_module
 from lodestat.sources.observations import observations, read
+from lodestat.sources.paged import PagedObservations
 
+from . import report
 from .catalog import FRAME, OBS, patients, query, rounded
 
 PANELS = 2000
@@ -191,3 +197,53 @@ def risk_difference(spark, sf_dir):
     """Many errors, between segments of each source."""
     counts = patients(spark, sf_dir).groupBy("source", "sex").agg(F.count("*").alias("n"), F.count_if(F.col("errors") >= 5).alias("events"))
     return rounded(inference.risk_differences(counts, "sex", ["source"], 5))
+
+
+# Coarse records, codes, pages
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity * 2 >= 90 THEN '90+' ELSE (floor(l_quantity * 2 / 5) * 5)::INT || '-' || ((floor(l_quantity * 2 / 5) * 5)::INT + 4) END AS age_band, strftime(CAST(o_orderdate AS DATE), '%Y-%m') AS calendar FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def coarsen_records(spark, sf_dir):
+    """Quantities as ages: bands and months in place of ages and days, and no birth date."""
+    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    day = F.to_date("o_orderdate")
+    return frame.coarsened(rows.select("l_orderkey", "l_linenumber", (F.col("l_quantity") * 2).cast("int").alias("age"), day.alias("d"), day.alias("birth_date")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN 'plan_concept' ELSE 'external_code' END AS class FROM customer")
+def code_classes(spark, sf_dir):
+    """Concepts of the plan and codes from outside, some without any."""
+    digest = F.md5("c_name")
+    guid = F.concat_ws("-", *(F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    code = F.when(F.col("c_custkey") % 4 == 0, " ").when(F.col("c_custkey") % 4 == 1, F.concat(F.lit("urn:x:concept/"), guid)).when(F.col("c_custkey") % 4 == 2, "http://loinc.org/1234-5").otherwise(guid)
+    return read(spark, sf_dir, "customer").select("c_custkey", fn.code_class(code).alias("class"))
+
+
+@query(f"WITH {OBS} SELECT source, hour(ts)::INT AS hour, count(value)::DOUBLE AS n, round(avg(value), 9) AS mean, round(quantile_cont(value, 0.5), 9) AS p50 FROM obs GROUP BY 1, 2")
+def profile_parameters(spark, sf_dir):
+    """Hours of the day of each source as FHIR Parameters, read back from their JSON; hours without values have no mean there."""
+    hours = rounded(exploration.glucose_hours(observations(spark, sf_dir), ["source"]), 9)
+    said = report.profile_parameters(hours, ["source"], ["n", "mean", "p50"])
+    back = said.select("source", F.explode(F.from_json("resource", "resourceType string, parameter array<struct<name: string, part: array<struct<name: string, valueDecimal: double>>>>")["parameter"]).alias("p"))
+    part = lambda name: F.filter(F.col("p.part"), lambda x: x["name"] == name)[0]["valueDecimal"].alias(name)
+    return back.select("source", F.substring("p.name", 6, 2).cast("int").alias("hour"), part("n"), F.get(F.filter(F.col("p.part"), lambda x: x["name"] == "mean"), F.lit(0))["valueDecimal"].alias("mean"), F.get(F.filter(F.col("p.part"), lambda x: x["name"] == "p50"), F.lit(0))["valueDecimal"].alias("p50")).where("n > 0")
+
+
+@query(f"WITH {OBS} SELECT source, seq, concept FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY seq) AS n FROM obs WHERE pid = '7') WHERE n BETWEEN 6 AND 25")
+def person_page(spark, sf_dir):
+    return observations_module.person_page({"observations": observations(spark, sf_dir)}, "observations", "7", [F.col("seq")], 20, 5).select("source", "seq", "concept")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS pid, event_type AS concept, event_id AS seq, round(value, 6) AS value FROM events WHERE event_type IN ('purchase', 'click') AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def paged_read(spark, sf_dir):
+    """A cohort's rows from a store that gives pages of 60 rows at most, 16 patients at a time."""
+    spark.dataSource.register(PagedObservations)
+    cohort = [str(r.c_custkey) for r in read(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey").collect()]  # a cohort, as the store is asked by patient
+    pages = spark.read.format("paged_observations").option("path", f"{sf_dir}/events.parquet").option("patients", json.dumps(cohort)).option("concepts", json.dumps(["purchase", "click", "view"])).option("page", 60).option("batch", 16).load()
+    return rounded(pages.where(F.col("concept").isin("purchase", "click")))
+
+
+@query(f"WITH {FRAME}, c AS (SELECT source, count(*) AS n, corr(click, view) AS r FROM f WHERE click IS NOT NULL AND view IS NOT NULL GROUP BY source) SELECT source, CASE WHEN abs(r) < 0.3 THEN 'weak' WHEN abs(r) < 0.7 THEN 'moderate' ELSE 'strong' END AS strength, CASE WHEN r > 0 THEN 'same' ELSE 'opposite' END AS direction FROM c")
+def corr_direction(spark, sf_dir):
+    found = statistics.pearson(patients(spark, sf_dir), [("click", "view")], ["source"])
+    return found.select("source", fn.strength(F.col("r")).alias("strength"), fn.direction(F.col("r")).alias("direction"))

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestat.functions.columns import direction, strength
 from lodestat.operators.disclosure import IDENTIFIERS, checked
 
 from .engine import SourcePolicy, provenance
@@ -68,6 +69,15 @@ def as_parameters(figures: DataFrame, names: list[str]) -> Column:
     return F.to_json(F.struct(F.lit("Parameters").alias("resourceType"), F.filter(given, lambda p: p["valueDecimal"].isNotNull()).alias("parameter")))
 
 
+def profile_parameters(hours: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """by and resource: the hours of a profile as one FHIR Parameters resource in JSON for each of `by`, an hour a
+    parameter with its figures as parts; figures that are null are left out."""
+    parts = F.filter(F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("valueDecimal")) for n in names)), lambda p: p["valueDecimal"].isNotNull())
+    each = hours.select(*by, F.col("hour").cast("int").alias("hour"), F.struct(F.concat(F.lit("hour-"), F.lpad(F.col("hour").cast("string"), 2, "0")).alias("name"), parts.alias("part")).alias("p"))
+    held = each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("hour", "p"))), lambda x: x["p"]).alias("parameter"))  # 24 hours
+    return held.select(*by, F.to_json(F.struct(F.lit("Parameters").alias("resourceType"), "parameter")).alias("resource"))
+
+
 def provenance_rows(spark: SparkSession, spec: AnalysisSpec, policies: list[SourcePolicy]) -> DataFrame:
     """A row for each thing that a report says about its figures: about, value."""
     said = provenance(spec, policies)
@@ -76,12 +86,43 @@ def provenance_rows(spark: SparkSession, spec: AnalysisSpec, policies: list[Sour
     return spark.createDataFrame(rows, "about string, value string")
 
 
-def sentence(result: DataFrame) -> Column:
+#: Sentences by language: figures, counts, hidden figures, differences, associations, and words for strength and direction.
+#: None of them speaks of causes.
+WORDS = {
+    "en": {
+        "told": "In %s, %s of %s is %s (n = %d).", "counted": "In %s, %s of %s: %d.", "hidden": "In %s, %s of %s is not shown, as it rests on too few patients.",
+        "differ": "In %s, %s of %s is %s: the difference of two groups, not a reason for it.", "together": "In %s, %s go together: %s, %s direction (r = %s, n = %d). That two values go together does not say why.",
+        "weak": "weakly", "moderate": "moderately", "strong": "strongly", "same": "in the same", "opposite": "in the opposite", "none": "in no",
+        "exact": "Figures are exact, also over several sources.", "approximate": "Quartiles over several sources are approximate.", "few": "Groups of fewer than %d patients are hidden; at times another group is hidden too, so that sums do not give them away.", "twice": "A patient whom several sources hold is counted by each of them.",
+    },
+    "sv": {
+        "told": "I %s är %s för %s %s (n = %d).", "counted": "I %s är %s för %s: %d.", "hidden": "I %s visas inte %s för %s, eftersom underlaget är för litet.",
+        "differ": "I %s är %s för %s %s: skillnaden mellan två grupper, inte skälet till den.", "together": "I %s följs %s åt: %s, %s riktning (r = %s, n = %d). Att två värden följs åt säger inte varför.",
+        "weak": "svagt", "moderate": "måttligt", "strong": "starkt", "same": "i samma", "opposite": "i motsatt", "none": "i ingen",
+        "exact": "Siffrorna är exakta, även över flera källor.", "approximate": "Kvartiler över flera källor är ungefärliga.", "few": "Grupper med färre än %d patienter döljs; ibland döljs ännu en grupp, så att summor inte röjer dem.", "twice": "En patient som finns i flera källor räknas i var och en.",
+    },
+}
+
+
+def sentence(result: DataFrame, language: str = "en") -> Column:
     """A plain sentence for each row of a result; it states figures and never causes."""
-    told = F.format_string("In %s, %s of %s is %s (n = %d).", "source", "key", "var", F.round("value", 2).cast("string"), "n")
-    counted = F.format_string("In %s, %s of %s: %d.", "source", "key", "var", "n")
-    hidden = F.format_string("In %s, %s of %s is not shown, as it rests on too few patients.", "source", "key", "var")
-    return F.when(F.col("suppressed"), hidden).when(F.col("value").isNotNull(), told).otherwise(counted)
+    say = WORDS[language]
+    figure = F.round("value", 2).cast("string")
+    word = lambda found: F.coalesce(*(F.when(found == w, say[w]) for w in ("weak", "moderate", "strong", "same", "opposite", "none")))
+    told = F.format_string(say["told"], "source", "key", "var", figure, "n")
+    together = F.format_string(say["together"], "source", "var", word(strength(F.col("value"))), word(direction(F.col("value"))), figure, "n")
+    differ = F.format_string(say["differ"], "source", "key", "var", figure)
+    counted = F.format_string(say["counted"], "source", "key", "var", "n")
+    hidden = F.format_string(say["hidden"], "source", "key", "var")
+    shown = F.when(F.col("key").isin("r", "rho"), together).when((F.col("kind") == "compare_groups") & F.col("key").endswith(" diff"), differ).otherwise(told)
+    return F.when(F.col("suppressed"), hidden).when(F.col("value").isNotNull(), shown).otherwise(counted)
+
+
+def caveats(spec: AnalysisSpec, k: int, language: str = "en") -> list[str]:
+    """What a report says once: exactness, hidden groups, and patients whom several sources hold."""
+    say = WORDS[language]
+    out = [say["approximate" if any(a["kind"] == "describe" for a in spec.analyses) else "exact"], say["few"] % k]
+    return out + ([say["twice"]] if spec.linkage == "none" and len(spec.sources) > 1 else [])
 
 
 def keep_recipe(spark: SparkSession, path: str, recipe: str, spec: AnalysisSpec) -> None:

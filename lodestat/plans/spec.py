@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from lodestat.operators.frame import COMPARE
 
@@ -32,6 +32,16 @@ def _only(given: dict, known: dict[str, bool], where: str) -> None:
         raise SpecError(f"{where}: missing {', '.join(lacking)}")
 
 
+def declared(purpose: str | None, projects: list[str] | None = None) -> tuple[str, list[str]]:
+    """The purpose of a read and its projects, each once; an error without a known purpose, and for research without a project."""
+    if purpose not in PURPOSES:
+        raise SpecError(f"purpose: one of {', '.join(sorted(PURPOSES))}")
+    named = list(dict.fromkeys(p.strip() for p in projects or [] if p and p.strip()))
+    if purpose == "research" and not named:
+        raise SpecError("research needs a project")
+    return purpose, named
+
+
 @dataclass(frozen=True)
 class AnalysisSpec:
     title: str
@@ -45,7 +55,6 @@ class AnalysisSpec:
     groups: tuple[dict, ...] = ()
     allow_overlapping_groups: bool = False
     spec_version: int = 1
-    _: None = field(default=None, repr=False)
 
     @classmethod
     def parse(cls, text: str | dict) -> AnalysisSpec:
@@ -107,7 +116,7 @@ class AnalysisSpec:
 
     def canonical(self) -> str:
         """JSON with sorted keys, without white space, with all defaults."""
-        whole = {k: v for k, v in self.__dict__.items() if k != "_"}
+        whole = dict(self.__dict__)
         return json.dumps(whole, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
     def stated(self) -> dict:

@@ -73,6 +73,22 @@ def page_of_each(rows: DataFrame, by: str, order: list[Column], limit: int, offs
     return rows.withColumn("_n", number).where(F.col("_n").between(offset + 1, offset + limit)).drop("_n")
 
 
+#: The most rows of a page.
+MOST_ROWS = 500
+
+
+def person_page(tables: dict[str, DataFrame], table: str, pid: str, order: list[Column], limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of one person's rows in each source of a table; only tables that are offered can be asked for, a person must
+    be named, and a page has MOST_ROWS at most (a larger limit is lowered, one below 1 is an error)."""
+    if table not in tables:
+        raise LookupError(f"no table {table}")
+    if not pid:
+        raise ValueError("a person must be named")
+    if limit < 1 or offset < 0:
+        raise ValueError("a page has one row or more")
+    return page_of_each(tables[table].where(F.col("pid") == pid), "source", order, min(limit, MOST_ROWS), offset)
+
+
 def new_rows(incoming: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """The incoming rows whose key is not known yet, one for each key: appending them twice adds nothing."""
     return incoming.dropDuplicates([key]).join(known.select(key), key, "left_anti")

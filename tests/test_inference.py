@@ -329,3 +329,101 @@ def test_exports_with_line_ends(spark, tmp_path):
     rows = spark.createDataFrame([("p1", "o", 'two\nlines "and" quotes', 1.5), ("p2", None, "d", 2.0)], "subject string, org string, concept string, value double")
     report.write_export(rows, str(tmp_path / "csv"), str(tmp_path / "audit"), "c1", "me")
     assert tuple(spark.read.parquet(str(tmp_path / "audit")).first()) == ("c1", "me", 2, 2)
+
+
+# Pages, coarse records, questions, sentences
+
+
+def test_reading_by_pages(spark):
+    from lodestat.sources.paged import PagedObservations, TruncatedRead, read_whole
+
+    asked = []
+
+    def store(rows):
+        def search(patients, concept, limit):
+            asked.append(patients)
+            return [r for r in rows if r[0] in patients and r[1] == concept][:limit]
+
+        return search
+
+    draw = random.Random(3)
+    rows = [(f"p{i}", c, k, float(k)) for i in range(20) for c in "xy" for k in range(draw.randrange(9))]
+    whole = tuple(f"p{i}" for i in range(20))
+    assert sorted(read_whole(store(rows), whole, "x", 10)) == sorted(r for r in rows if r[1] == "x") and len(asked) > 5
+    with pytest.raises(TruncatedRead, match="p1 "):
+        list(read_whole(store([("p1", "x", i, 0.0) for i in range(10)]), ("p0", "p1", "p2"), "x", 10))
+    asked.clear()
+    assert list(read_whole(store(rows), whole, "z", 10)) == [] and len(asked) == 1  # one answer that is not full is enough
+    spark.dataSource.register(PagedObservations)
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    cohort = [str(r.user_id) for r in events.select("user_id").distinct().collect()][:40]
+    flat = events.where(F.col("user_id").cast("string").isin(cohort) & F.col("event_type").isin("click", "view")).select(F.col("user_id").cast("string"), "event_type", "event_id", "value")
+    reader = spark.read.format("paged_observations").option("path", f"{SMALL}/events.parquet").option("patients", json.dumps(cohort)).option("concepts", '["click", "view"]').option("batch", 7)
+    most = max(r["count"] for r in flat.groupBy("user_id", "event_type").count().collect())
+    assert sorted(map(tuple, reader.option("page", most + 1).load().collect())) == sorted(map(tuple, flat.collect()))
+    with pytest.raises(Exception, match="full page"):
+        reader.option("page", most).load().collect()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = reader.option("page", most + 1).option("push", "true").load().where(F.col("pid").isin(cohort[:3]) & (F.col("concept") == "view"))
+        assert sorted(map(tuple, some.collect())) == sorted(map(tuple, flat.where(F.col("user_id").cast("string").isin(cohort[:3]) & (F.col("event_type") == "view")).collect()))
+        assert some.rdd.getNumPartitions() == 1  # nobody else is asked for
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    assert spark.read.format("paged_observations").option("path", f"{SMALL}/events.parquet").option("patients", "[]").option("concepts", "[]").load().count() == 0
+
+
+def test_pages_of_a_person(spark):
+    from lodestat.sources.observations import MOST_ROWS, person_page
+
+    rows = {"seen": spark.range(1200).select(F.lit("s").alias("source"), F.when(F.col("id") < 1100, "p").otherwise("q").alias("pid"), "id")}
+    page = lambda *a, **k: [r.id for r in person_page(rows, "seen", *a, **k).collect()]
+    assert sorted(page("p", [F.col("id")], 3, 2)) == [2, 3, 4] and len(page("p", [F.col("id")], 9999)) == MOST_ROWS and page("x", [F.col("id")]) == []
+    for wrong, error in ((("gone", "p"), LookupError), (("seen", ""), ValueError)):
+        with pytest.raises(error):
+            person_page(rows, *wrong, [F.col("id")])
+    with pytest.raises(ValueError):
+        page("p", [F.col("id")], 0)
+
+
+def test_coarse_records(spark):
+    from lodestat.operators.frame import coarsened
+
+    rows = spark.createDataFrame([(0, "2024-03-05"), (4, None), (89, "2023-12-31"), (90, None), (None, None)], "age int, day string").select("age", F.col("day").cast("date").alias("d"), F.lit("1990-01-01").alias("dob"))
+    assert [tuple(r) for r in coarsened(rows).collect()] == [("0-4", "2024-03"), ("0-4", None), ("85-89", "2023-12"), ("90+", None), (None, None)]
+    dated = coarsened(rows.withColumn("day_offset", F.lit(3)))
+    assert dated.columns == ["day_offset", "age_band"]
+    with pytest.raises(Exception, match="below zero"):
+        coarsened(spark.createDataFrame([(-1,)], "age int")).collect()
+    with pytest.raises(ValueError):
+        coarsened(rows, "day")
+
+
+def test_questions_and_purposes():
+    from lodestat.plans import questions
+    from lodestat.plans.spec import SpecError, declared
+
+    kinds = questions.kinds_of({"a": "double", "b": "bigint", "sex": "string"})
+    assert kinds == {"a": "number", "b": "number", "sex": "category"}
+    assert questions.applicable(kinds) == ["summary", "spread", "shares", "together", "course", "gaps"]
+    assert questions.applicable({"sex": "category"}, True) == ["summary", "shares", "groups", "gaps"] and questions.applicable({}) == ["summary", "gaps"]
+    assert questions.analyses("together", kinds) == [{"kind": "correlation", "vars": ["a", "b"]}] and questions.analyses("shares", kinds) == [{"kind": "frequency", "vars": ["sex"]}]
+    with pytest.raises(ValueError):
+        questions.analyses("table", kinds)
+    assert declared("statistics") == ("statistics", []) and declared("research", [" a ", "b", "a", ""]) == ("research", ["a", "b"])
+    for wrong in (("research", None), ("research", [" "]), (None, ["a"]), ("care", ["a"])):
+        with pytest.raises(SpecError):
+            declared(*wrong)
+
+
+def test_sentences_in_two_languages(spark):
+    from lodestat.plans import report
+
+    rows = spark.createDataFrame([("describe", "s", "x", "mean", 20, 3.14159, False), ("frequency", "s", "sex", "f", 9, None, False), ("describe", "s", "x", "mean", None, None, True), ("compare_groups", "s", "x", "hi - lo diff", 9, -2.0, False), ("correlation", "pooled", "x|y", "r", 50, -0.8, False)], "kind string, source string, var string, key string, n long, value double, suppressed boolean")
+    said = {lang: [r.s for r in rows.select(report.sentence(rows, lang).alias("s")).collect()] for lang in ("en", "sv")}
+    assert said["en"][0] == "In s, mean of x is 3.14 (n = 20)." and "not shown" in said["en"][2] and "strongly, in the opposite direction (r = -0.8, n = 50)" in said["en"][4] and "difference of two groups" in said["en"][3]
+    assert all(a != b and a and b for a, b in zip(said["en"], said["sv"])) and "starkt, i motsatt riktning" in said["sv"][4]
+    words = " ".join(x for lang in said.values() for x in lang) + " ".join(w for lang in report.WORDS.values() for w in lang.values())
+    assert not any(w in words.lower() for w in ("effect", "effekt", "cause", "orsak", "beror på", "leads to"))
+    spec = AnalysisSpec.parse(json.dumps(SPEC))
+    assert len(report.caveats(spec, 5)) == 2 and report.caveats(AnalysisSpec.parse(json.dumps(SPEC | {"linkage": "none"})), 5, "sv")[2].startswith("En patient")
