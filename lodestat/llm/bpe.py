@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Chunks whose encoding a worker keeps; beyond, it starts anew. Some 200 MB.
-CACHE = 250_000
+#: Chunks whose encoding a worker keeps; beyond, it starts anew. Some 100 MB.
+CACHE = 150_000
 #: Characters of text whose chunks are gathered at once, and distinct chunks that are encoded at once.
 GROUP_CHARS, BATCH = 4_000_000, 200_000
 #: Unicode's White_Space characters, stated in full: Python's own \s has four more.

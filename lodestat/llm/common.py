@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 #: Sub-groups into which each group of a running sum is dealt; at 10^10 rows the largest holds some 10^7 narrow ones.
 SUBGROUPS = 1024
-#: Rows that a Python worker gets at once, where the session has not been told otherwise.
-BATCH_ROWS = 2000
+#: Rows that a Python worker gets at once, and their bytes, where the session has not been told otherwise.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def ready(spark: SparkSession) -> None:
@@ -26,6 +27,8 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "64MB", "64m"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +38,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which all machines see; a local folder only where that is unset."""
+    """A new path below spark.checkpoint.dir, which all machines see. Where that is unset, a local folder will do if Spark
+    runs on this machine alone; on a cluster it is an error."""
     context = spark.sparkContext
     base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines see")
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='spark-lodestat-')}"
         context.setCheckpointDir(base)

@@ -45,7 +45,7 @@ WIDTH, SIMILARITY = 5, 0.8
 RECALL, DEVIATIONS, WHOLE_DEVIATIONS = 0.995, 3.3, 4.0
 LEAST_SEGMENT, HOT_BUCKET = 12, 4
 #: Lanes of 64 bits of a whole fingerprint, if the segments do not need more: the longer, the fewer pairs below the limit stay.
-LEAST_LANES = 16
+LEAST_LANES = 8
 #: Nodes whose ids are broadcast at most (some 3 MB), to pick their texts before these are moved; more are joined by a shuffle.
 BROADCAST_NODES = 200_000
 #: Look-ups of one value that a task holds against its entries.
@@ -239,7 +239,8 @@ def _stars(members: DataFrame, index: Index) -> DataFrame:
     middle = members.where("NOT cleared").groupBy("key").agg(F.min_by(F.struct("node", "prints"), F.xxhash64("key", "node")).alias("m"))
     middle = middle.select(F.col("key").alias("key_x"), F.col("m.node").alias("x"), F.col("m.prints").alias("prints_x"))
     distance = _distance("prints", "prints_x", index)
-    near = members.join(middle, (F.col("key") == F.col("key_x")) & (F.col("node") != F.col("x")) & (distance <= index.most))
+    first = _differ(F.col("prints")[0], F.col("prints_x")[0]) <= index.most_first
+    near = members.join(middle, (F.col("key") == F.col("key_x")) & (F.col("node") != F.col("x")) & first & (distance <= index.most))
     return near.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"), distance.alias("distance")).distinct()
 
 

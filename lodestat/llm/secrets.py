@@ -51,7 +51,7 @@ MIN_RATIO, MIN_RATIO_PER_CHAR = 20.0, 0.5
 #: Characters of the windows of a longer run, and of the steps between them.
 WINDOW, STEP = 64, 32
 #: Runs whose verdict a worker keeps, but for those of the text at hand; beyond, it starts anew.
-CACHE = 400_000
+CACHE = 150_000
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
 
 
