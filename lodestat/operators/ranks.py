@@ -29,13 +29,13 @@ def _ranged(rows: DataFrame, value: str, by: list[str]) -> tuple[DataFrame, Data
     return dealt, counts.select("*", lower.alias("_lower"), F.sum("_in").over(group).alias("_count"))
 
 
-def _met(dealt: DataFrame, counts: DataFrame, by: list[str], columns: list[str], how: str = "inner") -> DataFrame:
+def _met(dealt: DataFrame, counts: DataFrame, by: list[str], columns: list[str], how: str = "inner", hint: str | None = "merge") -> DataFrame:
     keys = [*by, "_range"]
     known = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *columns)
     on = F.lit(True)
     for i, k in enumerate(keys):
         on = on & dealt[k].eqNullSafe(known[f"_k{i}"])
-    return dealt.join(known.hint("merge"), on, how).drop(*(f"_k{i}" for i in range(len(keys))))
+    return dealt.join(known.hint(hint) if hint else known, on, how).drop(*(f"_k{i}" for i in range(len(keys))))
 
 
 def numbered(rows: DataFrame, value: str, by: list[str], then: list[Column] | None = None) -> DataFrame:
@@ -56,20 +56,17 @@ def average_ranks(rows: DataFrame, value: str, by: list[str], out: str) -> DataF
 def percentiles(rows: DataFrame, value: str, by: list[str], at: dict[str, float]) -> DataFrame:
     """Exact percentiles by linear interpolation for each group that has values, under the names given.
 
-    Equal values are counted first, and rows are counted by range; only the ranges in which a wanted row lies are sorted.
-    NaN is above all numbers. Nothing runs before the result is asked for.
+    Rows are counted by range; then only those of the ranges in which a wanted row lies are moved, counted by value and
+    sorted. NaN is above all numbers. Nothing runs before the result is asked for.
     """
-    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v")).withColumn("_range", range_of("_v"))
-    values = known.groupBy(*by, "_range", "_v").agg(F.count("*").alias("_t"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    counts = known.groupBy(*by, "_range").agg(F.count("*").alias("_in"))
-    lower = F.coalesce(F.sum("_in").over(group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("*", lower.alias("_lower"), F.sum("_in").over(group).alias("_count"))
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"))
+    dealt, counts = _ranged(known, "_v", by)
     place = lambda p: (F.col("_count") - 1) * F.lit(float(p))
     sides = F.array(*(F.struct(F.lit(name).alias("name"), side(place(p)).cast("long").alias("k"), share.alias("share")) for name, p in at.items() for side, share in ((F.floor, 1 - (place(p) - F.floor(place(p)))), (F.ceil, place(p) - F.floor(place(p))))))
     here = F.filter(sides, lambda s: (s["share"] > 0) & (s["k"] >= F.col("_lower")) & (s["k"] < F.col("_lower") + F.col("_in")))
     wanted = counts.withColumn("_w", here).where(F.size("_w") > 0)
+    met = _met(dealt, wanted, by, ["_lower", "_w"], hint=None)  # a few ranges of each group: Spark sees at run time whether they are small
+    values = met.groupBy(*by, "_range", "_v").agg(F.count("*").alias("_t"), F.any_value("_lower").alias("_lower"), F.any_value("_w").alias("_w"))
     before = F.coalesce(F.sum("_t").over(Window.partitionBy(*by, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = _met(values, wanted, by, ["_lower", "_w"]).withColumn("_n", F.col("_lower") + before)
-    picked = placed.select(*by, "_v", "_n", "_t", F.explode("_w").alias("s")).where("s.k >= _n AND s.k < _n + _t")
+    picked = values.withColumn("_n", F.col("_lower") + before).select(*by, "_v", "_n", "_t", F.explode("_w").alias("s")).where("s.k >= _n AND s.k < _n + _t")
     return picked.groupBy(*by).agg(*(F.sum(F.when(F.col("s.name") == name, F.col("_v") * F.col("s.share"))).alias(name) for name in at))

@@ -236,10 +236,10 @@ def person_page(spark, sf_dir):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS pid, event_type AS concept, event_id AS seq, round(value, 6) AS value FROM events WHERE event_type IN ('purchase', 'click') AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def paged_read(spark, sf_dir):
-    """A cohort's rows from a store that gives pages of 60 rows at most, 16 patients at a time."""
+    """A cohort's rows from a store that gives pages of 320 rows at most, 25 patients at a time."""
     spark.dataSource.register(PagedObservations)
     cohort = [str(r.c_custkey) for r in read(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey").collect()]  # a cohort, as the store is asked by patient
-    pages = spark.read.format("paged_observations").option("path", f"{sf_dir}/events.parquet").option("patients", json.dumps(cohort)).option("concepts", json.dumps(["purchase", "click", "view"])).option("page", 60).option("batch", 16).load()
+    pages = spark.read.format("paged_observations").option("path", f"{sf_dir}/events.parquet").option("patients", json.dumps(cohort)).option("concepts", json.dumps(["purchase", "click"])).option("page", 320).option("batch", 25).load()
     return rounded(pages.where(F.col("concept").isin("purchase", "click")))
 
 
