@@ -118,11 +118,12 @@ def _both_grains(counts: DataFrame, by: list[str], pooling: DataFrame) -> DataFr
     return counts.select("source", *by, "n").unionByName(whole.withColumn("source", F.lit("pooled")))
 
 
-def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy]) -> DataFrame:
+def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy], held: list[DataFrame] | None = None) -> DataFrame:
     """All figures of the spec; refused before a plan is built where a policy says so.
 
     The cohort's rows and the patient frame, which every analysis reads, are kept in memory or on disk by Spark (lost
-    parts are computed again) until `spark.catalog.clearCache()`. Quartiles come from a sketch without single patients'
+    parts are computed again). They are appended to `held`, so that a caller who has read the result can unpersist just
+    these. Quartiles come from a sketch without single patients'
     values. Group means are told for all groups of a source or for none.
     """
     limits = admit(spec, policies)
@@ -130,6 +131,8 @@ def run_spec(rows: DataFrame, spec: AnalysisSpec, policies: list[SourcePolicy])
     pooling = rows.sparkSession.createDataFrame([(p.source, p.may_pool) for p in policies], "source string, may_pool boolean").where("may_pool")
     long = prepared(rows, spec, policies).persist(StorageLevel.MEMORY_AND_DISK)
     wide = patients(long, spec).persist(StorageLevel.MEMORY_AND_DISK)
+    if held is not None:
+        held += [long, wide]
     kinds = dict(wide.dtypes)
     parts = []
     for number, a in enumerate(spec.analyses):

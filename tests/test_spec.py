@@ -43,7 +43,11 @@ def test_what_is_refused(what):
 def test_run(spark):
     spec, rows = AnalysisSpec.parse(SPEC), observations(spark, SMALL)
     policies = [SourcePolicy(s, ("research",), k_min=5, may_pool=s != "cdr4") for s in SPEC["sources"]]
-    found = run_spec(rows, spec, policies).collect()
+    held = []
+    found = run_spec(rows, spec, policies, held).collect()
+    assert len(held) == 2 and all(frame.is_cached for frame in held)
+    for frame in held:
+        frame.unpersist()
     assert {r.analysis for r in found} == set(range(10))
     assert all(r.n is None or r.n == 0 or r.n >= 5 for r in found) and all(r.value is None for r in found if r.suppressed)
     people = rows.where("source <> 'cdr4' AND concept = 'purchase' AND value >= 5").select("pid").distinct().count()
