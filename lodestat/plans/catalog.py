@@ -91,13 +91,13 @@ def fhir_flatten(spark, sf_dir):
         F.struct(F.concat(F.lit("Patient/"), F.col("pid")).alias("reference"), F.struct(F.lit(None).cast("string").alias("value")).alias("identifier")).alias("subject"),
         F.struct(F.array(F.struct(F.lit("http://loinc.org").alias("system"), F.lit("x").alias("code")), F.struct(F.lit("urn:x:concept").alias("system"), F.col("concept").alias("code"))).alias("coding")).alias("code"),
         F.col("d").cast("string").alias("effectiveDateTime"), F.struct(F.lit(None).cast("string").alias("start")).alias("effectivePeriod"), F.lit(None).cast("string").alias("issued"),
-        F.struct("value", F.lit("u").alias("unit"), F.lit(None).cast("string").alias("code")).alias("valueQuantity"), F.col("seq").alias("valueInteger"), F.lit(None).cast("string").alias("valueString"), F.lit(None).cast("boolean").alias("valueBoolean"),
+        F.struct("value", F.lit("u").alias("unit"), F.lit(None).cast("string").alias("code")).alias("valueQuantity"), F.lit(None).cast("long").alias("valueInteger"), F.lit(None).cast("string").alias("valueString"), F.lit(None).cast("boolean").alias("valueBoolean"),
         F.array(F.struct(F.struct(F.lit(None).cast("string").alias("value")).alias("identifier"), F.concat(F.lit("Organization/"), F.col("org")).alias("reference"))).alias("performer"),
     )
     bundles = rows.select("seq", F.array(F.struct(resource.alias("resource"))).alias("entry"))
     bundles = bundles.select(F.from_json(F.to_json(F.struct("entry")), FHIR_BUNDLE).alias("b"), "seq").select("b.entry", "seq")
-    flat = frame.only_asked(flatten_fhir(bundles), rows)
-    return flat.join(rows.select("seq", "pid", "concept", F.col("d").cast("string").alias("effective_at"), F.col("value").cast("string").alias("value"), "org"), ["pid", "concept", "effective_at", "value", "org"]).select("seq", "pid", "concept", F.round(fn.number(F.col("value")), 6).alias("value"), "effective_at", "org")
+    flat = frame.only_asked(flatten_fhir(bundles, keep=("seq",)), rows)
+    return flat.select("seq", "pid", "concept", F.round(F.col("value").try_cast("double"), 6).alias("value"), "effective_at", "org")
 
 
 @query(f"WITH {OBS} SELECT source, pid, concept, strftime(ts, '%Y-%m') AS month, round(value, 6) AS value FROM obs WHERE concept = 'purchase' AND pid IN (SELECT pid FROM obs WHERE concept = 'signup')")

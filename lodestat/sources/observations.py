@@ -121,14 +121,16 @@ def tail(reference: Column) -> Column:
     return F.element_at(F.split(reference, "/"), -1)
 
 
-def flatten_fhir(bundles: DataFrame, entry: str = "entry") -> DataFrame:
-    """FHIR bundles to pid, concept, value, unit, effective_at, org."""
-    r = bundles.select(F.explode(entry).alias("e")).select("e.resource.*")
+def flatten_fhir(bundles: DataFrame, entry: str = "entry", keep: tuple[str, ...] = ()) -> DataFrame:
+    """FHIR bundles to pid, concept, value, unit, effective_at, org, after the columns of the bundle that are kept."""
+    kept = [f"_kept{i}" for i in range(len(keep))]
+    r = bundles.select(*(F.col(c).alias(k) for c, k in zip(keep, kept)), F.explode(entry).alias("e")).select(*kept, "e.resource.*")
     coded = F.filter("code.coding", lambda c: c["code"].isNotNull())
     ours = F.filter(coded, lambda c: c["system"].rlike(CONCEPT_SYSTEM))
     first = lambda found, field: F.get(found, F.lit(0))[field]
     value = F.coalesce(F.col("valueQuantity.value").cast("string"), F.col("valueInteger").cast("string"), F.col("valueString"), F.col("valueBoolean").cast("string"))
     return r.select(
+        *(F.col(k).alias(c) for c, k in zip(keep, kept)),
         F.coalesce(F.nullif(tail(F.col("subject.reference")), F.lit("")), F.col("subject.identifier.value")).alias("pid"),
         F.coalesce(first(ours, "code"), first(coded, "code")).alias("concept"),
         value.alias("value"),

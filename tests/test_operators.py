@@ -1,5 +1,6 @@
 """Operators of the analytics engine on small fixtures with known answers."""
 
+import itertools
 import math
 import random
 
@@ -282,3 +283,15 @@ def test_export_and_receipt(spark, tmp_path):
     report.write_export(rows, str(tmp_path / "csv"), str(tmp_path / "audit"), "c1", "me")
     assert spark.read.csv(str(tmp_path / "csv"), header=True).columns == list(report.EXPORT)
     assert tuple(spark.read.parquet(str(tmp_path / "audit")).first()) == ("c1", "me", 3, 2)
+
+
+def test_equal_observations_of_a_day_stay_one_row_each(spark, tmp_path):
+    from lodestat.plans.catalog import QUERIES
+
+    for name in ("customer", "nation"):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    events = spark.read.parquet(f"{SMALL}/events.parquet").limit(3)
+    twice = events.unionByName(events.withColumn("event_id", F.col("event_id") + 1000)).unionByName(events.withColumn("event_id", F.col("event_id") + 2000).withColumn("value", F.lit(None).cast("double")))
+    twice.write.parquet(str(tmp_path / "events.parquet"))
+    found = QUERIES["fhir_flatten"](spark, str(tmp_path)).collect()
+    assert len(found) == 9 and len({r.seq for r in found}) == 9 and sum(r.value is None for r in found) == 3
