@@ -295,3 +295,15 @@ def test_equal_observations_of_a_day_stay_one_row_each(spark, tmp_path):
     twice.write.parquet(str(tmp_path / "events.parquet"))
     found = QUERIES["fhir_flatten"](spark, str(tmp_path)).collect()
     assert len(found) == 9 and len({r.seq for r in found}) == 9 and sum(r.value is None for r in found) == 3
+
+
+def test_means_at_an_edge_in_any_order(spark):
+    values = [71.33, 18.65, 92.11, 54.27, 66.02, 42.29, 75.33]
+    assert round(sum(values), 2) == 420
+    orders = list(itertools.islice(itertools.permutations(values), 0, 5040, 40))
+    rows = [("s", f"p{i}", "x", i * 10 + k, v, 0) for i, vs in enumerate(orders) for k, v in enumerate(vs)]
+    rows += [("s", "null", "x", 1, None, 0), ("s", "nan", "x", 1, float("nan"), 0), ("s", "large", "x", 1, 1e300, 0), ("s", "large", "x", 2, 1.0, 0), ("s", "small", "x", 1, 3e-200, 0), ("s", "none", "y", 1, 1.0, 0)]
+    frame_ = spark.createDataFrame(rows, "source string, pid string, concept string, seq long, value double, day_offset int").coalesce(1)
+    found = {r.pid: r.m for r in frame.patient_frame(frame_, [frame.Variable("m", "x", "mean")]).collect()}
+    assert {found[f"p{i}"] for i in range(len(orders))} == {60.0}
+    assert found["null"] is None and found["none"] is None and found["nan"] != found["nan"] and found["large"] == 5e299 and found["small"] == 3e-200
