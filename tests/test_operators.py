@@ -307,3 +307,20 @@ def test_means_at_an_edge_in_any_order(spark):
     found = {r.pid: r.m for r in frame.patient_frame(frame_, [frame.Variable("m", "x", "mean")]).collect()}
     assert {found[f"p{i}"] for i in range(len(orders))} == {60.0}
     assert found["null"] is None and found["none"] is None and found["nan"] != found["nan"] and found["large"] == 5e299 and found["small"] == 3e-200
+
+
+@pytest.mark.parametrize("query", ["histogram_fixed"])
+def test_bins_of_means_at_an_edge(spark, tmp_path, query):
+    """Patients whose purchases state a mean of 60, in many orders: one bin has them all."""
+    import datetime
+
+    from lodestat.plans.catalog import QUERIES
+
+    orders = list(itertools.islice(itertools.permutations([71.33, 18.65, 92.11, 54.27, 66.02, 42.29, 75.33]), 0, 5040, 100))
+    start = datetime.datetime(2024, 1, 1)
+    events = [(1000 * i + k, start + datetime.timedelta(hours=k), i, "signup" if k == 0 else "purchase", v) for i, vs in enumerate(orders) for k, v in enumerate((1.0, *vs))]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(i, 0, "M") for i in range(len(orders))], "c_custkey long, c_nationkey long, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, 0)], "n_nationkey long, n_regionkey long").write.parquet(str(tmp_path / "nation.parquet"))
+    found = {(r.bin if query == "histogram_fixed" else r.label): r.n for r in QUERIES[query](spark, str(tmp_path)).collect() if r.n}
+    assert found == {6 if query == "histogram_fixed" else "60-65": len(orders)}
