@@ -309,7 +309,7 @@ def test_means_at_an_edge_in_any_order(spark):
     assert found["null"] is None and found["none"] is None and found["nan"] != found["nan"] and found["large"] == 5e299 and found["small"] == 3e-200
 
 
-@pytest.mark.parametrize("query", ["histogram_fixed"])
+@pytest.mark.parametrize("query", ["histogram_fixed", "merge_small_bins"])
 def test_bins_of_means_at_an_edge(spark, tmp_path, query):
     """Patients whose purchases state a mean of 60, in many orders: one bin has them all."""
     import datetime
