@@ -12,8 +12,8 @@ spans that they propose are reconciled over the whole text: one that touches the
 window that holds it whole; of those that overlap the choice of the largest sum of certainties is taken, by a sweep over
 the text. An added span must be certain to MIN_SURE in every character, must not cut a word or number, must hold what
 its kind cannot be without (see `plausible`), and must cover a letter or digit that no base span covers. A span without
-a digit, an at sign or a spelt-out dot can be none of the four kinds, so windows without one are not decoded: the result
-is the same.
+a digit or an at sign, and without both "at" as a word and a dot, is never plausible, so windows that hold none of these
+are not decoded: the result is the same.
 
 Nulls and empty texts have no spans; ties, that is equal windows and repeated rows, get equal results; very long texts
 are read whole, each by one task, BLOCK windows at a time; an empty table gives an empty result; without a labelled span
@@ -44,8 +44,9 @@ DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 PART = re.compile(r"[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Without one of these a text holds no span of any kind.
-SIGNS = re.compile(r"[0-9@]|(?i:\bdot\b)")
+#: A span holds one of these, or is an address with "at" spelt out and a dot, spelt out or not (see `plausible`).
+SIGNS = re.compile(r"[0-9@]")
+AT, DOT = re.compile(r"(?i:\bat(?![A-Za-z0-9]))"), re.compile(r"\.|(?i:dot)")
 #: Windows from which the tagger learns: of each kind, how often each is varied, and without any span.
 SPANS, VARIED, PLAIN = 200, 3, 600
 #: Characters of these windows, and rounds of training.
@@ -325,9 +326,14 @@ def window_starts(text: str, every: bool = False) -> list[int]:
     if every:
         return [k * STEP for k in range(last + 1)] if text else []
     out: dict[int, None] = {}
+    over = lambda at: range(max(0, (at - WINDOW) // STEP + 1), min(last, at // STEP) + 1)  # noqa: E731  the windows that hold a place
     for m in SIGNS.finditer(text):
-        for k in range(max(0, (m.start() - WINDOW) // STEP + 1), min(last, m.start() // STEP) + 1):
+        for k in over(m.start()):
             out[k * STEP] = None
+    for m in AT.finditer(text):
+        for k in over(m.start()):
+            if k * STEP not in out and DOT.search(text, k * STEP, k * STEP + WINDOW):
+                out[k * STEP] = None
     return list(out)
 
 

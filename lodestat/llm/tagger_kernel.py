@@ -200,7 +200,8 @@ class Tagger:
         return float(np.mean(losses)) if losses else 0.0
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The likeliest tags of each window (Viterbi), and each place's share of all ways that agree with its tag."""
+        """The likeliest tags of each window (Viterbi), and each place's share of all ways that agree with its tag (1 in
+        windows that are outside throughout)."""
         scores, _ = self._emissions(ids, lengths)
         n, width, tags = scores.shape
         steps = self.parts["steps"] + self.allowed
@@ -215,6 +216,9 @@ class Tagger:
         for t in range(width - 1, -1, -1):
             at = np.where(t < lengths - 1, np.take_along_axis(came[:, min(t + 1, width - 1)], at[:, None], 1)[:, 0], at)
             out[:, t] = np.where(t < lengths, at, 0)
-        alpha, whole = self._forward(scores, lengths)
-        share = np.exp(np.minimum(np.take_along_axis(alpha + self._backward(scores, lengths), out[:, :, None], 2)[:, :, 0] - whole[:, None], 0))
+        share, told = np.ones((n, width), np.float32), np.flatnonzero(out.any(1))
+        if len(told):
+            scores, lengths = scores[told], lengths[told]
+            alpha, whole = self._forward(scores, lengths)
+            share[told] = np.exp(np.minimum(np.take_along_axis(alpha + self._backward(scores, lengths), out[told][:, :, None], 2)[:, :, 0] - whole[:, None], 0))
         return out, share

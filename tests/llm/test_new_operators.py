@@ -291,3 +291,29 @@ def test_slopes_of_the_tagger():
             whole = np.logaddexp.reduce(list(ways.values()))
             for t in range(n):
                 assert abs(np.exp(np.logaddexp.reduce([v for w, v in ways.items() if w[t] == top[t]]) - whole) - share[row, t]) < 1e-4
+
+
+def test_plausible_spans_lie_in_decoded_windows():
+    """Whatever a tagger may propose: a plausible span lies in a window that is decoded, with "at" spelt out and no digit too."""
+
+    class Proposing:
+        def decode(self, ids, lengths):
+            tags = np.zeros(ids.shape, np.int64)
+            for row, n in enumerate(lengths):
+                window = "".join(chr(31 + c) if 1 <= c < 96 else "." for c in ids[row, :n])
+                if (a := window.find("mary.")) >= 0 and (b := window.find(".org")) > a:
+                    tags[row, a], tags[row, a + 1 : b + 4] = 1, 2
+            return tags, np.ones(ids.shape)
+
+    filler = "words go on and on " * 12
+    texts = [f"{filler}{value} {filler}" for value in ("mary.poe (at) example.org", "mary.poe at mail.example.org", "mary.poe [AT] a.org", "mary.poe@a.org.org")]
+    found = pii.all_spans(texts, Proposing())
+    assert found == pii.all_spans(texts, Proposing(), every=True)
+    assert [[t[a:b] for _, a, b in x] for t, x in zip(texts, found)][:3] == [["mary.poe (at) example.org"], ["mary.poe at mail.example.org"], ["mary.poe [AT] a.org"]]
+    draw = random.Random(5)
+    for _ in range(3000):  # plausible pieces of any make
+        text = "".join(draw.choice(["at", "At", "dot", ".", " ", "a", "é", "_", "(", ")", "7", "+", "@", "-", "word "]) for _ in range(draw.randrange(2, 24)))
+        a = draw.randrange(len(text))
+        b = draw.randrange(a + 1, len(text) + 1)
+        if any(pii.plausible(kind, text, a, b) for kind in pii.KINDS):
+            assert pii.window_starts(text) == [0], (text, a, b)
