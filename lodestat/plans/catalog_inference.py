@@ -15,7 +15,8 @@ from lodestat.functions import tails
 from lodestat.operators import digests, exploration, frame, inference, ranks, statistics
 from lodestat.sources import observations as observations_module
 from lodestat.sources.observations import observations, read
-from lodestat.sources.paged import PagedObservations
+from lodestat.sources.folders import shared_folder
+from lodestat.sources.paged import PagedObservations, stored
 
 from . import report
 from .catalog import FRAME, OBS, patients, query, rounded
@@ -238,8 +239,10 @@ def person_page(spark, sf_dir):
 def paged_read(spark, sf_dir):
     """A cohort's rows from a store that gives pages of 320 rows at most, 25 patients at a time."""
     spark.dataSource.register(PagedObservations)
-    cohort = [str(r.c_custkey) for r in read(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey").collect()]  # a cohort, as the store is asked by patient
-    pages = spark.read.format("paged_observations").option("path", f"{sf_dir}/events.parquet").option("patients", json.dumps(cohort)).option("concepts", json.dumps(["purchase", "click"])).option("page", 320).option("batch", 25).load()
+    events = read(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("pid"), F.col("event_type").alias("concept"), F.col("event_id").alias("seq"), "value")
+    cohort = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("pid"))
+    store = stored(events, cohort, shared_folder(spark))
+    pages = spark.read.format("paged_observations").options(**store).option("concepts", json.dumps(["purchase", "click"])).option("page", 320).option("batch", 25).load()
     return rounded(pages.where(F.col("concept").isin("purchase", "click")))
 
 

@@ -427,3 +427,30 @@ def test_sentences_in_two_languages(spark):
     assert not any(w in words.lower() for w in ("effect", "effekt", "cause", "orsak", "beror på", "leads to"))
     spec = AnalysisSpec.parse(json.dumps(SPEC))
     assert len(report.caveats(spec, 5)) == 2 and report.caveats(AnalysisSpec.parse(json.dumps(SPEC | {"linkage": "none"})), 5, "sv")[2].startswith("En patient")
+
+
+def test_reading_by_pages_from_buckets(spark, tmp_path, monkeypatch):
+    """Every bucket is read once for a concept, however many requests its patients take, and the cohort is not an option."""
+    from lodestat.sources import paged
+
+    spark.dataSource.register(paged.PagedObservations)
+    rows = [(f"p{i}", c, 100 * i + k, float(k)) for i in range(60) for c in "xy" for k in range(i % 7)] + [(None, "x", 1, 1.0)]
+    frame = spark.createDataFrame(rows, paged.SCHEMA)
+    cohort = spark.createDataFrame([(f"p{i}",) for i in range(5, 70)] + [("p5",), (None,)], "pid string")
+    monkeypatch.setattr(paged, "BUCKET_PATIENTS", 20)
+    store = paged.stored(frame, cohort, str(tmp_path / "store"))
+    assert store["buckets"] == "4" and len(store) == 2
+    reader = spark.read.format("paged_observations").options(**store).option("concepts", '["x", "y", "z"]').option("batch", 3)
+    expected = sorted(r for r in rows if r[0] and int(r[0][1:]) >= 5)
+    assert sorted(map(tuple, reader.option("page", 7).load().collect())) == expected
+    assert reader.load().rdd.getNumPartitions() == 12
+    with pytest.raises(Exception, match="full page"):
+        reader.option("page", 6).load().collect()
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        some = reader.option("page", 7).option("push", "true").load().where(F.col("pid").isin("p6", "p9", "p1") & (F.col("concept") == "x"))
+        assert sorted(map(tuple, some.collect())) == [r for r in expected if r[0] in ("p6", "p9") and r[1] == "x"] and some.rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+    nobody = paged.stored(frame.limit(0), cohort.limit(0), str(tmp_path / "nobody"))
+    assert spark.read.format("paged_observations").options(**nobody).option("concepts", '["x"]').load().count() == 0
