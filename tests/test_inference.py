@@ -454,3 +454,26 @@ def test_reading_by_pages_from_buckets(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     nobody = paged.stored(frame.limit(0), cohort.limit(0), str(tmp_path / "nobody"))
     assert spark.read.format("paged_observations").options(**nobody).option("concepts", '["x"]').load().count() == 0
+
+
+def test_downsampling_of_many_series_in_one_task(spark):
+    """Series that cross batches, nulls among their keys: each as by itself; no group of its own for every series."""
+    import datetime
+
+    from lodestat.operators.series import downsample
+
+    draw, start = random.Random(8), datetime.datetime(2024, 1, 1)
+    series = {(s, p): [(60 * i, draw.gauss(0, 3)) for i in range(draw.randrange(3, 90))] for s in ("a", None) for p in ("p", "q", None, "r")}
+    rows = [(s, p, start + datetime.timedelta(seconds=t), i, v) for (s, p), points in series.items() for i, (t, v) in enumerate(points)]
+    frame = spark.createDataFrame(rows, "source string, pid string, ts timestamp, seq long, value double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        cut = downsample(frame, 12, ["source", "pid"])
+        found = {}
+        for r in cut.collect():
+            found.setdefault((r.source, r.pid), []).append((r.ts, r.seq))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroupsInPandas" not in cut._jdf.queryExecution().toString()
+    for key, points in series.items():
+        assert [n for _, n in sorted(found[key])] == [n for n in slow_lttb(points, 12)], key
