@@ -3,7 +3,8 @@
 Each task gathers the distinct pieces of a batch of documents and lays their bytes out as one chain of symbols. An
 inverted index holds, for every pair that can merge, the positions where it stands; merges are applied in order of
 rank over all pieces at once, and only the neighbours of a merged pair are looked at again. What a chunk of text (a
-word with the white space before it) encodes to is kept, packed, for the chunks to come, up to CACHE chunks.
+word with the white space before it) encodes to is kept, packed, for the chunks to come, up to CACHE chunks; beyond,
+those that nothing has asked for lately are forgotten.
 
 Texts are split by the tokenizer's pattern; a chunk boundary, where white space follows other characters, is always
 a piece boundary as well. A piece that is itself in the vocabulary is one token. No special tokens.
@@ -21,6 +22,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Chunks whose encoding a worker keeps; beyond, it starts anew. Some 100 MB.
+#: Chunks whose encoding a worker keeps. Some 100 MB.
 CACHE = 150_000
 #: Characters of text whose chunks are gathered at once, and distinct chunks that are encoded at once.
 GROUP_CHARS, BATCH = 4_000_000, 200_000
@@ -61,6 +63,8 @@ class Bpe:
         #: Tokens that are part of a pair that merges to a lower rank than their own.
         self.may_lower = {t for k, r in merged.items() for t in (k >> 32, k & 0xFFFFFFFF) if r < t}
         self.kept: dict[str, bytes] = {}
+        #: Chunks that were known when a group had them, since some were last forgotten.
+        self.again: set[str] = set()
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that each pair merges to; -1 where there is none."""
@@ -82,6 +86,10 @@ class Bpe:
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word, by applying every merge in order of rank to all words."""
+        return [np.frombuffer(x, "<u4").tolist() for x in self.replay_packed(words)]
+
+    def replay_packed(self, words: list[bytes]) -> list[bytes]:
+        """As `replay`, each word's ids as little-endian unsigned 32-bit integers."""
         if not words:
             return []
         joined = np.frombuffer(b"".join(words), np.uint8)
@@ -143,17 +151,23 @@ class Bpe:
             merge(chosen, rank)
         live = symbols >= 0
         cuts = np.searchsorted(np.flatnonzero(live), ends - 1)
-        ids = symbols[live].tolist()
-        return [ids[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        ids, cuts = symbols[live].astype("<u4").tobytes(), (4 * cuts).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
     def learn_chunks(self, chunks: list[str]) -> None:
         """Encodes chunks that are not known yet and keeps their packed ids."""
-        split = [(c, [p.encode("utf-8", "surrogatepass") for p in self.pieces(c)]) for c in chunks]
-        ids = {p: [r] for _, ps in split for p in ps if (r := self.ranks.get(p)) is not None}
-        rest = list(dict.fromkeys(p for _, ps in split for p in ps if p not in ids))
-        ids.update(zip(rest, self.replay(rest)))
-        packed = {p: np.array(x, "<u4").tobytes() for p, x in ids.items()}
-        for c, ps in split:
+        split = [self.pieces(c) for c in chunks]
+        packed: dict[str, bytes] = dict.fromkeys(chain.from_iterable(split), b"")
+        rest: dict[str, bytes] = {}
+        for p in packed:
+            raw = p.encode("utf-8", "surrogatepass")
+            rank = self.ranks.get(raw)
+            if rank is None:
+                rest[p] = raw
+            else:
+                packed[p] = rank.to_bytes(4, "little")
+        packed.update(zip(rest, self.replay_packed(list(rest.values()))))
+        for c, ps in zip(chunks, split):
             self.kept[c] = packed[ps[0]] if len(ps) == 1 else b"".join([packed[p] for p in ps])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -175,15 +189,23 @@ class Bpe:
 
     def _encode_group(self, texts: list[str]) -> list[bytes]:
         split = [CHUNK.findall(t) for t in texts]
-        new = set().union(*split)
-        if len(self.kept) + len(new - self.kept.keys()) > CACHE:
-            self.kept.clear()
-        new = list(new - self.kept.keys())
+        held = set().union(*split)
+        known = held & self.kept.keys()
+        if len(self.kept) + len(held) - len(known) > CACHE:
+            self._forget(held, known)
+        self.again |= known
+        new = list(held - known)
         for k in range(0, len(new), BATCH):
             self.learn_chunks(new[k : k + BATCH])
         packed = self.kept.__getitem__
         return [b"".join(map(packed, cs)) for cs in split]
 
+    def _forget(self, held: set[str], known: set[str]) -> None:
+        """Keeps, of what is kept, what a group holds, and of the rest as much as there is room for of what was asked for again."""
+        more = islice((c for c in self.again if c not in held), max(0, CACHE - len(held)))
+        self.kept = {c: self.kept[c] for c in chain(known, more)}
+        self.again = set()
+
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 

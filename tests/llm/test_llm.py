@@ -759,3 +759,16 @@ def test_pipeline(spark):
         assert expected[k] is None or ids(out) == expected[k]
         assert k != 1 or out.count() == len(set(groups))
         assert stage(spark, empty(spark), SMALL).count() == 0
+
+
+def test_frequent_chunks_outlive_a_full_cache(monkeypatch):
+    """What one group after another has is encoded once, however many other chunks come by; results do not depend on it."""
+    model, plain, learnt = bpe.Bpe(), bpe.Bpe(), []
+    learn = bpe.Bpe.learn_chunks
+    monkeypatch.setattr(bpe, "CACHE", 30)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 1)
+    monkeypatch.setattr(model, "learn_chunks", lambda chunks: (learnt.extend(chunks), learn(model, chunks))[1])
+    texts = [" ".join(["start", *(f"frequent{k}é" for k in range(5)), *(f"rare{i}x{k}" for k in range(20))]) for i in range(12)]
+    found = model.encode([*texts, None, ""])
+    assert [model.decode(x).decode() for x in found] == [*texts, "", ""] and all(learnt.count(f" frequent{k}é") == 1 for k in range(5))
+    assert len(model.kept) <= 30 and found == [x for t in [*texts, "", ""] for x in plain.encode([t])]
