@@ -13,7 +13,11 @@ verification, all others get it.
 
 A segment value of many fingerprints (HOT_BUCKET) is not paired all against all: those that look it up are held
 against one of its nodes first, for each value another one, as texts of a group that are unlike one of its members are
-like others. Then pairs that still lie in different components are held against each other.
+like others. Then pairs that still lie in different components are held against each other, by their fingerprints and
+then, where they meet, by their shingles: what two sets have in common follows from the shingles in which each differs
+from what most of their group has, which are few, and the same for all pairs of a node. So pairs that are not alike do
+not come out of that join, however large the group. A value of few fingerprints that many look up, as a value of many
+is within one bit (HOT_LOOKS), is treated likewise, as each of its fingerprints would be paired with the whole group.
 
 Before that, pairs go that cannot be alike as too many shingles of theirs occur in one of the texts in question only:
 an edited copy has many of them, and need not be held against its whole group. This bound is exact. It is taken for texts with a near partner only, as most texts that
@@ -43,7 +47,7 @@ WIDTH, SIMILARITY = 5, 0.8
 #: Probability that a pair just at the limit shares a look-up, and how many deviations its distance may be above its mean:
 #: in the first 64 bits, and in the whole fingerprint.
 RECALL, DEVIATIONS, WHOLE_DEVIATIONS = 0.995, 3.3, 4.0
-LEAST_SEGMENT, HOT_BUCKET = 12, 4
+LEAST_SEGMENT, HOT_BUCKET, HOT_LOOKS = 12, 4, 16
 #: Lanes of 64 bits of a whole fingerprint, if the segments do not need more: the longer, the fewer pairs below the limit stay.
 LEAST_LANES = 8
 #: Nodes whose ids are broadcast at most (some 3 MB), to pick their texts before these are moved; more are joined by a shuffle.
@@ -187,15 +191,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return edges.union(_alike(pairs, texts, width, similarity))
 
 
-def _shared(texts: DataFrame, width: int) -> DataFrame:
-    """node, size (distinct shingles) and shared (those of them that occur in another of the texts too)."""
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """node and hashes of its shingles. Saved."""
 
     @F.pandas_udf("array<long>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
             yield pd.Series([shingle_set(t, width).view("int64") for t in part], dtype=object)
 
-    sets = saved(texts.select("node", hashes("text").alias("hashes")))
+    return saved(texts.select("node", hashes("text").alias("hashes")))
+
+
+def _shared(sets: DataFrame) -> DataFrame:
+    """node, size (distinct shingles) and shared (those of them that occur in another of the sets too)."""
     each = sets.select("node", F.explode("hashes").alias("h"))
     own = each.groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("_node")).where("n = 1").groupBy("_node").agg(F.count("*").alias("own"))
     size = F.size("hashes").cast("long")
@@ -208,25 +216,46 @@ def _enough(left: str, right: str, similarity: float) -> Column:
     return (1 + similarity) * common >= similarity * (F.col(f"size{left}") + F.col(f"size{right}")) - 1e-6
 
 
-def _hot_apart(members: DataFrame, edges: DataFrame, shared: DataFrame, index: Index, similarity: float) -> DataFrame:
+def _differences(wanted: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, most (of `wanted`) and differs: the shingles that only one has of the node's set and of what over half of the
+    sets of the component `most` have. `wanted` is of distinct rows; those of a node or component without sets are left out."""
+    groups = sets.join(roots, F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("most"), "hashes")
+    groups = groups.join(wanted.select("most").distinct(), "most", "left_semi")
+    often = groups.select("most", F.explode("hashes").alias("h")).groupBy("most", "h").agg(F.count("*").alias("n"))
+    often = often.join(groups.groupBy("most").agg(F.count("*").alias("sets")), "most").where(2 * F.col("n") > F.col("sets"))
+    common = saved(often.groupBy("most").agg(F.collect_list("h").alias("common")))
+    differs = F.concat(F.array_except("hashes", "common"), F.array_except("common", "hashes"))
+    return wanted.join(common, "most").join(sets, "node").select("node", "most", differs.alias("differs"))
+
+
+def _near_sets(left: str, right: str, similarity: float) -> Column:
+    """Whether two sets are alike, by what they differ in from one and the same set (with a margin for rounding)."""
+    apart = F.size(f"differs{left}") + F.size(f"differs{right}") - 2 * F.size(F.array_intersect(f"differs{left}", f"differs{right}"))
+    return (1 + similarity) * apart <= (1 - similarity) * (F.col(f"size{left}") + F.col(f"size{right}")) + 1e-6
+
+
+def _hot_apart(members: DataFrame, edges: DataFrame, sets: DataFrame, shared: DataFrame, index: Index, similarity: float) -> DataFrame:
     """Pairs (a > b, distance) of a look-up and an entry of one hot value that lie in different components and may be alike.
 
-    `shared` has size and shared of the nodes for which they were counted. A pair is taken from the first segment in which
+    `sets` and `shared` are of the nodes for which they were taken; pairs of two of these come out if they are alike. A pair is taken from the first segment in which
     it is within one bit (where that value is not hot, `_met` has the pair). The pairs' fingerprints are near, and the
     shingles that both share with others would do for the likeness. One node of such a pair lies outside of the component
     that has most nodes of the value. Look-ups of a value are dealt to tasks, SALTED_ROWS or so to each, that all get the
     value's entries.
     """
-    roots = components(edges).withColumnRenamed("node", "_node")
+    roots = saved(components(edges).withColumnRenamed("node", "_node"))
     placed = members.join(shared, "node", "left").join(roots, F.col("node") == F.col("_node"), "left")
     placed = saved(placed.select("key", "node", "prints", "cleared", "size", "shared", F.coalesce("root", "node").alias("root")))
     counts = placed.groupBy("key", "root").agg(F.count("*").alias("count"), F.count_distinct("node").alias("nodes"))
     most = counts.groupBy("key").agg(F.max(F.struct("nodes", "root")).alias("m"), F.count("*").alias("n"), F.sum("count").alias("rows")).where("n > 1")
     mixed = saved(placed.join(most.select("key", F.col("m.root").alias("most"), F.ceil(F.col("rows") / SALTED_ROWS).cast("int").alias("salts")), "key"))
+    differences = _differences(mixed.where("size IS NOT NULL").select("node", "most").distinct(), sets, roots)
+    mixed = saved(mixed.join(differences, ["node", "most"], "left"))
     outside = mixed.where("root != most")
-    entry = lambda frame: frame.where("NOT cleared").select(F.col("key").alias("key_x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt_x"), F.col("node").alias("x"), F.col("prints").alias("prints_x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), F.col("shared").alias("shared_x"))
+    entry = lambda frame: frame.where("NOT cleared").select(F.col("key").alias("key_x"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt_x"), F.col("node").alias("x"), F.col("prints").alias("prints_x"), F.col("root").alias("root_x"), F.col("size").alias("size_x"), F.col("shared").alias("shared_x"), F.col("differs").alias("differs_x"))
     distance = _distance("prints", "prints_x", index)
     once = (F.col("cleared") | (F.col("node") > F.col("x"))) & F.coalesce(_enough("", "_x", similarity), F.lit(True)) & (distance <= index.most) & (index.first_met(F.col("prints"), F.col("prints_x")) == F.shiftright("key", index.bits))
+    once = once & F.coalesce(_near_sets("", "_x", similarity), F.lit(True))
     dealt = lambda looks: looks.withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
     near = lambda looks, entries: dealt(looks).join(entries, (F.col("key") == F.col("key_x")) & (F.col("salt") == F.col("salt_x")) & (F.col("root") != F.col("root_x")) & once)
     pairs = near(outside, entry(mixed)).union(near(mixed.where("root = most"), entry(outside)))
@@ -244,26 +273,38 @@ def _stars(members: DataFrame, index: Index) -> DataFrame:
     return near.select(F.greatest("node", "x").alias("a"), F.least("node", "x").alias("b"), distance.alias("distance")).distinct()
 
 
+def _hot(table: DataFrame, index: Index, hot_bucket: int) -> DataFrame:
+    """key and many of the hot values: those of more than `hot_bucket` fingerprints (many), and others that have some and
+    that more than HOT_LOOKS fingerprints of the first look up. Saved."""
+    many = saved(table.groupBy("key").count().where(F.col("count") > hot_bucket))
+    bits = F.array(*(F.lit(1 << i).cast("long") for i in range(index.bits)))
+    cleared = many.withColumn("m", F.explode(bits)).where(F.col("key").bitwiseAND(F.col("m")) != 0).select(F.col("key").bitwiseXOR(F.col("m")).alias("key"), "count")
+    looked_up = saved(cleared.groupBy("key").agg(F.sum("count").alias("looks")).where(F.col("looks") > HOT_LOOKS).select("key").join(many, "key", "left_anti"))
+    looked_up = table.join(looked_up, "key", "left_semi").select("key").distinct()
+    return saved(many.select("key", F.lit(True).alias("many")).union(looked_up.select("key", F.lit(False))))
+
+
 def _links(docs: DataFrame, nodes: DataFrame, index: Index, text: str, width: int, similarity: float, hot_bucket: int) -> DataFrame:
     """Verified edges (a, b) that give the components."""
     table = saved(nodes.select(F.explode(index.keys(F.col("prints"))).alias("key"), "node", F.col("prints")[0].alias("first")))
     probes = _probes(table, index.bits)
-    hot = saved(table.groupBy("key").count().where(F.col("count") > hot_bucket).select("key"))
+    hot = _hot(table, index, hot_bucket)
     no_hot = hot.isEmpty()
     close = _close(_met(probes, table if no_hot else table.join(hot, "key", "left_anti"), index.most_first), nodes, index)
     if not no_hot:
-        members = saved(probes.join(hot, "key", "left_semi").select("key", "node", "cleared").join(nodes.select("node", "prints"), "node"))
-        close = close.union(_stars(members, index))
+        members = saved(probes.join(hot, "key").select("key", "node", "cleared", "many").join(nodes.select("node", "prints"), "node"))
+        close = close.union(_stars(members.where("many"), index))
     close = saved(close.distinct())
     ends = _ends(close)
     texts = _texts_of(docs, text, nodes, ends)
-    shared = saved(_shared(texts, width))
+    sets = _sets(texts, width)
+    shared = saved(_shared(sets))
     side = lambda n: shared.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("shared").alias(f"shared_{n}"))
     close = saved(close.join(side("a"), "a").join(side("b"), "b").where(_enough("_a", "_b", similarity)).select("a", "b", "distance"))
     edges = _verified(close, texts, width, similarity)
     if no_hot:
         return edges
-    apart = _hot_apart(members, edges, shared, index, similarity)
+    apart = _hot_apart(members, edges, sets, shared, index, similarity)
     return edges.union(_alike(apart, _texts_of(docs, text, nodes, _ends(apart)), width, similarity))
 
 

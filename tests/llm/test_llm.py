@@ -471,6 +471,30 @@ def test_likeness_of_hot_segments(spark):
     assert [found[i] for i in range(len(texts))] == slow_groups(texts)
 
 
+def test_pairs_of_a_group_of_unlike_texts(spark, monkeypatch):
+    """Texts near one another that are not alike: few of their pairs come out, and the groups are those of brute force."""
+    draw = random.Random(9)
+    base, texts = [f"w{i}" for i in range(200)], []
+    for _ in range(160):
+        copy = list(base)
+        for at in draw.sample(range(2, 200, 5), 4):
+            copy[at] = f"v{draw.randrange(2)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole, pairs = likeness._hot_apart, []
+
+    def counted(*given):
+        found = whole(*given)
+        pairs.append(found.count())
+        return found
+
+    monkeypatch.setattr(likeness, "_hot_apart", counted)
+    found = {r.doc_id: r.component_id for r in likeness.near_duplicates(docs).collect()}
+    groups = slow_groups(texts)
+    assert [found[i] for i in range(len(texts))] == groups and len(set(groups)) > 20
+    assert pairs[0] < len(texts)
+
+
 def test_segments_follow_the_corpus():
     small_index, large = likeness.Index.of(10_000), likeness.Index.of(10**9)
     assert small_index.bits == 14 and large.bits == 30 and small_index.segments < large.segments
